@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, mixing, quality, secrets, topk, toxicity, url_filter
+from . import bpe, chat, fingerprint, mixing, near_dup, quality, secrets, topk, toxicity, url_filter
 from .common import table, written
 
 
@@ -49,6 +49,11 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, HOST_RULES, url_filter.PATTERNS).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_secrets": op3_secrets,
     "op4_urls": op4_urls,
+    "op5_near_dup": op5_near_dup,
     "op6_fingerprint": op6_fingerprint,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
