@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_chunks
 from .features import labelled_sample, scored, word_features
 
 GRADES = 3
@@ -40,9 +41,12 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def presence(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, bucket) pairs, by text."""
-    bucket, doc = word_features(texts, bits)
-    both = np.unique((doc << bits) | bucket)
+    """Distinct (text, bucket) pairs, by text; a part of the texts at a time, to bound memory."""
+    parts = [np.zeros(0, np.int64)]
+    for lo, hi in in_chunks(texts, 1 << 18):
+        bucket, doc = word_features(texts[lo:hi], bits)
+        parts.append(np.unique(((doc + lo) << bits) | bucket))
+    both = np.concatenate(parts)
     return both >> bits, both & ((1 << bits) - 1)
 
 
