@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> dict[str, Column]:
+    """_id and _hash, which tell apart all rows that differ in id or text."""
+    return {"_id": F.coalesce(F.col(id_), F.lit(-1)), "_hash": F.xxhash64(id_, text)}
+
+
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x5851F42D4C957F2D | 1

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_key, written
 
 #: Cells into which the unit interval is cut so that points meet shares in an equi-join.
 CELLS = 256
@@ -119,3 +119,14 @@ def mix(docs: DataFrame, p: Params = Params(), key: str = "doc_id") -> DataFrame
     taken = met.groupBy("source_no", "start", "_key", "size", "source_size", "target").agg(F.sum(F.coalesce(F.when(F.col("limit").isNotNull(), words_taken), F.lit(0))).cast("long").alias("taken"))
     columns = [F.col("_key").alias(key), "size", "source_size", "target", "taken"]
     return taken.select(columns).unionByName(own.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
+
+
+def mixed(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """docs (doc_id, text, source and others), each row as often as the mix takes its words, to the nearest whole number."""
+    keyed = docs.withColumns(row_key(docs))
+    sizes = written(keyed.select(F.struct("_id", "_hash").alias("key"), "source", words(F.col("text")).alias("size")), "mix-sizes")
+    taken = mix(sizes, p, "key").groupBy("key").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
+    copies = taken.where("size > 0").select("key.*", F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
+    copies = written(copies, "mix-copies")
+    once = keyed.dropDuplicates(["_id", "_hash"]).join(copies.hint("merge"), ["_id", "_hash"])
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)

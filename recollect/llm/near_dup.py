@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, in_chunks, mix64, run_hashes, runs, written
+from .common import GOLD, in_chunks, mix64, row_key, run_hashes, runs, written
 
 
 @dataclass(frozen=True)
@@ -364,3 +364,11 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -
     ids = classes.select("cls", "least_id").join(reached.hint("merge"), "cls", "left").select("cls", F.coalesce("component_id", "least_id").alias("component_id"))
     out = rows.join(ids.hint("merge"), "cls", "left")
     return out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).drop("sig", "cls")
+
+
+def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """docs with one row of each component: that of its id. Rows that stand twice stay once."""
+    keyed = docs.withColumns(row_key(docs))
+    found = near_duplicates(keyed.select("doc_id", "text", "_id", "_hash"), p)
+    kept = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_id", "_hash").distinct(), "kept")
+    return keyed.join(kept.hint("merge"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(docs.columns)

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_key, written
 
 #: The base patterns of the contract, and the least lengths (of the value for `assign`).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -78,10 +78,6 @@ def found_parts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"base": F.array_sort(base), "weak": F.array_sort(weak)}).drop("_named")
 
 
-def row_key(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> dict[str, Column]:
-    return {"_id": F.coalesce(F.col(id_), F.lit(-1)), "_hash": F.xxhash64(id_, text)}
-
-
 def linked(parts: DataFrame) -> DataFrame:
     """(_id, _hash, base, weak) rows to (_id, _hash, more): the weak candidates with their complements in scope."""
     key = ["_id", "_hash"]
