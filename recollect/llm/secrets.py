@@ -126,6 +126,6 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with secrets replaced in their texts; null texts stay null."""
-    spans = scan(docs, id_, text).where("size(spans) > 0").select("_id", "_hash", "spans").dropDuplicates(["_id", "_hash"])
+    spans = scan(docs, id_, text).where("size(spans) > 0").select("_id", "_hash", F.col("spans").alias("_spans")).dropDuplicates(["_id", "_hash"])
     keyed = docs.withColumns(row_key(docs, id_, text)).join(spans.hint("merge"), ["_id", "_hash"], "left")
-    return keyed.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.coalesce("spans", F.array().cast(SPAN))))).select(docs.columns)
+    return keyed.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.coalesce("_spans", F.array().cast(SPAN))))).select(docs.columns)
