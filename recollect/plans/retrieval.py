@@ -210,8 +210,8 @@ SUMMARY = """SELECT run_id, avg(recall) FILTER (turn >= 1) average_feedback_reca
 SQL["pairs"] = "SELECT b.session_id, b.turn, b.rank b, c.rank c, (c.rank < 10)::INT::DOUBLE - (b.rank < 10)::INT::DOUBLE d FROM ranks b JOIN ranks c USING (session_id, turn) WHERE b.run_id = 'h0' AND c.run_id = 'persistent'"
 SQL["told"] = f"""SELECT b.session_id, b.feedback_turn + 1 turn, (b.polarity = 'negative')::INT kind, b.idx, {CANON.format('b.attribute')} concept, coalesce(s.actionable AND b.polarity = 'negative', false) actionable
   FROM beliefs b LEFT JOIN structured s ON s.session_id = b.session_id AND s.feedback_turn = b.feedback_turn AND s.idx = b.idx"""
-SQL["clean"] = """SELECT session_id, turn, count(*) memory_size, min(turn - at) latest_age, max(turn - at) oldest_age, list_sort(list(DISTINCT concept)) concepts FROM (
-  SELECT s.session_id, s.turn, e.concept, arg_max(e.kind, e.turn * 10000 + e.kind * 1000 + e.idx) kind, max(e.turn) at FROM states s JOIN told e ON e.session_id = s.session_id AND e.turn <= s.turn AND (e.kind = 0 OR e.actionable)
+SQL["clean"] = """SELECT session_id, turn, count(*) memory_size, min(turn - last_turn) latest_age, max(turn - last_turn) oldest_age, list_sort(list(DISTINCT concept)) concepts FROM (
+  SELECT s.session_id, s.turn, e.concept, arg_max(e.kind, e.turn * 10000 + e.kind * 1000 + e.idx) kind, max(e.turn) last_turn FROM states s JOIN told e ON e.session_id = s.session_id AND e.turn <= s.turn AND (e.kind = 0 OR e.actionable)
   WHERE s.turn >= 1 AND NOT EXISTS (SELECT 1 FROM told n WHERE n.session_id = s.session_id AND n.turn = s.turn AND n.kind = 1) GROUP BY ALL) WHERE kind = 1 GROUP BY session_id, turn"""
 _inside = ["true", "latest_age = 1", "latest_age BETWEEN 2 AND 3", "latest_age >= 4", "memory_size = 1", "memory_size BETWEEN 2 AND 3", "memory_size >= 4"]
 SQL["grouped"] = " UNION ALL ".join(f"SELECT *, '{g}' AS \"group\" FROM clean WHERE {c}" for g, c in zip(analysis.GROUPS, _inside, strict=True))
