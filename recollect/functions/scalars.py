@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+#: Fixed value: what goes before excluded concepts.
 EXCLUSION = " The target image should not match the following excluded visual evidence: "
 
 

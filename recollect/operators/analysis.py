@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from . import metrics, stats
 
-#: The groups of history-only states.
+#: The groups of history-only states.
 GROUPS = ["ALL_CLEAN_HISTORY_ONLY", "AGE_1", "AGE_2_3", "AGE_4_PLUS", "MEM_1", "MEM_2_3", "MEM_4_PLUS"]
 POLARITIES = ["positive", "negative"]
 

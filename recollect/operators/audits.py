@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from .checks import LEAST_NORM, all_of, key, violations
 
+#: The statuses of archives.
 STATUSES = ["emitted_by_evaluator", "rehydrated_from_declared_inputs"]
 SCALARS = ["pairing_fp", "evaluation_fp", "status", "metadata_json"]
 META = "map<string,string>"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
+#: The types of structured negatives.
 TYPES = ["EXISTENCE", "ATTRIBUTE", "RELATION", "GLOBAL"]
 LEAST_NORM = 1e-8
 

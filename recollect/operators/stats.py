@@ -28,12 +28,21 @@ def draw(seed: int, replicate: Column, place: Column, n: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), replicate, place)), 1, 8), 16, 10).cast("long") % n).cast("long")
 
 
+def in_order(units: DataFrame, group: str, wide: int = 4096) -> DataFrame:
+    """units numbered from 0 by session_id within their group: within ranges of ids, and by what the ranges before hold."""
+    units = units.withColumn("range", F.floor(F.col("session_id") / wide))
+    sizes = units.groupBy(group, "range").agg(F.count("*").alias("m"))
+    offsets = sizes.withColumn("base", F.sum("m").over(W.partitionBy(group).orderBy("range")) - F.col("m")).drop("m")
+    inside = units.withColumn("in", F.row_number().over(W.partitionBy(group, "range").orderBy("session_id")) - 1)
+    return inside.join(offsets.hint("merge"), [group, "range"]).withColumn("no", F.col("in") + F.col("base")).drop("in", "base", "range")
+
+
 def bootstrap(units: DataFrame, group: str, samples: int, seed: int, confidence: float = 0.95, scale: float = 100.0) -> DataFrame:
     """(group, delta, ci_low, ci_high) from (group, session_id, s, c) units: the ratio of sums, its percentiles over resamples of sessions.
 
     Equal (s, c) units are interchangeable, but a draw names one by its number: all are kept.
     """
-    numbered = units.withColumn("no", F.row_number().over(W.partitionBy(group).orderBy("session_id")) - 1)
+    numbered = in_order(units, group)
     n = units.groupBy(group).agg(F.count("*").alias("n"), (scale * F.sum("s") / F.sum("c")).alias("delta"))
     grid = n.select(group, "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate")).select(group, "n", "replicate", F.explode(F.expr("sequence(0, n - 1)")).alias("place"))
     drawn = grid.select(group, "replicate", draw(seed, F.col("replicate"), F.col("place"), F.col("n")).alias("no"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 BELIEF = "struct<attribute:string,confidence:double>"
 BELIEFS_JSON = f"schema_version int, status string, provenance map<string,string>, quality struct<passed:boolean>, dialogs array<struct<dialog_id:bigint,turns:array<struct<turn:int,question:string,answer:string,positives:array<{BELIEF}>,negatives:array<{BELIEF}>>>>>"
 STRUCTURED_JSON = "items array<struct<dialog_id:bigint,turn:int,negative_index:int,negative_attribute:string,actionable_negative:boolean,typing:struct<type:string,status:string>,eligibility_source:string>>"
+#: What stands for missing texts and confidences.
 DEFAULT_TEXT = "precomputed query"
 DEFAULT_CONFIDENCE = 0.7
 
