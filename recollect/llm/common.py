@@ -55,7 +55,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 21, 1 << int(n).bit_length())
+        size = max(1 << 16, 1 << int(n).bit_length())
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = _powers[base] = np.multiply.accumulate(steps)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,8 +69,8 @@ def word_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (run_hashes(codes, begin, end) >> np.uint64(64 - bits)).astype(np.int64), np.searchsorted(starts, begin, "right") - 1
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int, allowed: Column | None = None) -> pd.DataFrame:
-    """(doc_id, text, label) of at most at_most labelled rows of each label, 0 and 1: those of least hash, so that reruns agree.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int, allowed: Column | None = None) -> tuple[list[str], list[int]]:
+    """Texts and labels, by id, of at most at_most labelled rows of each label, 0 and 1: those of least hash, so that reruns agree.
 
     The sample of ids is bounded before it meets the documents, so it may be broadcast. A document labelled twice counts with
     its greater label; a text that stands twice under an id counts once.
@@ -81,7 +80,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int
     ids = [known.where(F.col("label") == k).orderBy("order", "doc_id").limit(at_most).select("doc_id", "label") for k in (0, 1)]
     ids = ids[0].unionByName(ids[1])
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    return found.toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id").reset_index(drop=True)
+    one = {}
+    for r in sorted(found.collect()):
+        one.setdefault(r.doc_id, (r.text, r.label))
+    return [x for x, _ in one.values()], [y for _, y in one.values()]
 
 
 def scored(df: DataFrame, text: str, names: list[str], scores) -> DataFrame:

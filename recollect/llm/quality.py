@@ -30,7 +30,7 @@ class Params:
     rate: float = 0.4
     seed: int = 7
     #: Labelled rows learned from, at most, of each label.
-    sample_per_label: int = 3000
+    sample_per_label: int = 2000
     threshold: float = 0.7
 
 
@@ -38,7 +38,7 @@ def bag(text: str, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets and their shares of the text's features."""
     parts = [b for b, _ in subword_features([text], p.bits, p.sizes)]
     found, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0))
-    return found, n / max(1, n.sum())
+    return found.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], p: Params = Params()) -> tuple[np.ndarray, float]:
@@ -83,8 +83,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.ndarray, float]:
     """Learns from at most p.sample_per_label labelled rows of each label, none of them held out."""
-    found = labelled_sample(docs, labels, "quality", p.sample_per_label, ~held_out())
-    return train(found["text"].tolist(), found["label"].tolist(), p)
+    return train(*labelled_sample(docs, labels, "quality", p.sample_per_label, ~held_out()), p)
 
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, float], p: Params = Params(), text: str = "text", score: str = "score") -> DataFrame:

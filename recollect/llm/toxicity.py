@@ -109,8 +109,7 @@ def severities(texts: list[str], weights: np.ndarray, cuts: np.ndarray, p: Param
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.ndarray, np.ndarray]:
-    found = labelled_sample(docs, labels, "toxic", p.sample_per_label)
-    return train(found["text"].tolist(), found["label"].tolist(), p)
+    return train(*labelled_sample(docs, labels, "toxic", p.sample_per_label), p)
 
 
 def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], p: Params = Params(), text: str = "text", severity: str = "severity", toxic: str = "toxic", probability: str = "p_toxic") -> DataFrame:
