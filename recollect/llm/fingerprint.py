@@ -112,7 +112,8 @@ def with_next(docs: DataFrame, id_: str, text: str, make: Callable[[int | None,
     guest = F.struct(F.get(F.lit(host), F.col("_r")).cast("int").alias("r"), F.lit(True).alias("guest"))
     is_head = F.get(F.array(*(F.lit(x).cast("long") for x in head)), F.col("_r")) == F.col("_id")
     sent = placed.select("id", "_id", "text", F.inline(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))))
-    dealt = sent.repartition(len(cuts) + 1, "r").sortWithinPartitions("r", "guest", F.col("_id").desc(), "text")
+    # a partition for each range: hashed, some partitions would get several
+    dealt = sent.repartitionById(len(cuts) + 1, F.col("r")).sortWithinPartitions("r", "guest", F.col("_id").desc(), "text")
     arrow = pa.schema([(f.name, ARROW[f.dataType.simpleString()]) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
