@@ -309,6 +309,21 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def perhaps_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id's hash is marked by one of ids, which holds all that have such a doc_id and few others.
+
+    The marks are a bitmap of at most 32 MB, whatever the number of ids, so it may be broadcast: long texts that no join needs
+    stay out of its shuffle.
+    """
+    bits = 1 << min(28, max(15, (64 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    marks = ids.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_marks"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substr("_marks", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = docs.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "_bucket")
+    return near.where(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(docs.columns)
+
+
 def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
     """docs without text, with n_shingles and component_id, the least doc_id that links reach. docs has doc_id and text."""
     rows = written(signatures(docs, p, text), "signatures")
@@ -335,7 +350,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -
     anonymous = wanted.where("doc_id IS NULL").select("cls")
     named = wanted.where("doc_id IS NOT NULL")
     source = docs.select("doc_id", F.col(text).alias("text"))
-    texts = source.join(named, "doc_id")
+    texts = perhaps_among(source, named).join(named.hint("merge"), "doc_id")
     sets = full_sets(texts.select("cls", "text"), p)
     if not anonymous.isEmpty() or not rows.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
         # ids that stand twice may have other texts: the sets' own classes tell them apart
