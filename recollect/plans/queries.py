@@ -469,3 +469,25 @@ def i4(spark, sf):
 @query("j1_embed", f"SELECT DISTINCT query_text AS text, length(query_text)::DOUBLE vector_0, 1.0::DOUBLE vector_1, 0.0::DOUBLE vector_2 FROM states")
 def j1(spark, sf):
     return embed.embed(fx.states(spark, sf), lambda texts: [[float(len(t)), 1.0, 0.0] for t in texts], "query_text").select("text", *first3("vector"))
+
+
+# ---- the same over all turns of all conversations, for operators that take sessions of any length
+
+WHOLE = [
+    "a2_sessions", "a3_beliefs", "a6_rank_archive", "b1_beliefs", "b4_sessions", "b17_coverage", "d4_persistent_memory", "d5_current_memory", "d10_weights", "d11_corrected", "d12_h0_ranks", "d13_persistent_ranks", "d15_top_k",
+    "d17_diagnostics", "d20_ablation", "e1_recall", "e2_cumulative", "e4_bri", "e7_summary", "f1_recall_delta", "f2_bri_delta", "f3_mcnemar", "f4_holm", "g1_belief_stats", "g4_contradictions", "g6_session_gains", "g9_clean_states",
+    "g11_groups", "g12_group_recalls", "h6_no_op", "h8_clean_guard", "h9_session_summary",
+]
+
+
+def whole(name: str) -> None:
+    """Registers a query once more, on a Whole folder."""
+    QUERIES[f"{name}_whole"] = lambda spark, sf: QUERIES[name](spark, fx.Whole(sf))
+    sql = ORACLE_SQL[name]
+    for table, text in fx.WHOLE_SQL.items():
+        sql = sql.replace(fx.SQL[table], text)
+    ORACLE_SQL[f"{name}_whole"] = sql
+
+
+for _name in WHOLE:
+    whole(_name)

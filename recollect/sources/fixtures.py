@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 from .tables import read_corpus, written
 
 TURNS = 4
-_made: dict[tuple[str, str, str], DataFrame] = {}
+_made: dict[tuple[str, str, bool, str], DataFrame] = {}
+
+
+class Whole(str):
+    """A folder of tables of which all turns of all conversations are taken, so that sessions differ in length."""
 
 
 def once(name: str, make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """make's table, written once a session and input, as many queries start from it."""
 
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, name)
+        key = (spark.sparkContext.applicationId, sf_dir, isinstance(sf_dir, Whole), name)
         if key not in _made:
             _made[key] = written(make(spark, sf_dir), name)
         return _made[key]
@@ -31,22 +35,27 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations with TURNS turns or more, and the corpus row that each conversation is after."""
+    """Turns of conversations with TURNS turns or more (of all, if the folder is Whole), and the corpus row that each conversation is after."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").cast("int").alias("turn"), "text")
     n = corpus(spark, sf_dir).count()
-    long = rows.groupBy("conv_id").count().where(F.col("count") >= TURNS).select("conv_id")
-    return rows.join(long, "conv_id").select(F.col("conv_id").alias("session_id"), "turn", "text", F.lit(n).alias("n"), ((F.col("conv_id") * 37 + 11) % n).alias("target_index"))
+    if not isinstance(sf_dir, Whole):
+        rows = rows.join(rows.groupBy("conv_id").count().where(F.col("count") >= TURNS).select("conv_id"), "conv_id")
+    return rows.select(F.col("conv_id").alias("session_id"), "turn", "text", F.lit(n).alias("n"), ((F.col("conv_id") * 37 + 11) % n).alias("target_index"))
+
+
+def _before(sf_dir: str, turn: int):
+    return F.lit(True) if isinstance(sf_dir, Whole) else F.col("turn") < turn
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = _talk(spark, sf_dir).where(F.col("turn") < TURNS).withColumn("noise", (F.col("session_id") * 13 + F.col("turn") * 5 + 1) % F.col("n"))
+    talk = _talk(spark, sf_dir).where(_before(sf_dir, TURNS)).withColumn("noise", (F.col("session_id") * 13 + F.col("turn") * 5 + 1) % F.col("n"))
     of = lambda id_, name: corpus(spark, sf_dir).select(F.col("corpus_idx").alias(id_), F.col("vector").alias(name))
     both = talk.join(of("target_index", "a"), "target_index").join(of("noise", "b"), "noise")
     return both.select("session_id", "turn", F.col("text").alias("query_text"), "target_index", F.zip_with("a", "b", lambda x, y: x + F.lit(4.0) * y).alias("query_vector"))
 
 
 def _beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = _talk(spark, sf_dir).where(F.col("turn") < TURNS - 1).withColumn("len", F.char_length("text")).where("len % 4 > 0")
+    talk = _talk(spark, sf_dir).where(_before(sf_dir, TURNS - 1)).withColumn("len", F.char_length("text")).where("len % 4 > 0")
     ev = talk.select("session_id", F.col("turn").alias("feedback_turn"), "len", F.explode(F.expr("sequence(0, len % 4 - 1)")).alias("pos"))
     ev = ev.withColumn("cid", (F.col("session_id") * 7 + F.col("pos") * 5 + F.col("len")) % 12)
     ev = ev.withColumn("polarity", F.when(F.expr("(len div 4 + pos + feedback_turn) % 3 = 0"), "positive").otherwise("negative"))
@@ -97,3 +106,10 @@ SQL = {
     "structured": """SELECT session_id, feedback_turn, idx, attribute negative_attribute, (session_id + feedback_turn + idx) % 4 <> 0 actionable,
   (['EXISTENCE', 'ATTRIBUTE', 'RELATION', 'GLOBAL'])[1 + (session_id + 2 * idx + feedback_turn) % 4] sem_type FROM beliefs WHERE polarity = 'negative'""",
 }
+
+#: Those of them that a Whole folder changes.
+WHOLE_SQL = {
+    "fx_sessions": SQL["fx_sessions"].replace(" HAVING count(*) >= 4", ""),
+    "states": SQL["states"].replace(" WHERE c.turn < 4", ""),
+    "ev0": SQL["ev0"].replace("c.turn < 3 AND ", ""),
+}
