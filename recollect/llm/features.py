@@ -69,21 +69,23 @@ def word_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (run_hashes(codes, begin, end) >> np.uint64(64 - bits)).astype(np.int64), np.searchsorted(starts, begin, "right") - 1
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int, allowed: Column | None = None) -> tuple[list[str], list[int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int, allowed: Column | None = None) -> tuple[list[str], list[int], tuple[float, float]]:
     """Texts and labels, by id, of at most at_most labelled rows of each label, 0 and 1: those of least hash, so that reruns agree.
 
     The sample of ids is bounded before it meets the documents, so it may be broadcast. A document labelled twice counts with
     its greater label; a text that stands twice under an id counts once.
+    Last, for how many labelled rows a row of the sample stands, by label: taking as many of each hides the shares of the labels.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(F.lit(True) if allowed is None else allowed)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).withColumn("order", F.xxhash64("doc_id"))
     ids = [known.where(F.col("label") == k).orderBy("order", "doc_id").limit(at_most).select("doc_id", "label") for k in (0, 1)]
     ids = ids[0].unionByName(ids[1])
+    all_ = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     one = {}
     for r in sorted(found.collect()):
         one.setdefault(r.doc_id, (r.text, r.label))
-    return [x for x, _ in one.values()], [y for _, y in one.values()]
+    return [x for x, _ in one.values()], [y for _, y in one.values()], (max(1.0, all_.get(0, 0) / at_most), max(1.0, all_.get(1, 0) / at_most))
 
 
 def scored(df: DataFrame, text: str, names: list[str], scores) -> DataFrame:

@@ -41,8 +41,12 @@ def bag(text: str, p: Params) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], p: Params = Params()) -> tuple[np.ndarray, float]:
-    """The weight of each bucket and the bias: the log-odds of label 1 are bias + mean of weights."""
+def train(texts: list[str], labels: list[int], stands: tuple[float, float] = (1.0, 1.0), p: Params = Params()) -> tuple[np.ndarray, float]:
+    """The weight of each bucket and the bias: the log-odds of label 1 are bias + mean of weights.
+
+    stands: for how many labelled rows a row of each label stands. The bias takes the log of their ratio, so that the scores
+    follow the shares of the labels in the whole table, however many of each the sample holds.
+    """
     if len(set(labels)) < 2:
         return np.zeros(1 << p.bits, np.float32), 30.0 if not labels or labels[0] == 1 else -30.0
     rng = np.random.default_rng(p.seed)
@@ -65,7 +69,7 @@ def train(texts: list[str], labels: list[int], p: Params = Params()) -> tuple[np
             b -= rate * 0.1 * q
             # shares are small in long texts; the step of a vector grows with the text's distinct features
             E[at] -= rate * np.minimum(1.0, share * len(at))[:, None] * down
-    return (E @ (W[:, 1] - W[:, 0])).astype(np.float32), float(b[1] - b[0])
+    return (E @ (W[:, 1] - W[:, 0])).astype(np.float32), float(b[1] - b[0] + np.log(stands[1] / stands[0]))
 
 
 def mean_scores(texts: list[str], weights: np.ndarray, bias: float, p: Params) -> np.ndarray:

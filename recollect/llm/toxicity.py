@@ -62,8 +62,11 @@ def grades(doc: np.ndarray, column: np.ndarray, labels: np.ndarray, columns: int
     return out
 
 
-def train(texts: list[str], labels: list[int], p: Params = Params()) -> tuple[np.ndarray, np.ndarray]:
-    """Weights by bucket and the ordered cuts."""
+def train(texts: list[str], labels: list[int], stands: tuple[float, float] = (1.0, 1.0), p: Params = Params()) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by bucket and the ordered cuts.
+
+    stands: for how many labelled rows a row of each label stands, which is its weight in the fit.
+    """
     weights = np.zeros(1 << p.bits, np.float32)
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
@@ -75,7 +78,10 @@ def train(texts: list[str], labels: list[int], p: Params = Params()) -> tuple[np
     doc, column, used = doc[keep[column]], place[column[keep[column]]], used[keep]
     g = grades(doc, column, y, len(used), p)
     w = np.zeros(len(used))
-    cut = np.array([np.log((np.mean(g <= k) + 1e-3) / (1 - np.mean(g <= k) + 1e-3)) for k in range(GRADES)])
+    share = np.array(stands)[y]
+    share /= share.sum()
+    below = [share[g <= k].sum() for k in range(GRADES)]
+    cut = np.array([np.log((b + 1e-3) / (1 - b + 1e-3)) for b in below])
     above = g[:, None] > np.arange(GRADES)
     here = (g[:, None] - 1 <= np.arange(GRADES)) & (np.arange(GRADES) <= g[:, None])  # the cuts on both sides of the grade
     sw, sc = np.full(len(w), 1e-8), np.full(GRADES, 1e-8)
@@ -86,9 +92,9 @@ def train(texts: list[str], labels: list[int], p: Params = Params()) -> tuple[np
         hi = np.concatenate([up, np.zeros((len(y), 1))], 1)[np.arange(len(y)), g]
         # d log P(grade) / d z for the two neighbouring cuts
         slope = up * (1 - up) / np.maximum(lo - hi, 1e-9)[:, None] * np.where(above, 1, -1) * here
-        grad_z = -slope.sum(1) / len(y)
+        grad_z = -slope.sum(1) * share
         grad_w = np.bincount(column, grad_z[doc], len(w)) + p.ridge * w
-        grad_c = slope.sum(0) / len(y)
+        grad_c = share @ slope
         sw, sc = sw + grad_w**2, sc + grad_c**2
         step = p.rate / np.sqrt(sw)
         w = w - step * grad_w

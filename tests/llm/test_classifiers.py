@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm import quality as Q
 from recollect.llm import toxicity as X
+from recollect.llm.features import labelled_sample
 
 WORDS = ["the", "river", "stone", "walks", "over", "quiet", "hill", "morning", "light", "garden"]
 RUDE = ["idiot", "scum", "moron"]
@@ -70,3 +72,22 @@ def test_without_labels(spark):
     assert {r.score > 0.99 for r in Q.classify(docs, Q.fit(docs, none)).collect()} == {True}
     assert {r.toxic for r in X.grade(docs, X.fit(docs, none)).collect()} == {False}
     assert Q.classify(docs.limit(0), Q.fit(docs, none)).count() == 0
+
+
+def test_scores_follow_the_shares_of_all_labels(spark):
+    docs, labels = frames(spark, corpus(960))
+    known = labels.where("doc_id >= 0 AND doc_id < 960").where(~Q.held_out())
+    good, bad = known.where("quality = 1").count(), known.where("quality = 0").count()
+    empty = lambda model, p: float(Q.mean_scores([""], *model, p)[0, 0])
+    few, all_ = Q.Params(bits=12, sample_per_label=100), Q.Params(bits=12)
+    texts, y, stands = labelled_sample(docs, labels, "quality", 100, ~Q.held_out())
+    assert stands == ((bad + 0) / 100, (good + 1) / 100) and sum(y) in (99, 100)  # a label of a document that isn't there counts
+    raw = Q.train(texts, y, p=few)
+    assert abs(Q.fit(docs, labels, few)[1] - raw[1] - math.log((good + 1) / bad)) < 1e-9
+    assert empty(Q.fit(docs, labels, few), few) > 0.6 and empty(raw, few) < 0.6
+    assert labelled_sample(docs, labels, "quality", 5000)[2] == (1.0, 1.0)
+
+    chance = lambda cap: float(X.severities([""], *X.fit(docs, labels, X.Params(sample_per_label=cap)), X.Params())[0, 1])
+    texts, y, stands = labelled_sample(docs, labels, "toxic", 100)
+    plain = X.train(texts, y, p=X.Params())
+    assert abs(chance(100) - chance(5000)) < abs(float(X.severities([""], *plain, X.Params())[0, 1]) - chance(5000)) / 2
