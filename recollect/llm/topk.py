@@ -5,10 +5,10 @@ into blocks, every pair of a query block and a candidate block meets once in an
 computation: for each term, the query rows that have it scatter their weight times the postings into a dense array of scores
 (queries by candidates of the block); a partition selection keeps k of each query; a window merges the blocks' winners.
 
-All is integer arithmetic, so results are exact; sums beyond 64 bits wrap around. Rows whose vector is null or has null or
+All is integer arithmetic, so results are exact; sums beyond 64 bits wrap around. Rows without an id and rows whose vector is null or has null or
 non-finite components take no part; a vector shorter than another lacks its last terms. Candidates that share the query's id
 are its own. Equal scores go to the smaller id, then to the row that sorts first. Rows that stand twice are two candidates; a
-query id that stands twice is answered once, by its smallest vector.
+query row that stands twice is answered once. An id with several query vectors has the k best of all their pairs.
 """
 
 from __future__ import annotations
@@ -82,8 +82,9 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """(id, vector array<long>) tables to (query_id, rank, vec_id, score), ranks from 1."""
-    queries = queries.where("vector IS NOT NULL").groupBy("id").agg(F.min("vector").alias("vector"))
-    q, c = in_blocks(queries, QUERIES, "qb"), in_blocks(candidates.where("vector IS NOT NULL"), CANDIDATES, "cb")
+    there = "id IS NOT NULL AND vector IS NOT NULL"
+    queries = queries.where(there).select("id", "vector").distinct()
+    q, c = in_blocks(queries, QUERIES, "qb"), in_blocks(candidates.where(there), CANDIDATES, "cb")
     n = max(1, -(-queries.count() // QUERIES))
     grid = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).hint("shuffle_hash")
     # dealt once more by the pair, so that pairs of one query block are no one task's

@@ -1,9 +1,11 @@
 import math
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from recollect.llm import topk
+from recollect.llm.queries import ORACLE_SQL
 
 
 def brute(rows, k):
@@ -39,3 +41,13 @@ def test_fewer_candidates_and_none(spark):
 
 def test_rows_that_stand_twice(spark):
     assert sorted(found(spark, [(0, [1.0]), (0, [1.0]), (7, [2.0]), (7, [2.0])])) == [(0, 1, 7, 131072), (0, 2, 7, 131072)]
+
+
+def test_ids_null_large_and_repeated_like_sql(spark):
+    big = 50 * (2**53 // 50) + 50  # odd neighbours of it are no doubles
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (7, [3.0, 0.5]), (8, [0.25, 2.0]), (None, [9.0, 9.0]), (big, [1.0, 1.0]), (big + 1, [4.0, 4.0])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    want = con.execute(ORACLE_SQL["op2_topk"]).fetchall()
+    assert len(want) == 10 and sorted(found(spark, rows)) == sorted(want)
