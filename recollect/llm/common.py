@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Only a session on one machine may do without: it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="recollect-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,9 +34,50 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> dict[str, Column]:
-    """_id and _hash, which tell apart all rows that differ in id or text."""
-    return {"_id": F.coalesce(F.col(id_), F.lit(-1)), "_hash": F.xxhash64(id_, text)}
+def nested(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, h1, h2): each row as one struct, so that its columns clash with nothing, and 128 bits that stand for its id and text."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(id_, text).alias("h1"), F.xxhash64(text, id_, F.lit(1)).alias("h2"))
+
+
+#: A key with more rows than LEAST_HOT, and more than one in MOST_HOT of all, is hot.
+LEAST_HOT, MOST_HOT = 256, 4096
+
+
+def hot_keys(counts: DataFrame, key: str, count: str, rows: int) -> DataFrame:
+    """Keys of too many rows for one task. There are at most MOST_HOT of them, as each has more than rows / MOST_HOT rows: they may be broadcast."""
+    return counts.where(F.col(count) > max(LEAST_HOT, rows // MOST_HOT)).select(key)
+
+
+def spread_join(df: DataFrame, facts: DataFrame, key: str, hot: DataFrame, how: str = "inner", deal: list[str] | None = None) -> DataFrame:
+    """df joined with facts, which has one small row a key. Rows of the hot keys meet theirs by broadcast.
+
+    In the shuffle for the others, hot rows and rows with a null key are dealt by what else they hold (of `deal`, if given), so that no key gathers many rows.
+    """
+    own, other = df.columns, [c for c in facts.columns if c != key]
+    packed = facts.select(F.col(key).alias("_k"), F.struct(*other).alias("_f"), F.lit(0).alias("_s"))
+    near = packed.join(F.broadcast(hot.select(F.col(key).alias("_k"))), "_k", "left_semi").select("_k", F.col("_f").alias("_near"))
+    met = df.join(F.broadcast(near), F.col(key) == F.col("_k"), "left").drop("_k")
+    away = F.col("_near").isNotNull() | F.col(key).isNull()
+    met = met.withColumn("_salt", F.when(away, F.pmod(F.xxhash64(*(deal or own)), F.lit(1 << 20)).cast("int") + 1).otherwise(0))
+    met = met.join(packed.hint("merge"), (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left")
+    met = met.withColumn("_f", F.coalesce("_near", "_f"))
+    return (met.where("_f IS NOT NULL") if how == "inner" else met).select(*own, *(F.col(f"_f.{c}").alias(c) for c in other))
+
+
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once, however often use names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def running(xs: Column, start: Column, add: Callable[[Column, Column], Column], chunk: int = 64) -> Column:
+    """For each place of an array, start plus all elements before it; add is associative. By chunks: of n elements n * chunk / 2 steps, and no copies."""
+    fold = lambda part, first: F.aggregate(part, first, add)
+
+    def by_chunks(parts: Column) -> Column:
+        return bound(F.transform(parts, lambda c: fold(c, start)), lambda sums: F.flatten(F.transform(parts, lambda c, k: bound(fold(F.slice(sums, 1, k), start), lambda base: F.transform(c, lambda x, i: fold(F.slice(c, 1, i), base))))))
+
+    cut = lambda ys: F.transform(F.sequence(F.lit(0), F.floor((F.size(ys) - 1) / chunk).cast("int")), lambda k: F.slice(ys, k * chunk + 1, chunk))
+    return bound(xs, lambda ys: F.when(F.size(ys) > 0, bound(cut(ys), by_chunks)).otherwise(F.array().cast("array<int>")))
 
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -9,7 +9,8 @@ Ranks and word offsets are prefix sums on three levels (within small groups, ove
 source with a third of all rows is no one task's.
 
 Null texts have size 0; a null source is a source of its own, the last. Documents of size 0 are never taken. Rows that stand
-twice are two documents. An empty table gives an empty table.
+twice are two documents; among rows alike in key, source and size it is not told which words belong to which. Documents longer
+than a block lie in several. Columns of the caller pass through `mixed` whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import nested, written
 
 #: Cells into which the unit interval is cut so that points meet shares in an equi-join.
 CELLS = 256
@@ -101,12 +102,12 @@ def mix(docs: DataFrame, p: Params = Params(), key: str = "doc_id") -> DataFrame
     """(key, source, size) rows to (key, size, source_size, target, taken); key may be a struct. docs' sizes should be cheap to read twice."""
     sources = written(targets(docs, p), "mix-sources")
     n_sources, n = sources.count(), docs.count()
-    groups = max(1, min(1 << 24, n // p.group))
+    groups = max(1, n // p.group)
     own = docs.select(F.col(key).alias("_key"), "source", "size").join(bounded(sources.select(F.col("source").alias("_source"), "source_no", "source_size", "target"), n_sources), F.col("source").eqNullSafe(F.col("_source")))
     own = own.select("_key", "size", "source_no", "source_size", "target").withColumn("_order", F.xxhash64(F.lit(p.seed), F.col("_key")))
-    own = own.withColumn("_group", F.expr(f"shiftrightunsigned(_order, 40) * {groups} div {1 << 24}"))
+    own = own.withColumn("_group", F.expr(f"shiftrightunsigned(_order, 33) * {groups} div {1 << 31}"))
     offsets = before(own.groupBy("source_no", "_group").agg(F.sum("size").alias("v")), ["source_no"], "_group", "v", "base").select("source_no", "_group", "base")
-    run = F.sum("size").over(W.partitionBy("source_no", "_group").orderBy(F.shiftrightunsigned("_order", 40), "_order", "_key").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    run = F.sum("size").over(W.partitionBy("source_no", "_group").orderBy(F.shiftrightunsigned("_order", 33), "_order", "_key").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     laid = own.where("size > 0").withColumn("_in", run).join(offsets.hint("merge"), ["source_no", "_group"]).withColumn("start", F.col("_in") + F.col("base"))
     b = p.block
     pieces = laid.select("_key", "size", "source_no", "source_size", "target", "start", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))).alias("block"))
@@ -122,11 +123,13 @@ def mix(docs: DataFrame, p: Params = Params(), key: str = "doc_id") -> DataFrame
 
 
 def mixed(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """docs (doc_id, text, source and others), each row as often as the mix takes its words, to the nearest whole number."""
-    keyed = docs.withColumns(row_key(docs))
-    sizes = written(keyed.select(F.struct("_id", "_hash").alias("key"), "source", words(F.col("text")).alias("size")), "mix-sizes")
-    taken = mix(sizes, p, "key").groupBy("key").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
-    copies = taken.where("size > 0").select("key.*", F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
+    """docs (doc_id, text, source and others), each row as often as the mix takes its words, to the nearest whole number.
+
+    Rows alike in id, text and source share what is taken of them: each stands as often as their mean share says.
+    """
+    keyed = nested(docs).select("row", F.struct("h1", "h2", F.xxhash64("row.source").alias("h3")).alias("key"))
+    sizes = written(keyed.select("key", "row.source", words(F.col("row.text")).alias("size")), "mix-sizes")
+    taken = mix(sizes, p, "key").groupBy("key").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = taken.where("size > 0").select("key", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0")
     copies = written(copies, "mix-copies")
-    once = keyed.dropDuplicates(["_id", "_hash"]).join(copies.hint("merge"), ["_id", "_hash"])
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    return keyed.join(copies.hint("merge"), "key").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -4,30 +4,43 @@ A document's set is its distinct WORDS-word shingles (lower-cased A-Z, words bet
 that are equal form a class, and classes alone go on. A signature has CHUNKS x SYMBOLS symbols of 16 bits, each the least
 value of one hash function over the set. By the pigeonhole principle, two signatures that differ in less than
 CHUNKS x (ERRORS + 1) symbols agree in some chunk up to ERRORS symbols; so each chunk is filed under its hash with every choice
-of ERRORS symbols left out, and all such pairs share a key. (At a similarity of 0.75 a pair of sets shares none of the 60 keys
-with a chance of 6 in a million.)
-
-Large groups make no pairs. The documents of a key are compared with its hub only, the one that shares most keys; hubs gather
-neighbourhoods, and every pair that shares a key shares a hub. Pairs of a neighbourhood without its hub are compared in blocks
-of at most about BLOCK rows a side: first by signatures, where a block names only the documents with a partner; then, for those
-not yet in one component, exactly on full sets by a matrix product, where a block gives a spanning forest of its links.
-Signatures further apart than LIMIT symbols count as unlinked (at a similarity of 0.75: 5 standard deviations).
-
-Components are found by label propagation with pointer jumping, on tables. Null and empty texts have no set and are linked
-with nothing. Rows that stand twice are one class. A null doc_id is no component's id, unless a component has no other.
+of ERRORS symbols left out, and all such pairs share a key. That number less one is the signature-distance threshold (47 of
+96 symbols): no pair under it is missed, and pairs beyond it count as unlinked. A pair of sets at a similarity of exactly 0.75
+lies beyond it with a chance of 1.2 in ten million, at 0.8 of 1 in 10**10.
+
+The documents of a key are compared with its hub only, the one of the least number; hubs gather neighbourhoods, and every pair
+that shares a key shares a hub. Links to hubs are confirmed on full sets, and give components. Of a neighbourhood, only pairs of
+two components remain, and so only those members that are not in the hub's component are compared with the others: in a grid
+of cells, whose side grows with the root of the neighbourhood, first by signatures, where a cell names only members with a
+partner under the threshold; then, for those, exactly on full sets by matrix products. Copies of a hub in any number so take no
+pairs; n unlinked members of one hub cost n**1.5 / 16 shipped signatures.
+
+Keys, hubs, classes and components of many rows are joined by spread_join, so that none is one task's. Components are found by
+label propagation with pointer jumping, on tables.
+
+Null and empty texts, and those of white space alone, have no set and are linked with nothing. Rows that stand twice are one
+class. A null doc_id is no component's id, unless no document of the component has one. Texts of any length are one row each.
+Columns of the caller pass through whatever their names; only those named like a result give way to it. An empty table gives
+an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import GOLD, hot_keys, in_chunks, mix64, nested, run_hashes, runs, spread_join, written
 
-from .common import GOLD, in_chunks, mix64, row_key, run_hashes, runs, written
+#: What a word is made of, as a regular expression.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 @dataclass(frozen=True)
@@ -36,15 +49,20 @@ class Params:
     #: Linked if den * intersection >= num * union.
     num: int = 75
     den: int = 100
-    chunks: int = 12
-    symbols: int = 5  # of a chunk; one of them may differ
-    limit: int = 32  # differing symbols of signatures that are compared on full sets
-    block: int = 256
+    chunks: int = 24
+    symbols: int = 4  # of a chunk
+    errors: int = 1  # symbols of a chunk that may differ
+    block: int = 256  # members a side of a cell that are compared on full sets
 
     @property
     def size(self) -> int:
         return self.chunks * self.symbols
 
+    @property
+    def limit(self) -> int:
+        """The greatest distance of signatures at which a shared key is sure."""
+        return self.chunks * (self.errors + 1) - 1
+
 
 def factors(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * GOLD + np.uint64(seed)) | np.uint64(1)
@@ -103,14 +121,14 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def signatures(docs: DataFrame, p: Params, text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, p: Params) -> DataFrame:
     """docs without text, with n_shingles, cls (16 bytes of the set's hash; null if empty) and sig. No shuffle."""
-    taken = [c for c in docs.columns if c != text]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in taken), "n_shingles long, cls binary, sig binary"])
+    taken = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*(docs.schema[c] for c in taken), T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("sig", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in column(batch, text).to_pylist()]
+            texts = [x or "" for x in column(batch, "text").to_pylist()]
             for lo, hi in in_chunks(texts):
                 h, starts = shingle_sets(texts[lo:hi], p)
                 n = np.diff(starts)
@@ -129,35 +147,36 @@ def signatures(docs: DataFrame, p: Params, text: str = "text") -> DataFrame:
 
 
 def full_sets(docs: DataFrame, p: Params) -> DataFrame:
-    """(cls, text) to (cls, shingles array<long>)."""
+    """(no, text) to (no, shingles array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in column(batch, "text").to_pylist()]
             for lo, hi in in_chunks(texts):
                 h, starts = shingle_sets(texts[lo:hi], p)
-                yield pa.RecordBatch.from_arrays([column(batch, "cls").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(h.view(np.int64)))], names=["cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([column(batch, "no").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(h.view(np.int64)))], names=["no", "shingles"])
 
-    return docs.mapInArrow(run, "cls binary, shingles array<long>")
+    return docs.mapInArrow(run, "no long, shingles array<long>")
 
 
 def chunk_keys(classes: DataFrame, p: Params) -> DataFrame:
-    """(key, cls): each chunk with each of its symbols left out."""
+    """(key, no): each chunk with each choice of symbols left out."""
+    left_out = list(combinations(range(p.symbols), p.errors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = matrix(column(batch, "sig"), np.uint16).astype(np.uint64) + np.uint64(1)
-            own = column(batch, "cls")
+            own = column(batch, "no")
             for c in range(p.chunks if len(own) else 0):
                 part = sig[:, c * p.symbols : (c + 1) * p.symbols]
-                for gone in range(p.symbols):
-                    h = np.full(len(own), c * p.symbols + gone + 1, np.uint64)
+                for way, gone in enumerate(left_out):
+                    h = np.full(len(own), c * len(left_out) + way + 1, np.uint64)
                     for k in range(p.symbols):
-                        if k != gone:
+                        if k not in gone:
                             h = mix64(h * GOLD + part[:, k])
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), own], names=["key", "cls"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), own], names=["key", "no"])
 
-    return classes.select("cls", "sig").mapInArrow(run, "key long, cls binary")
+    return classes.select("no", "sig").mapInArrow(run, "key long, no long")
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,125 +193,125 @@ def alike(na: Column, nb: Column, p: Params) -> Column:
 
 
 def near_stars(stars: DataFrame, p: Params) -> DataFrame:
-    """(hub, cls) of the (hub, cls, hub_sig, sig) rows within the limit."""
+    """(hub, no) of the (hub, no, hub_sig, sig) rows within the limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = (matrix(column(batch, "hub_sig"), np.uint16) != matrix(column(batch, "sig"), np.uint16)).sum(1) <= p.limit
-            yield pa.RecordBatch.from_arrays([column(batch, "hub").filter(pa.array(near)), column(batch, "cls").filter(pa.array(near))], names=["hub", "cls"])
+            near = pa.array((matrix(column(batch, "hub_sig"), np.uint16) != matrix(column(batch, "sig"), np.uint16)).sum(1) <= p.limit)
+            yield pa.RecordBatch.from_arrays([column(batch, c).filter(near) for c in ("hub", "no")], names=["hub", "no"])
 
-    return stars.mapInArrow(run, "hub binary, cls binary")
+    return stars.mapInArrow(run, "hub long, no long")
 
 
-def in_pairs_of_blocks(members: DataFrame, p: Params) -> DataFrame:
-    """Rows of a hub dealt to blocks, and sent once to each pair of blocks that theirs is in; sorted by hub and pair.
+def in_cells(members: DataFrame, side: Column) -> DataFrame:
+    """Rows of a hub with m members, u of them apart, dealt to the cells of a grid: those apart by rows, all by columns.
 
-    A hub with one block has one pair. The groups are counted first, so that no group passes through one task.
+    members has hub, no, apart, m and u; side is a cell's greatest height and width. Every pair of a member that is apart and
+    another one meets in a cell. Sorted by hub and cell (x, y).
     """
-    counts = members.groupBy("hub").agg(F.expr(f"int((count(*) + {p.block - 1}) div {p.block})").alias("blocks"), F.count("*").alias("rows"))
-    dealt = members.join(counts.where("rows > 1").hint("merge"), "hub").withColumn("b", F.pmod(F.hash("cls"), "blocks"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"lo": F.least("b", "o"), "hi": F.greatest("b", "o")}).drop("b", "o", "blocks", "rows")
-    return dealt.repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi")
-
-
-def by_group(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], list]) -> Iterator[list]:
-    """work on the rows of each (hub, lo, hi), which come sorted; a group may lie in several batches."""
+    own = [c for c in members.columns if c not in ("m", "u")]
+    members = members.withColumns({"high": F.ceil(F.col("u") / side).cast("int"), "wide": F.ceil(F.col("m") / side).cast("int")})
+    place = lambda n: F.pmod(F.xxhash64("no"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = members.where("apart").withColumn("x", place("high")).withColumn("y", every("wide")).withColumn("of_row", F.lit(True))
+    columns = members.withColumn("y", place("wide")).withColumn("x", every("high")).withColumn("of_row", F.lit(False))
+    both = [*own, "x", "y", "of_row"]
+    return rows.select(both).unionByName(columns.select(both)).repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y")
+
+
+def by_cell(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table, pa.Table], list]) -> Iterator[list]:
+    """work on the rows and the columns of each cell, which come sorted; a cell may lie in several batches."""
     held: list[pa.RecordBatch] = []
     held_key = None
+
+    def done() -> list:
+        t = pa.Table.from_batches(held)
+        return work(t.filter(t["of_row"]), t.filter(pc.invert(t["of_row"])))
+
     for batch in batches:
-        keys = list(zip(*(column(batch, c).to_pylist() for c in ("hub", "lo", "hi")), strict=True))
-        begin = 0
-        for i in range(1, len(keys) + 1):
-            if i < len(keys) and keys[i] == keys[begin]:
-                continue
-            if held and held_key != keys[begin]:
-                yield work(pa.Table.from_batches(held))
+        if not batch.num_rows:
+            continue
+        k = np.stack([column(batch, c).to_numpy() for c in ("hub", "x", "y")], 1)
+        starts = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, [len(k)]))
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if held and held_key != tuple(k[a]):
+                yield done()
                 held = []
-            held_key = keys[begin]
-            held.append(batch.slice(begin, i - begin))
-            begin = i
+            held_key = tuple(k[a])
+            held.append(batch.slice(a, b - a))
     if held:
-        yield work(pa.Table.from_batches(held))
+        yield done()
 
 
 def partnered(members: DataFrame, p: Params) -> DataFrame:
-    """(hub, cls) of the (hub, cls, n, sig) rows that have a partner within the limit in their hub's neighbourhood."""
-
-    def work(rows: pa.Table) -> list:
-        cls, n = rows["cls"].to_pylist(), rows["n"].to_numpy()
-        sig = matrix(rows["sig"].combine_chunks(), np.uint16)
-        near = (apart(sig, sig) <= p.limit) & (np.minimum(n[:, None], n) * p.den >= np.maximum(n[:, None], n) * p.num)
-        np.fill_diagonal(near, False)
-        hub = rows["hub"][0].as_py()
-        return [(hub, cls[k]) for k in np.flatnonzero(near.any(1))]
+    """The (hub, no, comp, apart) of members with a partner of another component within the limit; they have m, u, n and sig too."""
+    tile = 1024
+
+    def work(rows: pa.Table, columns: pa.Table) -> list:
+        a, b = ({"no": t["no"].to_numpy(), "comp": t["comp"].to_numpy(), "n": t["n"].to_numpy(), "sig": matrix(t["sig"].combine_chunks(), np.uint16)} for t in (rows, columns))
+        ra, rb = np.zeros(len(a["no"]), bool), np.zeros(len(b["no"]), bool)
+        for lo in range(0, len(ra), tile):
+            for at in range(0, len(rb), tile):
+                x, y = slice(lo, lo + tile), slice(at, at + tile)
+                na, nb = a["n"][x][:, None], b["n"][y]
+                near = (a["comp"][x][:, None] != b["comp"][y]) & (np.minimum(na, nb) * p.den >= np.maximum(na, nb) * p.num)
+                if near.any():
+                    near &= apart(a["sig"][x], b["sig"][y]) <= p.limit
+                    ra[x] |= near.any(1)
+                    rb[y] |= near.any(0)
+        found = [t.select(["hub", "no", "comp", "apart"]).filter(pa.array(r)) for t, r in ((rows, ra), (columns, rb)) if r.any()]
+        return [x for t in found for x in t.to_batches()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in by_group(batches, work):
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["hub", "cls"])
-
-    return in_pairs_of_blocks(members, p).mapInArrow(run, "hub binary, cls binary").distinct()
-
-
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs, by matrix products over the shingles that stand in two sets or more."""
-    flat = np.concatenate(sets)
-    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
-    place = np.cumsum(n > 1) - 1
-    shared = n[at] > 1
+        for found in by_cell(batches, work):
+            yield from found
+
+    side = F.lit(16.0) * F.sqrt("m")
+    return in_cells(members, side).mapInArrow(run, "hub long, no long, comp long, apart boolean").distinct()
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of a and each of b, by matrix products over the shingles that stand in both."""
+    flat = np.concatenate([*a, *b])
+    of = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])
+    _, at = np.unique(flat, return_inverse=True)
+    size = int(at.max()) + 1
+    first = of < len(a)
+    both = (np.bincount(at[first], minlength=size) > 0) & (np.bincount(at[~first], minlength=size) > 0)
+    place = np.cumsum(both) - 1
+    shared = both[at]
     at, of = place[at[shared]], of[shared]
-    out = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(at, kind="stable")
     at, of = at[order], of[order]
+    out = np.zeros((len(a), len(b)), np.float32)
     wide = 4096
     for lo in range(0, int(at[-1]) + 1 if len(at) else 0, wide):
-        a, b = np.searchsorted(at, [lo, lo + wide])
-        x = np.zeros((len(sets), wide), np.float32)
-        x[of[a:b], at[a:b] - lo] = 1
-        out += x @ x.T
+        i, j = np.searchsorted(at, [lo, lo + wide])
+        x = np.zeros((len(a) + len(b), wide), np.float32)
+        x[of[i:j], at[i:j] - lo] = 1
+        out += x[: len(a)] @ x[len(a) :].T
     return out.astype(np.int64)
 
 
-def forest(linked: np.ndarray, parts: list) -> list[tuple[int, int]]:
-    """Edges that join the parts as all linked pairs do."""
-    root = {x: x for x in parts}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-        a, b = find(parts[i]), find(parts[j])
-        if a != b:
-            root[a] = b
-            out.append((i, j))
-    return out
-
+def cell_links(members: DataFrame, p: Params) -> DataFrame:
+    """(a, b): components to join, from (hub, no, comp, apart, m, u, shingles) rows, compared exactly in cells."""
 
-def block_links(members: DataFrame, p: Params) -> DataFrame:
-    """(a, b): components to join, from (hub, cls, comp, shingles) rows, compared exactly in blocks."""
-
-    def work(rows: pa.Table) -> list:
-        comp = rows["comp"].to_pylist()
-        if len(set(comp)) < 2:
+    def work(rows: pa.Table, columns: pa.Table) -> list:
+        if not len(rows) or not len(columns):
             return []
-        sets = [np.asarray(x.values) for x in rows["shingles"]]
-        n = np.array([len(x) for x in sets])
-        inter = intersections(sets)
-        linked = inter * p.den >= (n[:, None] + n - inter) * p.num
-        return [(comp[i], comp[j]) for i, j in forest(linked, comp)]
+        a, b = ([np.asarray(x.values) for x in t["shingles"]] for t in (rows, columns))
+        ca, cb = (t["comp"].to_numpy() for t in (rows, columns))
+        na, nb = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])
+        inter = intersections(a, b)
+        i, j = np.nonzero((inter * p.den >= (na + nb - inter) * p.num) & (ca[:, None] != cb))
+        return list(set(zip(ca[i].tolist(), cb[j].tolist(), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in by_group(batches, work):
+        for found in by_cell(batches, work):
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return in_pairs_of_blocks(members, p).mapInArrow(run, "a binary, b binary").distinct()
+    return in_cells(members, F.lit(float(p.block))).mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -324,66 +343,110 @@ def perhaps_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return near.where(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(docs.columns)
 
 
-def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
-    """docs without text, with n_shingles and component_id, the least doc_id that links reach. docs has doc_id and text."""
-    rows = written(signatures(docs, p, text), "signatures")
-    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
-    classes = written(classes, "classes")
-    keys = chunk_keys(classes, p)
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    keys = written(keys.join(shared.hint("merge"), "key"), "shared-keys")
-
-    weight = keys.groupBy("cls").agg(F.sum("c").alias("w"))
-    hubs = keys.join(weight.hint("merge"), "cls").groupBy("key").agg(F.max_by("cls", F.struct("w", "cls")).alias("hub"))
-    stars = written(keys.join(hubs.hint("merge"), "key").where("hub <> cls").select("hub", "cls").distinct(), "stars")
-
-    facts = classes.select("cls", "n", "sig")
-    hub_facts = facts.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"))
-    members = stars.join(facts.hint("merge"), "cls")
-    to_hub = members.join(hub_facts.hint("merge"), "hub").where(alike(F.col("n"), F.col("hub_n"), p)).select("hub", "cls", "hub_sig", "sig")
-    to_hub = written(near_stars(to_hub, p), "near-hubs")
-    alive = written(partnered(members.select("hub", "cls", "n", "sig"), p), "partnered")
-
-    wanted = to_hub.select("cls").unionByName(to_hub.select(F.col("hub").alias("cls"))).unionByName(alive.select("cls")).distinct()
-    wanted = written(wanted.join(classes.hint("merge"), "cls").select("cls", F.col("least_id").alias("doc_id")), "wanted")
-    # without an id, any row of the class will do
-    anonymous = wanted.where("doc_id IS NULL").select("cls")
-    named = wanted.where("doc_id IS NOT NULL")
-    source = docs.select("doc_id", F.col(text).alias("text"))
-    texts = perhaps_among(source, named).join(named.hint("merge"), "doc_id")
-    sets = full_sets(texts.select("cls", "text"), p)
-    if not anonymous.isEmpty() or not rows.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
-        # ids that stand twice may have other texts: the sets' own classes tell them apart
-        loose = signatures(source.withColumn("_text", F.col("text")), p).select("cls", F.col("_text").alias("text"))
-        sets = full_sets(loose.join(wanted.select("cls").hint("merge"), "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text")), p)
-    sets = written(sets, "sets")
-
-    hub_sets = sets.select(F.col("cls").alias("hub"), F.col("shingles").alias("hub_shingles"))
-    pairs = to_hub.join(hub_sets.hint("merge"), "hub").join(sets.hint("merge"), "cls")
+def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, by_id: bool, p: Params) -> DataFrame:
+    """(no, shingles) of the classes in wanted, from the text of a document of each.
+
+    by_id: each class has a document with an id, and no id stands twice. Else the sets' own hashes tell which text is whose.
+    """
+    wanted = wanted.join(classes.select("no", "cls", F.col("least_id").alias("doc_id")).hint("merge"), "no")
+    if by_id:
+        named = written(wanted.select("no", "doc_id"), "wanted")
+        texts = perhaps_among(docs, named).join(named.hint("merge"), "doc_id").select("no", "text")
+    else:
+        own = signatures(docs.select(F.col("text").alias("kept"), "text"), p).select("cls", F.col("kept").alias("text"))
+        texts = own.join(wanted.select("cls").hint("merge"), "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text"))
+        texts = texts.join(wanted.select("cls", "no").hint("merge"), "cls").select("no", "text")
+    return written(full_sets(texts, p), "sets")
+
+
+def confirmed(to_hub: DataFrame, sets: DataFrame, degrees: DataFrame, hot: DataFrame, p: Params) -> DataFrame:
+    """The (hub, no) pairs that are linked on full sets. A hub's set is sent once for each p.block of its members."""
+    dealt = spread_join(to_hub, degrees, "hub", hot).withColumn("deal", F.pmod(F.xxhash64("no"), F.expr(f"(m - 1) div {p.block} + 1")))
+    hub_sets = sets.select(F.col("no").alias("hub"), F.col("shingles").alias("hub_shingles")).join(degrees.hint("merge"), "hub")
+    hub_sets = hub_sets.withColumn("deal", F.explode(F.expr(f"sequence(0, (m - 1) div {p.block})"))).drop("m")
+    pairs = dealt.drop("m").join(hub_sets.hint("merge"), ["hub", "deal"]).join(sets.hint("merge"), "no")
     inter = F.size(F.array_intersect("hub_shingles", "shingles"))
-    sure = pairs.where(inter * p.den >= (F.size("hub_shingles") + F.size("shingles") - inter) * p.num)
-    comp = components(sure.select(F.col("hub").alias("a"), F.col("cls").alias("b")))
-
-    placed = alive.join(comp.select(F.col("node").alias("cls"), "comp").hint("merge"), "cls", "left").select("hub", "cls", F.coalesce("comp", "cls").alias("comp"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("hub").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("hub")
-    more = block_links(placed.join(mixed.hint("merge"), "hub").join(sets.hint("merge"), "cls"), p)
-    more = written(more, "more-links")
+    return pairs.where(inter * p.den >= (F.size("hub_shingles") + F.size("shingles") - inter) * p.num).select("hub", "no")
+
+
+def grouped(docs: DataFrame, p: Params) -> DataFrame:
+    """docs (doc_id, text and others under names of this module's choice) without text, with n_shingles, component_id and comp.
+
+    comp is a number of the component, null where the text has no set.
+    """
+    rows = written(signatures(docs, p), "signatures")
+    source = docs.select("doc_id", "text")
+    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"), F.count("*").alias("copies"))
+    # numbers are made once, as the classes are written
+    classes = written(classes.select(F.monotonically_increasing_id().alias("no"), "*"), "classes")
+    n_rows, n_classes = rows.count(), classes.count()
+    by_id = classes.where("least_id IS NULL").isEmpty() and rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+    keys = chunk_keys(classes, p)
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("no").alias("hub")).where("c > 1"), "shared-keys")
+    hot = hot_keys(shared, "key", "c", n_classes * p.size)
+    stars = written(spread_join(keys, shared.select("key", "hub"), "key", hot).where("hub <> no").select("hub", "no").distinct(), "stars")
+    degrees = written(stars.groupBy("hub").agg(F.count("*").alias("m")), "degrees")
+    hot = hot_keys(degrees, "hub", "m", stars.count())
+
+    facts = classes.select("no", "n", "sig")
+    hub_facts = facts.select(F.col("no").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"))
+    to_hub = spread_join(stars.join(facts.hint("merge"), "no"), hub_facts, "hub", hot).where(alike(F.col("n"), F.col("hub_n"), p))
+    to_hub = written(near_stars(to_hub.select("hub", "no", "hub_sig", "sig"), p), "near-hubs")
+    sets = sets_of(to_hub.select("no").unionByName(to_hub.select(F.col("hub").alias("no"))).distinct(), classes, source, by_id, p)
+    sure = confirmed(to_hub, sets, degrees, hot, p)
+    comp = components(sure.select(F.col("hub").alias("a"), F.col("no").alias("b")))
+
+    placed = stars.join(comp.select(F.col("node").alias("no"), "comp").hint("merge"), "no", "left").withColumn("comp", F.coalesce("comp", "no"))
+    placed = spread_join(placed, comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub", hot, "left")
+    placed = written(placed.select("hub", "no", "comp", (F.col("comp") != F.coalesce("hub_comp", "hub")).alias("apart")), "placed")
+
+    def opened(members: DataFrame) -> DataFrame:
+        """members of hubs that may hold a pair of two components, with their numbers m and u."""
+        sizes = written(members.groupBy("hub").agg(F.count("*").alias("m"), F.count_if("apart").alias("u")).where("m > 1 AND u > 0"), "open-hubs")
+        return spread_join(members, sizes, "hub", hot_keys(sizes, "hub", "m", members.count()))
+
+    alive = written(partnered(opened(placed).join(facts.hint("merge"), "no"), p), "partnered")
+    more_sets = sets_of(alive.select("no").distinct().join(sets.select("no").hint("merge"), "no", "left_anti"), classes, source, by_id, p)
+    more = written(cell_links(opened(alive).join(sets.unionByName(more_sets).hint("merge"), "no"), p), "more-links")
     if not more.isEmpty():
         up = components(more).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         nodes = comp.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp.select("node").hint("merge"), "node", "left_anti").select("node", F.col("node").alias("comp")))
         comp = written(nodes.join(up.hint("merge"), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "components")
 
-    reached = comp.select(F.col("node").alias("cls"), "comp").join(classes.select("cls", "least_id").hint("merge"), "cls")
-    reached = reached.join(reached.groupBy("comp").agg(F.min("least_id").alias("component_id")).hint("merge"), "comp").select("cls", "component_id")
-    ids = classes.select("cls", "least_id").join(reached.hint("merge"), "cls", "left").select("cls", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = rows.join(ids.hint("merge"), "cls", "left")
-    return out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).drop("sig", "cls")
+    known = classes.select("no", "cls", "least_id", "copies").join(comp.select(F.col("node").alias("no"), "comp").hint("merge"), "no", "left").withColumn("comp", F.coalesce("comp", "no"))
+    known = written(known, "class-components")
+    ids = written(known.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.count("*").alias("c")), "component-ids")
+    of_class = spread_join(known, ids.select("comp", "component_id"), "comp", hot_keys(ids, "comp", "c", n_classes)).select("cls", "comp", "component_id", "copies")
+    of_class = written(of_class, "classes-done")
+    out = spread_join(rows.drop("sig"), of_class.select("cls", "comp", "component_id"), "cls", hot_keys(of_class, "cls", "copies", n_rows), "left", ["doc_id", "cls"])
+    return out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).drop("cls")
+
+
+def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
+    """docs without text, with n_shingles and component_id, the least doc_id that links reach. docs has doc_id and text."""
+    others = [c for c in docs.columns if c not in (text, "n_shingles", "component_id")]
+    slim = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), "doc_id", F.col(f"`{text}`").alias("text"))
+    return grouped(slim, p).select("row.*", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """docs with one row of each component: that of its id. Rows that stand twice stay once."""
-    keyed = docs.withColumns(row_key(docs))
-    found = near_duplicates(keyed.select("doc_id", "text", "_id", "_hash"), p)
-    kept = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_id", "_hash").distinct(), "kept")
-    return keyed.join(kept.hint("merge"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(docs.columns)
+    """docs with one document of each component: that of its id.
+
+    All rows of this document stay that differ in any column; those alike in all stay once. Of a component without any id one
+    text stays. Documents without a word are components of their own. Columns pass through whatever their names.
+    """
+    keyed = nested(docs)
+    words = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
+    once = lambda df: df.groupBy("h1", "h2", F.sha2(F.to_json("row"), 256).alias("all")).agg(F.first("row").alias("row")).select("row.*")
+    found = grouped(keyed.where(words).select("h1", "h2", "row.doc_id", "row.text"), p)
+    found = written(found.select("h1", "h2", "doc_id", "component_id", "comp"), "found")
+    alone = found.where("component_id IS NULL").groupBy("comp").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.*")
+    kept = found.where("doc_id = component_id").select("h1", "h2").unionByName(found.where("component_id IS NULL").select("h1", "h2").join(alone.hint("merge"), ["h1", "h2"], "left_semi"))
+    kept = written(kept.groupBy("h1", "h2").agg(F.count("*").alias("n")), "kept")
+    stay = lambda n: keyed.join(kept.where(n).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_semi")
+    out = stay("n = 1").select("row.*")
+    if not kept.where("n > 1").isEmpty():
+        out = out.unionByName(once(stay("n > 1")))
+    bare = keyed.where(~words)
+    return out if bare.isEmpty() else out.unionByName(once(bare))

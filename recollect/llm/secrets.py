@@ -8,7 +8,9 @@ base64 characters) and `endpoint` (a web address or an IPv4 address). Within a s
 beside a secret, a weak secret beside an identifier, an endpoint beside both. The parts meet in an interval join on
 (document, cell of the text), as a semi-join, so that no pairs are made.
 
-Null texts count as empty. Spans are code points, the end exclusive. Rows that stand twice get their spans twice.
+Null texts count as empty, and null texts stay null when redacted. Spans are code points, the end exclusive. Rows that stand
+twice get their spans twice. Texts of any length and any number of matches are scanned whole. Columns of the caller pass through
+redaction whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import bound, nested, running, written
 
 #: The base patterns of the contract, and the least lengths (of the value for `assign`).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,10 +28,12 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
-WEAK_ID = r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}|(?:AKIA|ASIA)[A-Z0-9]{8,13}(?![A-Z0-9])"""
-WEAK_RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"
-WEB = r"https?://[^\s\x22'<>]{4,}"
-IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.])"
+#: Weak candidates: a pattern, and what a whole match must look like, as a run is found with all that belongs to it.
+NAMED_ID = r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
+SHORT_ID = r"(?:AKIA|ASIA)[A-Z0-9]{8,}", r"^.{12,17}$"
+WEAK_RUN = r"[A-Za-z0-9+/]{40,}", r"^.{40}$"
+WEB = r"https?://[^\x20\x09-\x0D\x22'<>]{4,}"
+IPV4 = r"[0-9][0-9.]{6,}(?::[0-9]+)?", r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?$"
 WEAK_VALUE = 6
 
 KINDS = ["assign", "access", "hex", "weak_id", "weak_secret", "endpoint"]
@@ -39,22 +43,26 @@ SPAN = "array<struct<start:int,kind:int,end:int>>"
 REDACTED = "[REDACTED]"
 
 
-def matches(text: Column, pattern: str, value_group: int = 0) -> Column:
-    """(start, end, size of the value) of each match: what lies between matches, and the matches, give the places."""
-    between = F.split(text, pattern, -1)
+FOUND = "array<struct<start:int,end:int,value:int>>"
+
+
+def matches(text: Column, pattern: str, value_group: int = 0, whole: str = "") -> Column:
+    """(start, end, size of the value) of each match: what lies between matches, and the matches, give the places.
+
+    whole: a match that doesn't look so has no value.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), 0)
     values = F.regexp_extract_all(text, F.lit(pattern), value_group) if value_group else hits
-    sizes = F.zip_with(F.transform(between, F.char_length), F.zip_with(hits, values, lambda h, v: F.struct(F.char_length(h).alias("n"), F.char_length(v).alias("v"))), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-    kind = "struct<at:int,found:array<struct<start:int,end:int,value:int>>>"
+    size = lambda v: F.when(v.rlike(whole), F.char_length(v)).otherwise(-1) if whole else F.char_length(v)
+    sizes = F.zip_with(hits, values, lambda h, v: F.struct(F.char_length(h).alias("n"), size(v).alias("v")))
+    both = F.zip_with(F.transform(F.split(text, pattern, -1), F.char_length), sizes, lambda gap, m: F.struct(gap.alias("gap"), m["n"].alias("n"), m["v"].alias("v")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["m"]["n"], F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"]["v"].alias("value")))
-        return F.struct(end.alias("at"), F.when(x["m"].isNotNull(), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found")).cast(kind)
+    def placed(parts: Column) -> Column:
+        before = running(F.transform(parts, lambda x: x["gap"] + F.coalesce(x["n"], F.lit(0))), F.lit(0), lambda a, x: a + x)
+        every = F.zip_with(parts, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["v"].alias("value")))
+        return F.filter(every, lambda m: m["end"].isNotNull())
 
-    found = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().alias("found")).cast(kind), step)["found"]
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:int>>"))
+    return F.when(text.rlike(pattern), bound(both, placed).cast(FOUND)).otherwise(F.array().cast(FOUND))
 
 
 def tagged(found: Column, kind: str, low: int = 0, high: int = 2**31 - 1) -> Column:
@@ -62,32 +70,33 @@ def tagged(found: Column, kind: str, low: int = 0, high: int = 2**31 - 1) -> Col
     return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"))).cast(SPAN)
 
 
-def found_parts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with base (spans of the base kinds) and weak (weak candidates), each sorted by start and kind."""
-    t = F.coalesce(text, F.lit(""))
+def found_parts(docs: DataFrame) -> DataFrame:
+    """(id, text) rows to (id, h1, h2, base, weak): spans of the base kinds, and weak candidates, each sorted by start and kind."""
+    t = F.coalesce("text", F.lit(""))
     # a run that is long enough is found whole by the pattern that asks for its length
-    docs = docs.withColumn("_named", matches(t, ASSIGN, 2))
-    base = F.concat(tagged(F.col("_named"), "assign", LEAST["assign"]), tagged(matches(t, ACCESS), "access", LEAST["access"]), tagged(matches(t, HEX.replace("+", f"{{{LEAST['hex']},}}")), "hex", LEAST["hex"]))
+    named = docs.withColumn("named", matches(t, ASSIGN, 2))
+    base = F.concat(tagged(F.col("named"), "assign", LEAST["assign"]), tagged(matches(t, ACCESS), "access", LEAST["access"]), tagged(matches(t, HEX.replace("+", f"{{{LEAST['hex']},}}")), "hex", LEAST["hex"]))
     weak = F.concat(
-        tagged(matches(t, WEAK_ID), "weak_id"),
-        tagged(F.col("_named"), "weak_secret", WEAK_VALUE, LEAST["assign"] - 1),
-        tagged(matches(t, WEAK_RUN), "weak_secret"),
+        tagged(matches(t, NAMED_ID), "weak_id"),
+        tagged(matches(t, SHORT_ID[0], 0, SHORT_ID[1]), "weak_id"),
+        tagged(F.col("named"), "weak_secret", WEAK_VALUE, LEAST["assign"] - 1),
+        tagged(matches(t, WEAK_RUN[0], 0, WEAK_RUN[1]), "weak_secret"),
         tagged(matches(t, WEB), "endpoint"),
-        tagged(matches(t, IPV4), "endpoint"),
+        tagged(matches(t, IPV4[0], 0, IPV4[1]), "endpoint"),
     )
-    return docs.withColumns({"base": F.array_sort(base), "weak": F.array_sort(weak)}).drop("_named")
+    return named.select("id", "h1", "h2", F.array_sort(base).alias("base"), F.array_sort(weak).alias("weak"))
 
 
 def linked(parts: DataFrame) -> DataFrame:
-    """(_id, _hash, base, weak) rows to (_id, _hash, more): the weak candidates with their complements in scope."""
-    key = ["_id", "_hash"]
+    """(h1, h2, base, weak) rows to (h1, h2, more): the weak candidates with their complements in scope."""
+    key = ["h1", "h2"]
     every = parts.select(*key, F.explode(F.concat("base", "weak")).alias("p")).select(*key, "p.*")
-    no = {k: [KINDS.index(x) for x in kinds] for k, kinds in (("id", IDENTIFIERS), ("secret", SECRETS), ("endpoint", ENDPOINTS))}
+    of_group = {k: [KINDS.index(x) for x in kinds] for k, kinds in (("id", IDENTIFIERS), ("secret", SECRETS), ("endpoint", ENDPOINTS))}
 
     def beside(left: DataFrame, other: str) -> DataFrame:
         cells = F.explode(F.sequence(F.expr(f"greatest(start - {SCOPE}, 0) div {CELL}"), F.expr(f"(end + {SCOPE}) div {CELL}")))
-        right = every.where(F.col("kind").isin(no[other])).select(*(F.col(k).alias(f"r{k}") for k in key), F.col("start").alias("rstart"), F.col("end").alias("rend"), F.explode(F.sequence(F.expr(f"start div {CELL}"), F.expr(f"end div {CELL}"))).alias("rcell"))
-        near = (F.col("_id") == F.col("r_id")) & (F.col("_hash") == F.col("r_hash")) & (F.col("cell") == F.col("rcell")) & (F.col("rstart") <= F.col("end") + SCOPE) & (F.col("start") <= F.col("rend") + SCOPE)
+        right = every.where(F.col("kind").isin(of_group[other])).select(*(F.col(k).alias(f"r{k}") for k in key), F.col("start").alias("rstart"), F.col("end").alias("rend"), F.explode(F.sequence(F.expr(f"start div {CELL}"), F.expr(f"end div {CELL}"))).alias("rcell"))
+        near = (F.col("h1") == F.col("rh1")) & (F.col("h2") == F.col("rh2")) & (F.col("cell") == F.col("rcell")) & (F.col("rstart") <= F.col("end") + SCOPE) & (F.col("start") <= F.col("rend") + SCOPE)
         return left.withColumn("cell", cells).join(right.hint("merge"), near, "left_semi").drop("cell").distinct()
 
     weak = parts.select(*key, F.explode("weak").alias("p")).select(*key, "p.*")
@@ -102,30 +111,30 @@ def as_text(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, _id, _hash, base, spans) of each row: its base spans, and all spans."""
-    parts = written(found_parts(docs.select(id_, text), text).withColumns(row_key(docs, id_, text)).select(id_, "_id", "_hash", "base", "weak"), "secret-parts")
-    more = linked(parts.where("size(weak) > 0").dropDuplicates(["_id", "_hash"]))
-    out = parts.join(more.hint("merge"), ["_id", "_hash"], "left")
-    return out.select(id_, "_id", "_hash", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("spans"))
+    """(id, h1, h2, base, spans) of each row: its base spans, and all spans; h1 and h2 are those of common.nested()."""
+    keyed = nested(docs.select(id_, text), id_, text).select(F.col(f"row.{id_}").alias("id"), "h1", "h2", F.col(f"row.{text}").alias("text"))
+    parts = written(found_parts(keyed), "secret-parts")
+    more = linked(parts.where("size(weak) > 0").dropDuplicates(["h1", "h2"]))
+    out = parts.join(more.hint("merge"), ["h1", "h2"], "left")
+    return out.select("id", "h1", "h2", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """text with each union of overlapping spans replaced by REDACTED; spans are sorted by start."""
-    kind = "struct<at:int,out:array<string>>"
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        apart = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.lit(REDACTED))).alias("out")).cast(kind)
-        joined = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")).cast(kind)
-        return F.when((s["start"] < acc["at"]) & (F.size(acc["out"]) > 0), joined).otherwise(apart)
+    def cut(every: Column) -> Column:
+        reached = running(F.transform(every, lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
+        first = F.zip_with(every, reached, lambda s, at: F.when(s["start"] >= at, F.struct(at.alias("from"), s["start"].alias("to"))))
+        kept = F.transform(F.filter(first, lambda g: g.isNotNull()), lambda g: F.substr(text, g["from"] + 1, g["to"] - g["from"]))
+        end = F.array_max(F.transform(every, lambda s: s["end"]))
+        return F.array_join(F.concat(kept, F.array(F.substr(text, end + 1, F.char_length(text)))), REDACTED)
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind), step)
-    whole = F.concat(F.array_join(done["out"], ""), F.substr(text, done["at"] + 1, F.char_length(text)))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, bound(spans, cut)).otherwise(text)
 
 
 def redact(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with secrets replaced in their texts; null texts stay null."""
-    spans = scan(docs, id_, text).where("size(spans) > 0").select("_id", "_hash", F.col("spans").alias("_spans")).dropDuplicates(["_id", "_hash"])
-    keyed = docs.withColumns(row_key(docs, id_, text)).join(spans.hint("merge"), ["_id", "_hash"], "left")
-    return keyed.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.coalesce("_spans", F.array().cast(SPAN))))).select(docs.columns)
+    """docs with secrets replaced in their texts."""
+    spans = scan(docs, id_, text).where("size(spans) > 0").select("h1", "h2", "spans").dropDuplicates(["h1", "h2"])
+    joined = nested(docs, id_, text).join(spans.hint("merge"), ["h1", "h2"], "left")
+    shown = redacted(F.col(f"row.{text}"), F.coalesce("spans", F.array().cast(SPAN)))
+    return joined.select(F.col("row").withField(text, shown).alias("row")).select("row.*")

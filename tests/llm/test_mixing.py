@@ -56,7 +56,11 @@ def test_edges(spark):
 
 def test_documents_of_the_mix(spark):
     rows = [(i, "x " * 10, f"s{i % 2}", i) for i in range(60)] + [(0, "x " * 10, "s0", 0)]
-    out = M.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, size long"))
-    assert out.columns == ["doc_id", "text", "source", "size"]
+    names = ["size", "_id", "_hash", "_copies", "_copy", "key", "row", "taken"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").select("doc_id", "text", "source", *(F.col("n").alias(c) for c in names), F.array("n").alias("an array"))
+    df = df.unionByName(df.where("doc_id = 3").withColumn("row", F.lit(-1).cast("long")))
+    out = M.mixed(df)
+    assert out.schema == df.schema and not out.exceptAll(df).exceptAll(df).count()  # each row as it was, twice at most
+    out = out.where("row >= 0")
     counts = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert max(v for k, v in counts.items() if k) <= 2 and abs(out.count() - 91) <= 3

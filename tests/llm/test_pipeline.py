@@ -10,7 +10,7 @@ from test_near_dup import brute as components
 from test_secrets import all_spans
 
 from recollect.llm import bpe, mixing, quality, secrets
-from recollect.llm.common import row_key, table, written
+from recollect.llm.common import nested, table, written
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -49,8 +49,9 @@ def test_stages(spark):
     assert sorted(map(tuple, seen["mixing"])) == sorted(want) and any(secrets.REDACTED in r.text for r in seen["mixing"])
 
     df = spark.createDataFrame(seen["mixing"], "doc_id long, text string, lang string, source string, n_chars long")
-    keyed = df.withColumns(row_key(df)).select(F.struct("_id", "_hash").alias("key"), "source", mixing.words(F.col("text")).alias("size"))
-    taken = {r.key["_id"]: int(r.taken / r.size + 0.5) for r in mixing.mix(keyed, key="key").collect() if r.size}
+    keyed = nested(df).select(F.struct("h1", "h2", F.xxhash64("row.source").alias("h3")).alias("key"), "row.source", mixing.words(F.col("row.text")).alias("size"))
+    ids = {(r.h1, r.h2): r.doc_id for r in nested(df).select("h1", "h2", "row.doc_id").collect()}
+    taken = {ids[r.key["h1"], r.key["h2"]]: int(r.taken / r.size + 0.5) for r in mixing.mix(keyed, key="key").collect() if r.size}
     copies = Counter(r.doc_id for r in seen["bpe"])
     assert copies == Counter({i: n for i, n in taken.items() if n}) and max(copies.values()) <= 2 and set(seen["bpe"]) <= set(seen["mixing"])
     words = lambda rows: sum(len((r.text or "").split()) for r in rows)

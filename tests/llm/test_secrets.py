@@ -19,10 +19,10 @@ def base_spans(text):
 def all_spans(text):
     """Base spans, and weak ones by comparing every pair of parts."""
     base = base_spans(text)
-    weak = [(m.start(), 3, m.end()) for m in re.finditer(S.WEAK_ID, text, re.ASCII)]
+    weak = [(m.start(), 3, m.end()) for m in re.finditer(S.NAMED_ID, text, re.ASCII)]
+    weak += [(m.start(), k, m.end()) for k, (p, whole) in ((3, S.SHORT_ID), (4, S.WEAK_RUN), (5, S.IPV4)) for m in re.finditer(p, text) if re.search(whole, m[0])]
     weak += [(m.start(), 4, m.end()) for m in re.finditer(S.ASSIGN, text, re.ASCII) if 6 <= len(m[2]) < 12]
-    weak += [(m.start(), 4, m.end()) for m in re.finditer(S.WEAK_RUN, text)]
-    weak += [(m.start(), 5, m.end()) for p in (S.WEB, S.IPV4) for m in re.finditer(p, text)]
+    weak += [(m.start(), 5, m.end()) for m in re.finditer(S.WEB, text)]
     groups = {3: [(0, 2, 4)], 4: [(1, 3)], 5: [(1, 3), (0, 2, 4)]}
     near = lambda a, b: b[0] <= a[2] + S.SCOPE and a[0] <= b[2] + S.SCOPE
     kept = [w for w in weak if all(any(o[1] in g and near(w, o) for o in base + weak) for g in groups[w[1]])]
@@ -37,9 +37,9 @@ PIECES = [
 
 def test_against_brute_force(spark):
     rng = random.Random(3)
-    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 14))) for _ in range(150)] + [None, "", PIECES[0], "token=" + "a" * 50_000]
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 14))) for _ in range(150)] + [None, "", PIECES[0], "token=" + "a" * 50_000, "ab password=abcdefghijklmnop 10.0.0.1 " * 700]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, "token=abcdef123 user: me ")], "doc_id long, text string")
-    out = S.scan(df).select("doc_id", F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"])).alias("base"), "spans").collect()
+    out = S.scan(df).select(F.col("id").alias("doc_id"), F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"])).alias("base"), "spans").collect()
     assert len(out) == len(texts) + 2
     for r in out:
         text = ("token=abcdef123 user: me " if r.doc_id is None else texts[r.doc_id]) or ""
@@ -49,9 +49,13 @@ def test_against_brute_force(spark):
 
 def test_redaction(spark):
     rows = [(1, "a password=abcdefghijklmnop b", 5), (2, "clean text", 10), (3, None, None), (4, "token=0123456789abcdef0123 end", 7)]
-    out = {r.doc_id: r for r in S.redact(spark.createDataFrame(rows, "doc_id long, text string, spans long")).collect()}
-    assert [out[i].text for i in (1, 2, 3, 4)] == ["a [REDACTED] b", "clean text", None, "[REDACTED] end"]
-    assert [out[i].spans for i in (1, 2, 3, 4)] == [5, 10, None, 7]
+    names = ["spans", "_spans", "_id", "_hash", "h1", "row", "base", "id"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").select("doc_id", "text", *(F.col("n").alias(c) for c in names), F.create_map(F.lit("a"), "n").alias("a map"))
+    twice = df.unionByName(df.where("doc_id = 1").withColumn("row", F.lit(6).cast("long"))).unionByName(df.where("doc_id = 1"))
+    out = S.redact(twice)
+    assert out.schema == twice.schema
+    shown = {1: "a [REDACTED] b", 2: "clean text", 3: None, 4: "[REDACTED] end"}
+    assert sorted(map(str, out.collect())) == sorted(str(r).replace(str(dict(map(lambda x: x[:2], rows))[r.doc_id]), str(shown[r.doc_id])) for r in twice.collect())
 
 
 def test_empty(spark):
