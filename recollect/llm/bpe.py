@@ -2,17 +2,21 @@
 
 Pieces (matches of the split pattern) of about a megabyte of text are made distinct, sorted into padded numpy matrices by
 length, and merged together: in each round every row merges its leftmost pair of least rank, found in a hashed pair table;
-the row is compacted, and finished rows leave the matrix. Pieces longer than LONG_PIECE bytes take a heap instead, with the
-same merges, because a round over a row of a million bytes would cost a million steps a merge.
+the row is compacted, and finished rows leave the matrix.
+
+A piece wider than WINDOW is wrapped: its row goes on over several windows, each with its least rank at hand, so that a round
+looks only into windows that hold the row's least rank. In a round such a row merges all its pairs of that rank from the left,
+as far as one merge a round would do the same: up to the first that makes a pair of lower rank. Pieces of any length so take
+as many rounds as there are ranks in them, not merges.
 
 Null texts count as empty and have no tokens. Every row of the input gives one row, repeated rows too; other columns pass
-through and clash with nothing, as the two new columns' names are parameters.
+through and clash with nothing, as the two new columns' names are parameters (a caller's column of such a name gives way).
+An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,7 +28,10 @@ from pyspark.sql import types as T
 
 from .common import in_chunks
 
-LONG_PIECE = 512
+#: Columns of a matrix; wider rows are wrapped.
+WINDOW = 512
+#: Bytes of the wrapped pieces that are merged together.
+WRAPPED = 1 << 20
 #: A worker forgets its pieces beyond this many; only speed depends on it.
 KEEP_PIECES = 400_000
 NONE = np.int32(2**31 - 1)
@@ -41,7 +48,6 @@ class Ranks:
         ids = np.array([self.rank[t] for t in tokens], np.int64)
         sizes = np.zeros(int(ids.max()) + 1, np.int64)
         sizes[ids] = [len(t) for t in tokens]
-        self.tokens = dict(zip(ids.tolist(), tokens, strict=True))
         self.token_bytes, self.token_size = np.frombuffer(b"".join(tokens), np.uint8), sizes
         self.token_start = np.cumsum(sizes) - sizes
         self.byte_id = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
@@ -114,48 +120,90 @@ class Ranks:
                 rank[r, c] = self.pair_rank(ids[r, c], ids[r, c + 1])
         return out
 
-    def merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges of one long piece, from a heap of (rank, place)."""
-        ids = [int(self.byte_id[b]) for b in piece]
-        after, before = list(range(1, len(ids))) + [-1], list(range(-1, len(ids) - 1))
-        first = self.pair_rank(np.array(ids[:-1]), np.array(ids[1:]))
-        heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        known: set[int] = set()
-        tokens = self.tokens
-
-        def push(i: int) -> None:
-            if i >= 0 and (j := after[i]) >= 0 and (r := self.rank.get(tokens[ids[i]] + tokens[ids[j]])) is not None:
-                heapq.heappush(heap, (r, i, ids[i], ids[j]))
-
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if i in known or j < 0 or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], after[i] = r, after[j]
-            known.add(j)
-            if after[j] >= 0:
-                before[after[j]] = i
-            push(before[i])
-            push(i)
-        out, i = [], 0
-        while i >= 0:
-            out.append(ids[i])
-            i = after[i]
-        return np.array(out, np.int32)
+    def merge_wrapped(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The tokens of pieces that are wider than a matrix, by the same merges."""
+        out: list = [None] * len(pieces)
+        rows = np.arange(len(pieces))
+        kept = [self.byte_id[np.frombuffer(p, np.uint8)] for p in pieces]
+        while len(rows):
+            # each row fills whole windows; a dead or padded place has id -1 and no rank
+            wide = np.array([-(-len(x) // WINDOW) for x in kept])
+            first = np.concatenate(([0], np.cumsum(wide)))
+            ids = np.full(first[-1] * WINDOW, -1, np.int32)
+            after, before = np.full(len(ids), -1), np.full(len(ids), -1)
+            for x, w in zip(kept, first, strict=False):
+                at = np.arange(w * WINDOW, w * WINDOW + len(x))
+                ids[at], after[at[:-1]], before[at[1:]] = x, at[1:], at[:-1]
+            here = np.flatnonzero(after >= 0)
+            rank = np.full(len(ids), NONE, np.int32)
+            rank[here] = self.pair_rank(ids[here], ids[after[here]])
+            low = rank.reshape(-1, WINDOW).min(1)
+            row_of = np.repeat(np.arange(len(rows)), wide)
+            alive = size = int((ids >= 0).sum())
+            while 2 * alive > size:
+                least = np.minimum.reduceat(low, first[:-1])
+                windows = np.flatnonzero((low == least[row_of]) & (low < NONE))
+                if not len(windows):
+                    break
+                w, c = np.nonzero(rank.reshape(-1, WINDOW)[windows] == low[windows][:, None])
+                alive -= self._merge_all(windows[w] * WINDOW + c, ids, rank, after, before, low, row_of)
+            least = np.minimum.reduceat(low, first[:-1])
+            left = [ids[a * WINDOW : b * WINDOW] for a, b in zip(first[:-1], first[1:], strict=True)]
+            left = [x[x >= 0] for x in left]
+            for k in np.flatnonzero(least == NONE):
+                out[rows[k]] = left[k]
+            go = np.flatnonzero(least < NONE)
+            rows, kept = rows[go], [left[k] for k in go]
+        return out
+
+    def _merge_all(self, at: np.ndarray, ids: np.ndarray, rank: np.ndarray, after: np.ndarray, before: np.ndarray, low: np.ndarray, row_of: np.ndarray) -> int:
+        """Merges the pairs that begin at the places `at`, of one rank a row, from the left; how many it were."""
+        # of pairs that overlap, every other one from the left
+        chained = np.zeros(len(at), bool)
+        chained[1:] = after[at[:-1]] == at[1:]
+        start = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+        at = at[(np.arange(len(at)) - start) % 2 == 0]
+        made, right, left = rank[at], after[after[at]], before[at]
+        # as one merge a round sees it: what is left of a merge is merged already, what is right of it is not
+        merged_left = np.zeros(len(at), bool)
+        merged_left[1:] = after[after[at[:-1]]] == at[1:]
+        beside = np.where(left >= 0, ids[left], -1)
+        beside[1:] = np.where(merged_left[1:], made[:-1], beside[1:])
+        lower = np.minimum(self.pair_rank(beside, made), self.pair_rank(made, np.where(right >= 0, ids[right], -1))) < made
+        if lower.any():
+            row = row_of[at // WINDOW]
+            stop = np.full(int(row_of[-1]) + 1, len(at))
+            np.minimum.at(stop, row[lower], np.flatnonzero(lower))
+            go = np.arange(len(at)) <= stop[row]
+            at, made = at[go], made[go]
+        gone = after[at]
+        right = after[gone]
+        ids[at], ids[gone], rank[gone] = made, -1, NONE
+        after[at] = right
+        before[right[right >= 0]] = at[right >= 0]
+        left = before[at]
+        for one, two in ((at, after[at]), (left[left >= 0], at[left >= 0])):
+            # a place at the left may itself have been merged: its right side is what stands there now
+            rank[one] = self.pair_rank(ids[one], np.where(two >= 0, ids[two], -1))
+        touched = np.unique(np.concatenate([at, gone, left[left >= 0]]) // WINDOW)
+        low[touched] = rank.reshape(-1, WINDOW)[touched].min(1)
+        return len(at)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Tokens of each piece, by matrices of pieces of like length."""
         out: list = [None] * len(pieces)
         by_size: dict[int, list[int]] = {}
+        wrapped: list[int] = []
         for k, p in enumerate(pieces):
             if (r := self.rank.get(p)) is not None:
                 out[k] = np.array([r], np.int32)
-            elif len(p) > LONG_PIECE:
-                out[k] = self.merge_long(p)
+            elif len(p) > WINDOW:
+                wrapped.append(k)
             else:
                 by_size.setdefault(-(-len(p) // 4) * 4 if len(p) <= 32 else 1 << (len(p) - 1).bit_length(), []).append(k)
+        for lo, hi in in_chunks([pieces[k] for k in wrapped], WRAPPED):
+            for k, x in zip(wrapped[lo:hi], self.merge_wrapped([pieces[k] for k in wrapped[lo:hi]]), strict=True):
+                out[k] = x
         for width, found in by_size.items():
             for lo in range(0, len(found), step := max(1, (1 << 18) // width)):
                 part = found[lo : lo + step]
