@@ -1,14 +1,15 @@
 """Exact top-k search by inner product: exhaustive term-at-a-time accumulation.
 
 A vector's components are terms; a candidate's non-zero weight under a term is a posting. Queries and candidates are packed
-into blocks, every pair of a query block and a candidate block meets once in an equi-join, and each pair is one small
-computation: for each term, the query rows that have it scatter their weight times the postings into a dense array of scores
+into blocks, every pair of a query block and a candidate block meets once in an equi-join on the candidate block, to which the
+far fewer query blocks are sent, and each pair is one small computation: for each term, the query rows that have it scatter their weight times the postings into a dense array of scores
 (queries by candidates of the block); a partition selection keeps k of each query; a window merges the blocks' winners.
 
-All is integer arithmetic, so results are exact; sums beyond 64 bits wrap around. Rows without an id and rows whose vector is null or has null or
+All is integer arithmetic, so results are exact, in 32 bits where no sum can pass them, else in 64; sums beyond 64 bits wrap around. Rows without an id and rows whose vector is null or has null or
 non-finite components take no part; a vector shorter than another lacks its last terms. Candidates that share the query's id
 are its own. Equal scores go to the smaller id, then to the row that sorts first. Rows that stand twice are two candidates; a
-query row that stands twice is answered once. An id with several query vectors has the k best of all their pairs.
+query row that stands twice is answered once. An id with several query vectors has the k best of all their pairs. Vectors of no
+components score 0. Other columns are not looked at, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ def quantized(vector: Column) -> Column:
     return F.when(ok, F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(256.0)).cast("long")))
 
 
-def in_blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-    """(id, vector) rows packed by hash into about count/size blocks of ids and flat vectors. Blocks are of like size."""
+def in_blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """(id, vector) rows packed by hash into about count/size blocks of like size, and how many these are."""
     n = max(1, -(-df.count() // size))
     place = F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
-    return df.groupBy(place.alias(name)).agg(F.collect_list(F.struct("id", "vector")).alias(f"{name}_rows"))
+    return df.groupBy(place.alias(name)).agg(F.collect_list(F.struct("id", "vector")).alias(f"{name}_rows")), n
 
 
 def unpacked(rows: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -52,49 +53,56 @@ def unpacked(rows: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids[order], m[order]
 
 
-def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, place among its winners, candidate row, score) of the k best candidates of each query; candidates come sorted by id."""
-    terms = min(q.shape[1], c.shape[1])
-    postings = [(t, np.flatnonzero(c[:, t])) for t in range(terms)]
-    weights = [c[docs, t] for t, docs in postings]
-    out = []
-    for lo in range(0, len(q_ids), QUERY_TILE):
+def fits(q: np.ndarray, c: np.ndarray) -> type:
+    """The smallest integers that hold every score of these vectors."""
+    most = [max((abs(int(x)) for x in (m.min(initial=0), m.max(initial=0))), default=0) for m in (q, c)]
+    return np.int32 if max(most) < 2**31 and most[0] * most[1] * min(q.shape[1], c.shape[1]) < 2**31 - 1 else np.int64
+
+
+def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, score) of the k best candidates of each query; candidates come sorted by id."""
+    kind, terms, n = fits(q, c), min(q.shape[1], c.shape[1]), len(c_ids)
+    q = q.astype(kind)
+    postings = [(docs, c[docs, t].astype(kind)) for t, docs in ((t, np.flatnonzero(c[:, t])) for t in range(terms))]
+    out = [(np.zeros(0, np.int64),) * 3]
+    part = np.empty((QUERY_TILE, n), kind)
+    for lo in range(0, len(q_ids) if n else 0, QUERY_TILE):
         tile = q[lo : lo + QUERY_TILE]
-        score = np.zeros((len(tile), len(c_ids)), np.int64)
-        for (t, docs), w in zip(postings, weights, strict=True):
+        score = np.zeros((len(tile), n), kind)
+        for t, (docs, weights) in enumerate(postings):
             rows = np.flatnonzero(tile[:, t])
-            if len(docs) == len(c_ids) and len(rows) == len(tile):
-                score += tile[:, t][:, None] * w
+            if len(docs) == n and len(rows) == len(tile):
+                score += np.multiply(tile[:, t][:, None], weights, out=part[: len(tile)])
             elif len(docs) and len(rows):
-                score[rows[:, None], docs] += tile[rows, t][:, None] * w
+                score[rows[:, None], docs] += tile[rows, t][:, None] * weights
         own = c_ids == q_ids[lo : lo + QUERY_TILE][:, None]
-        for r in range(len(tile)):
-            there = np.flatnonzero(~own[r])
-            s = score[r, there]
-            if len(s) > k:
-                least = np.partition(s, len(s) - k)[len(s) - k]
-                near = np.flatnonzero(s >= least)  # holds every tie of the last place
-                there, s = there[near], s[near]
-            first = np.lexsort((there, -s))[:k] if s.min(initial=0) > -(2**63) else np.argsort(-s.astype(object), kind="stable")[:k]
-            out.append((np.full(len(first), lo + r), np.arange(len(first)), there[first], s[first]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+        lowest = np.iinfo(kind).min
+        ranked = np.where(own, lowest, score)
+        least = np.partition(ranked, n - k, 1)[:, n - k] if n > k else np.full(len(tile), lowest, kind)
+        row, there = np.nonzero((ranked >= least[:, None]) & ~own)  # holds every tie of the last place
+        s = score[row, there].astype(np.int64)
+        order = np.lexsort((there, ~s, row))  # ~s falls as s grows, without overflow
+        row, there, s = row[order], there[order], s[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        out.append((row[place < k] + lo, there[place < k], s[place < k]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """(id, vector array<long>) tables to (query_id, rank, vec_id, score), ranks from 1."""
     there = "id IS NOT NULL AND vector IS NOT NULL"
     queries = queries.where(there).select("id", "vector").distinct()
-    q, c = in_blocks(queries, QUERIES, "qb"), in_blocks(candidates.where(there), CANDIDATES, "cb")
-    n = max(1, -(-queries.count() // QUERIES))
-    grid = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).hint("shuffle_hash")
-    # dealt once more by the pair, so that pairs of one query block are no one task's
-    met = grid.join(q, "qb").repartition(F.col("qb"), F.col("cb"))
+    q, _ = in_blocks(queries, QUERIES, "qb")
+    c, n = in_blocks(candidates.where(there), CANDIDATES, "cb")
+    # a candidate block stays where it was packed; of the two, queries are the ones that are sent to all of the other's blocks
+    sent = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    met = sent.join(c.hint("merge"), "cb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 (q_ids, qm), (c_ids, cm) = (next(unpacked(batch.column(batch.schema.get_field_index(x)).slice(i, 1))) for x in ("qb_rows", "cb_rows"))
-                at, _, cand, score = block_top(q_ids, qm, c_ids, cm, k)
+                at, cand, score = block_top(q_ids, qm, c_ids, cm, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(c_ids[cand]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     found = met.select("qb_rows", "cb_rows").mapInArrow(run, "query_id long, vec_id long, score long")

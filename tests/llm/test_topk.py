@@ -51,3 +51,12 @@ def test_ids_null_large_and_repeated_like_sql(spark):
     con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
     want = con.execute(ORACLE_SQL["op2_topk"]).fetchall()
     assert len(want) == 10 and sorted(found(spark, rows)) == sorted(want)
+
+
+def test_clashing_names_wide_scores_and_empty_tables(spark):
+    rows = [(0, [2**31, 5]), (1, [2**31, -7]), (2, [3, 2**40]), (3, [])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "id long, vector array<long>, cb int").withColumns({"qb": F.lit("x"), "score": F.lit(0), "a map": F.create_map(F.lit(1), F.lit(2))})
+    got = sorted(tuple(r) for r in topk.top_k(df.where("id = 0"), df, 3).collect())
+    assert got == [(0, 1, 1, 2**62 - 35), (0, 2, 2, 3 * 2**31 + 5 * 2**40), (0, 3, 3, 0)]
+    none = df.limit(0)
+    assert topk.top_k(none, none).count() == topk.top_k(df, none).count() == topk.top_k(none, df).count() == 0
