@@ -6,8 +6,11 @@ buckets' quartile steps and the steps in length; the likeness is 1 at no differe
 triplet (less than three bytes) have all-zero buckets. Null texts count as empty. Equal texts have equal fingerprints.
 
 `with_next` puts beside each row the text of the next one in descending order of an id, the first one's beside the last. Rows are
-dealt by ranges of ids in one shuffle; the first row of a range is sent to the range before too. Ties of the id go by text, null
-ids come last. Rows that stand twice follow each other. A single row is its own next.
+dealt by ranges of ids in one shuffle; each range's first and last rows are written beside its results, and the last row meets
+the first of the next range in a join. Ties of the id go by a hash of the text, then by the text, so that an id with any number
+of rows, null too, falls into several ranges; null ids come last. Rows that stand twice follow each other. A single row is
+its own next. Texts of any length are taken whole. Other columns are not looked at, whatever their names, by edited_rows; they
+pass through fingerprints, where one of the result's name gives way. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,20 +21,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 BUCKETS = 256
 #: The triplets of a window of five bytes: offsets from its first byte.
 TRIPLETS = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4)]
 #: A difference of BOUND or more is no likeness.
 BOUND = 256
-#: Null ids sort as the least.
-LOWEST = -(2**63)
-ARROW = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
-#: Rows that a range of ids holds, and the most ranges.
-ROWS_A_RANGE, MOST_RANGES = 4096, 1 << 18
+ARROW = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
 
 
 def counters(data: bytes) -> np.ndarray:
@@ -75,63 +78,47 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return 1.0 - min(BOUND, difference(a, b)) / BOUND
 
 
-def ranges(ids: DataFrame) -> list[int]:
-    """Falling cuts between ranges of ids, from the column of ids alone. Range k holds what is less than k of the cuts."""
-    wanted = min(MOST_RANGES, ids.count() // ROWS_A_RANGE)
-    if not wanted:
-        return []
-    found = ids.agg(F.percentile_approx("_id", [k / (wanted + 1) for k in range(1, wanted + 1)], max(10_000, 10 * wanted))).first()[0]
-    return sorted(set(found or []), reverse=True)
-
-
-def range_of(i: Column, cuts: list[int]) -> Column:
-    """How many cuts are greater than i: first among every step-th, then among the step cuts that follow."""
-    step = max(1, math.isqrt(len(cuts)))
-    coarse, fine = cuts[::step], [cuts[k : k + step] for k in range(0, len(cuts), step)]
-    if not cuts:
-        return F.lit(0)
-
-    def greater(among: Column) -> Column:
-        return F.size(F.filter(among, lambda c: c > i))
-
-    at = greater(F.lit(coarse))
-    return F.when(at == 0, F.lit(0)).otherwise((at - 1) * step + greater(F.get(F.array(*map(F.lit, fine)), at - 1)))
-
-
 def with_next(docs: DataFrame, id_: str, text: str, make: Callable[[int | None, str, str], dict], schema: T.StructType) -> DataFrame:
     """make(id, text, next text) is the row of schema for each document."""
-    slim = docs.select(F.col(id_).alias("id"), F.coalesce(F.col(id_), F.lit(LOWEST)).alias("_id"), F.coalesce(text, F.lit("")).alias("text"))
-    cuts = ranges(slim.select("_id"))
-    placed = slim.withColumn("_r", range_of(F.col("_id"), cuts))
-    # a few numbers a range; the head of a range with rows is a guest of the range with rows before it, the first head of the last
-    heads = [(r["_r"], r["head"]) for r in placed.groupBy("_r").agg(F.max("_id").alias("head")).orderBy("_r").collect()]
-    head, host = [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
-    for k, (r, i) in enumerate(heads):
-        head[r], host[r] = i, heads[k - 1][0]
-    own = F.struct(F.col("_r").alias("r"), F.lit(False).alias("guest"))
-    guest = F.struct(F.get(F.lit(host), F.col("_r")).cast("int").alias("r"), F.lit(True).alias("guest"))
-    is_head = F.get(F.array(*(F.lit(x).cast("long") for x in head)), F.col("_r")) == F.col("_id")
-    sent = placed.select("id", "_id", "text", F.inline(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))))
-    # a partition for each range: hashed, some partitions would get several
-    dealt = sent.repartitionById(len(cuts) + 1, F.col("r")).sortWithinPartitions("r", "guest", F.col("_id").desc(), "text")
-    arrow = pa.schema([(f.name, ARROW[f.dataType.simpleString()]) for f in schema])
+    slim = docs.select(F.col(id_).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    falling = [F.col("id").desc_nulls_last(), F.xxhash64("text")]
+    dealt = slim.repartitionByRange(*falling).sortWithinPartitions(*falling, "text")
+    # a range's first and last rows, as `edge` 0 and 1 of `range`, go with their texts
+    edges = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("edge", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
+    fields = [*schema, *edges]
+    arrow = pa.schema([(f"f{k}", ARROW[f.dataType.simpleString()]) for k, f in enumerate(fields)])
+    n = len(schema)
+
+    def row(values: dict | None, edge: tuple = ()) -> dict:
+        return {f"f{k}": v for k, v in enumerate([*(values[f.name] for f in schema)] if values else [None] * n)} | {f"f{n + k}": v for k, v in enumerate(edge)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        number, held = TaskContext.get().partitionId(), None
         for batch in batches:
             done = []
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("r", "guest", "id", "text")]
-            for k in range(batch.num_rows):
-                r, is_guest, i, x = (c[k].as_py() for c in columns)
-                if held is not None and held[0] == r:
-                    done.append(make(held[1], held[2], x))
-                    held = None if is_guest else (r, i, x)
-                elif not is_guest:
-                    held = (r, i, x)
-            if done:
-                yield pa.RecordBatch.from_pylist(done, schema=arrow)
-
-    return dealt.select("r", "guest", "id", "text").mapInArrow(run, schema)
+            for i, x in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "text")), strict=True):
+                done.append(row(None, (number, 0, i, x)) if held is None else row(make(*held, x)))
+                held = (i, x)
+            yield pa.RecordBatch.from_pylist(done, schema=arrow)
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([row(None, (number, 1, *held))], schema=arrow)
+
+    found = written(dealt.mapInArrow(run, T.StructType([T.StructField(f"f{k}", f.dataType) for k, f in enumerate(fields)])), "fingerprints")
+    named = found.toDF(*(f"f{k}" for k in range(n)), "range", "edge", "id", "text")
+    inner = named.where("edge IS NULL").select(*(F.col(f"f{k}").alias(f.name) for k, f in enumerate(schema)))
+    # one number a range
+    order = W.orderBy("range")
+    heads = named.where("edge = 0").select("range").distinct()
+    following = heads.select("range", F.coalesce(F.lead("range").over(order), F.min("range").over(W.partitionBy())).alias("next"))
+    tails = named.where("edge = 1").select("range", "id", "text").join(following.hint("merge"), "range")
+    met = tails.join(named.where("edge = 0").select(F.col("range").alias("next"), F.col("text").alias("head")).hint("merge"), "next").select("id", "text", "head")
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [make(*x) for x in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "text", "head")), strict=True)]
+            yield pa.RecordBatch.from_pylist(made, schema=pa.schema([(f.name, ARROW[f.dataType.simpleString()]) for f in schema]))
+
+    return inner.unionByName(met.mapInArrow(ends, schema))
 
 
 def edited_rows(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
