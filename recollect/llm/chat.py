@@ -10,7 +10,9 @@ roles and texts a backslash becomes `\\e`, `<` becomes `\\l` and `[` becomes `\\
 list of (start, end) code points of the formatted text: each assistant text, without marks.
 
 Null texts and roles count as empty; turns sort by (turn, role, text), nulls first; rows that stand twice are two turns. A null
-conversation id is a conversation of its own. A conversation must fit into a row, as its output does.
+conversation id is a conversation of its own. A conversation must fit into a row, as its output does; the work on it grows with
+its length, not with the square of it. Columns other than conv_id, turn, role and text are not looked at, whatever their names.
+An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound, running
+
 TURN, TEXT, MORE, END = "<|turn|>", "<|text|>", "<|more|>", "<|end|>"
 ESCAPES = [("\\", "\\e"), ("<", "\\l"), ("[", "\\b")]
 LEARNED_ROLE = "assistant"
@@ -37,16 +41,16 @@ def unescape(c: Column) -> Column:
 
 def merged(turns: Column) -> Column:
     """Sorted (turn, role, text) structs to messages (role, texts), adjacent turns of one role in one message."""
-    kind = "array<struct<role:string,texts:array<string>>>"
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        more = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(x["text"])).alias("texts"))
-        new = F.struct(x["role"].alias("role"), F.array(x["text"]).alias("texts"))
-        joins = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == x["role"])
-        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1)), F.array(more))).otherwise(F.concat(done, F.array(new))).cast(kind)
+    def from_starts(ts: Column, starts: Column) -> Column:
+        until = lambda k: F.coalesce(F.get(starts, k + 1), F.size(ts))
+        return F.transform(starts, lambda a, k: F.struct(F.get(ts, a)["role"].alias("role"), F.transform(F.slice(ts, a + 1, until(k) - a), lambda x: x["text"]).alias("texts")))
+
+    def of(ts: Column) -> Column:
+        new = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (F.get(ts, i)["role"] != F.get(ts, F.greatest(i - 1, F.lit(0)))["role"]))
+        return bound(new, lambda starts: from_starts(ts, starts))
 
-    return F.aggregate(turns, F.array().cast(kind), add)
+    return bound(turns, of)
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
@@ -62,15 +66,13 @@ def format_conversations(rows: DataFrame) -> DataFrame:
         return F.concat(F.array(head), F.flatten(texts), F.array(F.struct(F.lit(END).alias("s"), F.lit(False).alias("learned"))))
 
     out = messages.select("conv_id", F.flatten(F.transform("messages", parts)).alias("parts"))
-    kind = "struct<at:int,spans:array<struct<start:int,end:int>>>"
 
-    def place(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.char_length(x["s"])
-        spans = F.when(x["learned"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans")).cast(kind)
+    def spans(parts_: Column) -> Column:
+        at = running(F.transform(parts_, lambda x: F.char_length(x["s"])), F.lit(0), lambda a, x: a + x)
+        every = F.zip_with(parts_, at, lambda x, begin: F.when(x["learned"], F.struct(begin.alias("start"), (begin + F.char_length(x["s"])).alias("end"))))
+        return F.filter(every, lambda span: span.isNotNull())
 
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(kind)
-    return out.select("conv_id", F.array_join(F.transform("parts", lambda x: x["s"]), "").alias("formatted"), F.aggregate("parts", start, place)["spans"].alias("loss"))
+    return out.select("conv_id", F.array_join(F.transform("parts", lambda x: x["s"]), "").alias("formatted"), spans(F.col("parts")).alias("loss"))
 
 
 def read_back(formatted: Column) -> Column:

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from recollect.llm import chat as C
 
 BITS = ["<|turn|>", "<|end|>", "\\", "\\l", "[INST]", "</s>", "\n", "é\U0001f642", "word ", "<", "|>", "\\e\\"]
@@ -29,3 +31,11 @@ def test_merges_adjacent_turns_of_a_role(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")], "conv_id long, turn long, role string, text string")
     assert C.format_conversations(df).first().formatted == "<|turn|>user<|text|>a<|more|>b<|end|><|turn|>assistant<|text|>c<|end|>"
     assert C.format_conversations(df.limit(0)).count() == 0
+
+
+def test_a_very_long_conversation(spark):
+    rows = [(1, t, ("user", "assistant", "assistant")[t % 3], f"[{t}]" * (t % 4)) for t in range(6000)] + [(2, 0, "assistant", "x" * 2_000_000)]
+    out = C.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", F.lit(1)))
+    got = {r.conv_id: r for r in out.select("conv_id", C.read_back(out.formatted).alias("turns"), C.learned_text(out.formatted, out.loss).alias("learned")).collect()}
+    assert [(x.role, x.text) for x in got[1].turns] == [r[2:] for r in rows[:-1]]
+    assert got[1].learned == "".join(r[3] for r in rows[:-1] if r[2] == "assistant") and got[2].learned == rows[-1][3]
