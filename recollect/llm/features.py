@@ -30,6 +30,8 @@ def buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def subword_features(texts: list[str], bits: int, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hash buckets of words and of character n-grams within words (a space at either end counts), with the text of each; in parts.
 
+    A text's features are its own, whatever texts lie before and after it.
+
     A word pair of two like words is bucket 0.
     """
     codes, starts = buffer(texts)
@@ -41,7 +43,10 @@ def subword_features(texts: list[str], bits: int, sizes: tuple[int, ...]) -> Ite
         yield (word >> down).astype(np.int64), of
         again = np.flatnonzero((word[1:] == word[:-1]) & (of[1:] == of[:-1])) + 1
         yield np.zeros(len(again), np.int64), of[again]
+    # from here on a line feed stands before each text too; the second sign of an n-gram is a text's own
     doc = np.repeat(np.arange(len(texts)), np.diff(starts))
+    codes = np.concatenate((np.array([10], np.uint32), codes))
+    space = SPACES[codes]
     wide = codes.astype(np.uint64) + np.uint64(1)
     for n in sizes:
         if len(codes) < n:
@@ -69,6 +74,11 @@ def word_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (run_hashes(codes, begin, end) >> np.uint64(64 - bits)).astype(np.int64), np.searchsorted(starts, begin, "right") - 1
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows that no label may be learned from: crc32 of the id as text leaves 2 when divided by 4."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int, allowed: Column | None = None) -> tuple[list[str], list[int], tuple[float, float]]:
     """Texts and labels, by id, of at most at_most labelled rows of each label, 0 and 1: those of least hash, so that reruns agree.
 

@@ -7,7 +7,9 @@ For scoring, the average of vectors times the output layer equals the average of
 broadcast model is one number a bucket.
 
 Null and empty texts have no features and get the model's bias alone. Without both labels in the sample every score is 1.0
-if only good ones (or none at all) are known, else 0.0. Repeated rows are scored alike.
+if only good ones (or none at all) are known, else 0.0. Repeated rows and equal texts are scored alike, ties need no order. Texts
+of any length are scored whole. Columns pass through whatever their names; one of the score's name gives way. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,9 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .features import labelled_sample, scored, subword_features
+from .features import held_out, labelled_sample, scored, subword_features
 
 
 @dataclass(frozen=True)
@@ -80,11 +81,6 @@ def mean_scores(texts: list[str], weights: np.ndarray, bias: float, p: Params) -
     return (1 / (1 + np.exp(-np.clip(bias + total / np.maximum(1, count), -35, 35))))[:, None]
 
 
-def held_out(doc_id: str = "doc_id"):
-    """Rows that no label may be learned from: crc32 of the id as text leaves 2 when divided by 4."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.ndarray, float]:
     """Learns from at most p.sample_per_label labelled rows of each label, none of them held out."""
     return train(*labelled_sample(docs, labels, "quality", p.sample_per_label, ~held_out()), p)

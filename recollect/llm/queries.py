@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, mixing, near_dup, quality, secrets, topk, toxicity, url_filter
+from . import bpe, chat, features, fingerprint, mixing, near_dup, quality, secrets, topk, toxicity, url_filter
 from .common import table, written
 
 
@@ -35,18 +35,24 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
 
 
-#: The host rules of op4's contract.
-HOST_RULES = [
-    url_filter.HostRule("block", "net", "/"),
-    url_filter.HostRule("allow", "example.net", "/en/"),
-    url_filter.HostRule("block", "example.com", "/de/"),
-    url_filter.HostRule("allow", "org", "/fr/"),
-]
+#: The host rules of op4's contract (verdict, host, path).
+HOST_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: The pattern rules of the production query: families of junk hosts, banners, and help pages that stay.
+PATTERNS = [
+    "||casino-*^", "||*.casino-*^", "||adult-*^", "||*.adult-*^", "||cheap-pills.*", "||*.cheap-pills.*", "||free-bets.*", "||*.free-bets.*", "||ads-track.*", "||*.ads-track.*", "||spam-farm.*", "||*.spam-farm.*",
+    "||*.top-replica^", "/ad/banner^", "@@||*.example.org/*/help^",
+]
+
+
+def rules(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
+    """A table of a few rules; longer lists are read from files."""
+    return spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(names.split(), r, strict=True))) for r in rows))))
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, HOST_RULES, url_filter.PATTERNS).select("page_id", "host", "path", "rule", "verdict")
+    judged = url_filter.judge(pages, rules(spark, "verdict host path", HOST_RULES), rules(spark, "pattern", [(p,) for p in PATTERNS]))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +67,7 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, p = table(spark, sf_dir, "documents").select("doc_id", "text"), quality.Params()
     model = quality.fit(docs, table(spark, sf_dir, "labels"), p)
-    return quality.classify(docs, model, p).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
+    return quality.classify(docs, model, p).select("doc_id", features.held_out().alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +78,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, p = table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity.Params()
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), p)
-    return toxicity.grade(docs, model, p).select("doc_id", "severity", "p_toxic", "toxic")
+    return toxicity.grade(docs, model, p).select("doc_id", "severity", "p_toxic", "toxic", features.held_out().alias("held_out"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,30 +120,83 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _op4_sql() -> str:
-    """The same rules, each pattern run on every url."""
-    def rule(give: str) -> str:
-        cases = "".join(f" WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN '{getattr(r, give)}'" for r in sorted(HOST_RULES, key=lambda r: (-len(r.name), r.name)))
-        return f"CASE{cases} END"
+#: Hosts that the patterns block, written out for RE2; every rule is tried on every url.
+_OP4_SQL = r"""
+WITH r AS (SELECT page_id, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') rest,
+  coalesce(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') low FROM pages),
+h AS (SELECT page_id, low, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path FROM r),
+j AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+  regexp_matches(low, '^[a-z][a-z0-9+.-]*://([^/?#]*[.])?(casino|adult)-.*([^a-z0-9_.%-]|$)') OR regexp_matches(low, '^[a-z][a-z0-9+.-]*://([^/?#]*[.])?(.*[.])?(casino|adult)-.*([^a-z0-9_.%-]|$)')
+    OR regexp_matches(low, '^[a-z][a-z0-9+.-]*://([^/?#]*[.])?(.*[.])?(cheap-pills|free-bets|ads-track|spam-farm)[.]') OR regexp_matches(low, '^[a-z][a-z0-9+.-]*://([^/?#]*[.])?.*[.]top-replica([^a-z0-9_.%-]|$)')
+    OR regexp_matches(low, '/ad/banner([^a-z0-9_.%-]|$)') AS junk,
+  regexp_matches(low, '^[a-z][a-z0-9+.-]*://([^/?#]*[.])?.*[.]example[.]org/.*/help([^a-z0-9_.%-]|$)') AS stays FROM h)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NULL AND junk AND NOT stays THEN 'block' ELSE 'allow' END AS verdict FROM j"""
+
+
+#: The kinds of op3 in their order: patterns for RE2, the group of the value, and what the value or the match must look like.
+_OP3_PARTS = [
+    (0, r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, ".{12,}"),
+    (1, r"AKIA[A-Z0-9]+", 0, ".{18,}"),
+    (2, r"[0-9a-f]{16,}", 0, ".*"),
+    (3, r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9_.@-]{3,}""", 0, ".*"),
+    (3, r"(?:AKIA|ASIA)[A-Z0-9]{8,}", 0, ".{12,17}"),
+    (4, r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, ".{6,11}"),
+    (4, r"[A-Za-z0-9+/]{40,}", 0, ".{40}"),
+    (5, r"https?://[^\x20\x09-\x0D\x22''<>]{4,}", 0, "(?s:.*)"),
+    (5, r"[0-9][0-9.]{6,}(?::[0-9]+)?", 0, r"[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]{1,5})?"),
+]
+
 
-    fits = lambda exception: " OR ".join(f"regexp_matches(low, '{url_filter.pattern_regex(p)}')" for p in url_filter.PATTERNS if p.startswith("@@") == exception)
+def _op3_sql() -> str:
+    """Places from what lies between matches; weak parts by comparing all parts of a text."""
+    one = lambda kind, pattern, group, looks: f"""SELECT doc_id, text, {kind} kind, unnest(list_zip(regexp_split_to_array(text, '{pattern}')[:-2], regexp_extract_all(text, '{pattern}', 0), regexp_extract_all(text, '{pattern}', {group}))) m,
+  generate_subscripts(regexp_extract_all(text, '{pattern}', 0), 1) n, '{looks}' looks FROM d WHERE regexp_matches(text, '{pattern}')"""
     return f"""
-WITH r AS (SELECT page_id, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') rest,
-  coalesce(translate(url, '{url_filter.UPPER}', '{url_filter.LOWER}'), '') low FROM pages),
-h AS (SELECT page_id, low, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') host,
-  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path FROM r)
-SELECT page_id, host, path, {rule("name")} AS rule,
-  coalesce({rule("verdict")}, CASE WHEN ({fits(False)}) AND NOT ({fits(True)}) THEN 'block' ELSE 'allow' END) AS verdict FROM h"""
+WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(one(*x) for x in _OP3_PARTS)}),
+w AS (SELECT doc_id, text, kind, looks, m[3] AS value, looks AS l, sum(length(m[1]) + length(m[2])) OVER (PARTITION BY doc_id, text, kind, looks ORDER BY n) AS stop, length(m[2]) AS size FROM m),
+p AS (SELECT DISTINCT doc_id, text, kind, (stop - size)::BIGINT s, stop::BIGINT e FROM w WHERE regexp_full_match(value, looks)),
+near AS (SELECT a.doc_id, a.text, a.kind, a.s, a.e, coalesce(bool_or(b.kind IN (1, 3)), false) has_id, coalesce(bool_or(b.kind IN (0, 2, 4)), false) has_secret FROM p a LEFT JOIN p b
+  ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.text = b.text AND b.s <= a.e + 256 AND a.s <= b.e + 256 GROUP BY ALL),
+k AS (SELECT *, (['assign', 'access', 'hex', 'weak_id', 'weak_secret', 'endpoint'])[kind + 1] || ':' || s || ':' || e span FROM near
+  WHERE kind < 3 OR kind = 3 AND has_secret OR kind = 4 AND has_id OR kind = 5 AND has_id AND has_secret),
+g AS (SELECT doc_id, text, count(*) FILTER (kind = 0) n_assign, count(*) FILTER (kind = 1) n_access, count(*) FILTER (kind = 2) n_hex,
+  string_agg(span, ',' ORDER BY s, kind, e) FILTER (kind < 3) base, string_agg(span, ',' ORDER BY s, kind, e) spans FROM k GROUP BY ALL)
+SELECT t.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+FROM documents t LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM t.doc_id AND g.text = coalesce(t.text, '')"""
+
+
+#: op5 by a self-join on shingles, its components by a recursive walk over links of distinct sets.
+_OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3] || ' ' || w[k + 4])) END s FROM w),
+h AS (SELECT doc_id, len(s) n, md5(array_to_string(list_sort(s), chr(10))) cls, s FROM s),
+c AS MATERIALIZED (SELECT cls, min(doc_id) least, any_value(n) n, any_value(s) s FROM h WHERE n > 0 GROUP BY cls),
+x AS MATERIALIZED (SELECT cls, n, hash(unnest(s)) x FROM c),
+i AS (SELECT a.cls a, b.cls b, a.n na, b.n nb, count(*) c FROM x a JOIN x b ON a.x = b.x AND a.cls < b.cls AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM i WHERE 100 * c >= 75 * (na + nb - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS start, a AS at FROM e UNION SELECT r.start, e.b FROM r JOIN e ON e.a = r.at),
+top AS (SELECT r.start AS cls, min(c.least) component FROM r JOIN c ON c.cls = r.at GROUP BY r.start)
+SELECT h.doc_id, h.n AS n_shingles, CASE WHEN h.n = 0 THEN h.doc_id ELSE coalesce(top.component, c.least) END AS component_id,
+  h.doc_id = CASE WHEN h.n = 0 THEN h.doc_id ELSE coalesce(top.component, c.least) END AS kept
+FROM h LEFT JOIN c ON c.cls = h.cls AND h.n > 0 LEFT JOIN top ON top.cls = h.cls AND h.n > 0"""
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_secrets": _op3_sql(),
+    "op5_near_dup": _OP5_SQL,
     "op2_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) v FROM embeddings
   WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
 s AS (SELECT q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) n FROM s)
 SELECT query_id, n::INT AS rank, vec_id, score FROM r WHERE n <= 5""",
-    "op4_urls": _op4_sql(),
+    "op4_urls": _OP4_SQL,
     "op10_chat": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
