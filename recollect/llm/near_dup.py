@@ -8,7 +8,7 @@ of ERRORS symbols left out, and all such pairs share a key. That number less one
 96 symbols): no pair under it is missed, and pairs beyond it count as unlinked. A pair of sets at a similarity of exactly 0.75
 lies beyond it with a chance of 1.2 in ten million, at 0.8 of 1 in 10**10.
 
-The documents of a key are compared with its hub only, the one of the least number; hubs gather neighbourhoods, and every pair
+The documents of a key are compared with its hub only, the one that shares most keys; hubs gather neighbourhoods, and every pair
 that shares a key shares a hub. Links to hubs are confirmed on full sets, and give components. Of a neighbourhood, only pairs of
 two components remain, and so only those members that are not in the hub's component are compared with the others: in a grid
 of cells, whose side grows with the root of the neighbourhood, first by signatures, where a cell names only members with a
@@ -383,9 +383,12 @@ def grouped(docs: DataFrame, p: Params) -> DataFrame:
     by_id = classes.where("least_id IS NULL").isEmpty() and rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
 
     keys = chunk_keys(classes, p)
-    shared = written(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("no").alias("hub")).where("c > 1"), "shared-keys")
-    hot = hot_keys(shared, "key", "c", n_classes * p.size)
-    stars = written(spread_join(keys, shared.select("key", "hub"), "key", hot).where("hub <> no").select("hub", "no").distinct(), "stars")
+    counts = written(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key-counts")
+    hot = hot_keys(counts, "key", "c", n_classes * p.size)
+    keys = written(spread_join(keys, counts, "key", hot), "shared-keys")
+    weight = keys.groupBy("no").agg(F.sum("c").alias("w"))
+    hubs = keys.join(weight.hint("merge"), "no").groupBy("key").agg(F.max_by("no", F.struct("w", "no")).alias("hub"))
+    stars = written(spread_join(keys, hubs, "key", hot).where("hub <> no").select("hub", "no").distinct(), "stars")
     degrees = written(stars.groupBy("hub").agg(F.count("*").alias("m")), "degrees")
     hot = hot_keys(degrees, "hub", "m", stars.count())
 
