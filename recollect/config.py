@@ -6,6 +6,7 @@ from dataclasses import dataclass, fields, replace
 from typing import Any
 
 
+#: The names and defaults of both classes are the method's published settings.
 @dataclass(frozen=True)
 class MemoryConfig:
     negative_weight: float = 0.275  # lambda: share of the memory that is taken off a query

@@ -21,7 +21,7 @@ def each(df: DataFrame, name: str, values: list) -> DataFrame:
 def belief_stats(dialogs: DataFrame, beliefs: DataFrame, sure: float = 0.7) -> DataFrame:
     """A row for each polarity: totals, and mean, median and maximum by dialogue, counting dialogues without any."""
     own = beliefs.groupBy("session_id", "polarity").agg(F.count("*").alias("n"), F.count_distinct(S.lexical(F.col("attribute"))).alias("u"), F.count_if(F.col("confidence") >= sure).alias("sure"))
-    both = each(dialogs.select("session_id"), "polarity", POLARITIES).join(own, ["session_id", "polarity"], "left").fillna(0, ["n", "u", "sure"])
+    both = each(dialogs.select("session_id"), "polarity", POLARITIES).join(own.hint("merge"), ["session_id", "polarity"], "left").fillna(0, ["n", "u", "sure"])
     return both.groupBy("polarity").agg(
         F.sum("n").alias("total"), F.avg("n").alias("mean"), F.expr("percentile(n, 0.5)").alias("median"), F.max("n").alias("most"), F.count_if(F.col("n") > 0).alias("with_any"),
         F.count_if(F.col("n") == 0).alias("with_none"), F.avg("u").alias("mean_unique"), F.coalesce(F.sum("sure") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("sure_fraction"),
@@ -31,7 +31,7 @@ def belief_stats(dialogs: DataFrame, beliefs: DataFrame, sure: float = 0.7) -> D
 def beliefs_by_turn(beliefs: DataFrame, turns: int) -> DataFrame:
     grid = each(each(beliefs.sparkSession.range(1).select(), "feedback_turn", list(range(turns))), "polarity", POLARITIES)
     counts = beliefs.groupBy("feedback_turn", "polarity").agg(F.count("*").alias("n"))
-    return grid.join(counts, ["feedback_turn", "polarity"], "left").select("feedback_turn", "polarity", F.coalesce("n", F.lit(0)).alias("n"))
+    return grid.join(counts.hint("merge"), ["feedback_turn", "polarity"], "left").select("feedback_turn", "polarity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def top_attributes(beliefs: DataFrame, k: int = 30) -> DataFrame:
@@ -51,7 +51,7 @@ def contradictions(beliefs: DataFrame) -> DataFrame:
 
 def densities(dialogs: DataFrame, beliefs: DataFrame) -> DataFrame:
     own = beliefs.groupBy("session_id").agg(F.count_if(F.col("polarity") == "negative").alias("negatives"), F.count_if(F.col("polarity") == "positive").alias("positives"), F.count_distinct(F.when(F.col("polarity") == "negative", S.lexical(F.col("attribute")))).alias("unique_negatives"))
-    out = dialogs.select("session_id").join(own, "session_id", "left").fillna(0, ["negatives", "positives", "unique_negatives"])
+    out = dialogs.select("session_id").join(own.hint("merge"), "session_id", "left").fillna(0, ["negatives", "positives", "unique_negatives"])
     return out.withColumn("density", S.density(F.col("negatives"))).withColumn("negative_fraction", S.negative_fraction(F.col("negatives"), F.col("negatives") + F.col("positives")))
 
 
@@ -64,17 +64,17 @@ def session_gains(ranks: DataFrame, baseline: str, candidate: str, k: int = 10)
 def gains_by_turn(ranks: DataFrame, baseline: str, candidate: str, k: int = 10) -> DataFrame:
     r = metrics.per_turn(ranks.where(F.col("run_id").isin(baseline, candidate)), k).where("turn >= 1")
     one = lambda run, name: r.where(F.col("run_id") == run).select("turn", F.col("recall").alias(name))
-    return one(baseline, "baseline").join(one(candidate, "candidate"), "turn").withColumn("gain", F.col("candidate") - F.col("baseline"))
+    return one(baseline, "baseline").join(one(candidate, "candidate").hint("merge"), "turn").withColumn("gain", F.col("candidate") - F.col("baseline"))
 
 
 def gains_by_density(gains: DataFrame, density: DataFrame) -> DataFrame:
-    return gains.join(density.select("session_id", "density"), "session_id").groupBy("density").agg(F.count("*").alias("sessions"), F.avg("average_gain").alias("average_gain"), F.avg("final_gain").alias("final_gain"))
+    return gains.join(density.select("session_id", "density").hint("merge"), "session_id").groupBy("density").agg(F.count("*").alias("sessions"), F.avg("average_gain").alias("average_gain"), F.avg("final_gain").alias("final_gain"))
 
 
 def concept_events(beliefs: DataFrame, structured: DataFrame) -> DataFrame:
     """Positives (kind 0) and negatives (kind 1; actionable or not) by concept, at their retrieval turns."""
     flags = structured.select("session_id", "feedback_turn", "idx", "actionable", F.lit("negative").alias("polarity"))
-    ev = beliefs.join(flags, ["session_id", "feedback_turn", "idx", "polarity"], "left")
+    ev = beliefs.join(flags.hint("merge"), ["session_id", "feedback_turn", "idx", "polarity"], "left")
     return ev.select("session_id", (F.col("feedback_turn") + 1).alias("turn"), (F.col("polarity") == "negative").cast("int").alias("kind"), "idx", S.canonical(F.col("attribute")).alias("concept"), F.coalesce("actionable", F.lit(False)).alias("actionable"))
 
 
@@ -84,9 +84,9 @@ def clean_states(states: DataFrame, events: DataFrame) -> DataFrame:
     A concept is active if the last of its positives and actionable negatives is a negative; within a turn positives come first.
     """
     s = states.where("turn >= 1").select("session_id", "turn")
-    quiet = s.join(events.where("kind = 1").select("session_id", "turn").distinct(), ["session_id", "turn"], "left_anti")
+    quiet = s.join(events.where("kind = 1").select("session_id", "turn").distinct().hint("merge"), ["session_id", "turn"], "left_anti")
     told = events.where("kind = 0 OR actionable").withColumnRenamed("turn", "at")
-    met = quiet.join(told, "session_id").where("at <= turn")
+    met = quiet.join(told.hint("merge"), "session_id").where("at <= turn")
     last = met.groupBy("session_id", "turn", "concept").agg(F.max(F.struct("at", "kind", "idx")).alias("last")).where("last.kind = 1")
     age = F.col("turn") - F.col("last.at")
     return last.groupBy("session_id", "turn").agg(F.count("*").alias("memory_size"), F.min(age).alias("latest_age"), F.max(age).alias("oldest_age"), F.array_sort(F.collect_set("concept")).alias("concepts"))
@@ -99,7 +99,7 @@ def event_counters(events: DataFrame) -> DataFrame:
     moved = told.agg(F.count_if((F.col("kind") == 0) & (F.col("was") == 1)).alias("invalidations"), F.count_if((F.col("kind") == 1) & (F.col("was") == 0) & (F.col("negatives_before") > 0)).alias("reactivations"))
     counts = events.agg(F.count_if(F.col("kind") == 1).alias("negative_events"), F.count_if((F.col("kind") == 1) & F.col("actionable")).alias("actionable_events"), F.count_if((F.col("kind") == 1) & ~F.col("actionable")).alias("other_events"))
     # two rows of totals
-    return counts.withColumn("one", F.lit(1)).join(moved.withColumn("one", F.lit(1)), "one").drop("one")
+    return counts.withColumn("one", F.lit(1)).join(F.broadcast(moved.withColumn("one", F.lit(1))), "one").drop("one")
 
 
 def grouped(clean: DataFrame) -> DataFrame:
@@ -112,53 +112,67 @@ def grouped(clean: DataFrame) -> DataFrame:
 
 def group_sizes(clean: DataFrame) -> DataFrame:
     names = each(clean.sparkSession.range(1).select(), "group", GROUPS)
-    return names.join(grouped(clean).groupBy("group").agg(F.count("*").alias("states"), F.count_distinct("session_id").alias("dialogs")), "group", "left").fillna(0)
+    return names.join(grouped(clean).groupBy("group").agg(F.count("*").alias("states"), F.count_distinct("session_id").alias("dialogs")).hint("merge"), "group", "left").fillna(0)
 
 
 def group_recalls(clean: DataFrame, ranks: DataFrame, k: int = 10) -> DataFrame:
     """Recall of each run on each group's states; empty groups stay, without a recall."""
-    hits = grouped(clean).join(ranks, ["session_id", "turn"]).groupBy("group").pivot("run_id", ["h0", "current", "persistent"]).agg(100 * F.avg(S.hit(F.col("rank"), k)))
-    return group_sizes(clean).join(hits, "group", "left")
+    hits = grouped(clean).join(ranks.hint("merge"), ["session_id", "turn"]).groupBy("group").pivot("run_id", ["h0", "current", "persistent"]).agg(100 * F.avg(S.hit(F.col("rank"), k)))
+    return group_sizes(clean).join(hits.hint("merge"), "group", "left")
 
 
 def group_deltas(clean: DataFrame, ranks: DataFrame, baseline: str, candidate: str, k: int = 10, samples: int = 20_000, seed: int = 20260829) -> DataFrame:
     """The candidate's gain on each group's states, with an interval from resampled dialogues."""
     d = stats.differences(stats.paired(ranks, baseline, candidate), k)
-    units = grouped(clean).join(d, ["session_id", "turn"]).groupBy("group", "session_id").agg(F.sum("d").alias("s"), F.count("*").cast("double").alias("c"))
+    units = grouped(clean).join(d.hint("merge"), ["session_id", "turn"]).groupBy("group", "session_id").agg(F.sum("d").alias("s"), F.count("*").cast("double").alias("c"))
     names = each(clean.sparkSession.range(1).select(), "group", GROUPS)
-    return names.join(stats.bootstrap(units, "group", samples, seed), "group", "left")
+    return names.join(stats.bootstrap(units, "group", samples, seed).hint("merge"), "group", "left")
 
 
 def by_setting(ranks: DataFrame, k: int = 10) -> DataFrame:
     """ranks with a column setting: the final recall of each method in each setting, side by side; what is missing stays null."""
     last = ranks.groupBy("setting", "run_id").agg(F.max("turn").alias("turn"))
-    r = ranks.join(last, ["setting", "run_id", "turn"])
+    r = ranks.join(last.hint("merge"), ["setting", "run_id", "turn"])
     return r.groupBy("setting").pivot("run_id", ["h0", "current", "persistent"]).agg(100 * F.avg(S.hit(F.col("rank"), k)))
 
 
 def setting_deltas(ranks: DataFrame, baseline: str, candidate: str, k: int = 10, samples: int = 20_000, seed: int = 20260829) -> DataFrame:
     one = lambda run, name: ranks.where(F.col("run_id") == run).select("setting", "session_id", "turn", F.col("rank").alias(name))
-    p = one(baseline, "b").join(one(candidate, "c"), ["setting", "session_id", "turn"])
+    p = one(baseline, "b").join(one(candidate, "c").hint("merge"), ["setting", "session_id", "turn"])
     last = p.groupBy("setting").agg(F.max("turn").alias("turn"))
-    units = stats.differences(p.join(last, ["setting", "turn"]), k).select("setting", "session_id", F.col("d").alias("s"), F.lit(1.0).alias("c"))
+    units = stats.differences(p.join(last.hint("merge"), ["setting", "turn"]), k).select("setting", "session_id", F.col("d").alias("s"), F.lit(1.0).alias("c"))
     return stats.bootstrap(units, "setting", samples, seed)
 
 
 def patch(structured: DataFrame, patches: DataFrame) -> DataFrame:
     """structured with types replaced, and rows dropped, as patches (session_id, feedback_turn, idx, new_type, dropped) say."""
-    both = structured.join(patches, ["session_id", "feedback_turn", "idx"], "left").where("NOT coalesce(dropped, false)")
+    both = structured.join(patches.hint("merge"), ["session_id", "feedback_turn", "idx"], "left").where("NOT coalesce(dropped, false)")
     return both.withColumn("sem_type", F.coalesce("new_type", "sem_type")).select(structured.columns)
 
 
+def untyped(structured: DataFrame) -> DataFrame:
+    """(session_id, feedback_turn, idx) of actionable items without a type; after patching there should be none."""
+    return structured.where("actionable AND sem_type IS NULL").select("session_id", "feedback_turn", "idx")
+
+
+def finalized(structured: DataFrame, patches: DataFrame) -> DataFrame:
+    """The patched items; raises if a patch matches none, or an actionable item is left without a type."""
+    out = patch(structured, patches)
+    for what, rows in (("patches without an item", unmatched_patches(structured, patches)), ("actionable items without a type", untyped(out))):
+        if bad := rows.select("session_id", "feedback_turn", "idx").limit(5).collect():
+            raise ValueError(f"{what}: {sorted(map(tuple, bad))}")
+    return out
+
+
 def unmatched_patches(structured: DataFrame, patches: DataFrame) -> DataFrame:
     """Patches that would change nothing; there should be none."""
-    return patches.join(structured, ["session_id", "feedback_turn", "idx"], "left_anti")
+    return patches.join(structured.hint("merge"), ["session_id", "feedback_turn", "idx"], "left_anti")
 
 
 def patch_manifest(structured: DataFrame, patches: DataFrame) -> DataFrame:
     """(what, value, n): rows kept by type, rows dropped by type, rows kept by actionability."""
     keys = ["session_id", "feedback_turn", "idx"]
-    gone = structured.join(patches.where("dropped"), keys, "left_semi")
+    gone = structured.join(patches.where("dropped").hint("merge"), keys, "left_semi")
     kept = patch(structured, patches)
     count = lambda df, what, by: df.groupBy(F.col(by).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "value", "n")
     return count(kept, "kept_type", "sem_type").unionByName(count(gone, "dropped_type", "sem_type")).unionByName(count(kept, "kept_actionable", "actionable"))

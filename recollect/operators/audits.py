@@ -36,13 +36,13 @@ def archives(runs: DataFrame, ranks: DataFrame) -> DataFrame:
     }
     g = ranks.groupBy("run_id").agg(F.min("rank").alias("least"), F.count("*").alias("n"), F.count_distinct("session_id").alias("s"), F.count_distinct("turn").alias("t"), F.count_distinct("session_id", "turn").alias("d"))
     shape = violations(g, "archive", F.col("run_id"), {"negative_rank": F.col("least") < 0, "not_rectangular": F.col("d") != F.col("s") * F.col("t"), "session_twice": F.col("n") != F.col("d")})
-    unranked = runs.join(ranks.select("run_id"), "run_id", "left_anti").select(F.lit("archive").alias("check"), F.col("run_id").alias("key"), F.lit("no_ranks").alias("reason"))
+    unranked = runs.join(ranks.select("run_id").distinct().hint("merge"), "run_id", "left_anti").select(F.lit("archive").alias("check"), F.col("run_id").alias("key"), F.lit("no_ranks").alias("reason"))
     return all_of(violations(r, "archive", F.col("run_id"), reasons), shape, unranked)
 
 
 def archive_totals(runs: DataFrame, found: DataFrame) -> DataFrame:
     bad = found.select(F.col("key").alias("run_id")).distinct().withColumn("bad", F.lit(1))
-    return runs.join(bad, "run_id", "left").agg(F.count("*").alias("archives"), F.count("bad").alias("failures"))
+    return runs.join(bad.hint("merge"), "run_id", "left").agg(F.count("*").alias("archives"), F.count("bad").alias("failures"))
 
 
 def triplet_shape(ranks: DataFrame, runs: list[str], sessions: int, turns: int) -> DataFrame:
@@ -67,7 +67,7 @@ def no_op(ranks: DataFrame, sizes: DataFrame, run: str) -> DataFrame:
     """States of a run without a remembered negative whose rank isn't h0's."""
     h0 = ranks.where("run_id = 'h0'").select("session_id", "turn", F.col("rank").alias("h"))
     own = ranks.where(F.col("run_id") == run).select("session_id", "turn", "rank")
-    bad = own.join(sizes.where("negative = 0"), ["session_id", "turn"]).join(h0, ["session_id", "turn"]).where("rank <> h")
+    bad = own.join(sizes.where("negative = 0").hint("merge"), ["session_id", "turn"]).join(h0.hint("merge"), ["session_id", "turn"]).where("rank <> h")
     return bad.select(F.lit(f"no_op_{run}").alias("check"), key("session_id", "turn").alias("key"), F.lit("rank_differs_from_h0").alias("reason"))
 
 
@@ -75,14 +75,14 @@ def no_op_lists(tops: DataFrame, sizes: DataFrame, run: str) -> DataFrame:
     """The same for the items at the top, as lists."""
     lists = tops.groupBy("run_id", "session_id", "turn").agg(F.array_sort(F.collect_list(F.struct("position", "corpus_idx"))).alias("list"))
     one = lambda r, name: lists.where(F.col("run_id") == r).select("session_id", "turn", F.col("list").alias(name))
-    bad = one(run, "a").join(one("h0", "h"), ["session_id", "turn"]).join(sizes.where("negative = 0"), ["session_id", "turn"]).where("a <> h")
+    bad = one(run, "a").join(one("h0", "h").hint("merge"), ["session_id", "turn"]).join(sizes.where("negative = 0").hint("merge"), ["session_id", "turn"]).where("a <> h")
     return bad.select(F.lit(f"no_op_list_{run}").alias("check"), key("session_id", "turn").alias("key"), F.lit("list_differs_from_h0").alias("reason"))
 
 
 def clean_guard(clean: DataFrame, ranks: DataFrame) -> DataFrame:
     """History-only states where `current` isn't h0."""
     one = lambda r, name: ranks.where(F.col("run_id") == r).select("session_id", "turn", F.col("rank").alias(name))
-    bad = clean.select("session_id", "turn").join(one("h0", "h"), ["session_id", "turn"]).join(one("current", "c"), ["session_id", "turn"]).where("h <> c")
+    bad = clean.select("session_id", "turn").join(one("h0", "h").hint("merge"), ["session_id", "turn"]).join(one("current", "c").hint("merge"), ["session_id", "turn"]).where("h <> c")
     return bad.select(F.lit("clean_guard").alias("check"), key("session_id", "turn").alias("key"), F.lit("current_differs_from_h0").alias("reason"))
 
 
@@ -106,19 +106,22 @@ def corpus_checks(corpus: DataFrame) -> DataFrame:
 
 
 def belief_summary(beliefs: DataFrame) -> DataFrame:
-    return beliefs.agg(F.count_distinct("session_id").alias("dialogs"), F.count_if(F.col("polarity") == "negative").alias("negatives"), F.count_if(F.col("polarity") == "positive").alias("positives"), F.min("confidence").alias("least_confidence"), F.max("confidence").alias("most_confidence"))
+    """Totals of exploded artifacts; id_mismatches counts dialogues and turns that don't stand at their own number's place."""
+    places = [F.col(a) != F.col(b) for a, b in (("session_id", "position"), ("feedback_turn", "turn_position")) if b in beliefs.columns]
+    dialog, turn = [*places, F.lit(False), F.lit(False)][:2]
+    return beliefs.agg(F.count_distinct(F.when(dialog, F.col("session_id"))).alias("dialog_mismatches"), F.count_distinct(F.when(turn, F.struct("session_id", "feedback_turn"))).alias("turn_mismatches"), F.count_distinct("session_id").alias("dialogs"), F.count_if(F.col("polarity") == "negative").alias("negatives"), F.count_if(F.col("polarity") == "positive").alias("positives"), F.min("confidence").alias("least_confidence"), F.max("confidence").alias("most_confidence"))
 
 
 def alignment(a: DataFrame, b: DataFrame) -> DataFrame:
     """Whether two backbones have the same sessions, targets and texts."""
     one = lambda df, t, x: df.select("session_id", "turn", F.col("target_index").alias(t), F.col("query_text").alias(x))
-    both = one(a, "ta", "xa").join(one(b, "tb", "xb"), ["session_id", "turn"], "full")
+    both = one(a, "ta", "xa").join(one(b, "tb", "xb").hint("merge"), ["session_id", "turn"], "full")
     return both.agg(F.bool_and(F.col("ta").isNotNull() & F.col("tb").isNotNull()).alias("same_turns"), F.bool_and(F.coalesce(F.col("ta") == F.col("tb"), F.lit(True))).alias("same_targets"), F.bool_and(F.coalesce(F.col("xa") == F.col("xb"), F.lit(True))).alias("same_texts"))
 
 
 def lineage(sessions: DataFrame, corpus: DataFrame, expected: dict[str, int]) -> DataFrame:
     """(name, passed) of each check of two one-row summaries, and overall."""
-    both = sessions.withColumn("one", F.lit(1)).join(corpus.select(F.col("rows").alias("corpus_rows"), "not_finite").withColumn("one", F.lit(1)), "one")
+    both = sessions.withColumn("one", F.lit(1)).join(corpus.select(F.col("rows").alias("corpus_rows"), "not_finite").withColumn("one", F.lit(1)).hint("broadcast"), "one")  # one row
     tests = {"sessions": F.col("sessions") == expected["sessions"], "turns": (F.col("least_turns") == expected["turns"]) & (F.col("most_turns") == expected["turns"]), "targets_in_corpus": F.col("most_target") < F.col("corpus_rows"), "corpus_finite": F.col("not_finite") == 0, "contiguous_ids": F.col("contiguous_ids")}
     overall = F.lit(True)
     for t in tests.values():

@@ -34,12 +34,27 @@ def counts(found: DataFrame) -> DataFrame:
 
 
 def beliefs(df: DataFrame) -> DataFrame:
+    """fact_type is checked where the table has it."""
     c = F.col("confidence")
-    return violations(df, "belief", key("session_id", "feedback_turn", "polarity", "idx"), {"empty_attribute": F.coalesce(F.trim("attribute") == "", F.lit(True)), "confidence_out_of_range": F.coalesce(F.isnan(c) | ~c.between(0, 1), F.lit(True))})
+    reasons = {"empty_attribute": F.coalesce(F.trim("attribute") == "", F.lit(True)), "confidence_out_of_range": F.coalesce(F.isnan(c) | ~c.between(0, 1), F.lit(True))}
+    if "fact_type" in df.columns:
+        reasons["empty_fact_type"] = F.coalesce(F.trim("fact_type") == "", F.lit(True))
+    return violations(df, "belief", key("session_id", "feedback_turn", "polarity", "idx"), reasons)
 
 
 def bundles(df: DataFrame) -> DataFrame:
-    return violations(df, "bundle", key("session_id", "feedback_turn"), {"negative_turn": F.col("feedback_turn") < 0, "unknown_polarity": ~F.col("polarity").isin("positive", "negative")})
+    """question and answer are checked where the table has them."""
+    reasons = {"negative_turn": F.col("feedback_turn") < 0, "unknown_polarity": ~F.col("polarity").isin("positive", "negative")}
+    reasons |= {f"no_{c}": F.col(c).isNull() for c in ("question", "answer") if c in df.columns}
+    return violations(df, "bundle", key("session_id", "feedback_turn"), reasons)
+
+
+def configs(df: DataFrame) -> DataFrame:
+    """Configurations (as tables.read_configs gives them) with values that the operators refuse."""
+    least = {"negative_weight": 0, "recency_decay": 0, "override_boost": 0, "max_concepts": 1, "top_k": 1}
+    reasons = {f"{c}_below_{n}": F.coalesce(F.isnan(F.col(c).cast("double")) | (F.col(c) < n), F.lit(True)) for c, n in least.items()}
+    reasons["semantic_merge_threshold_out_of_range"] = ~((F.col("semantic_merge_threshold") > 0) & (F.col("semantic_merge_threshold") <= 1))
+    return violations(df, "config", key("config_id"), reasons)
 
 
 def vectors(df: DataFrame, check: str, key_: Column, vector: str, size: int | None = None) -> DataFrame:
@@ -68,14 +83,14 @@ def queries(states: DataFrame, dimension: int) -> DataFrame:
 
 
 def concepts(events: DataFrame, vocabulary: DataFrame, dimension: int) -> DataFrame:
-    missing = events.select(F.trim("attribute").alias("text")).distinct().join(vocabulary, "text", "left_anti")
+    missing = events.select(F.trim("attribute").alias("text")).distinct().join(vocabulary.select("text").hint("merge"), "text", "left_anti")
     return all_of(missing.select(F.lit("concept").alias("check"), F.col("text").alias("key"), F.lit("no_vector").alias("reason")), vectors(vocabulary, "concept", F.col("text"), "vector", dimension))
 
 
 def encoder_dimension(vocabulary: DataFrame, corpus_: DataFrame) -> DataFrame:
     """Dimensions of the vocabulary that the corpus doesn't have."""
     d = lambda df: df.select(F.size("vector").cast("string").alias("key")).distinct()
-    return d(vocabulary).join(d(corpus_), "key", "left_anti").select(F.lit("encoder").alias("check"), "key", F.lit("dimension_not_in_corpus").alias("reason"))
+    return d(vocabulary).join(d(corpus_).hint("merge"), "key", "left_anti").select(F.lit("encoder").alias("check"), "key", F.lit("dimension_not_in_corpus").alias("reason"))
 
 
 def header(artifact: DataFrame) -> DataFrame:
@@ -94,17 +109,18 @@ def conflicts_in_turn(beliefs_: DataFrame) -> DataFrame:
 
 
 def conflicts_with_memory(beliefs_: DataFrame) -> DataFrame:
-    """Positives whose concept an earlier turn had as a negative: the first such turn is found by a running minimum."""
+    """Beliefs whose concept an earlier turn had in the other polarity: the first such turns are found by running minima."""
     ev = beliefs_.select("session_id", "feedback_turn", "polarity", "idx", S.canonical(F.col("attribute")).alias("concept"))
-    first = F.min(F.when(F.col("polarity") == "negative", F.col("feedback_turn"))).over(W.partitionBy("session_id", "concept"))
-    found = ev.withColumn("first", first).where("polarity = 'positive' AND first < feedback_turn")
-    return found.select(F.lit("conflict_with_memory").alias("check"), key("session_id", "feedback_turn", "idx").alias("key"), F.lit("other_polarity_remembered").alias("reason"))
+    by = W.partitionBy("session_id", "concept")
+    first = lambda p: F.min(F.when(F.col("polarity") == p, F.col("feedback_turn"))).over(by)
+    found = ev.withColumns({"n": first("negative"), "p": first("positive")}).where("CASE polarity WHEN 'positive' THEN n WHEN 'negative' THEN p END < feedback_turn")
+    return found.select(F.lit("conflict_with_memory").alias("check"), key("session_id", "feedback_turn", "polarity", "idx").alias("key"), F.lit("other_polarity_remembered").alias("reason"))
 
 
 def structured_matches(beliefs_: DataFrame, structured: DataFrame) -> DataFrame:
     """Negatives without a structured record, or with one of another text."""
     n = beliefs_.where("polarity = 'negative'").select("session_id", "feedback_turn", "idx", "attribute")
-    both = n.join(structured.select("session_id", "feedback_turn", "idx", "negative_attribute"), ["session_id", "feedback_turn", "idx"], "left")
+    both = n.join(structured.select("session_id", "feedback_turn", "idx", "negative_attribute").hint("merge"), ["session_id", "feedback_turn", "idx"], "left")
     return violations(both, "structured", S.item_key(F.col("session_id"), F.col("feedback_turn"), F.col("idx")), {"no_record": F.col("negative_attribute").isNull(), "other_text": S.canonical(F.col("attribute")) != S.canonical(F.col("negative_attribute"))})
 
 
@@ -128,11 +144,11 @@ def rank_matrix(ranks: DataFrame) -> DataFrame:
 def coverage(states: DataFrame, beliefs_: DataFrame) -> DataFrame:
     """Feedback states whose dialogue turn has no beliefs."""
     known = beliefs_.select("session_id", (F.col("feedback_turn") + 1).alias("turn")).distinct()
-    return states.where("turn > 0").join(known, ["session_id", "turn"], "left_anti").select(F.lit("coverage").alias("check"), key("session_id", "turn").alias("key"), F.lit("no_bundle").alias("reason"))
+    return states.where("turn > 0").join(known.hint("merge"), ["session_id", "turn"], "left_anti").select(F.lit("coverage").alias("check"), key("session_id", "turn").alias("key"), F.lit("no_bundle").alias("reason"))
 
 
 def targets(states: DataFrame, corpus_: DataFrame) -> DataFrame:
-    out = states.select("session_id", F.col("target_index").alias("corpus_idx")).distinct().join(corpus_.select("corpus_idx"), "corpus_idx", "left_anti")
+    out = states.select("session_id", F.col("target_index").alias("corpus_idx")).distinct().join(corpus_.select("corpus_idx").hint("merge"), "corpus_idx", "left_anti")
     return out.select(F.lit("target").alias("check"), key("session_id").alias("key"), F.lit("not_in_corpus").alias("reason"))
 
 

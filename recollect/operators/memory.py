@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -52,12 +53,18 @@ def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
     return sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).select(*keys, F.col("v.x").alias("aggregate"))
 
 
+def known(vector: Column, text: Column) -> Column:
+    """vector, or an error that names the text which has none."""
+    return F.when(vector.isNull(), F.raise_error(F.concat(F.lit("no vector for "), text)).cast("array<double>")).otherwise(vector)
+
+
 def correct(states: DataFrame, mem: DataFrame, vocabulary: DataFrame, config: MemoryConfig, keys: tuple[str, ...] = ("session_id", "turn")) -> DataFrame:
     """states with vector = unit(unit(q) - lambda * unit(sum of weighted concepts)); unit(q) where there is no memory."""
     keys = list(keys)
     # a vocabulary can be large: the join is a shuffle that Spark may turn into a broadcast by its true size
-    vectors = mem.select(*keys, "surface", "weight").join(vocabulary.select(F.col("text").alias("surface"), "vector"), "surface")
-    both = states.join(summed(vectors, keys), keys, "left")
+    vectors = mem.select(*keys, "surface", "weight").join(vocabulary.select(F.col("text").alias("surface"), "vector").hint("merge"), "surface", "left")
+    vectors = vectors.withColumn("vector", known(F.col("vector"), F.col("surface")))
+    both = states.join(summed(vectors, keys).hint("merge"), keys, "left")
     q, m = S.unit(F.col("query_vector")), F.col("aggregate")
     moved = S.unit(F.zip_with(q, S.unit(m), lambda x, y: x - F.lit(config.negative_weight) * y))
     return both.withColumn("vector", F.when(m.isNotNull() & (S.norm(m) > 0), moved).otherwise(q)).drop("aggregate", "query_vector")
@@ -82,53 +89,102 @@ def ablation_queries(states: DataFrame, beliefs: DataFrame, vocabulary: DataFram
 
 
 def add_stats(events: DataFrame) -> DataFrame:
-    """How many concepts each turn's negatives added and updated, without a cap."""
+    """How many concepts each turn's negatives added and updated, without a cap: nothing is overridden or evicted then.
+
+    For the counts under a cap, or of both polarities, see turn_stats.
+    """
     first = F.row_number().over(W.partitionBy("session_id", "concept").orderBy("turn", "idx")) == 1
-    return events.withColumn("new", first).groupBy("session_id", "turn").agg(F.count_if("new").alias("added"), F.count_if(~F.col("new")).alias("updated"))
+    counts = events.withColumn("new", first).groupBy("session_id", "turn").agg(F.count_if("new").alias("added"), F.count_if(~F.col("new")).alias("updated"))
+    return counts.withColumns({"overridden": F.lit(0).cast("long"), "evicted": F.lit(0).cast("long")})
+
+
+def turn_stats(folded: DataFrame) -> DataFrame:
+    """(session_id, turn, added, updated, overridden, evicted) of a folded memory's turns that have a memory."""
+    return folded.groupBy("session_id", "turn").agg(*(F.max(c).cast("long").alias("updated" if c == "changed" else c) for c in COUNTS))
+
+
+def override_log(folded: DataFrame) -> DataFrame:
+    """(session_id, turn, concept, from, to, n) of each override, in its turn's order."""
+    return folded.groupBy("session_id", "turn").agg(F.first("matched").alias("m")).select("session_id", "turn", F.posexplode("m").alias("n", "x")).select("session_id", "turn", "n", "x.*")
 
 
 def diagnostics(states: DataFrame, mem: DataFrame) -> DataFrame:
-    """Memory sizes of all states; empty memories count."""
-    sizes = mem.groupBy("session_id", "turn").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return states.select("session_id", "turn").join(sizes, ["session_id", "turn"], "left").select("session_id", "turn", n.alias("size"), F.lit(0).cast("long").alias("positive"), n.alias("negative"), F.lit(0).cast("long").alias("overrides"))
+    """Memory sizes of all states, by polarity, and how many overrides the entries have seen; empty memories count.
+
+    A memory without polarities is one of negatives, which nothing overrides.
+    """
+    if "polarity" not in mem.columns:
+        mem = mem.withColumns({"polarity": F.lit("negative"), "overrides": F.lit(0)})
+    sizes = mem.groupBy("session_id", "turn").agg(F.count("*").alias("size"), F.count_if(F.col("polarity") == "positive").alias("positive"), F.count_if(F.col("polarity") == "negative").alias("negative"), F.sum("overrides").alias("overrides"))
+    return states.select("session_id", "turn").join(sizes.hint("merge"), ["session_id", "turn"], "left").fillna(0, ["size", "positive", "negative", "overrides"])
+
+
+FOLDED = "session_id long, turn int, concept string, name string, surface string, polarity string, confidence double, created int, updated int, position int, overrides int, added int, changed int, overridden int, evicted int, matched array<struct<concept:string,from:string,to:string>>"
+COUNTS = ["added", "changed", "overridden", "evicted"]
 
 
-FOLDED = "session_id long, turn int, concept string, surface string, polarity string, confidence double, created int, updated int, position int, overrides int, added int, changed int, evicted int"
+@dataclass
+class Entry:
+    """A remembered concept. Its key and its name are those that it came in under; surface and vector are the latest."""
 
+    name: str
+    surface: str
+    polarity: str
+    confidence: float
+    created: int
+    updated: int
+    vector: np.ndarray | None
+    overrides: int = 0
 
-def fold_session(turns: list[int], events: list[tuple], config: MemoryConfig, kept: dict[str, list] | None = None) -> Iterator[tuple]:
-    """The memory of one session after each turn, from `kept` on, which it changes; events are (turn, idx, concept, surface, confidence, vector, polarity), sorted.
 
-    Yields (turn, concept, surface, polarity, confidence, created, updated, position, overrides, added, changed, evicted); a state
-    with an empty memory yields nothing.
+def fold_session(turns: list[int], events: list[tuple], config: MemoryConfig, kept: dict[str, Entry] | None = None) -> Iterator[tuple]:
+    """The memory of one session after each turn, from `kept` on, which it changes.
+
+    events are (turn, idx, concept, surface, confidence, vector, polarity), in any order: within a turn positives come first, each
+    polarity by idx. A concept that is known, or (under semantic merging) near enough to a known one, strengthens that entry; if its
+    polarity differs, it also turns it and counts as an override. After a turn with events, the max_concepts entries that stay are
+    those updated last, of these the ones that came in last.
+    Yields (turn, concept, name, surface, polarity, confidence, created, updated, position, overrides, added, changed, overridden, evicted,
+    log of the turn's overrides); a state with an empty memory yields nothing.
     """
     kept = {} if kept is None else kept
+    by_turn: dict[int, list[tuple]] = {}
+    for e in events:
+        by_turn.setdefault(e[0], []).append(e)
     for turn in sorted(turns):
-        added = changed = evicted = 0
-        now = [e for e in events if e[0] == turn]
+        now = sorted(by_turn.get(turn, []), key=lambda e: (e[6] != "positive", e[1]))
+        count, log = dict.fromkeys(COUNTS, 0), []
         for _, _, concept, surface, confidence, vector, polarity in now:
-            key = concept if concept in kept else None
-            if key is None and config.semantic_merge and kept and vector is not None:
-                names = list(kept)
-                near = [float(np.dot(kept[k][6], vector)) if kept[k][6] is not None else -2.0 for k in names]
-                best = int(np.argmax(near))
-                key = names[best] if near[best] >= config.semantic_merge_threshold else None
+            key = concept if concept in kept else nearest(kept, vector, config)
             if key is None:
-                kept[concept] = [surface, polarity, confidence, turn, turn, 0, vector]
-                added += 1
+                kept[concept] = Entry(surface, surface, polarity, confidence, turn, turn, vector)
+                count["added"] += 1
                 continue
-            e = kept[key]
-            flipped = e[1] != polarity
-            e[2] = min(1.0, max(e[2], confidence) + config.override_boost) if flipped else max(e[2], confidence)
-            e[0], e[1], e[4], e[5], e[6] = surface, polarity, turn, e[5] + flipped, vector
-            changed += 1
-        if now and len(kept) > config.max_concepts:
-            for k in sorted(kept, key=lambda k: kept[k][4])[: len(kept) - config.max_concepts]:
+            old = kept[key]
+            strength = max(old.confidence, confidence)
+            if old.polarity != polarity:
+                strength = min(1.0, strength + config.override_boost)
+                log.append((key, old.polarity, polarity))
+            turned = old.polarity != polarity
+            kept[key] = Entry(old.name, surface, polarity, strength, old.created, turn, vector, old.overrides + turned)
+            count["overridden" if turned else "changed"] += 1
+        if now:
+            place = {k: n for n, k in enumerate(kept)}
+            stay = set(sorted(kept, key=lambda k: (kept[k].updated, place[k]), reverse=True)[: config.max_concepts])
+            count["evicted"] = len(kept) - len(stay)
+            for k in set(kept) - stay:
                 del kept[k]
-                evicted += 1
         for n, (k, e) in enumerate(kept.items()):
-            yield turn, k, e[0], e[1], e[2], e[3], e[4], n, e[5], added, changed, evicted
+            yield turn, k, e.name, e.surface, e.polarity, e.confidence, e.created, e.updated, n, e.overrides, *count.values(), log
+
+
+def nearest(kept: dict[str, Entry], vector: np.ndarray | None, config: MemoryConfig) -> str | None:
+    """The entry most like the vector, the first of equals, if semantic merging is on and it is like enough."""
+    if not config.semantic_merge or vector is None:
+        return None
+    like = [(float(np.dot(e.vector, vector)), -n, k) for n, (k, e) in enumerate(kept.items()) if e.vector is not None]
+    best = max(like, default=(-2.0, 0, None))
+    return best[2] if best[0] >= config.semantic_merge_threshold else None
 
 
 def folded_memory(states: DataFrame, events: DataFrame, vocabulary: DataFrame | None, config: MemoryConfig) -> DataFrame:
@@ -139,14 +195,15 @@ def folded_memory(states: DataFrame, events: DataFrame, vocabulary: DataFrame |
     if "polarity" not in events.columns:
         events = events.withColumn("polarity", F.lit("negative"))
     if vocabulary is not None:
-        events = events.join(vocabulary.select(F.col("text").alias("attribute"), S.unit(F.col("vector")).alias("vector")), "attribute", "left")
+        vectors = vocabulary.select(F.col("text").alias("attribute"), S.unit(F.col("vector")).alias("vector"))
+        events = events.join(vectors.hint("merge"), "attribute", "left").withColumn("vector", known(F.col("vector"), F.col("attribute")))
     else:
         events = events.withColumn("vector", F.lit(None).cast("array<double>"))
 
     def fold(key: tuple, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        e = e.sort_values(["turn", "idx"])
         rows = list(zip(e["turn"], e["idx"], e["concept"], e["attribute"], e["confidence"], e["vector"], e["polarity"], strict=True))
-        return pd.DataFrame([(key[0], *r) for r in fold_session(s["turn"].tolist(), rows, config)], columns=[c.split()[0] for c in FOLDED.split(", ")])
+        found = [(key[0], *r[:-1], [dict(zip(("concept", "from", "to"), x, strict=True)) for x in r[-1]]) for r in fold_session(s["turn"].tolist(), rows, config)]
+        return pd.DataFrame(found, columns=[c.split()[0] for c in FOLDED.split(", ")])
 
     return states.select("session_id", "turn").groupBy("session_id").cogroup(events.groupBy("session_id")).applyInPandas(fold, FOLDED)
 
@@ -155,7 +212,7 @@ def capped_memory(states: DataFrame, events: DataFrame, config: MemoryConfig) ->
     """memory() under a cap: sessions that never reach it take the closed form, the others the fold."""
     columns = ["session_id", "turn", "concept", "surface", "confidence", "created", "updated"]
     # a bundle may pass the cap for a moment, but a session with no more distinct concepts than the cap never evicts
-    over = events.groupBy("session_id").agg(F.count_distinct("concept").alias("n")).where(F.col("n") > config.max_concepts).select("session_id")
+    over = events.groupBy("session_id").agg(F.count_distinct("concept").alias("n")).where(F.col("n") > config.max_concepts).select("session_id").hint("merge")
     free = memory(states.join(over, "session_id", "left_anti"), events).select(columns)
     bound = folded_memory(states.join(over, "session_id", "left_semi"), events.join(over, "session_id", "left_semi"), None, config)
     return free.unionByName(bound.select(columns))
@@ -172,6 +229,7 @@ def text_queries(states: DataFrame, texts: DataFrame, encoded: DataFrame, only_m
     """Query vectors from encoded texts; states without memory keep the host's vector, unless all are re-encoded."""
     v = encoded.select("text", F.col("vector").alias("encoded"))
     wanted = texts.where("has_memory") if only_memory else texts
-    both = states.join(wanted.join(v, "text").select("session_id", "turn", "encoded"), ["session_id", "turn"], "left")
+    found = wanted.join(v.hint("merge"), "text", "left").select("session_id", "turn", known(F.col("encoded"), F.col("text")).alias("encoded"))
+    both = states.join(found.hint("merge"), ["session_id", "turn"], "left")
     vector: Column = F.coalesce("encoded", "query_vector") if only_memory else F.col("encoded")
     return both.select("session_id", "turn", "target_index", S.unit(vector).alias("vector"))

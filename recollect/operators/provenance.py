@@ -2,60 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
 
+#: Digests of rows are combined within so many buckets, then over them.
+BUCKETS = 4096
+
+
 def content(df: DataFrame, *columns: str) -> DataFrame:
-    """(rows, mix, total): a digest of a table's keyed rows, whatever their order and partitions; rows that stand twice count."""
-    h = F.xxhash64(*columns)
-    return df.select(h.alias("h")).agg(F.count("*").alias("rows"), F.bit_xor("h").alias("mix"), F.sum(F.col("h").cast("decimal(38,0)")).alias("total"))
+    """(rows, digest): SHA-256 of a table's keyed rows, whatever their order and partitions; rows that stand twice count.
+
+    A bucket's digest is that of its rows' digests in order; equal rows are one digest with a number, so that no bucket grows with copies.
+    """
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    each = df.select(row.alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    # four levels of 16 bits' worth of order: sums of a digest's parts as exact decimals can't hide a changed row, as each part is hashed with its number
+    parts = [F.conv(F.substring(F.sha2(F.concat_ws(":", "h", "n"), 256), 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
+    sums = each.groupBy(F.conv(F.substring("h", 1, 3), 16, 10).cast("int").alias("bucket")).agg(F.sum("n").alias("n"), *(F.sum(p).alias(f"s{k}") for k, p in enumerate(parts)))
+    told = F.sha2(F.concat_ws(":", "bucket", "n", *(f"s{k}" for k in range(4))), 256)
+    # at most BUCKETS rows
+    return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("bucket", told.alias("d"))))["d"], ""), 256).alias("digest"))
 
 
 def identity(states: DataFrame) -> DataFrame:
     """Number of sessions, turns, dimensions, and the digest of (session, target) pairs."""
     pairs = content(states.select("session_id", "target_index").distinct(), "session_id", "target_index")
     sizes = states.agg(F.count_distinct("session_id").alias("sessions"), F.count_distinct("turn").alias("turns"), F.min(F.size("query_vector")).alias("dimension"))
-    return sizes.withColumn("one", F.lit(1)).join(pairs.withColumn("one", F.lit(1)), "one").drop("one")
+    return beside(sizes, pairs)
 
 
-def pairing_fingerprint(states: DataFrame, corpus: DataFrame) -> str:
-    """Equal for runs over the same sessions, targets and corpus."""
-    s = content(states, "session_id", "turn", "target_index", "query_vector")
-    c = content(corpus, "corpus_idx", "vector")
-    named = lambda df, p: df.select(*(F.col(x).alias(p + x) for x in df.columns), F.lit(1).alias("one"))
-    both = named(s, "s_").join(named(c, "c_"), "one")
-    return both.select(S.digest(*(F.col(x) for x in sorted(both.columns)))).first()[0]
+def beside(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two tables of one row as one."""
+    return a.withColumn("one", F.lit(1)).join(F.broadcast(b.withColumn("one", F.lit(1))), "one").drop("one")
 
 
-def evaluation_fingerprint(pairing: str, method: str, parameters: dict[str, str], adapter: str | None = None, revision: str | None = None, spark=None) -> str:
+def pairing_fingerprint(states: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(pairing_fp), one row: equal for runs over the same sessions, targets and corpus."""
+    named = lambda df, p: df.toDF(*(p + c for c in df.columns))
+    both = beside(named(content(states, "session_id", "turn", "target_index", "query_vector"), "s_"), named(content(corpus, "corpus_idx", "vector"), "c_"))
+    return both.select(S.digest(*(F.col(x) for x in sorted(both.columns))).alias("pairing_fp"))
+
+
+def evaluation_fingerprint(pairing: Column, method: Column, parameters: dict[str, Column], adapter: Column, revision: Column) -> Column:
     """Tells runs apart that share a pairing: by method and parameters; h0 has no adapter."""
-    facts = {"adapter": None if method == "h0" else adapter, "method": method, "pairing": pairing, "revision": None if method == "h0" else revision, **parameters}
-    row = spark.range(1).select(S.digest(*(F.lit(facts[k]).cast("string").alias(k) for k in sorted(facts))))
-    return row.first()[0]
+    unless_h0 = lambda c: F.when(method != "h0", c)
+    facts = {"adapter": unless_h0(adapter), "method": method, "pairing": pairing, "revision": unless_h0(revision), **parameters}
+    return S.digest(*(facts[k].cast("string").alias(k) for k in sorted(facts)))
+
+
+#: The reasons that a comparison reports.
+REASONS = ["rank_shape_mismatch", "missing_pairing_fingerprint", "pairing_fingerprint_mismatch", "session_ids_mismatch", "target_indices_mismatch"]
+
+
+def verify_pairings(runs: DataFrame, ranks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(baseline, candidate, verified, reasons) of (baseline, candidate) pairs: whether statistics of the two runs may be paired.
+
+    runs has run_id and pairing_fp; ranks has run_id, session_id, turn and target_index. A run without a record has no fingerprint.
+    """
+    fp = runs.select("run_id", F.nullif(F.trim("pairing_fp"), F.lit("")).alias("fp"))
+    shape = ranks.groupBy("run_id").agg(F.count_distinct("session_id").alias("s"), F.count_distinct("turn").alias("t"))
+    facts = shape.join(fp.hint("merge"), "run_id", "left")
+    side = lambda name, p: facts.select(F.col("run_id").alias(name), *(F.col(c).alias(p + c) for c in ("s", "t", "fp")))
+    keys = ranks.select("run_id", "session_id", "target_index").distinct()
+    of = lambda name: pairs.join(keys.withColumnRenamed("run_id", name).hint("merge"), name).select("baseline", "candidate", "session_id", "target_index")
+    count = lambda columns, out: (
+        of("baseline").select(columns).distinct().withColumn("n", F.lit(1)).unionByName(of("candidate").select(columns).distinct().withColumn("n", F.lit(-1)))
+        .groupBy(columns).agg(F.sum("n").alias("n")).where("n <> 0").groupBy("baseline", "candidate").agg(F.count("*").alias(out))
+    )
+    both = pairs.join(side("baseline", "a").hint("merge"), "baseline", "left").join(side("candidate", "b").hint("merge"), "candidate", "left")
+    for columns, out in ((["baseline", "candidate", "session_id"], "lone_ids"), (["baseline", "candidate", "session_id", "target_index"], "lone")):
+        both = both.join(count(columns, out).hint("merge"), ["baseline", "candidate"], "left")
+    holds = [
+        ~(F.col("as").eqNullSafe(F.col("bs")) & F.col("at").eqNullSafe(F.col("bt"))),
+        F.col("afp").isNull() | F.col("bfp").isNull(),
+        F.col("afp") != F.col("bfp"),
+        F.col("lone_ids") > 0,
+        F.col("lone") > 0,
+    ]
+    reasons = F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in zip(REASONS, holds, strict=True))))
+    return both.select("baseline", "candidate", (F.size(reasons) == 0).alias("verified"), reasons.alias("reasons"))
 
 
 def verify_pairing(runs: DataFrame, ranks: DataFrame, baseline: str, candidate: str) -> DataFrame:
-    """(verified, reasons): whether statistics of the two runs may be paired."""
-    one = lambda r, p: runs.where(F.col("run_id") == r).select(F.lit(1).alias("one"), F.nullif(F.trim("pairing_fp"), F.lit("")).alias(p))
-    shape = lambda r, p: ranks.where(F.col("run_id") == r).agg(F.count_distinct("session_id").alias(p + "s"), F.count_distinct("turn").alias(p + "t")).withColumn("one", F.lit(1))
-    keys = lambda r: ranks.where(F.col("run_id") == r).select("session_id", "target_index").distinct()
-    a, b = keys(baseline), keys(candidate)
-    lone = a.exceptAll(b).unionByName(b.exceptAll(a))
-    lone_ids = a.select("session_id").exceptAll(b.select("session_id")).unionByName(b.select("session_id").exceptAll(a.select("session_id")))
-    facts = shape(baseline, "a").join(shape(candidate, "b"), "one").join(one(baseline, "fa"), "one", "left").join(one(candidate, "fb"), "one", "left")
-    facts = facts.join(lone.agg(F.count("*").alias("lone"), F.lit(1).alias("one")), "one").join(lone_ids.agg(F.count("*").alias("lone_ids"), F.lit(1).alias("one")), "one")
-    told = {
-        "rank_shape_mismatch": (F.col("as") != F.col("bs")) | (F.col("at") != F.col("bt")),
-        "missing_pairing_fingerprint": F.col("fa").isNull() | F.col("fb").isNull(),
-        "pairing_fingerprint_mismatch": F.col("fa") != F.col("fb"),
-        "session_ids_mismatch": F.col("lone_ids") > 0,
-        "target_indices_mismatch": F.col("lone") > 0,
-    }
-    reasons = F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in told.items())))
-    return facts.select((F.size(reasons) == 0).alias("verified"), reasons.alias("reasons"))
+    """(verified, reasons) of one pair."""
+    pair = runs.sparkSession.range(1).select(F.lit(baseline).alias("baseline"), F.lit(candidate).alias("candidate"))
+    own = F.col("run_id").isin(baseline, candidate)
+    return verify_pairings(runs.where(own), ranks.where(own), pair).select("verified", "reasons")
+
+
+def statuses(found: DataFrame, allow_unverified: bool = False) -> DataFrame:
+    """found with what the gate says of each pair: verified, legacy_unverified (let pass) or refused."""
+    return found.withColumn("status", F.when(F.col("verified"), "verified").otherwise("legacy_unverified" if allow_unverified else "refused"))
 
 
 def gate(runs: DataFrame, ranks: DataFrame, baseline: str, candidate: str, allow_unverified: bool = False) -> str:

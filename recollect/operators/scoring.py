@@ -1,8 +1,8 @@
 """Exact target ranks and top-k of queries over a corpus.
 
-Ranks and top-k are additive over blocks of the corpus. Queries and corpus are packed into blocks that meet in an equi-join on
-the query block; each meeting is one matrix product in a Python worker, which returns counts and a local top-k, so that no
-(query, item) row is ever made. Scores are compared as whole billionths, ties go to the lower corpus index.
+Ranks and top-k are additive over blocks of the corpus. Queries and corpus are packed into blocks; the query blocks, which are fewer,
+are sent to the corpus blocks, which stay where they were packed. Each meeting is one matrix product in a Python worker, which
+returns counts and a local top-k, so that no (query, item) row is ever made. Scores are compared as whole billionths, ties go to the lower corpus index.
 """
 
 from __future__ import annotations
@@ -39,10 +39,10 @@ def scores(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     items = corpus.select("corpus_idx", S.unit(F.col("vector")).alias("vector"))
     target = items.select(F.col("corpus_idx").alias("target_index"), F.col("vector").alias("t"))
     own = F.round(S.dot(F.col("vector"), F.col("t")) * SCALE).cast("long")
-    q = queries.join(target, "target_index").select(*KEYS, "target_index", own.alias("own"), "vector")
-    qb, n = packed(written(q, "queries"), QUERIES, "qb", KEYS)
-    cb, _ = packed(items, ITEMS, "cb", ["corpus_idx"])
-    met = cb.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).hint("shuffle_hash").join(qb, "qb").repartition("qb", "cb")
+    q = queries.join(target.hint("merge"), "target_index").select(*KEYS, "target_index", own.alias("own"), "vector")
+    qb, _ = packed(written(q, "queries"), QUERIES, "qb", KEYS)
+    cb, n = packed(items, ITEMS, "cb", ["corpus_idx"])
+    met = qb.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(cb.hint("merge"), "cb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,14 +75,26 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def native_ranks(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """The same ranks by column functions, for small corpora: a row for each query and item, in an equi-join on dealt blocks."""
+    """The same ranks by column functions: a corpus block is one row, and each (query, block) row gives its counts by higher-order functions."""
     items = corpus.select("corpus_idx", S.unit(F.col("vector")).alias("c"))
     target = items.select(F.col("corpus_idx").alias("target_index"), F.col("c").alias("t"))
-    nano = lambda a, b: F.round(S.dot(F.col(a), F.col(b)) * SCALE).cast("long")
-    q = queries.join(target, "target_index").withColumn("own", nano("vector", "t")).drop("t")
-    parts = 8
-    both = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(items.withColumn("part", F.pmod(F.xxhash64("corpus_idx"), F.lit(parts)).cast("int")).hint("shuffle_hash"), "part")
-    s = nano("vector", "c")
-    both = both.select(*KEYS, "target_index", "corpus_idx", "own", s.alias("s"))
-    counted = F.count_if((F.col("s") > F.col("own")) & (F.col("corpus_idx") != F.col("target_index"))) + F.count_if((F.col("s") == F.col("own")) & (F.col("corpus_idx") < F.col("target_index")))
-    return both.groupBy(*KEYS).agg(counted.alias("rank"))
+    nano = lambda a, b: F.round(S.dot(a, b) * SCALE).cast("long")
+    q = queries.join(target.hint("merge"), "target_index").select(*KEYS, "target_index", "vector", nano(F.col("vector"), F.col("t")).alias("own"))
+    cb, n = packed(items, ITEMS, "cb", ["corpus_idx"])
+    met = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(cb.hint("merge"), "cb")
+    scored = met.withColumn("s", F.transform("cb_rows", lambda x: F.struct(x["corpus_idx"].alias("i"), nano(F.col("vector"), x["c"]).alias("s"))))
+    ahead = F.size(F.filter("s", lambda x: (x["i"] != F.col("target_index")) & ((x["s"] > F.col("own")) | ((x["s"] == F.col("own")) & (x["i"] < F.col("target_index"))))))
+    return scored.groupBy(*KEYS).agg(F.sum(ahead).cast("long").alias("rank"))
+
+
+def rank_table(ranks: DataFrame, states: DataFrame) -> DataFrame:
+    """The ranks of all runs, proven to be matrices: each run has every state once, all sessions as many turns, and each a target."""
+    turns = states.groupBy("session_id").agg(F.count("*").alias("t"), F.count("target_index").alias("g"))
+    facts = turns.agg(F.count_distinct("t").alias("lengths"), F.count_if(F.col("g") < F.col("t")).alias("no_target"), F.sum("t").alias("states")).first()
+    if facts.lengths != 1 or facts.no_target:
+        raise ValueError(f"{facts.lengths} numbers of turns a session, {facts.no_target} sessions without a target")
+    lone = ranks.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("session_id", "turn").alias("d"))
+    odd = lone.where((F.col("n") != facts.states) | (F.col("d") != facts.states)).select("run_id").limit(5).collect()
+    if odd:
+        raise ValueError(f"runs without one rank for each state: {sorted(r.run_id for r in odd)}")
+    return ranks.select(*KEYS, "rank")

@@ -10,61 +10,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from .metrics import session_bri
+from .provenance import gate
+
+
+#: Places of a replicate that are made together, and units up to which they are broadcast (40 bytes each); beyond, they are joined by a shuffle.
+PLACES, BROADCAST_UNITS = 4096, 200_000
+
+
+def checked(rank: Column) -> Column:
+    """rank, or an error if it is none."""
+    return F.when(rank.isNull() | (rank < 0), F.raise_error(F.lit("ranks must be 0 or more")).cast("long")).otherwise(rank)
 
 
 def paired(ranks: DataFrame, baseline: str, candidate: str) -> DataFrame:
-    """(session_id, turn, b, c): ranks of two runs side by side."""
-    one = lambda run, name: ranks.where(F.col("run_id") == run).select("session_id", "turn", F.col("rank").alias(name))
-    return one(baseline, "b").join(one(candidate, "c"), ["session_id", "turn"])
+    """(session_id, turn, b, c): ranks of two runs side by side; ranks below 0 are refused."""
+    one = lambda run, name: ranks.where(F.col("run_id") == run).select("session_id", "turn", checked(F.col("rank")).alias(name))
+    return one(baseline, "b").join(one(candidate, "c").hint("merge"), ["session_id", "turn"])
 
 
 def differences(pairs: DataFrame, k: int = 10) -> DataFrame:
+    if k < 1:
+        raise ValueError("k must be 1 or more")
     return pairs.withColumn("d", (F.col("c") < k).cast("double") - (F.col("b") < k).cast("double"))
 
 
-def draw(seed: int, replicate: Column, place: Column, n: Column) -> Column:
-    """A number below n from the first 32 bits of md5(seed:replicate:place)."""
-    return (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), replicate, place)), 1, 8), 16, 10).cast("long") % n).cast("long")
+def draws(seed: int, replicate: Column, four: Column, n: Column) -> Column:
+    """Numbers below n for the places 4 * four to 4 * four + 3: from 32 bits each of md5(seed:replicate:four)."""
+    return F.transform(F.array(F.md5(F.concat_ws(":", F.lit(seed), replicate, four).cast("binary"))), lambda h: F.array(*(F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("long") % n for k in range(4))))[0]
 
 
-def in_order(units: DataFrame, group: str, wide: int = 4096) -> DataFrame:
-    """units numbered from 0 by session_id within their group: within ranges of ids, and by what the ranges before hold."""
+def in_order(units: DataFrame, group: str, wide: int = 4096, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """units numbered from 0 by `by`, which begins with session_id, within their group: within ranges of ids, and by what the ranges before hold."""
     units = units.withColumn("range", F.floor(F.col("session_id") / wide))
     sizes = units.groupBy(group, "range").agg(F.count("*").alias("m"))
     offsets = sizes.withColumn("base", F.sum("m").over(W.partitionBy(group).orderBy("range")) - F.col("m")).drop("m")
-    inside = units.withColumn("in", F.row_number().over(W.partitionBy(group, "range").orderBy("session_id")) - 1)
+    inside = units.withColumn("in", F.row_number().over(W.partitionBy(group, "range").orderBy(*by)) - 1)
     return inside.join(offsets.hint("merge"), [group, "range"]).withColumn("no", F.col("in") + F.col("base")).drop("in", "base", "range")
 
 
 def bootstrap(units: DataFrame, group: str, samples: int, seed: int, confidence: float = 0.95, scale: float = 100.0) -> DataFrame:
     """(group, delta, ci_low, ci_high) from (group, session_id, s, c) units: the ratio of sums, its percentiles over resamples of sessions.
 
-    Equal (s, c) units are interchangeable, but a draw names one by its number: all are kept.
+    Equal (s, c) units are interchangeable, but a draw names one by its number: all are kept. A group's grid of replicates and
+    places is dealt by replicate before places are made, so that no task makes a group's draws alone.
     """
-    numbered = in_order(units, group)
-    n = units.groupBy(group).agg(F.count("*").alias("n"), (scale * F.sum("s") / F.sum("c")).alias("delta"))
-    grid = n.select(group, "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate")).select(group, "n", "replicate", F.explode(F.expr("sequence(0, n - 1)")).alias("place"))
-    drawn = grid.select(group, "replicate", draw(seed, F.col("replicate"), F.col("place"), F.col("n")).alias("no"))
-    # draws of one replicate and unit are counted before they meet the units
-    counted = drawn.groupBy(group, "replicate", "no").agg(F.count("*").alias("times"))
-    means = counted.join(numbered.hint("shuffle_hash"), [group, "no"]).groupBy(group, "replicate").agg((scale * F.sum(F.col("s") * F.col("times")) / F.sum(F.col("c") * F.col("times"))).alias("m"))
+    if samples < 100:
+        raise ValueError("a bootstrap needs 100 samples or more")
+    if not 0 < confidence < 1:
+        raise ValueError("confidence must lie between 0 and 1")
+    numbered = written(in_order(units, group).select(group, "no", "s", "c"), "units")
+    small = numbered.count() <= BROADCAST_UNITS
+    n = numbered.groupBy(group).agg(F.count("*").alias("n"), (scale * F.sum("s") / F.sum("c")).alias("delta"))
+    fours = PLACES // 4
+    grid = n.select(group, "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate")).withColumn("part", F.explode(F.expr(f"sequence(0, (n - 1) div {PLACES})"))).repartition(group, "replicate", "part")
+    grid = grid.select(group, "n", "replicate", F.explode(F.expr(f"sequence(part * {fours}, least((n + 3) div 4, (part + 1) * {fours}) - 1)")).alias("four"))
+    drawn = grid.select(group, "n", "replicate", "four", F.posexplode(draws(seed, F.col("replicate"), F.col("four"), F.col("n"))).alias("k", "no")).where("4 * four + k < n")
+    met = drawn.select(group, "replicate", "no").join(F.broadcast(numbered) if small else numbered.hint("shuffle_hash"), [group, "no"])
+    means = met.groupBy(group, "replicate").agg((scale * F.sum("s") / F.sum("c")).alias("m"))
     tail = (1 - confidence) / 2
-    return n.join(means.groupBy(group).agg(F.expr(f"percentile(m, {tail})").alias("ci_low"), F.expr(f"percentile(m, {1 - tail})").alias("ci_high")), group, "left").select(group, "delta", "ci_low", "ci_high")
+    return n.join(means.groupBy(group).agg(F.expr(f"percentile(m, {tail})").alias("ci_low"), F.expr(f"percentile(m, {1 - tail})").alias("ci_high")).hint("merge"), group, "left").select(group, "delta", "ci_low", "ci_high")
 
 
 def recall_delta(ranks: DataFrame, baseline: str, candidate: str, k: int = 10, samples: int = 10_000, seed: int = 42, only_last: bool = False) -> DataFrame:
     """(turn, delta, ci_low, ci_high) of recall in percent points."""
     d = differences(paired(ranks, baseline, candidate), k).select("turn", "session_id", F.col("d").alias("s"), F.lit(1.0).alias("c"))
     if only_last:
-        d = d.join(d.agg(F.max("turn").alias("turn")), "turn", "left_semi")
+        d = d.join(F.broadcast(d.agg(F.max("turn").alias("turn"))), "turn", "left_semi")  # one row
     return bootstrap(d, "turn", samples, seed)
 
 
 def bri_delta(ranks: DataFrame, baseline: str, candidate: str, samples: int = 10_000, seed: int = 42) -> DataFrame:
     bri = session_bri(ranks)
     one = lambda run, name: bri.where(F.col("run_id") == run).select("session_id", F.col("bri").alias(name))
-    d = one(baseline, "b").join(one(candidate, "x"), "session_id").select(F.lit("all").alias("metric"), "session_id", (F.col("x") - F.col("b")).alias("s"), F.lit(1.0).alias("c"))
+    d = one(baseline, "b").join(one(candidate, "x").hint("merge"), "session_id").select(F.lit("all").alias("metric"), "session_id", (F.col("x") - F.col("b")).alias("s"), F.lit(1.0).alias("c"))
     return bootstrap(d, "metric", samples, seed, scale=1.0)
 
 
@@ -84,18 +104,26 @@ def mcnemar(pairs: DataFrame, k: int = 10) -> DataFrame:
 
 
 def holm(pvalues: DataFrame, order: str = "turn") -> DataFrame:
-    """pvalues with adjusted p: a family is small, one row a test."""
+    """pvalues with adjusted p: a family is small, one row a test. A p outside [0, 1] is refused."""
+    bad = F.col("p").isNull() | F.isnan("p") | (F.col("p") < 0) | (F.col("p") > 1)
+    pvalues = pvalues.withColumn("p", F.when(bad, F.raise_error(F.lit("p-values must lie in [0, 1]")).cast("double")).otherwise(F.col("p")))
     by = W.orderBy("p", order)
     step = F.least(F.lit(1.0), (F.count("*").over(W.partitionBy()) - F.row_number().over(by) + 1) * F.col("p"))
     return pvalues.withColumn("step", step).withColumn("p_holm", F.max("step").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("step")
 
 
-def compare(ranks: DataFrame, baseline: str, candidate: str, k: int = 10, samples: int = 10_000, seed: int = 42) -> DataFrame:
-    """The report by turn: recall deltas, test, and adjusted p over the feedback turns (null at turn 0)."""
+def compare(ranks: DataFrame, baseline: str, candidate: str, k: int = 10, samples: int = 10_000, seed: int = 42, runs: DataFrame | None = None, allow_unverified: bool = False) -> DataFrame:
+    """The report by turn: recall deltas, test, and adjusted p over the feedback turns (null at turn 0), under the pairing's status.
+
+    runs (run_id, pairing_fp) must prove that the two are paired; without proof this raises, unless told to let them pass.
+    """
+    known = runs if runs is not None else ranks.select("run_id", F.lit(None).cast("string").alias("pairing_fp")).limit(0)
+    status = gate(known, ranks if "target_index" in ranks.columns else ranks.withColumn("target_index", F.lit(None).cast("long")), baseline, candidate, allow_unverified)
     pairs = paired(ranks, baseline, candidate)
     tests = mcnemar(pairs, k)
     adjusted = holm(tests.where("turn >= 1")).select("turn", "p_holm")
-    return recall_delta(ranks, baseline, candidate, k, samples, seed).join(tests, "turn").join(adjusted, "turn", "left")
+    deltas = recall_delta(ranks, baseline, candidate, k, samples, seed)
+    return deltas.join(tests.hint("merge"), "turn").join(adjusted.hint("merge"), "turn", "left").withColumn("pairing", F.lit(status))
 
 
 def rank_differences(ranks: DataFrame, baseline: str, candidate: str, k: int = 10) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from .retrieval import *  # noqa: F403
-from .retrieval import K2, KF, KI, LEXICAL, METHODS, MODES, ORACLE_SQL, QUERIES, SAMPLES, SEED, SUMMARY, TOP_K, CANON, CONFIG, F, MemoryConfig, S, SparkSession, DataFrame, W, uuid, ablation, analysis, audits, bootstrap_sql, broken_beliefs, broken_ranks, broken_states, broken_structured, checks, clean, concept_events, dialogs, embed, encoded, events, fx, live_memory, mem, memory, metrics, provenance, query, ranks, runs, scored, scoring, settings, shared_dir, sizes, stats, tables, text_ranks, tops, unit_sql, violations_sql, weight_sql, written
+from .retrieval import K2, KF, KI, LEXICAL, CLUSTER_SAMPLES, CLUSTER_SEED, METHODS, MODES, ORACLE_SQL, QUERIES, SAMPLES, SEED, SUMMARY, TOP_K, CANON, CONFIG, F, MemoryConfig, S, SparkSession, DataFrame, W, uuid, ablation, analysis, audits, bootstrap_sql, bucketed, fingerprinted, shaken, broken_beliefs, broken_ranks, broken_states, broken_structured, checks, clean, concept_events, dialogs, embed, encoded, events, fx, live_memory, mem, memory, metrics, provenance, query, ranks, runs, scored, scoring, settings, shared_dir, sizes, stats, tables, text_ranks, tops, unit_sql, violations_sql, weight_sql, written
 
 FIRST = "list_sum(v) AS"
 
@@ -13,12 +15,13 @@ def path(spark: SparkSession, what: str) -> str:
 
 
 def first3(v: str):
-    """A vector as three of its components, for comparing."""
-    return [F.round(F.get(v, F.lit(k)), 9).alias(f"{v}_{k}") for k in range(3)]
+    """A vector as three of its components, and a sum that all of them are in, for comparing."""
+    every = F.aggregate(F.transform(v, lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    return [*(F.round(F.get(v, F.lit(k)), 9).alias(f"{v}_{k}") for k in range(3)), F.round(every, 6).alias(f"{v}_all")]
 
 
 def first3_sql(v: str, name: str) -> str:
-    return ", ".join(f"round({v}[{k + 1}], 9) {name}_{k}" for k in range(3))
+    return ", ".join(f"round({v}[{k + 1}], 9) {name}_{k}" for k in range(3)) + f", round(list_sum(list_transform({v}, lambda x, k: x * k)), 6) {name}_all"
 
 
 # ---- A: sources and sinks
@@ -33,12 +36,11 @@ def a2(spark, sf):
     return tables.turns_of_sessions(spark.read.parquet(p)).select("session_id", "turn", "query_text", "target_index", *first3("query_vector"))
 
 
-@query("a3_beliefs", "SELECT session_id, feedback_turn, polarity, idx, trim(attribute) attribute, round(confidence, 6) confidence FROM beliefs")
+@query("a3_beliefs", "SELECT session_id, feedback_turn, polarity, idx, trim(attribute) attribute, round(confidence, 6) confidence, CASE WHEN idx = 1 THEN 'colour' ELSE 'unknown' END fact_type FROM beliefs")
 def a3(spark, sf):
     p = path(spark, "beliefs-json")
-    tables.write_beliefs(fx.beliefs(spark, sf), p)
-    found = tables.explode_beliefs(spark.read.schema(tables.BELIEFS_JSON).json(p))
-    return found.select("session_id", "feedback_turn", "polarity", "idx", "attribute", F.round("confidence", 6).alias("confidence"))
+    tables.write_beliefs(fx.beliefs(spark, sf).withColumn("fact_type", F.when(F.col("idx") == 1, "colour")), p)
+    return tables.read_beliefs(spark, p).select("session_id", "feedback_turn", "polarity", "idx", "attribute", F.round("confidence", 6).alias("confidence"), "fact_type")
 
 
 @query("a4_structured", "SELECT session_id, feedback_turn, idx, negative_attribute, actionable, sem_type FROM structured")
@@ -46,8 +48,24 @@ def a4(spark, sf):
     p = path(spark, "structured-json")
     item = F.struct(F.col("session_id").alias("dialog_id"), F.col("feedback_turn").alias("turn"), F.col("idx").alias("negative_index"), "negative_attribute", F.col("actionable").alias("actionable_negative"), F.struct(F.lower("sem_type").alias("type")).alias("typing"))
     fx.structured(spark, sf).select(F.array(item).alias("items")).write.json(p)
-    found = spark.read.schema(tables.STRUCTURED_JSON).json(p).select(F.explode("items").alias("i"))
-    return found.select(F.col("i.dialog_id").alias("session_id"), F.col("i.turn").alias("feedback_turn"), F.col("i.negative_index").alias("idx"), F.col("i.negative_attribute").alias("negative_attribute"), F.col("i.actionable_negative").alias("actionable"), F.upper(F.trim("i.typing.type")).alias("sem_type"))
+    return tables.read_structured(spark, p).select("session_id", "feedback_turn", "idx", "negative_attribute", "actionable", "sem_type")
+
+
+CONFIGS = """(SELECT session_id config_id, coalesce(CASE WHEN session_id % 3 <> 0 THEN (session_id % 7 - 1) / 10.0::DOUBLE END, 0.275::DOUBLE) negative_weight, 0.10::DOUBLE recency_decay, 0.15::DOUBLE override_boost, (session_id % 5)::DOUBLE max_concepts,
+  CASE WHEN session_id % 4 = 1 THEN 1.5::DOUBLE ELSE 0.85::DOUBLE END semantic_merge_threshold, session_id % 2 = 0 semantic_merge, coalesce(CASE WHEN session_id % 4 <> 0 THEN session_id % 6 END, 1000) top_k FROM (SELECT DISTINCT session_id FROM states))"""
+
+
+def configs(spark, sf) -> DataFrame:
+    """A configuration for each session, some values left out, some bad."""
+    p, i = path(spark, "configs"), F.col("session_id")
+    memory_ = F.struct(
+        F.when(i % 3 != 0, (i % 7 - 1) / F.lit(10.0)).alias("negative_weight"), (i % 5).alias("max_concepts"), F.when(i % 4 == 1, 1.5).alias("semantic_merge_threshold"), F.when(i % 2 == 0, F.lit(True)).alias("semantic_merge")
+    )
+    dialogs(spark, sf).select(i.alias("config_id"), memory_.alias("memory"), F.when(i % 4 != 0, i % 6).alias("top_k")).write.json(p)
+    return tables.read_configs(spark, p)
+
+
+query("a5_configs", f"SELECT * REPLACE (round(negative_weight, 6) AS negative_weight) FROM {CONFIGS}")(lambda spark, sf: configs(spark, sf).withColumn("negative_weight", F.round("negative_weight", 6)))
 
 
 @query("a6_rank_archive", "SELECT run_id, session_id, turn, rank FROM ranks")
@@ -121,14 +139,21 @@ query("a16_named_runs", "SELECT 'x-' || run_id run_id, session_id, turn, rank FR
 
 # ---- B: checks
 
-query("b1_beliefs", violations_sql("belief", "broken_beliefs", f"{KF} || ':' || polarity || ':' || idx", {"empty_attribute": "trim(attribute) = ''", "confidence_out_of_range": "NOT confidence BETWEEN 0 AND 1"}))(lambda spark, sf: checks.beliefs(broken_beliefs(spark, sf)))
-query("b2_bundles", violations_sql("bundle", "broken_beliefs", KF, {"unknown_polarity": "polarity NOT IN ('positive', 'negative')"}))(lambda spark, sf: checks.bundles(broken_beliefs(spark, sf)))
+query("b1_beliefs", violations_sql("belief", "broken_beliefs", f"{KF} || ':' || polarity || ':' || idx", {"empty_attribute": "trim(attribute) = ''", "confidence_out_of_range": "NOT confidence BETWEEN 0 AND 1", "empty_fact_type": "session_id % 7 = 2"}))(
+    lambda spark, sf: checks.beliefs(broken_beliefs(spark, sf).withColumn("fact_type", F.when(F.col("session_id") % 7 == 2, " ").otherwise("unknown")))
+)
+query("b2_bundles", violations_sql("bundle", "broken_beliefs", KF, {"unknown_polarity": "polarity NOT IN ('positive', 'negative')", "no_answer": "session_id % 6 = 5"}) + " UNION ALL SELECT 'bundle', session_id || ':' || (feedback_turn - 9), 'negative_turn' FROM broken_beliefs WHERE feedback_turn < 9 AND session_id % 31 = 3")(
+    lambda spark, sf: checks.bundles(broken_beliefs(spark, sf).withColumns({"question": F.lit("q"), "answer": F.when(F.col("session_id") % 6 != 5, "a")})).unionByName(checks.bundles(fx.beliefs(spark, sf).where("session_id % 31 = 3").withColumn("feedback_turn", F.col("feedback_turn") - 9)))
+)
 query("b3_turns", violations_sql("turn", "broken_states", K2, {"nothing_to_encode": "query_vector IS NULL AND trim(query_text) = ''", "zero_norm": "query_vector IS NOT NULL AND sqrt(list_inner_product(query_vector, query_vector)) <= 1e-8"}))(lambda spark, sf: checks.turns(broken_states(spark, sf)))
 query(
     "b4_sessions",
     violations_sql("session", "(SELECT session_id, min(turn) lo, max(turn) hi, count(*) n, min(target_index) t FROM broken_states GROUP BY ALL)", "session_id::VARCHAR", {"turns_not_contiguous": "lo <> 0 OR hi <> n - 1", "negative_target": "t < 0"}),
 )(lambda spark, sf: checks.sessions(broken_states(spark, sf)))
-query("b5_corpus", "SELECT 'corpus' AS \"check\", 'corpus' AS key, 'fewer_rows_than_top_k' reason FROM (SELECT count(*) n FROM corpus) WHERE n < 1000000")(lambda spark, sf: checks.corpus(fx.corpus(spark, sf), 1_000_000))
+BROKEN_CORPUS = "CASE WHEN corpus_idx % 100 = 7 THEN transform(vector, x -> x * 0) WHEN corpus_idx % 100 = 8 THEN slice(vector, 1, 3) WHEN corpus_idx % 100 = 9 THEN transform(vector, x -> double('NaN')) ELSE vector END"
+query("b5_corpus", "SELECT 'corpus' AS \"check\", 'corpus' AS key, reason FROM (SELECT count(*) n, max(corpus_idx) m FROM corpus), (SELECT unnest(['fewer_rows_than_top_k', 'several_dimensions', 'not_finite', 'zero_norm']) reason) WHERE CASE reason WHEN 'fewer_rows_than_top_k' THEN n < 1000000 WHEN 'zero_norm' THEN m >= 7 WHEN 'several_dimensions' THEN m >= 8 ELSE m >= 9 END")(
+    lambda spark, sf: checks.corpus(fx.corpus(spark, sf).withColumn("vector", F.expr(BROKEN_CORPUS)), 1_000_000)
+)
 query(
     "b6_queries",
     violations_sql("query", "broken_states", K2, {"missing": "query_vector IS NULL", "wrong_dimension": "len(query_vector) <> 64", "zero_norm": "query_vector IS NOT NULL AND sqrt(list_inner_product(query_vector, query_vector)) <= 1e-8"}),
@@ -145,10 +170,15 @@ def artifact(spark, sf, version: int, status: str, passed: bool | None) -> DataF
     return a.withColumns({"schema_version": F.lit(version), "status": F.lit(status), "quality": F.struct(F.lit(passed).alias("passed"))})
 
 
-query(
-    "b9_header",
-    "SELECT 'header' AS \"check\", 'artifact' AS key, unnest(['wrong_version', 'not_complete', 'quality_not_passed', 'no_provenance']) reason FROM (SELECT DISTINCT session_id FROM beliefs)",
-)(lambda spark, sf: checks.header(artifact(spark, sf, 1, "running", None)))
+HEADERS = "(SELECT session_id, CASE WHEN session_id % 3 = 0 THEN 1 ELSE 2 END version, CASE WHEN session_id % 5 = 0 THEN 'running' ELSE 'complete' END status, session_id % 4 <> 0 passed FROM (SELECT DISTINCT session_id FROM beliefs))"
+query("b9_header", violations_sql("header", HEADERS, "'artifact'", {"wrong_version": "version <> 2", "not_complete": "status <> 'complete'", "quality_not_passed": "NOT passed", "no_provenance": "session_id % 2 = 0"}))(
+    lambda spark, sf: checks.header(
+        artifact(spark, sf, 2, "complete", True).withColumn("i", F.col("dialogs")[0]["dialog_id"]).withColumns({
+            "schema_version": F.when(F.col("i") % 3 == 0, 1).otherwise(2), "status": F.when(F.col("i") % 5 == 0, "running").otherwise("complete"), "quality": F.struct((F.col("i") % 4 != 0).alias("passed")),
+            "provenance": F.when(F.col("i") % 2 != 0, F.create_map(F.lit("by"), F.lit("x"))),
+        })
+    )
+)
 
 
 @query("b10_file_order", "SELECT 'order' AS \"check\", 0 || ':' || t || ':' || polarity || ':' || idx AS key, reason FROM (SELECT session_id, feedback_turn, polarity, idx, dense_rank() OVER (PARTITION BY session_id ORDER BY feedback_turn) - 1 t FROM beliefs), (SELECT unnest(['dialog_id', 'turn']) reason) WHERE CASE reason WHEN 'turn' THEN feedback_turn <> t ELSE session_id <> 0 END")
@@ -166,9 +196,14 @@ query(
 )(lambda spark, sf: checks.rank_matrix(broken_ranks(spark, sf)))
 
 
-@query("b14_conflicts_with_memory", f"SELECT 'conflict_with_memory' AS \"check\", {KI.replace('session_id', 'p.session_id').replace('feedback_turn', 'p.feedback_turn').replace('idx', 'p.idx')} AS key, 'other_polarity_remembered' reason FROM beliefs p WHERE polarity = 'positive' AND EXISTS (SELECT 1 FROM beliefs n WHERE n.session_id = p.session_id AND n.polarity = 'negative' AND n.feedback_turn < p.feedback_turn AND {CANON.format('n.attribute')} = {CANON.format('p.attribute')})")
-def b14(spark, sf):
-    return checks.conflicts_with_memory(fx.beliefs(spark, sf))
+query(
+    "b13_configs",
+    violations_sql("config", CONFIGS, "config_id::VARCHAR", {"negative_weight_below_0": "negative_weight < 0", "max_concepts_below_1": "max_concepts < 1", "top_k_below_1": "top_k < 1", "semantic_merge_threshold_out_of_range": "semantic_merge_threshold > 1"}),
+)(lambda spark, sf: checks.configs(configs(spark, sf)))
+query(
+    "b14_conflicts_with_memory",
+    f"SELECT 'conflict_with_memory' AS \"check\", p.session_id || ':' || p.feedback_turn || ':' || p.polarity || ':' || p.idx AS key, 'other_polarity_remembered' reason FROM beliefs p WHERE EXISTS (SELECT 1 FROM beliefs n WHERE n.session_id = p.session_id AND n.polarity <> p.polarity AND n.feedback_turn < p.feedback_turn AND {CANON.format('n.attribute')} = {CANON.format('p.attribute')})",
+)(lambda spark, sf: checks.conflicts_with_memory(fx.beliefs(spark, sf)))
 
 
 query(
@@ -215,8 +250,8 @@ query("d2_concept_vectors", f"SELECT session_id, turn, idx, {first3_sql('u', 've
 
 @query("d3_first_seen", "SELECT attribute, row_number() OVER (ORDER BY min(session_id * 1000000 + turn * 1000 + idx)) - 1 AS place FROM ev GROUP BY attribute")
 def d3(spark, sf):
-    first = events(spark, sf).groupBy("attribute").agg(F.min(F.struct("session_id", "turn", "idx")).alias("first"))
-    return first.select("attribute", (F.row_number().over(W.orderBy("first")) - 1).cast("long").alias("place"))
+    first = events(spark, sf).groupBy("attribute").agg(F.min(F.struct("session_id", "turn", "idx")).alias("first")).select(F.lit("all").alias("family"), "attribute", "first.*")
+    return stats.in_order(first, "family", by=("session_id", "turn", "idx")).select("attribute", F.col("no").cast("long").alias("place"))
 
 
 MEM = "session_id, turn, concept, surface, round(confidence, 6) confidence, created, updated"
@@ -230,16 +265,20 @@ query("d4_persistent_memory", f"SELECT {MEM} FROM mem")(lambda spark, sf: rounde
 query("d5_current_memory", f"SELECT {MEM} FROM memc")(lambda spark, sf: rounded(mem(spark, sf, memory.CURRENT)))
 query("d6_capped_memory")(lambda spark, sf: rounded(memory.capped_memory(fx.states(spark, sf), events(spark, sf), MemoryConfig(max_concepts=3))))
 query("d6b_uncapped_fold", f"SELECT {MEM} FROM mem")(lambda spark, sf: rounded(memory.folded_memory(fx.states(spark, sf), events(spark, sf), None, CONFIG)))
-query("d7_add_stats", "SELECT session_id, turn, count(*) FILTER (n = 1) added, count(*) FILTER (n > 1) updated FROM (SELECT *, row_number() OVER (PARTITION BY session_id, concept ORDER BY turn, idx) n FROM ev) GROUP BY ALL")(lambda spark, sf: memory.add_stats(events(spark, sf)))
+query("d7_add_stats", "SELECT session_id, turn, count(*) FILTER (n = 1) added, count(*) FILTER (n > 1) updated, 0::BIGINT overridden, 0::BIGINT evicted FROM (SELECT *, row_number() OVER (PARTITION BY session_id, concept ORDER BY turn, idx) n FROM ev) GROUP BY ALL")(lambda spark, sf: memory.add_stats(events(spark, sf)))
 query("d8_semantic_merge")(lambda spark, sf: rounded(memory.folded_memory(fx.states(spark, sf), events(spark, sf), fx.vocabulary(spark, sf), MemoryConfig(semantic_merge=True, semantic_merge_threshold=0.2))))
 
 
-@query("d9_override")
-def d9(spark, sf):
+def both_polarities(spark, sf, config: MemoryConfig = CONFIG) -> DataFrame:
     both = fx.beliefs(spark, sf).select("session_id", (F.col("feedback_turn") + 1).alias("turn"), "idx", F.trim("attribute").alias("attribute"), S.canonical(F.col("attribute")).alias("concept"), "confidence", "polarity")
-    return memory.folded_memory(fx.states(spark, sf), both, None, CONFIG)
+    return memory.folded_memory(fx.states(spark, sf), both, None, config)
 
 
+SMALL = MemoryConfig(max_concepts=3)
+query("d7b_turn_stats")(lambda spark, sf: memory.turn_stats(both_polarities(spark, sf, SMALL)))
+query("d9_override")(lambda spark, sf: both_polarities(spark, sf).drop("matched"))
+query("d9b_override_log")(lambda spark, sf: memory.override_log(both_polarities(spark, sf)))
+query("d17b_diagnostics")(lambda spark, sf: memory.diagnostics(fx.states(spark, sf), both_polarities(spark, sf)))
 query("d10_weights", f"SELECT session_id, turn, concept, age, round({weight_sql('full')}, 9) weight FROM mem")(lambda spark, sf: memory.weighted(mem(spark, sf), "full", CONFIG.recency_decay).select("session_id", "turn", "concept", "age", F.round("weight", 9).alias("weight")))
 query("d11_corrected", f"SELECT session_id, turn, {first3_sql('v', 'vector')} FROM qmem")(lambda spark, sf: memory.queries(fx.states(spark, sf), fx.beliefs(spark, sf), fx.vocabulary(spark, sf), CONFIG, "persistent").select("session_id", "turn", *first3("vector")))
 for _id, _method in (("d12_h0_ranks", "h0"), ("d13_persistent_ranks", "persistent"), ("d13b_current_ranks", "current")):
@@ -255,16 +294,16 @@ query("d15_top_k", "SELECT run_id, session_id, turn, position, corpus_idx FROM t
 
 @query("d16_live_memory", f"SELECT {MEM} FROM mem")
 def d16(spark, sf):
-    """The stream reads one file of turns a micro-batch, and ends when all are read."""
+    """Turns arrive in three waves, each in its own partitions; the stream goes on from its checkpoint after each."""
     p = path(spark, "live")
     ev = events(spark, sf).groupBy("session_id", "turn").agg(F.collect_list(F.struct("idx", "concept", "attribute", "confidence")).alias("negatives"))
-    rows = fx.states(spark, sf).select("session_id", "turn").join(ev, ["session_id", "turn"], "left")
+    rows = fx.states(spark, sf).select("session_id", "turn").join(ev.hint("merge"), ["session_id", "turn"], "left")
     rows = rows.withColumn("negatives", F.coalesce("negatives", F.array().cast("array<struct<idx:int,concept:string,attribute:string,confidence:double>>")))
-    for turn in range(fx.TURNS):
-        rows.where(F.col("turn") == turn).coalesce(1).write.mode("append").parquet(f"{p}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{p}/in")
-    q = live_memory(stream, CONFIG).writeStream.format("parquet").option("path", f"{p}/out").option("checkpointLocation", f"{p}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    for wave in ("turn < 2", "turn BETWEEN 2 AND 3", "turn > 3"):
+        rows.where(wave).write.mode("append").parquet(f"{p}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{p}/in")
+        q = live_memory(stream, CONFIG).writeStream.format("parquet").option("path", f"{p}/out").option("checkpointLocation", f"{p}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
     return rounded(spark.read.parquet(f"{p}/out"))
 
 
@@ -272,7 +311,7 @@ query("d17_diagnostics", "SELECT session_id, turn, size, positive, negative, ove
 query("d18_text_persistent", "SELECT session_id, turn, rank FROM text_ranks WHERE run_id = 'text_persistent'")(lambda spark, sf: text_ranks(spark, sf).where("run_id = 'text_persistent'").select("session_id", "turn", "rank"))
 query("d19_reencoded", "SELECT run_id, session_id, turn, rank FROM text_ranks WHERE run_id LIKE 'reencode%'")(lambda spark, sf: text_ranks(spark, sf).where("run_id LIKE 'reencode%'").select("run_id", "session_id", "turn", "rank"))
 query("d20_ablation", "SELECT run_id, session_id, turn, rank FROM ablation")(lambda spark, sf: ablation(spark, sf))
-query("d21_rank_table", "SELECT run_id, session_id, turn, rank FROM ranks")(lambda spark, sf: ranks(spark, sf))
+query("d21_rank_table", "SELECT run_id, session_id, turn, rank FROM ranks")(lambda spark, sf: scoring.rank_table(ranks(spark, fx.Cut(sf)), fx.states(spark, fx.Cut(sf))))
 
 # ---- E: metrics
 
@@ -292,6 +331,13 @@ query("e7_summary", ROUNDED_SUMMARY)(lambda spark, sf: round_all(metrics.summary
 
 # ---- F: paired statistics
 
+
+def paired_runs(spark, sf) -> DataFrame:
+    """Records of the three runs, under the fingerprint of what they share."""
+    return provenance.pairing_fingerprint(fx.states(spark, sf), fx.corpus(spark, sf)).select(F.explode(F.array(*map(F.lit, METHODS))).alias("run_id"), "pairing_fp")
+
+
+
 DELTA = "round(delta, 6) delta, round(ci_low, 6) ci_low, round(ci_high, 6) ci_high"
 TURN_UNITS = "SELECT turn, session_id, d AS s, 1.0::DOUBLE AS c FROM pairs"
 query("f1_recall_delta", f"SELECT turn, {DELTA} FROM ({bootstrap_sql(TURN_UNITS, 'turn', SAMPLES, SEED)})")(lambda spark, sf: round_all(stats.recall_delta(ranks(spark, sf), "h0", "persistent", 10, SAMPLES, SEED)))
@@ -305,13 +351,13 @@ HOLM = f"SELECT turn, max(step) OVER (ORDER BY p, turn) p_holm FROM (SELECT turn
 query("f4_holm", f"SELECT turn, round(p_holm, 6) p_holm FROM ({HOLM})")(lambda spark, sf: round_all(stats.holm(stats.mcnemar(stats.paired(ranks(spark, sf), "h0", "persistent")).where("turn >= 1").withColumn("p", F.round("p", 9))).select("turn", "p_holm")))
 query(
     "f5_compare",
-    f"SELECT d.turn, {DELTA}, lost, gained, discordant, round(p, 6) p, round(p_holm, 6) p_holm FROM ({bootstrap_sql(TURN_UNITS, 'turn', SAMPLES, SEED)}) d JOIN ({MCNEMAR}) m ON m.turn = d.turn LEFT JOIN ({HOLM}) h ON h.turn = d.turn",
-)(lambda spark, sf: round_all(stats.compare(ranks(spark, sf), "h0", "persistent", 10, SAMPLES, SEED)))
-LAST_UNITS = TURN_UNITS + " WHERE turn = 3"
-query("f6_final_delta", f"SELECT turn, {DELTA} FROM ({bootstrap_sql(LAST_UNITS, 'turn', SAMPLES, 20260829)})")(lambda spark, sf: round_all(stats.recall_delta(ranks(spark, sf), "h0", "persistent", 10, SAMPLES, 20260829, True)))
+    f"SELECT d.turn, {DELTA}, lost, gained, discordant, round(p, 6) p, round(p_holm, 6) p_holm, 'verified' pairing FROM ({bootstrap_sql(TURN_UNITS, 'turn', SAMPLES, SEED)}) d JOIN ({MCNEMAR}) m ON m.turn = d.turn LEFT JOIN ({HOLM}) h ON h.turn = d.turn",
+)(lambda spark, sf: round_all(stats.compare(ranks(spark, sf), "h0", "persistent", 10, SAMPLES, SEED, paired_runs(spark, sf))))
+LAST_UNITS = TURN_UNITS + " WHERE turn = (SELECT max(turn) FROM pairs)"
+query("f6_final_delta", f"SELECT turn, {DELTA} FROM ({bootstrap_sql(LAST_UNITS, 'turn', CLUSTER_SAMPLES, CLUSTER_SEED)})")(lambda spark, sf: round_all(stats.recall_delta(ranks(spark, sf), "h0", "persistent", 10, CLUSTER_SAMPLES, CLUSTER_SEED, True)))
 CLUSTER_UNITS = "SELECT 'all' AS \"group\", session_id, sum(d) AS s, count(*)::DOUBLE AS c FROM pairs JOIN clean USING (session_id, turn) GROUP BY session_id"
-query("f7_cluster", f"SELECT \"group\", {DELTA} FROM ({bootstrap_sql(CLUSTER_UNITS, 'group', SAMPLES, SEED)})")(
-    lambda spark, sf: round_all(stats.bootstrap(clean(spark, sf).join(stats.differences(stats.paired(ranks(spark, sf), "h0", "persistent")), ["session_id", "turn"]).groupBy(F.lit("all").alias("group"), "session_id").agg(F.sum("d").alias("s"), F.count("*").cast("double").alias("c")), "group", SAMPLES, SEED))
+query("f7_cluster", f"SELECT \"group\", {DELTA} FROM ({bootstrap_sql(CLUSTER_UNITS, 'group', CLUSTER_SAMPLES, CLUSTER_SEED)})")(
+    lambda spark, sf: round_all(stats.bootstrap(clean(spark, sf).join(stats.differences(stats.paired(ranks(spark, sf), "h0", "persistent")).hint("merge"), ["session_id", "turn"]).groupBy(F.lit("all").alias("group"), "session_id").agg(F.sum("d").alias("s"), F.count("*").cast("double").alias("c")), "group", CLUSTER_SAMPLES, CLUSTER_SEED))
 )
 query("f8_rank_differences", "SELECT count(*) compared, count(*) FILTER (b <> c) differing, coalesce(max(abs(b - c)), 0)::BIGINT max_difference, count(*) FILTER ((b < 10) <> (c < 10)) hit_changes FROM pairs")(lambda spark, sf: stats.rank_differences(ranks(spark, sf), "h0", "persistent"))
 
@@ -354,10 +400,10 @@ query(
     + ' FROM groups g LEFT JOIN grouped c USING ("group") LEFT JOIN ranks r USING (session_id, turn) GROUP BY ALL',
 )(lambda spark, sf: round_all(analysis.group_recalls(clean(spark, sf), ranks(spark, sf))))
 GROUP_UNITS = 'SELECT "group", session_id, sum(d) AS s, count(*)::DOUBLE AS c FROM grouped JOIN pairs USING (session_id, turn) GROUP BY ALL'
-query("g12b_group_deltas", f'SELECT g."group", {DELTA} FROM groups g LEFT JOIN ({bootstrap_sql(GROUP_UNITS, "group", SAMPLES, SEED)}) USING ("group")')(lambda spark, sf: round_all(analysis.group_deltas(clean(spark, sf), ranks(spark, sf), "h0", "persistent", 10, SAMPLES, SEED)))
-query("g13_settings", "SELECT setting, " + ", ".join(f"round(100 * avg((rank < 10)::INT) FILTER (run_id = '{m}'), 6) AS {m}" for m in METHODS) + " FROM settings WHERE turn = 3 GROUP BY setting")(lambda spark, sf: round_all(analysis.by_setting(settings(spark, sf))))
-SETTING_UNITS = "SELECT b.setting, b.session_id, (c.rank < 10)::INT::DOUBLE - (b.rank < 10)::INT::DOUBLE AS s, 1.0::DOUBLE AS c FROM settings b JOIN settings c USING (session_id, turn) WHERE b.run_id = 'current' AND c.run_id = 'persistent' AND turn = 3"
-query("g13b_setting_deltas", f"SELECT setting, {DELTA} FROM ({bootstrap_sql(SETTING_UNITS, 'setting', SAMPLES, SEED)})")(lambda spark, sf: round_all(analysis.setting_deltas(settings(spark, sf), "current", "persistent", 10, SAMPLES, SEED)))
+query("g12b_group_deltas", f'SELECT g."group", {DELTA} FROM groups g LEFT JOIN ({bootstrap_sql(GROUP_UNITS, "group", CLUSTER_SAMPLES, CLUSTER_SEED)}) USING ("group")')(lambda spark, sf: round_all(analysis.group_deltas(clean(spark, sf), ranks(spark, sf), "h0", "persistent", 10, CLUSTER_SAMPLES, CLUSTER_SEED)))
+query("g13_settings", "SELECT setting, " + ", ".join(f"round(100 * avg((rank < 10)::INT) FILTER (run_id = '{m}'), 6) AS {m}" for m in METHODS) + " FROM settings JOIN (SELECT setting, run_id, max(turn) turn FROM settings GROUP BY ALL) USING (setting, run_id, turn) GROUP BY setting")(lambda spark, sf: round_all(analysis.by_setting(settings(spark, sf))))
+SETTING_UNITS = "SELECT setting, session_id, (c.rank < 10)::INT::DOUBLE - (b.rank < 10)::INT::DOUBLE AS s, 1.0::DOUBLE AS c FROM settings b JOIN settings c USING (setting, session_id, turn) JOIN (SELECT setting, max(turn) turn FROM settings GROUP BY ALL) USING (setting, turn) WHERE b.run_id = 'current' AND c.run_id = 'persistent'"
+query("g13b_setting_deltas", f"SELECT setting, {DELTA} FROM ({bootstrap_sql(SETTING_UNITS, 'setting', CLUSTER_SAMPLES, CLUSTER_SEED)})")(lambda spark, sf: round_all(analysis.setting_deltas(settings(spark, sf), "current", "persistent", 10, CLUSTER_SAMPLES, CLUSTER_SEED)))
 query("g14_named_summary", ROUNDED_SUMMARY.replace("SELECT run_id, round", "SELECT 'host-' || run_id run_id, round", 1))(lambda spark, sf: round_all(metrics.summary(tables.named_runs({f"host-{m}": ranks(spark, sf).where(F.col("run_id") == m) for m in METHODS}))))
 query(
     "g15_ablation_report",
@@ -382,7 +428,10 @@ def patches(spark, sf) -> DataFrame:
 
 
 PATCHED = "SELECT session_id, feedback_turn, idx, negative_attribute, actionable, CASE WHEN (session_id + idx) % 13 = 0 THEN 'GLOBAL' ELSE sem_type END sem_type FROM structured WHERE session_id % 29 <> 0"
-query("g17_patched", PATCHED)(lambda spark, sf: analysis.patch(fx.structured(spark, sf), patches(spark, sf)))
+query("g17_patched", PATCHED)(lambda spark, sf: analysis.finalized(fx.structured(spark, sf), patches(spark, sf)))
+query("g17c_untyped", "SELECT session_id, feedback_turn, idx FROM structured WHERE actionable AND sem_type = 'GLOBAL' AND (session_id + idx) % 13 <> 0 AND session_id % 29 <> 0")(
+    lambda spark, sf: analysis.untyped(analysis.patch(fx.structured(spark, sf).withColumn("sem_type", F.nullif("sem_type", F.lit("GLOBAL"))), patches(spark, sf)))
+)
 query("g17b_unmatched_patches", "SELECT session_id, feedback_turn, idx FROM structured WHERE session_id % 29 = 0")(lambda spark, sf: analysis.unmatched_patches(fx.structured(spark, sf).where("session_id % 29 <> 0"), patches(spark, sf)).select("session_id", "feedback_turn", "idx"))
 query(
     "g18_manifest",
@@ -396,71 +445,111 @@ def broken_traces(spark, sf) -> DataFrame:
     return ranks(spark, sf).where("NOT (run_id = 'current' AND session_id % 25 = 0 AND turn = 2)")
 
 
-ARCHIVE = """SELECT 'archive' AS "check", * FROM (VALUES ('current', 'payload_pairing_differs'), ('persistent', 'invalid_pairing_fp'), ('persistent', 'unknown_status'), ('persistent', 'metadata_not_an_object')) v(key, reason) UNION ALL
-  SELECT 'archive', run_id, r FROM (SELECT run_id, min(rank) least, count(*) n, count(DISTINCT session_id) * count(DISTINCT turn) full_ FROM broken_ranks GROUP BY ALL), (SELECT unnest(['negative_rank', 'not_rectangular']) r) WHERE CASE r WHEN 'negative_rank' THEN least < 0 ELSE n <> full_ END"""
-query("h1_archives", ARCHIVE)(lambda spark, sf: audits.archives(runs(spark, sf), broken_ranks(spark, sf)))
-query("h2_archive_totals", f"SELECT (SELECT count(DISTINCT run_id) FROM ranks) archives, count(DISTINCT key) failures FROM ({ARCHIVE})")(lambda spark, sf: audits.archive_totals(runs(spark, sf), audits.archives(runs(spark, sf), broken_ranks(spark, sf))))
+ARCHIVE = """SELECT 'archive' AS "check", run_id AS key, unnest(CASE bucket % 5 WHEN 1 THEN ['payload_pairing_differs'] WHEN 2 THEN ['invalid_pairing_fp', 'unknown_status', 'metadata_status_differs', 'metadata_pairing_differs', 'payload_pairing_differs']
+    WHEN 3 THEN ['metadata_not_an_object'] WHEN 4 THEN CASE WHEN method <> 'h0' THEN ['no_model_revision'] ELSE [] END ELSE [] END) reason FROM run_rows UNION ALL
+  SELECT 'archive', key, r FROM (SELECT run_id || '-' || session_id // 10 key, min(rank) least, count(*) n, count(DISTINCT session_id) * count(DISTINCT turn) full_ FROM broken_ranks GROUP BY ALL), (SELECT unnest(['negative_rank', 'not_rectangular']) r)
+  WHERE CASE r WHEN 'negative_rank' THEN least < 0 ELSE n <> full_ END"""
+query("h1_archives", ARCHIVE)(lambda spark, sf: audits.archives(runs(spark, sf), bucketed(broken_ranks(spark, sf))))
+query("h2_archive_totals", f"SELECT (SELECT count(*) FROM run_rows) archives, count(DISTINCT key) failures FROM ({ARCHIVE})")(lambda spark, sf: audits.archive_totals(runs(spark, sf), audits.archives(runs(spark, sf), bucketed(broken_ranks(spark, sf)))))
 query("h3_triplet_shape", violations_sql("shape", "(SELECT run_id, count(DISTINCT session_id) s, count(DISTINCT turn) t FROM ranks GROUP BY ALL)", "run_id", {"sessions": "s <> 2064", "turns": "t <> 4"}))(lambda spark, sf: audits.triplet_shape(ranks(spark, sf), list(METHODS), 2064, 4))
 query(
     "h4_trace_keys",
     "SELECT 'trace_keys' AS \"check\", session_id || ':' || turn AS key, 'not_in_all_runs' reason FROM ranks WHERE session_id % 25 = 0 AND turn = 2 GROUP BY session_id, turn UNION ALL SELECT 'trace_keys', run_id, 'other_number_of_traces' FROM ranks WHERE NOT (run_id = 'current' AND session_id % 25 = 0 AND turn = 2) GROUP BY run_id HAVING count(*) <> 2000",
 )(lambda spark, sf: audits.trace_keys(broken_traces(spark, sf), list(METHODS), 2000))
-query("h5_first_turn", "SELECT 'first_turn' AS \"check\", session_id::VARCHAR AS key, 'runs_differ' reason FROM ranks WHERE turn = 0 GROUP BY session_id HAVING count(DISTINCT rank) > 1")(lambda spark, sf: audits.first_turn_equal(ranks(spark, sf)))
-NO_OP = "SELECT '{0}' AS \"check\", r.session_id || ':' || r.turn AS key, 'rank_differs_from_h0' reason FROM {1} r JOIN ranks h USING (session_id, turn) JOIN sizes s USING (session_id, turn) WHERE r.run_id = '{2}' AND h.run_id = 'h0' AND s.negative = 0 AND r.rank <> h.rank"
-query("h6_no_op", NO_OP.format("no_op_persistent", "ranks", "persistent"))(lambda spark, sf: audits.no_op(ranks(spark, sf), sizes(spark, sf), "persistent"))
-query("h6b_no_op_reencoded", NO_OP.format("no_op_reencode_h0", "text_ranks", "reencode_h0"))(lambda spark, sf: audits.no_op(ranks(spark, sf).unionByName(text_ranks(spark, sf)), sizes(spark, sf), "reencode_h0"))
-query("h7_no_op_lists", "SELECT 'no_op_list_persistent' AS \"check\", a.session_id || ':' || a.turn AS key, 'list_differs_from_h0' reason FROM tops a JOIN tops h USING (session_id, turn, position) JOIN sizes s USING (session_id, turn) WHERE a.run_id = 'persistent' AND h.run_id = 'h0' AND s.negative = 0 AND a.corpus_idx <> h.corpus_idx GROUP BY a.session_id, a.turn")(
-    lambda spark, sf: audits.no_op_lists(tops(spark, sf), sizes(spark, sf), "persistent")
+query("h5_first_turn", "SELECT 'first_turn' AS \"check\", session_id::VARCHAR AS key, 'runs_differ' reason FROM shaken WHERE turn = 0 GROUP BY session_id HAVING count(DISTINCT rank) > 1")(lambda spark, sf: audits.first_turn_equal(shaken(spark, sf)))
+NO_OP = "SELECT '{0}' AS \"check\", r.session_id || ':' || r.turn AS key, 'rank_differs_from_h0' reason FROM {1} r JOIN {3} h USING (session_id, turn) JOIN sizes s USING (session_id, turn) WHERE r.run_id = '{2}' AND h.run_id = 'h0' AND s.negative = 0 AND r.rank <> h.rank"
+query("h6_no_op", NO_OP.format("no_op_persistent", "shaken", "persistent", "shaken"))(lambda spark, sf: audits.no_op(shaken(spark, sf), sizes(spark, sf), "persistent"))
+query("h6b_no_op_reencoded", NO_OP.format("no_op_reencode_h0", "text_ranks", "reencode_h0", "ranks"))(lambda spark, sf: audits.no_op(ranks(spark, sf).unionByName(text_ranks(spark, sf)), sizes(spark, sf), "reencode_h0"))
+query("h7_no_op_lists", "SELECT 'no_op_list_persistent' AS \"check\", a.session_id || ':' || a.turn AS key, 'list_differs_from_h0' reason FROM tops a JOIN tops h USING (session_id, turn, position) JOIN sizes s USING (session_id, turn) WHERE a.run_id = 'persistent' AND h.run_id = 'h0' AND s.negative = 0 AND a.corpus_idx - (CASE WHEN position = 1 AND a.session_id % 4 = 1 THEN 1 ELSE 0 END) <> h.corpus_idx GROUP BY a.session_id, a.turn")(
+    lambda spark, sf: audits.no_op_lists(tops(spark, sf).withColumn("corpus_idx", F.col("corpus_idx") - F.expr("run_id = 'persistent' AND position = 1 AND session_id % 4 = 1").cast("long")), sizes(spark, sf), "persistent")
 )
-query("h8_clean_guard", "SELECT 'clean_guard' AS \"check\", session_id || ':' || turn AS key, 'current_differs_from_h0' reason FROM clean JOIN ranks h USING (session_id, turn) JOIN ranks c USING (session_id, turn) WHERE h.run_id = 'h0' AND c.run_id = 'current' AND h.rank <> c.rank")(lambda spark, sf: audits.clean_guard(clean(spark, sf), ranks(spark, sf)))
-query(
-    "h9_session_summary",
-    "SELECT count(*) sessions, min(t) least_turns, max(t) most_turns, 64 least_dimension, 64 most_dimension, 0::BIGINT texts_missing, min(g) least_target, max(g) most_target, max(session_id) - min(session_id) + 1 = count(*) contiguous_ids FROM (SELECT session_id, count(*) t, min(target_index) g FROM states GROUP BY ALL)",
-)(lambda spark, sf: audits.session_summary(fx.states(spark, sf)))
-query("h10_corpus_summary", "SELECT count(*) AS rows, min(len(vector)) least_dimension, max(len(vector)) most_dimension, 0::BIGINT not_finite FROM corpus")(lambda spark, sf: audits.corpus_summary(fx.corpus(spark, sf)))
-query("h11_belief_summary", "SELECT count(DISTINCT session_id) dialogs, count(*) FILTER (polarity = 'negative') negatives, count(*) FILTER (polarity = 'positive') positives, round(min(confidence), 6) least_confidence, round(max(confidence), 6) most_confidence FROM beliefs")(lambda spark, sf: round_all(audits.belief_summary(fx.beliefs(spark, sf))))
-query("h12_alignment", "SELECT false same_turns, true same_targets, count(*) = 0 same_texts FROM states WHERE session_id % 10 = 3")(
-    lambda spark, sf: audits.alignment(fx.states(spark, sf), fx.states(spark, sf).where("NOT (session_id % 6 = 1 AND turn = 0)").withColumn("query_text", F.when(F.col("session_id") % 10 == 3, "other").otherwise(F.col("query_text"))))
+query("h8_clean_guard", "SELECT 'clean_guard' AS \"check\", session_id || ':' || turn AS key, 'current_differs_from_h0' reason FROM clean JOIN shaken h USING (session_id, turn) JOIN shaken c USING (session_id, turn) WHERE h.run_id = 'h0' AND c.run_id = 'current' AND h.rank <> c.rank")(lambda spark, sf: audits.clean_guard(clean(spark, sf), shaken(spark, sf)))
+SESSIONS = """SELECT count(*) sessions, min(t) least_turns, max(t) most_turns, min(d0) least_dimension, max(d1) most_dimension, sum(x)::BIGINT texts_missing, min(g) least_target, max(g) most_target, max(session_id) - min(session_id) + 1 = count(*) contiguous_ids
+  FROM (SELECT session_id, count(*) t, min(target_index) g, min(len(query_vector)) d0, max(len(query_vector)) d1, count(*) FILTER (coalesce(query_text, '') = '') x FROM {0} GROUP BY ALL)"""
+NO_TEXTS = "(SELECT * REPLACE (CASE WHEN session_id % 8 = 3 AND turn = 1 THEN '' ELSE query_text END AS query_text, CASE WHEN session_id % 8 = 5 AND turn = 0 THEN query_vector[1:7] ELSE query_vector END AS query_vector) FROM states)"
+query("h9_session_summary", SESSIONS.format(NO_TEXTS))(
+    lambda spark, sf: audits.session_summary(fx.states(spark, sf).withColumns({"query_text": F.when(F.expr("session_id % 8 = 3 AND turn = 1"), "").otherwise(F.col("query_text")), "query_vector": F.when(F.expr("session_id % 8 = 5 AND turn = 0"), F.slice("query_vector", 1, 7)).otherwise(F.col("query_vector"))}))
+)
+query("h10_corpus_summary", "SELECT count(*) AS rows, least(min(len(vector)), CASE WHEN max(corpus_idx) >= 8 THEN 3 ELSE 1000000 END) least_dimension, max(len(vector)) most_dimension, count(*) FILTER (corpus_idx % 100 = 9) not_finite FROM corpus")(
+    lambda spark, sf: audits.corpus_summary(fx.corpus(spark, sf).withColumn("vector", F.expr(BROKEN_CORPUS))).withColumn("least_dimension", F.col("least_dimension").cast("long"))
 )
-query("h13_lineage", "SELECT name, CASE name WHEN 'sessions' THEN n = 2064 WHEN 'overall' THEN n = 2064 AND c WHEN 'contiguous_ids' THEN c ELSE true END passed FROM (SELECT count(DISTINCT session_id) n, max(session_id) - min(session_id) + 1 = count(DISTINCT session_id) c FROM states), (SELECT unnest(['sessions', 'turns', 'targets_in_corpus', 'corpus_finite', 'contiguous_ids', 'overall']) AS name)")(
-    lambda spark, sf: audits.lineage(audits.session_summary(fx.states(spark, sf)), audits.corpus_summary(fx.corpus(spark, sf)), {"sessions": 2064, "turns": fx.TURNS})
+query(
+    "h11_belief_summary",
+    """SELECT count(DISTINCT session_id) dialogs, count(*) FILTER (polarity = 'negative') negatives, count(*) FILTER (polarity = 'positive') positives, round(min(confidence), 6) least_confidence, round(max(confidence), 6) most_confidence,
+  count(DISTINCT session_id) FILTER (session_id <> 0) dialog_mismatches, count(DISTINCT (session_id, feedback_turn)) FILTER (feedback_turn <> t) turn_mismatches FROM (SELECT *, dense_rank() OVER (PARTITION BY session_id ORDER BY feedback_turn) - 1 t FROM beliefs)""",
+)(lambda spark, sf: round_all(audits.belief_summary(tables.explode_beliefs(artifact(spark, sf, 2, "complete", True)))))
+OTHER_STATES = "(SELECT session_id, turn, target_index + (CASE WHEN session_id % 50 = 8 THEN 1 ELSE 0 END) target_index, CASE WHEN session_id % 10 = 3 THEN 'other' ELSE query_text END query_text FROM states WHERE NOT (session_id % 6 = 1 AND turn = 0))"
+query(
+    "h12_alignment",
+    f"SELECT bool_and(a.session_id IS NOT NULL AND b.session_id IS NOT NULL) same_turns, bool_and(coalesce(a.target_index = b.target_index, true)) same_targets, bool_and(coalesce(a.query_text = b.query_text, true)) same_texts FROM states a FULL JOIN {OTHER_STATES} b ON a.session_id = b.session_id AND a.turn = b.turn",
+)(
+    lambda spark, sf: audits.alignment(
+        fx.states(spark, sf),
+        fx.states(spark, sf).where("NOT (session_id % 6 = 1 AND turn = 0)").withColumns({"query_text": F.when(F.col("session_id") % 10 == 3, "other").otherwise(F.col("query_text")), "target_index": F.col("target_index") + F.expr("session_id % 50 = 8").cast("long")}),
+    )
 )
-query("h14_corpus_checks", "SELECT max(corpus_idx) = count(*) - 1 AS numbered, true AS \"unique\", 0::BIGINT zero, round(min(n), 6) least_norm, round(avg(n), 6) mean_norm, round(max(n), 6) most_norm FROM (SELECT corpus_idx, sqrt(list_inner_product(vector, vector)) n FROM corpus)")(lambda spark, sf: round_all(audits.corpus_checks(fx.corpus(spark, sf))))
+query(
+    "h13_lineage",
+    f"""SELECT name, CASE name WHEN 'sessions' THEN a WHEN 'turns' THEN b WHEN 'targets_in_corpus' THEN c WHEN 'corpus_finite' THEN d WHEN 'contiguous_ids' THEN e ELSE a AND b AND c AND d AND e END passed FROM
+  (SELECT sessions = 2064 a, least_turns = {fx.TURNS} AND most_turns = {fx.TURNS} b, most_target < (SELECT count(*) FROM corpus) c, (SELECT count(*) FILTER (len(list_filter(vector, lambda x: NOT isfinite(x))) > 0) = 0 FROM corpus) d, contiguous_ids e FROM ({SESSIONS.format("states")})),
+  (SELECT unnest(['sessions', 'turns', 'targets_in_corpus', 'corpus_finite', 'contiguous_ids', 'overall']) AS name)""",
+)(lambda spark, sf: audits.lineage(audits.session_summary(fx.states(spark, sf)), audits.corpus_summary(fx.corpus(spark, sf)), {"sessions": 2064, "turns": fx.TURNS}))
+query("h14_corpus_checks", "SELECT max(corpus_idx) = count(*) - 1 AS numbered, count(DISTINCT corpus_idx) = count(*) AS \"unique\", count(*) FILTER (n <= 1e-8) zero, round(min(n), 6) least_norm, round(avg(n), 6) mean_norm, round(max(n), 6) most_norm FROM (SELECT corpus_idx, sqrt(list_inner_product(vector, vector)) n FROM corpus)")(lambda spark, sf: round_all(audits.corpus_checks(fx.corpus(spark, sf))))
 
 # ---- I: provenance
 
-query("i1_identity", "SELECT count(DISTINCT session_id) sessions, count(DISTINCT turn) turns, 64 dimension, count(DISTINCT (session_id, target_index)) AS rows FROM states")(lambda spark, sf: provenance.identity(fx.states(spark, sf)).drop("mix", "total"))
+query("i1_identity", "SELECT count(DISTINCT session_id) sessions, count(DISTINCT turn) turns, min(len(query_vector)) dimension, count(DISTINCT (session_id, target_index)) AS rows FROM states")(lambda spark, sf: provenance.identity(fx.states(spark, sf)).drop("digest"))
+
+
+def same_sql(a: str, b: str) -> str:
+    return f"((SELECT count(*) FROM (({a}) EXCEPT ALL ({b}))) + (SELECT count(*) FROM (({b}) EXCEPT ALL ({a}))) = 0)"
+
+
+_S, _C = "SELECT session_id, turn, target_index, query_vector FROM states", "SELECT corpus_idx, vector FROM corpus"
+_OTHERS = {"again": (_S, _C), "other_corpus": (_S, _C + " WHERE corpus_idx <> 3"), "other_targets": (_S.replace("target_index", "target_index + 1"), _C), "other_order": (_S, _C + " WHERE corpus_idx % 2 = 1 UNION ALL " + _C + " WHERE corpus_idx % 2 = 0"), "copies": (_S, _C + " UNION ALL " + _C + " WHERE corpus_idx = 5")}
 
 
-@query("i2_pairing", "SELECT * FROM (VALUES ('again', true), ('other_order', true), ('other_corpus', false), ('other_targets', false)) v(what, same)")
+@query("i2_pairing", " UNION ALL ".join(f"SELECT '{k}' what, {same_sql(_S, s)} AND {same_sql(_C, c)} AS same" for k, (s, c) in _OTHERS.items()))
 def i2(spark, sf):
     s, c = fx.states(spark, sf), fx.corpus(spark, sf)
-    own = provenance.pairing_fingerprint(s, c)
-    other = {"again": (s, c), "other_order": (s.repartition(5), c.orderBy(F.desc("corpus_idx"))), "other_corpus": (s, c.where("corpus_idx <> 3")), "other_targets": (s.withColumn("target_index", F.col("target_index") + 1), c)}
-    row = F.array(*(F.struct(F.lit(k).alias("what"), F.lit(provenance.pairing_fingerprint(*x) == own).alias("same")) for k, x in other.items()))
-    return spark.range(1).select(F.inline(row))
+    other = {
+        "again": (s, c), "other_order": (s.repartition(5), c.where("corpus_idx % 2 = 1").unionByName(c.where("corpus_idx % 2 = 0"))), "other_corpus": (s, c.where("corpus_idx <> 3")), "copies": (s, c.unionByName(c.where("corpus_idx = 5"))),
+        "other_targets": (s.withColumn("target_index", F.col("target_index") + 1), c),
+    }
+    found = [provenance.pairing_fingerprint(*x).select(F.lit(k).alias("what"), "pairing_fp") for k, x in other.items()]
+    return provenance.beside(reduce(DataFrame.unionByName, found), provenance.pairing_fingerprint(s, c).withColumnRenamed("pairing_fp", "own")).select("what", (F.col("pairing_fp") == F.col("own")).alias("same"))
 
 
-@query("i3_evaluation", "SELECT * FROM (VALUES ('h0 without adapter', true), ('other method', false), ('other adapter', false)) v(what, same)")
-def i3(spark, sf):
-    own = provenance.pairing_fingerprint(fx.states(spark, sf), fx.corpus(spark, sf))
-    make = lambda method, adapter: provenance.evaluation_fingerprint(own, method, {"rho": "0.1"}, adapter, "r1", spark)
-    same = {"h0 without adapter": make("h0", "a") == make("h0", None), "other method": make("current", "a") == make("persistent", "a"), "other adapter": make("current", "a") == make("current", "b")}
-    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(k).alias("what"), F.lit(v).alias("same")) for k, v in same.items()))))
+_QUOTED = "CASE WHEN method = 'h0' THEN 'null' ELSE '\"{0}\"' END"
+query(
+    "i3_evaluation",
+    f"""SELECT run_id, pairing, sha256('{{"adapter":' || {_QUOTED.format("a")} || ',"method":"' || method || '","pairing":"' || pairing || '","revision":' || {_QUOTED.format("r1")} || ',"rho":"0.1"}}') AS evaluation FROM run_rows""",
+)(lambda spark, sf: fingerprinted(spark, sf).select("run_id", "pairing", "evaluation"))
 
 
-@query("i4_verify_pairing", "SELECT * FROM (VALUES ('same', true, ''), ('other', false, 'rank_shape_mismatch,pairing_fingerprint_mismatch,session_ids_mismatch,target_indices_mismatch'), ('none', false, 'missing_pairing_fingerprint')) v(what, verified, reasons)")
-def i4(spark, sf):
+def verified(spark, sf) -> DataFrame:
+    """Each ten sessions' runs of other methods against h0's; sessions, turns and targets of some are moved."""
     targets = fx.states(spark, sf).select("session_id", "target_index").distinct()
-    r = ranks(spark, sf).join(targets, "session_id").where("NOT (run_id = 'current' AND session_id % 20 = 0)").where("NOT (run_id = 'current' AND turn = 3)")
-    twin = r.where("run_id = 'h0'").withColumn("run_id", F.lit("twin"))
-    known = runs(spark, sf)
-    known = known.unionByName(known.where("run_id = 'h0'").withColumn("run_id", F.lit("twin")))
-    out = None
-    for what, other in (("same", "twin"), ("other", "current"), ("none", "persistent")):
-        found = provenance.verify_pairing(known, r.unionByName(twin), "h0", other).select(F.lit(what).alias("what"), "verified", F.array_join("reasons", ",").alias("reasons"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    r = ranks(spark, sf).join(targets.hint("merge"), "session_id").where("NOT (run_id = 'current' AND (session_id % 40 = 20 OR session_id % 70 < 10 AND turn = 3))")
+    r = bucketed(r.withColumn("target_index", F.col("target_index") + F.expr("run_id = 'persistent' AND session_id % 30 = 7").cast("long")))
+    pairs = fx.states(spark, sf).select(F.expr("session_id div 10").alias("b")).distinct().select("b", F.explode(F.array(F.lit("current"), F.lit("persistent"))).alias("m"))
+    return provenance.verify_pairings(runs(spark, sf), r, pairs.select(F.concat_ws("-", F.lit("h0"), "b").alias("baseline"), F.concat_ws("-", "m", "b").alias("candidate")))
+
+
+VERIFIED = """(WITH rk AS (SELECT run_id || '-' || session_id // 10 run_id, session_id, turn, target_index + (CASE WHEN run_id = 'persistent' AND session_id % 30 = 7 THEN 1 ELSE 0 END) target_index FROM ranks JOIN (SELECT DISTINCT session_id, target_index FROM states) USING (session_id)
+    WHERE NOT (run_id = 'current' AND (session_id % 40 = 20 OR session_id % 70 < 10 AND turn = 3))),
+  ky AS (SELECT DISTINCT run_id, session_id, target_index FROM rk), sh AS (SELECT run_id, count(DISTINCT session_id) s, count(DISTINCT turn) t FROM rk GROUP BY ALL),
+  fp AS (SELECT run_id, CASE WHEN bucket % 5 <> 2 THEN pairing END fp FROM run_rows),
+  lo AS (SELECT b.bucket, b.run_id AS candidate, count(*) FILTER (x.session_id IS NULL OR y.session_id IS NULL) lone_ids, count(*) FILTER (x.target_index IS DISTINCT FROM y.target_index) lone
+    FROM (SELECT * FROM run_rows WHERE method <> 'h0') b JOIN (SELECT DISTINCT session_id FROM states) e ON e.session_id // 10 = b.bucket
+    LEFT JOIN ky x ON x.run_id = 'h0-' || b.bucket AND x.session_id = e.session_id LEFT JOIN ky y ON y.run_id = b.run_id AND y.session_id = e.session_id GROUP BY ALL)
+  SELECT 'h0-' || lo.bucket AS baseline, candidate, array_to_string(list_filter([CASE WHEN a.s IS DISTINCT FROM c.s OR a.t IS DISTINCT FROM c.t THEN 'rank_shape_mismatch' END, CASE WHEN fa.fp IS NULL OR fc.fp IS NULL THEN 'missing_pairing_fingerprint' END,
+    CASE WHEN fa.fp <> fc.fp THEN 'pairing_fingerprint_mismatch' END, CASE WHEN lone_ids > 0 THEN 'session_ids_mismatch' END, CASE WHEN lone > 0 THEN 'target_indices_mismatch' END], lambda x: x IS NOT NULL), ',') reasons
+  FROM lo LEFT JOIN sh a ON a.run_id = 'h0-' || lo.bucket LEFT JOIN sh c ON c.run_id = candidate LEFT JOIN fp fa ON fa.run_id = 'h0-' || lo.bucket LEFT JOIN fp fc ON fc.run_id = candidate)"""
+query("i4_verify_pairing", f"SELECT baseline, candidate, reasons = '' AS verified, reasons FROM {VERIFIED}")(lambda spark, sf: verified(spark, sf).withColumn("reasons", F.array_join("reasons", ",")))
+query("i5_gate", f"SELECT baseline, candidate, CASE WHEN reasons = '' THEN 'verified' ELSE 'refused' END AS status, CASE WHEN reasons = '' THEN 'verified' ELSE 'legacy_unverified' END AS if_allowed FROM {VERIFIED}")(
+    lambda spark, sf: provenance.statuses(provenance.statuses(verified(spark, sf), True).withColumnRenamed("status", "if_allowed")).select("baseline", "candidate", "status", "if_allowed")
+)
 
 
 # ---- J: encoders
@@ -471,23 +560,27 @@ def j1(spark, sf):
     return embed.embed(fx.states(spark, sf), lambda texts: [[float(len(t)), 1.0, 0.0] for t in texts], "query_text").select("text", *first3("vector"))
 
 
-# ---- the same over all turns of all conversations, for operators that take sessions of any length
+# ---- the same over sessions of one length, as the reference's rank matrices are
 
-WHOLE = [
+CUT = [
     "a2_sessions", "a3_beliefs", "a6_rank_archive", "b1_beliefs", "b4_sessions", "b17_coverage", "d4_persistent_memory", "d5_current_memory", "d10_weights", "d11_corrected", "d12_h0_ranks", "d13_persistent_ranks", "d15_top_k",
     "d17_diagnostics", "d20_ablation", "e1_recall", "e2_cumulative", "e4_bri", "e7_summary", "f1_recall_delta", "f2_bri_delta", "f3_mcnemar", "f4_holm", "g1_belief_stats", "g4_contradictions", "g6_session_gains", "g9_clean_states",
     "g11_groups", "g12_group_recalls", "h6_no_op", "h8_clean_guard", "h9_session_summary",
 ]
 
 
-def whole(name: str) -> None:
-    """Registers a query once more, on a Whole folder."""
-    QUERIES[f"{name}_whole"] = lambda spark, sf: QUERIES[name](spark, fx.Whole(sf))
-    sql = ORACLE_SQL[name]
-    for table, text in fx.WHOLE_SQL.items():
-        sql = sql.replace(fx.SQL[table], text)
-    ORACLE_SQL[f"{name}_whole"] = sql
+def cut_sql(sql: str) -> str:
+    for table, text in fx.CUT_SQL.items():
+        sql = sql.replace(f"{table} AS ({fx.SQL[table]})", f"{table} AS ({text})")
+    return sql
+
+
+def cut(name: str) -> None:
+    """Registers a query once more, on a Cut folder."""
+    QUERIES[f"{name}_cut"] = lambda spark, sf: QUERIES[name](spark, fx.Cut(sf))
+    ORACLE_SQL[f"{name}_cut"] = cut_sql(ORACLE_SQL[name])
 
 
-for _name in WHOLE:
-    whole(_name)
+for _name in CUT:
+    cut(_name)
+ORACLE_SQL["d21_rank_table"] = cut_sql(ORACLE_SQL["d21_rank_table"])

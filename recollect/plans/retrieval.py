@@ -18,7 +18,9 @@ from ..sources.tables import shared_dir, written
 from ..streaming.live_memory import live_memory
 
 CONFIG = MemoryConfig()
-TOP_K, SAMPLES, SEED = 10, 200, 42
+TOP_K = 10
+#: Samples and seeds of the paired and of the cluster bootstrap.
+SAMPLES, SEED, CLUSTER_SAMPLES, CLUSTER_SEED = 10_000, 42, 20_000, 20260829
 MODES = ("uniform", "confidence", "recency", "full")
 METHODS = ("h0", "current", "persistent")
 
@@ -80,7 +82,7 @@ def encoded(spark: SparkSession, sf: str, texts: DataFrame) -> DataFrame:
     """Stands for an encoder: each text gets the vector of a corpus row by its length."""
     n = fx.corpus(spark, sf).count()
     at = (F.char_length("text").cast("long") * 131 + 7) % n
-    return texts.select("text").distinct().withColumn("corpus_idx", at).join(fx.corpus(spark, sf), "corpus_idx").select("text", "vector")
+    return texts.select("text").distinct().withColumn("corpus_idx", at).join(fx.corpus(spark, sf).hint("merge"), "corpus_idx").select("text", "vector")
 
 
 def _text_ranks(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,13 +133,38 @@ def broken_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return r.withColumn("rank", F.when((F.col("run_id") == "h0") & (F.col("session_id") % 30 == 1), F.lit(-1).cast("long")).otherwise(F.col("rank")))
 
 
+BUCKET = "session_id div 10"
+
+
+def bucketed(ranks_: DataFrame) -> DataFrame:
+    """ranks of many runs: one for each method and ten sessions."""
+    return ranks_.withColumn("run_id", F.concat_ws("-", "run_id", F.expr(BUCKET)))
+
+
+def fingerprinted(spark: SparkSession, sf: str) -> DataFrame:
+    """(run_id, bucket, method, pairing, evaluation): these runs' fingerprints, from their sessions and targets."""
+    own = fx.states(spark, sf).select("session_id", "target_index").distinct().groupBy(F.expr(BUCKET).alias("bucket")).agg(F.count("*").alias("n"), F.sum(F.col("session_id") * 31 + F.col("target_index")).alias("t"))
+    own = own.select("bucket", F.sha2(F.concat_ws(":", "bucket", "n", "t"), 256).alias("pairing"), F.explode(F.array(*map(F.lit, METHODS))).alias("method"))
+    evaluation = provenance.evaluation_fingerprint(F.col("pairing"), F.col("method"), {"rho": F.lit("0.1")}, F.lit("a"), F.lit("r1"))
+    return own.select(F.concat_ws("-", "method", "bucket").alias("run_id"), "bucket", "method", "pairing", evaluation.alias("evaluation"))
+
+
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Records of three runs: a good one, one of another pairing, one with several faults. Derived from the ranks' runs."""
-    good = '{"provenance_status":"emitted_by_evaluator","pairing_fingerprint":"p1","evaluation_fingerprint":"e1","method":"h0","pairing_payload":{},"evaluation_payload":{"pairing_fingerprint":"p1"}}'
-    native = '{"provenance_status":"rehydrated_from_declared_inputs","pairing_fingerprint":"p2","evaluation_fingerprint":"e2","method":"current","pairing_payload":{},"evaluation_payload":{"pairing_fingerprint":"p3"}}'
-    row = lambda a, b, c, d: F.struct(F.lit(a).alias("pairing_fp"), F.lit(b).alias("evaluation_fp"), F.lit(c).alias("status"), F.lit(d).alias("metadata_json"))
-    told = F.when(F.col("run_id") == "h0", row("p1", "e1", "emitted_by_evaluator", good)).when(F.col("run_id") == "current", row("p2", "e2", "rehydrated_from_declared_inputs", native)).otherwise(row("", "e3", "made_up", "not json"))
-    return ranks(spark, sf).select("run_id").distinct().select("run_id", told.alias("r")).select("run_id", "r.*")
+    """Records of these runs, with a fault by bucket: 1 another pairing in the payload, 2 no fingerprint and an unknown status, 3 no metadata, 4 no revision."""
+    fault, one = F.col("bucket") % 5, fingerprinted(spark, sf)
+    status = "emitted_by_evaluator"
+    payload = F.struct(F.when(fault == 1, "other").otherwise(F.col("pairing")).alias("pairing_fingerprint"))
+    meta = F.to_json(F.struct(F.lit(status).alias("provenance_status"), F.col("pairing").alias("pairing_fingerprint"), F.col("evaluation").alias("evaluation_fingerprint"), "method", F.struct("bucket").alias("pairing_payload"), payload.alias("evaluation_payload"), F.when(fault != 4, "r1").alias("model_revision")))
+    return one.select(
+        "run_id", F.when(fault == 2, "").otherwise(F.col("pairing")).alias("pairing_fp"), F.col("evaluation").alias("evaluation_fp"), F.when(fault == 2, "made_up").otherwise(status).alias("status"),
+        F.when(fault == 3, "not json").otherwise(meta).alias("metadata_json"),
+    )
+
+
+def shaken(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks that break what must hold: a first turn, a state without memory, a history-only state."""
+    hit = F.expr("(run_id = 'current' AND (turn = 0 AND session_id % 9 = 4 OR turn > 0 AND session_id % 3 = 0)) OR (run_id = 'persistent' AND (session_id + turn) % 5 = 0)")
+    return ranks(spark, sf).withColumn("rank", F.col("rank") + hit.cast("long"))
 
 
 # ---- the same tables in SQL
@@ -237,7 +264,9 @@ SQL["broken_one"] = """SELECT session_id, feedback_turn, idx, CASE WHEN session_
 SQL["broken_structured"] = "SELECT * FROM broken_one UNION ALL SELECT * FROM broken_one WHERE session_id % 9 = 1"
 SQL["broken_ranks"] = "SELECT run_id, session_id, turn, CASE WHEN run_id = 'h0' AND session_id % 30 = 1 THEN -1 ELSE rank END AS rank FROM ranks WHERE NOT (run_id = 'current' AND turn = 2 AND session_id % 4 = 0)"
 SQL["sizes"] = "SELECT s.session_id, s.turn, count(m.concept) size, 0::BIGINT positive, count(m.concept) negative, 0::BIGINT overrides FROM states s LEFT JOIN mem m USING (session_id, turn) GROUP BY ALL"
-SQL["run_records"] = """SELECT * FROM (VALUES ('h0', 'p1'), ('current', 'p2'), ('persistent', '')) r(run_id, pairing_fp)"""
+SQL["run_rows"] = f"""SELECT m || '-' || bucket run_id, bucket, m method, sha256(bucket || ':' || n || ':' || t) pairing FROM
+  (SELECT session_id // 10 bucket, count(*) n, sum(session_id * 31 + target_index) t FROM (SELECT DISTINCT session_id, target_index FROM states) GROUP BY ALL), (SELECT unnest({list(METHODS)}) m)"""
+SQL["shaken"] = """SELECT run_id, session_id, turn, rank + (CASE WHEN run_id = 'current' AND (turn = 0 AND session_id % 9 = 4 OR turn > 0 AND session_id % 3 = 0) OR run_id = 'persistent' AND (session_id + turn) % 5 = 0 THEN 1 ELSE 0 END) AS rank FROM ranks"""
 
 
 def with_tables(sql: str) -> str:
@@ -257,7 +286,7 @@ def bootstrap_sql(units: str, group: str, samples: int, seed: int, scale: float
     return f"""SELECT g."{group}", g.delta, quantile_cont(m.m, 0.025) ci_low, quantile_cont(m.m, 0.975) ci_high FROM
  (SELECT "{group}", count(*) n, {scale}::DOUBLE * sum(s) / sum(c) delta FROM ({units}) GROUP BY ALL) g JOIN
  (SELECT d."{group}", replicate, {scale}::DOUBLE * sum(u.s) / sum(u.c) m FROM
-   (SELECT "{group}", replicate, ('0x' || substr(md5('{seed}:' || replicate || ':' || place), 1, 8))::BIGINT % n AS no FROM (SELECT "{group}", n, unnest(range(n)) place FROM (SELECT "{group}", count(*) n FROM ({units}) GROUP BY ALL)), range({samples}) r(replicate)) d
+   (SELECT "{group}", replicate, ('0x' || substr(md5('{seed}:' || replicate || ':' || place // 4), 1 + 8 * (place % 4), 8))::BIGINT % n AS no FROM (SELECT "{group}", n, unnest(range(n)) place FROM (SELECT "{group}", count(*) n FROM ({units}) GROUP BY ALL)), range({samples}) r(replicate)) d
    JOIN (SELECT *, row_number() OVER (PARTITION BY "{group}" ORDER BY session_id) - 1 no FROM ({units})) u ON u."{group}" = d."{group}" AND u.no = d.no GROUP BY ALL) m ON m."{group}" = g."{group}" GROUP BY ALL"""
 
 

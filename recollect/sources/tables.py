@@ -4,22 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import fields
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BELIEF = "struct<attribute:string,confidence:double>"
+from ..config import MemoryConfig, RetrievalConfig
+
+BELIEF = "struct<attribute:string,confidence:double,fact_type:string>"
 BELIEFS_JSON = f"schema_version int, status string, provenance map<string,string>, quality struct<passed:boolean>, dialogs array<struct<dialog_id:bigint,turns:array<struct<turn:int,question:string,answer:string,positives:array<{BELIEF}>,negatives:array<{BELIEF}>>>>>"
 STRUCTURED_JSON = "items array<struct<dialog_id:bigint,turn:int,negative_index:int,negative_attribute:string,actionable_negative:boolean,typing:struct<type:string,status:string>,eligibility_source:string>>"
-#: What stands for missing texts and confidences.
+#: What stands for missing texts, confidences and kinds of facts.
 DEFAULT_TEXT = "precomputed query"
 DEFAULT_CONFIDENCE = 0.7
+DEFAULT_FACT_TYPE = "unknown"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share. Only a session on one machine may do without: it gets a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="recollect-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,29 +58,45 @@ def sessions_of_turns(states: DataFrame) -> DataFrame:
 
 
 def explode_beliefs(artifact: DataFrame) -> DataFrame:
-    """A belief artifact to (position, dialog_id, turn_position, session_id, feedback_turn, polarity, idx, attribute, confidence)."""
+    """A belief artifact to (position, dialog_id, turn_position, session_id, feedback_turn, polarity, idx, attribute, confidence, fact_type)."""
     dialogs = artifact.select(F.posexplode("dialogs").alias("position", "d"))
     turns = dialogs.select("position", F.col("d.dialog_id").alias("session_id"), F.posexplode("d.turns").alias("turn_position", "t"))
     one = lambda polarity, field: turns.select("position", "session_id", "turn_position", F.col("t.turn").alias("feedback_turn"), F.lit(polarity).alias("polarity"), F.posexplode(F.col(f"t.{field}")).alias("idx", "b"))
     both = one("positive", "positives").unionByName(one("negative", "negatives"))
-    return both.select("position", "session_id", "turn_position", "feedback_turn", "polarity", "idx", F.trim("b.attribute").alias("attribute"), F.coalesce("b.confidence", F.lit(DEFAULT_CONFIDENCE)).alias("confidence"))
+    return both.select("position", "session_id", "turn_position", "feedback_turn", "polarity", "idx", F.trim("b.attribute").alias("attribute"), F.coalesce("b.confidence", F.lit(DEFAULT_CONFIDENCE)).alias("confidence"), F.coalesce("b.fact_type", F.lit(DEFAULT_FACT_TYPE)).alias("fact_type"))
 
 
-def read_beliefs(spark: SparkSession, path: str) -> DataFrame:
-    return explode_beliefs(spark.read.schema(BELIEFS_JSON).json(path, multiLine=True))
+def read_beliefs(spark: SparkSession, path: str, one_a_file: bool = False) -> DataFrame:
+    """Artifacts, one a line; one_a_file: one a file, over several lines."""
+    return explode_beliefs(spark.read.schema(BELIEFS_JSON).json(path, multiLine=one_a_file))
 
 
-def read_structured(spark: SparkSession, path: str) -> DataFrame:
-    items = spark.read.schema(STRUCTURED_JSON).json(path, multiLine=True).select(F.explode("items").alias("i"))
-    return items.select(
+def read_structured(spark: SparkSession, path: str, one_a_file: bool = False) -> DataFrame:
+    """Items of artifacts, one artifact a line (or a file); an item that stands twice is refused."""
+    items = spark.read.schema(STRUCTURED_JSON).json(path, multiLine=one_a_file).select(F.explode("items").alias("i"))
+    found = items.select(
         F.col("i.dialog_id").alias("session_id"), F.col("i.turn").alias("feedback_turn"), F.coalesce("i.negative_index", F.lit(0)).alias("idx"), F.col("i.negative_attribute").alias("negative_attribute"),
         F.col("i.actionable_negative").alias("actionable"), F.upper(F.trim("i.typing.type")).alias("sem_type"), F.col("i.typing.status").alias("sem_status"), F.col("i.eligibility_source").alias("eligibility_source"),
     )
+    if not found.groupBy("session_id", "feedback_turn", "idx").count().where("count > 1").isEmpty():
+        raise ValueError("an item stands twice")
+    return found
+
+
+def read_configs(spark: SparkSession, path: str) -> DataFrame:
+    """Configurations, one JSON object a line; what one leaves out has its default. checks.configs tells which are bad."""
+    numbers = [f for f in fields(MemoryConfig) if f.type != "bool"]
+    memory = ", ".join(f"{f.name}:double" for f in numbers)
+    c = spark.read.schema(f"config_id bigint, memory struct<{memory},semantic_merge:boolean>, top_k bigint").json(path)
+    values = [F.coalesce(F.col(f"memory.{f.name}"), F.lit(float(f.default))).alias(f.name) for f in numbers]
+    return c.select("config_id", *values, F.coalesce("memory.semantic_merge", F.lit(MemoryConfig.semantic_merge)).alias("semantic_merge"), F.coalesce("top_k", F.lit(RetrievalConfig.top_k).cast("long")).alias("top_k"))
 
 
 def write_beliefs(beliefs: DataFrame, path: str) -> None:
-    """(session_id, feedback_turn, polarity, idx, attribute, confidence) to an artifact of one JSON object a line and file part."""
-    own = lambda polarity: F.transform(F.filter(F.array_sort(F.collect_list(F.struct("polarity", "idx", "attribute", "confidence"))), lambda b: b["polarity"] == polarity), lambda b: F.struct(b["attribute"].alias("attribute"), b["confidence"].alias("confidence")))
+    """(session_id, feedback_turn, polarity, idx, attribute, confidence, and fact_type if it is there) to artifacts of one dialogue, one JSON object a line."""
+    kind = F.col("fact_type") if "fact_type" in beliefs.columns else F.lit(DEFAULT_FACT_TYPE)
+    beliefs = beliefs.withColumn("fact_type", kind)
+    own = lambda polarity: F.transform(F.filter(F.array_sort(F.collect_list(F.struct("polarity", "idx", "attribute", "confidence", "fact_type"))), lambda b: b["polarity"] == polarity), lambda b: F.struct(b["attribute"].alias("attribute"), b["confidence"].alias("confidence"), b["fact_type"].alias("fact_type")))
     turns = beliefs.groupBy("session_id", "feedback_turn").agg(own("positive").alias("positives"), own("negative").alias("negatives"))
     turn = F.struct(F.col("feedback_turn").alias("turn"), F.lit("").alias("question"), F.lit("").alias("answer"), "positives", "negatives")
     dialogs = turns.groupBy("session_id").agg(F.array_sort(F.collect_list(turn)).alias("turns")).select(F.struct(F.col("session_id").alias("dialog_id"), "turns").alias("d"))
@@ -91,8 +113,16 @@ def read_ranks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_ranks(ranks: DataFrame, path: str) -> None:
-    """By run, so that readers of one run read no other."""
-    ranks.repartition("run_id").write.mode("overwrite").partitionBy("run_id").parquet(path)
+    """By run, so that readers of one run read no other; a run is dealt over the partitions by session.
+
+    Refuses what is no rank archive: a state that stands twice in a run, missing or negative ranks, runs of unlike states.
+    """
+    each = ranks.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("session_id", "turn").alias("d"), F.min(F.coalesce("rank", F.lit(-1))).alias("least"))
+    states = ranks.select("session_id", "turn").distinct().count()
+    odd = each.where((F.col("n") != F.col("d")) | (F.col("least") < 0) | (F.col("d") != states)).select("run_id").limit(5).collect()
+    if odd:
+        raise ValueError(f"no rank archives: {sorted(r.run_id for r in odd)}")
+    ranks.repartition("run_id", F.xxhash64("session_id")).write.mode("overwrite").partitionBy("run_id").parquet(path)
 
 
 def upgrade_ranks(spark: SparkSession, old: str, new: str, **facts: str) -> DataFrame:
@@ -134,7 +164,7 @@ def find_archives(spark: SparkSession, *roots: str) -> DataFrame:
 
 
 def subset(sessions: DataFrame, ids: DataFrame) -> DataFrame:
-    return sessions.join(ids.select("session_id").distinct(), "session_id", "left_semi")
+    return sessions.join(ids.select("session_id").distinct().hint("merge"), "session_id", "left_semi")
 
 
 def named_runs(runs: dict[str, DataFrame]) -> DataFrame:
@@ -148,15 +178,19 @@ def named_runs(runs: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def reencode_sessions(states: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Sessions with the same ids, targets and texts, and the texts' vectors from the vocabulary."""
-    vectors = vocabulary.select(F.col("text").alias("query_text"), F.col("vector").alias("query_vector"))
-    return sessions_of_turns(states.drop("query_vector").join(vectors, "query_text"))
+def reencode_sessions(states: DataFrame, vocabulary: DataFrame, encoder: str = "vocabulary") -> DataFrame:
+    """Sessions with the same ids, targets and texts, and the texts' vectors from the vocabulary; a text without a vector raises.
 
-
-def still_to_encode(texts: DataFrame, cache: DataFrame) -> DataFrame:
-    return texts.select("text").distinct().join(cache.select("text"), "text", "left_anti")
+    encoder and source_fp tell where the vectors come from: its name, and a hash of the session's texts and former vectors.
+    """
+    vectors = vocabulary.select(F.col("text").alias("query_text"), F.col("vector").alias("new"))
+    both = states.join(vectors.hint("merge"), "query_text", "left")
+    missing = F.raise_error(F.concat(F.lit("no vector for "), F.col("query_text"))).cast("array<double>")
+    new = both.withColumn("new", F.when(F.col("new").isNull(), missing).otherwise(F.col("new")))
+    source = new.groupBy("session_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("turn", "query_text", "query_vector")))), 256).alias("source_fp"))
+    sessions = sessions_of_turns(new.drop("query_vector").withColumnRenamed("new", "query_vector"))
+    return sessions.join(source.hint("merge"), "session_id").withColumn("encoder", F.lit(encoder))
 
 
-def only(df: DataFrame, condition: Column) -> DataFrame:
-    return df.where(condition)
+def still_to_encode(texts: DataFrame, cache: DataFrame) -> DataFrame:
+    return texts.select("text").distinct().join(cache.select("text").hint("merge"), "text", "left_anti")

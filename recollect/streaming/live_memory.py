@@ -1,7 +1,9 @@
 """The session memory as a stream: turns arrive, and each gives the memory after it.
 
 The state of a session is its concepts; turns of a session must arrive in order over micro-batches (within one they are
-sorted). The state of a session is bounded by the cap on its concepts; it is kept until the query's checkpoint is dropped.
+sorted). The state of a session is bounded by the cap on its concepts; with `forget_after_ms`, a session that is silent for so long
+is forgotten, and begins anew if it speaks again; without it (as for a trigger that ends when all is read) the state is kept until
+the checkpoint is dropped.
 """
 
 from __future__ import annotations
@@ -14,20 +16,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import MemoryConfig
-from ..operators.memory import fold_session
+from ..operators.memory import Entry, fold_session
 
 OUT = "session_id long, turn int, concept string, surface string, confidence double, created int, updated int"
 
 
-def live_memory(turns: DataFrame, config: MemoryConfig) -> DataFrame:
+def live_memory(turns: DataFrame, config: MemoryConfig, forget_after_ms: int | None = None) -> DataFrame:
     """turns: session_id, turn, negatives array<struct<idx, concept, attribute, confidence>> (empty for turns without any)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {}
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = {k: Entry(*v[:6], None, v[6]) for k, v in json.loads(state.get[0]).items()} if state.exists else {}
         rows = pd.concat(list(batches)).sort_values("turn")
-        events = [(int(r.turn), int(n["idx"]), n["concept"], n["attribute"], float(n["confidence"]), None, "negative") for r in rows.itertuples() for n in sorted(r.negatives, key=lambda n: n["idx"])]
+        events = [(int(r.turn), int(n["idx"]), n["concept"], n["attribute"], float(n["confidence"]), None, "negative") for r in rows.itertuples() for n in r.negatives]
         out = list(fold_session([int(t) for t in rows["turn"]], events, config, kept))
-        state.update((json.dumps(kept),))
-        yield pd.DataFrame([(key[0], t, c, s, conf, made, upd) for t, c, s, _, conf, made, upd, *_ in out], columns=[c.split()[0] for c in OUT.split(", ")])
+        state.update((json.dumps({k: [e.name, e.surface, e.polarity, e.confidence, e.created, e.updated, e.overrides] for k, e in kept.items()}),))
+        if forget_after_ms is not None:
+            state.setTimeoutDuration(forget_after_ms)
+        yield pd.DataFrame([(key[0], t, c, s, conf, made, upd) for t, c, _, s, _, conf, made, upd, *_ in out], columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return turns.groupBy("session_id").applyInPandasWithState(step, OUT, "memory string", "append", GroupStateTimeout.NoTimeout)
+    return turns.groupBy("session_id").applyInPandasWithState(step, OUT, "memory string", "append", GroupStateTimeout.NoTimeout if forget_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -10,8 +10,8 @@ import __spark_entry__ as entry
 from recollect.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SOME = ["a3_beliefs", "a8_upgrade", "b1_beliefs", "b4_sessions", "b15_structured_matches", "c1_canonical", "c6_weights", "d4_persistent_memory", "d6b_uncapped_fold", "d11_corrected", "d14_native_ranks", "d15_top_k", "d16_live_memory", "d18_text_persistent",
-        "e7_summary", "f1_recall_delta", "f5_compare", "g1_belief_stats", "g4_contradictions", "g9_clean_states", "g10_event_counters", "g12b_group_deltas", "g18_manifest", "h1_archives", "h6_no_op", "i2_pairing", "i4_verify_pairing", "j1_embed"]
+SOME = ["a3_beliefs", "a5_configs", "a8_upgrade", "b1_beliefs", "b4_sessions", "b15_structured_matches", "c1_canonical", "c6_weights", "d4_persistent_memory", "d6b_uncapped_fold", "d11_corrected", "d14_native_ranks", "d15_top_k", "d16_live_memory", "d18_text_persistent",
+        "e7_summary", "f1_recall_delta", "f5_compare", "g1_belief_stats", "g4_contradictions", "g9_clean_states", "g10_event_counters", "g12b_group_deltas", "g18_manifest", "h1_archives", "h5_first_turn", "h6_no_op", "h7_no_op_lists", "h8_clean_guard", "i2_pairing", "i3_evaluation", "i4_verify_pairing", "i5_gate", "j1_embed"]
 
 
 def plain(rows, columns):
@@ -40,6 +40,12 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 3
 
 
+def test_a_broken_import_is_not_hidden(tmp_path):
+    code = "import sys; sys.modules['recollect.llm.common'] = None; import __spark_entry__ as e; e.queries()"
+    out = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True)
+    assert not os.path.isdir(os.path.join(os.path.dirname(entry.__file__), "recollect", "llm")) or "recollect.llm.common" in out.stderr and out.returncode
+
+
 def test_works_without_the_llm_folder(tmp_path):
     code = "import sys; sys.modules['recollect.llm'] = None; import __spark_entry__ as e; import json; print(json.dumps([len(e.queries()), any(n.startswith('op') for n in e.queries())]))"
     out = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True, check=True).stdout

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -38,12 +39,58 @@ def test_capped_memory_like_a_fold(spark, cap):
     assert {(r.session_id, r.turn, r.concept, r.confidence, r.created, r.updated) for r in got} == want
 
 
-def test_polarity_override_and_semantic_merge():
-    config = MemoryConfig(semantic_merge=True, semantic_merge_threshold=0.9)
-    events = [(1, 0, "a", "a", 0.6, [1.0, 0.0], "negative"), (2, 0, "a", "a", 0.5, [1.0, 0.0], "positive"), (2, 1, "b", "b", 0.9, [0.99, 0.1], "positive"), (3, 0, "c", "c", 0.4, [0.0, 1.0], "negative")]
-    rows = list(M.fold_session([0, 1, 2, 3], events, config))
-    assert [r[:2] for r in rows] == [(1, "a"), (2, "a"), (3, "a"), (3, "c")]
-    assert rows[1][2:5] == ("b", "positive", 0.9) and rows[1][8] == 1 and rows[1][9:12] == (0, 2, 0)
+def plain_fold(events, turns, config):
+    """The memory after each turn, one belief after another; (turn, key, name, surface, polarity, confidence, created, updated, overrides) and the turns' counts."""
+    kept, rows, counts = [], [], {}
+    for t in turns:
+        added = changed = overridden = evicted = 0
+        now = [e for p in ("positive", "negative") for e in sorted((e for e in events if e[0] == t and e[6] == p), key=lambda e: e[1])]
+        for _, _, concept, surface, confidence, vector, polarity in now:
+            old = next((k for k in kept if k["key"] == concept), None)
+            if old is None and config.semantic_merge and kept:
+                like = [sum(a * b for a, b in zip(k["vector"], vector, strict=True)) for k in kept]
+                if max(like) >= config.semantic_merge_threshold:
+                    old = kept[like.index(max(like))]
+            if old is None:
+                kept.append({"key": concept, "name": surface, "surface": surface, "polarity": polarity, "conf": confidence, "created": t, "updated": t, "n": 0, "vector": vector})
+                added += 1
+            elif old["polarity"] == polarity:
+                old.update(surface=surface, conf=max(old["conf"], confidence), updated=t, vector=vector)
+                changed += 1
+            else:
+                old.update(surface=surface, conf=min(1.0, max(old["conf"], confidence) + config.override_boost), updated=t, vector=vector, polarity=polarity, n=old["n"] + 1)
+                overridden += 1
+        while now and len(kept) > config.max_concepts:
+            kept.remove(min(kept, key=lambda k: k["updated"]))  # the first of the least is the first that came in
+            evicted += 1
+        rows += [(t, k["key"], k["name"], k["surface"], k["polarity"], round(k["conf"], 9), k["created"], k["updated"], k["n"]) for k in kept]
+        if kept:
+            counts[t] = (added, changed, overridden, evicted)
+    return rows, counts
+
+
+@pytest.mark.parametrize("config", [MemoryConfig(), MemoryConfig(max_concepts=2), MemoryConfig(semantic_merge=True, semantic_merge_threshold=0.8, max_concepts=4)])
+def test_folded_memory_like_a_plain_fold(spark, config):
+    rng = random.Random(11)
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    vectors = {f"{f}{k}": unit([rng.uniform(-1, 1) for _ in range(3)]) for k in range(5) for f in ("c", "C")}
+    states = [(s, t) for s in range(25) for t in range(6)]
+    events = [(s, t, i, x.lower(), x, rng.choice([0.5, 0.75, 0.95]), p) for s, t in states for p in ("positive", "negative") for i in range(rng.randrange(3)) for x in [rng.choice(list(vectors))]]
+    e = spark.createDataFrame(events, "session_id long, turn int, idx int, concept string, attribute string, confidence double, polarity string").repartition(5)
+    v = spark.createDataFrame(list(vectors.items()), "text string, vector array<double>")
+    s = spark.createDataFrame(states, "session_id long, turn int")
+    got = M.folded_memory(s, e, v, config)
+    plain = {i: plain_fold([(t, n, c, x, f, vectors[x], p) for j, t, n, c, x, f, p in events if j == i], range(6), config) for i in range(25)}
+    rows = {(r.session_id, r.turn, r.concept, r.name, r.surface, r.polarity, round(r.confidence, 9), r.created, r.updated, r.overrides) for r in got.collect()}
+    assert rows == {(i, *r) for i, (rs, _) in plain.items() for r in rs}
+    stats = {(r.session_id, r.turn): tuple(r)[2:] for r in M.turn_stats(got).collect()}
+    assert stats == {(i, t): c for i, (_, cs) in plain.items() for t, c in cs.items()}
+    log = M.override_log(got).groupBy("session_id", "turn").count().collect()
+    assert {(r.session_id, r.turn): r["count"] for r in log} == {k: c[2] for k, c in stats.items() if c[2]}
+    sizes = {(r.session_id, r.turn): tuple(r)[2:] for r in M.diagnostics(s, got).collect()}
+    for i, t in states:
+        own = [r for r in plain[i][0] if r[0] == t]
+        assert sizes[i, t] == (len(own), sum(r[4] == "positive" for r in own), sum(r[4] == "negative" for r in own), sum(r[8] for r in own))
 
 
 def test_config():
