@@ -64,3 +64,30 @@ def test_stages(spark):
     for r in seen["end"]:
         assert b"".join(ranks[k] for k in r.ids) == texts[r.doc_id].encode() and r.n_tokens == len(r.ids)
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+NAMES = ["_id", "_hash", "_spans", "_copies", "_copy", "_score", "score", "cls", "sig", "n_shingles", "row", "h1", "spans", "key"]
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in each column, empty and very long texts, ties, repeated rows, clashing names; and no rows at all."""
+    t = " ".join(f"word{k} and" for k in range(40))
+    rows = [(1, t, "en", "a", 5), (1, t, "en", "a", 5), (1, t, "de", "a", 5), (2, t, "en", "a", 5), (None, t + " token=abcdefghijklmnop", None, None, None), (3, None, "en", "b", 7), (4, "", None, "b", 0), (5, " ", "en", None, 1)]
+    rows += [(6, "long text goes on " * 20_000, "en", "b", None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.withColumns({c: F.coalesce("doc_id", F.lit(-1)) for c in NAMES}).withColumn("a map", F.create_map(F.lit("k"), "n_chars"))
+    own = lambda r: all(r[c] == (-1 if r.doc_id is None else r.doc_id) for c in NAMES)
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            if name == "bpe":
+                assert len(got) == docs.count()
+                continue
+            assert out.dtypes == docs.dtypes and all(own(r) for r in got), name
+            if name == "near_dup":
+                assert sorted((str(r.doc_id), str(r.text)[:9], str(r.lang)) for r in got) == sorted((str(i), str(x)[:9], str(la)) for i, x, la, *_ in {r for r in rows if r[0] not in (2,) and not (r[0] is None and r[1])} if docs is df)
+            if name == "secrets":
+                assert sorted(str(r.text) for r in got) == sorted(str(r.text).replace("token=abcdefghijklmnop", secrets.REDACTED) for r in docs.collect())
+            if name == "mixing":
+                assert {r.doc_id for r in got} <= {1, 2, 6, None} and all(r.text and r.text.strip() for r in got)
