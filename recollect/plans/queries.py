@@ -555,7 +555,7 @@ query("i5_gate", f"SELECT baseline, candidate, CASE WHEN reasons = '' THEN 'veri
 # ---- J: encoders
 
 
-@query("j1_embed", f"SELECT DISTINCT query_text AS text, length(query_text)::DOUBLE vector_0, 1.0::DOUBLE vector_1, 0.0::DOUBLE vector_2 FROM states")
+@query("j1_embed", f"SELECT DISTINCT query_text AS text, length(query_text)::DOUBLE vector_0, 1.0::DOUBLE vector_1, 0.0::DOUBLE vector_2, length(query_text) + 2.0::DOUBLE vector_all FROM states")
 def j1(spark, sf):
     return embed.embed(fx.states(spark, sf), lambda texts: [[float(len(t)), 1.0, 0.0] for t in texts], "query_text").select("text", *first3("vector"))
 
