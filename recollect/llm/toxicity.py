@@ -40,6 +40,10 @@ class Params:
     lasso: float = 3e-4
     #: Words of these log-odds or more speak for toxicity.
     lexicon_odds: float = 1.0
+    #: A toxic document that is missed counts as four clean ones that are flagged, so the cut lies at 1 / (1 + 4).
+    threshold: float = 0.2
+    #: Below a half, a document's odds must also be so many times those of an empty text.
+    evidence: float = 4.0
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -129,7 +133,11 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.nd
 
 
 def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], p: Params = Params(), text: str = "text", severity: str = "severity", toxic: str = "toxic", probability: str = "p_toxic") -> DataFrame:
-    """docs with the expected severity (0 to GRADES), P(grade > 0), and whether that is at least a half."""
+    """docs with the expected severity (0 to GRADES), P(grade > 0), and whether that is p.threshold or more.
+
+    A text that speaks hardly more for toxicity than an empty one does is told toxic only from a half on, however common toxic rows are.
+    """
     weights, cuts = model
     out = scored(docs.drop(toxic), text, [severity, probability], lambda texts: severities(texts, weights, cuts, p))
-    return out.withColumn(toxic, F.col(probability) >= 0.5)
+    none = float(severities([""], weights, cuts, p)[0, 1])
+    return out.withColumn(toxic, (F.col(probability) >= 0.5) | ((F.col(probability) >= p.threshold) & (F.col(probability) * (1 - none) >= p.evidence * none * (1 - F.col(probability)))))

@@ -66,6 +66,14 @@ def test_toxicity(spark):
     assert not any(r.toxic for r in out if not r.text)
 
 
+def test_texts_without_evidence_are_not_told_toxic(spark):
+    """Even where a third of the rows are toxic."""
+    rows = [(i, t, 1, x) for i, t, _, x in corpus() if x or i % 4 in (0, 1)]  # with marks of bad quality on both sides
+    docs, labels = frames(spark, rows)
+    out = X.grade(docs, X.fit(docs, labels)).collect()
+    assert 0.3 < sum(r[3] for r in rows) / len(rows) < 0.45 and not any(r.toxic for r in out if not r.text or not any(x in r.text for x in RUDE))
+
+
 def test_without_labels(spark):
     docs, labels = frames(spark, corpus(8))
     none = labels.limit(0)
