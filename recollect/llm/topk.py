@@ -63,7 +63,9 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
     """(query row, candidate row, score) of the k best candidates of each query; candidates come sorted by id."""
     kind, terms, n = fits(q, c), min(q.shape[1], c.shape[1]), len(c_ids)
     q = q.astype(kind)
+    # a term that most candidates have is kept as a whole column, its zeros too
     postings = [(docs, c[docs, t].astype(kind)) for t, docs in ((t, np.flatnonzero(c[:, t])) for t in range(terms))]
+    postings = [(None, c[:, t].astype(kind)) if 2 * len(docs) > n else (docs, weights) for t, (docs, weights) in enumerate(postings)]
     out = [(np.zeros(0, np.int64),) * 3]
     part = np.empty((QUERY_TILE, n), kind)
     for lo in range(0, len(q_ids) if n else 0, QUERY_TILE):
@@ -71,8 +73,10 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
         score = np.zeros((len(tile), n), kind)
         for t, (docs, weights) in enumerate(postings):
             rows = np.flatnonzero(tile[:, t])
-            if len(docs) == n and len(rows) == len(tile):
+            if docs is None and 2 * len(rows) > len(tile):
                 score += np.multiply(tile[:, t][:, None], weights, out=part[: len(tile)])
+            elif docs is None:
+                score[rows] += tile[rows, t][:, None] * weights
             elif len(docs) and len(rows):
                 score[rows[:, None], docs] += tile[rows, t][:, None] * weights
         own = c_ids == q_ids[lo : lo + QUERY_TILE][:, None]
