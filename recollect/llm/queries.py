@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, features, fingerprint, mixing, near_dup, quality, secrets, topk, toxicity, url_filter
+from . import bpe, chat, features, fim, fingerprint, mixing, near_dup, quality, secrets, topk, toxicity, url_filter
 from .common import table, written
 
 
@@ -99,6 +99,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    hashes = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
+    "op11_fim": op11_fim,
     "pipeline": pipeline,
 }
 
@@ -171,7 +178,8 @@ FROM documents t LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM t.doc_id AND g.tex
 
 #: op5 by a self-join on shingles, its components by a recursive walk over links of distinct sets.
 _OP5_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3] || ' ' || w[k + 4])) END s FROM w),
 h AS (SELECT doc_id, len(s) n, md5(array_to_string(list_sort(s), chr(10))) cls, s FROM s),
@@ -187,7 +195,19 @@ SELECT h.doc_id, h.n AS n_shingles, CASE WHEN h.n = 0 THEN h.doc_id ELSE coalesc
 FROM h LEFT JOIN c ON c.cls = h.cls AND h.n > 0 LEFT JOIN top ON top.cls = h.cls AND h.n > 0"""
 
 
+#: op11 by lists of units.
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') w, sha256('42:' || coalesce(doc_id::VARCHAR, '')) k FROM documents),
+h AS (SELECT *, len(w) n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(k, i, 8))::BIGINT) h FROM d),
+c AS (SELECT doc_id, text, w, n, least(h[1] % (n + 1), h[2] % (n + 1)) a, greatest(h[1] % (n + 1), h[2] % (n + 1)) b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, coalesce(array_to_string(w[:a], ''), '') pre, coalesce(array_to_string(w[a + 1:b], ''), '') mid, coalesce(array_to_string(w[b + 1:], ''), '') suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_fim": _OP11_SQL,
     "op3_secrets": _op3_sql(),
     "op5_near_dup": _OP5_SQL,
     "op2_topk": """
