@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, features, fim, fingerprint, mixing, near_dup, quality, secrets, topk, toxicity, url_filter
+from . import bpe, chat, features, fim, fingerprint, mixing, near_dup, quality, resampling, secrets, topk, toxicity, url_filter
 from .common import table, written
 
 
@@ -105,6 +105,11 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -123,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
     "op11_fim": op11_fim,
+    "op13_resampling": op13_resampling,
     "pipeline": pipeline,
 }
 
@@ -206,7 +212,26 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END prefix_ch
   sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
 
 
+#: op13 with CRC-32 byte by byte, for each distinct feature once.
+_OP13_SQL = r"""
+WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) t),
+a AS (SELECT 0 kind, doc_id, row_number() OVER () no, text FROM documents UNION ALL SELECT 1, NULL, row_number() OVER (), text FROM benchmark),
+w AS (SELECT kind, doc_id, no, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM a),
+f AS MATERIALIZED (SELECT kind, no, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) x FROM w),
+h AS (SELECT x, hex(encode(x)) h FROM (SELECT DISTINCT x FROM f)),
+b AS MATERIALIZED (SELECT x, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)), lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1])), 4294967295) % 10000 bucket FROM h, tab),
+n AS MATERIALIZED (SELECT kind, no, bucket, count(*) n FROM f JOIN b USING (x) GROUP BY ALL),
+g AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 0), 0)::DOUBLE s, coalesce(sum(n) FILTER (kind = 1), 0)::DOUBLE t FROM n GROUP BY ALL),
+tot AS (SELECT coalesce(sum(s), 0) s, coalesce(sum(t), 0) t FROM g),
+gain AS (SELECT bucket, floor(1000 * ln((g.t + 1) * (tot.s + 10000) / ((g.s + 1) * (tot.t + 10000))))::BIGINT gain FROM g, tot),
+v AS (SELECT no, sum(n) n, sum(n * gain) weight FROM n JOIN gain USING (bucket) WHERE kind = 0 GROUP BY no),
+r AS (SELECT w.doc_id, len(w.w) words, coalesce(v.n, 0)::BIGINT n_features, coalesce(v.weight, 0)::BIGINT weight, (coalesce(v.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(w.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT score FROM w LEFT JOIN v USING (no) WHERE w.kind = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST) o FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND o <= 5 * (SELECT count(*) FROM r WHERE words >= 20) // 100 THEN o END AS rank FROM o"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_resampling": _OP13_SQL,
     "op11_fim": _OP11_SQL,
     "op3_secrets": _op3_sql(),
     "op5_near_dup": _OP5_SQL,
