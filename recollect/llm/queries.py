@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, features, fim, fingerprint, mixing, near_dup, quality, resampling, secrets, topk, toxicity, url_filter
+from . import bpe, chat, features, fim, fingerprint, mixing, near_dup, ngram_join, quality, resampling, secrets, topk, toxicity, url_filter
 from .common import table, written
 
 
@@ -105,6 +105,10 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
@@ -128,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
     "op11_fim": op11_fim,
+    "op12_ngram_join": op12_ngram_join,
     "op13_resampling": op13_resampling,
     "pipeline": pipeline,
 }
@@ -184,8 +189,7 @@ FROM documents t LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM t.doc_id AND g.tex
 
 #: op5 by a self-join on shingles, its components by a recursive walk over links of distinct sets.
 _OP5_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3] || ' ' || w[k + 4])) END s FROM w),
 h AS (SELECT doc_id, len(s) n, md5(array_to_string(list_sort(s), chr(10))) cls, s FROM s),
@@ -201,6 +205,22 @@ SELECT h.doc_id, h.n AS n_shingles, CASE WHEN h.n = 0 THEN h.doc_id ELSE coalesc
 FROM h LEFT JOIN c ON c.cls = h.cls AND h.n > 0 LEFT JOIN top ON top.cls = h.cls AND h.n > 0"""
 
 
+#: op12 by a self-join on all shingles, as op5.
+_OP12_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3])) END s FROM w),
+h AS (SELECT doc_id, len(s) n, md5(array_to_string(list_sort(s), chr(10))) cls, s FROM s),
+c AS MATERIALIZED (SELECT cls, min(doc_id) least, any_value(n) n, any_value(s) s FROM h WHERE n > 0 GROUP BY cls),
+x AS MATERIALIZED (SELECT cls, n, hash(unnest(s)) x FROM c),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT a.cls a, b.cls b, a.n na, b.n nb, count(*) c FROM x a JOIN x b ON a.x = b.x AND a.cls < b.cls AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL) WHERE 100 * c >= 85 * (na + nb - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS start, a AS at FROM e UNION SELECT r.start, e.b FROM r JOIN e ON e.a = r.at),
+top AS (SELECT r.start AS cls, min(c.least) component FROM r JOIN c ON c.cls = r.at GROUP BY r.start)
+SELECT h.doc_id, h.n AS n_shingles, CASE WHEN h.n = 0 THEN h.doc_id ELSE coalesce(top.component, c.least) END AS component_id
+FROM h LEFT JOIN c ON c.cls = h.cls AND h.n > 0 LEFT JOIN top ON top.cls = h.cls AND h.n > 0"""
+
+
 #: op11 by lists of units.
 _OP11_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') w, sha256('42:' || coalesce(doc_id::VARCHAR, '')) k FROM documents),
@@ -233,6 +253,7 @@ SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND o <= 5 * (SE
 ORACLE_SQL: dict[str, str] = {
     "op13_resampling": _OP13_SQL,
     "op11_fim": _OP11_SQL,
+    "op12_ngram_join": _OP12_SQL,
     "op3_secrets": _op3_sql(),
     "op5_near_dup": _OP5_SQL,
     "op2_topk": """
