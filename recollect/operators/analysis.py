@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import metrics, stats
+from .intervals import stabbed
 
 #: The groups of history-only states.
 GROUPS = ["ALL_CLEAN_HISTORY_ONLY", "AGE_1", "AGE_2_3", "AGE_4_PLUS", "MEM_1", "MEM_2_3", "MEM_4_PLUS"]
@@ -82,13 +83,15 @@ def clean_states(states: DataFrame, events: DataFrame) -> DataFrame:
     """States without a negative of their own but with active ones from before.
 
     A concept is active if the last of its positives and actionable negatives is a negative; within a turn positives come first.
+    It is so from that negative's turn until the next that tells of it.
     """
     s = states.where("turn >= 1").select("session_id", "turn")
     quiet = s.join(events.where("kind = 1").select("session_id", "turn").distinct().hint("merge"), ["session_id", "turn"], "left_anti")
-    told = events.where("kind = 0 OR actionable").withColumnRenamed("turn", "at")
-    met = quiet.join(told.hint("merge"), "session_id").where("at <= turn")
-    last = met.groupBy("session_id", "turn", "concept").agg(F.max(F.struct("at", "kind", "idx")).alias("last")).where("last.kind = 1")
-    age = F.col("turn") - F.col("last.at")
+    by = W.partitionBy("session_id", "concept").orderBy("turn", "kind", "idx")
+    told = events.where("kind = 0 OR actionable").select("session_id", "concept", "kind", F.col("turn").alias("at"), F.lead("turn").over(by).alias("next"))
+    active = told.where("kind = 1 AND (next IS NULL OR next > at)").withColumn("until", F.col("next") - 1).drop("kind", "next")
+    last = stabbed(quiet, active, "session_id", "turn", "at", "until")
+    age = F.col("turn") - F.col("at")
     return last.groupBy("session_id", "turn").agg(F.count("*").alias("memory_size"), F.min(age).alias("latest_age"), F.max(age).alias("oldest_age"), F.array_sort(F.collect_set("concept")).alias("concepts"))
 
 

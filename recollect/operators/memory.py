@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import MemoryConfig
 from ..functions import scalars as S
+from .intervals import stabbed
 
 CURRENT, PERSISTENT = "current", "persistent"
 
@@ -29,17 +30,33 @@ def bundle_at(states: DataFrame, beliefs: DataFrame) -> DataFrame:
     return states.select("session_id", "turn").join(ev, ["session_id", "turn"], "left")
 
 
+def versions(events: DataFrame) -> DataFrame:
+    """What is remembered of each concept from one change to the next: a row for each turn that tells of it, valid until the next one less 1.
+
+    The greatest confidence and the first place so far, the latest surface; `until` is null for the last.
+    """
+    by = W.partitionBy("session_id", "concept").orderBy("turn", "idx")
+    so_far = by.rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = events.select(
+        "session_id", "concept", F.col("attribute").alias("surface"), F.max("confidence").over(so_far).alias("confidence"), F.first(F.struct(F.col("turn").alias("at"), "idx")).over(so_far).alias("first"),
+        F.col("turn").alias("updated"), F.lead("turn").over(by).alias("next"),
+    )
+    return seen.where("next IS NULL OR next > updated").withColumn("until", F.col("next") - 1).drop("next")
+
+
 def memory(states: DataFrame, events: DataFrame, kind: str = PERSISTENT) -> DataFrame:
     """A row for each concept that a state remembers, without a cap: greatest confidence, latest surface, age.
 
-    The range condition is a residual of an equi-join on the session, so a session's turns are all that meets.
+    Rows are made in proportion to a session's events and to what its states remember, not to their product.
     """
-    s = states.select("session_id", "turn")
-    e = events.select(F.col("session_id").alias("_session"), F.col("turn").alias("at"), "idx", "attribute", "concept", "confidence")
-    met = s.join(e, (F.col("session_id") == F.col("_session")) & ((F.col("at") <= F.col("turn")) if kind == PERSISTENT else (F.col("at") == F.col("turn"))))
-    ord_ = F.struct("at", "idx")
-    out = met.groupBy("session_id", "turn", "concept").agg(F.max("confidence").alias("confidence"), F.max("at").alias("updated"), F.min(ord_).alias("first"), F.max_by("attribute", ord_).alias("surface"))
-    return out.select("session_id", "turn", "concept", "surface", "confidence", F.col("first.at").alias("created"), "updated", (F.col("turn") - F.col("updated")).alias("age"), "first")
+    s = states.select("session_id", "turn").distinct()
+    if kind == PERSISTENT:
+        met = stabbed(s, versions(events), "session_id", "turn", "updated", "until")
+    else:
+        ord_ = F.struct(F.col("turn").alias("at"), "idx")
+        now = events.groupBy("session_id", "turn", "concept").agg(F.max("confidence").alias("confidence"), F.min(ord_).alias("first"), F.max_by("attribute", ord_).alias("surface"))
+        met = s.join(now.hint("merge"), ["session_id", "turn"]).withColumn("updated", F.col("turn"))
+    return met.select("session_id", "turn", "concept", "surface", "confidence", F.col("first.at").alias("created"), "updated", (F.col("turn") - F.col("updated")).alias("age"), "first")
 
 
 def weighted(mem: DataFrame, mode: str, decay: float) -> DataFrame:
