@@ -1,66 +1,201 @@
-"""Exact target ranks and top-k of queries over a corpus.
-
-Ranks and top-k are additive over blocks of the corpus. Queries and corpus are packed into blocks; the query blocks, which are fewer,
-are sent to the corpus blocks, which stay where they were packed. Each meeting is one matrix product in a Python worker, which
-returns counts and a local top-k, so that no (query, item) row is ever made. Scores are compared as whole billionths, ties go to the lower corpus index.
+"""Exact target ranks and top-k of queries over a corpus, in a grid of query groups and corpus blocks, with exact bounds.
+
+Ranks and top-k are additive over blocks of the corpus. Blocks are parts of clusters: items lie with the nearest of at most CENTRES
+centres, which are fitted on a bounded sample, and a cluster's radius is measured over all its items. For a query of length 1, all
+scores of a cluster lie within its radius of the score of its centre. If they all lie below the query's own score (that of its target)
+the cluster adds nothing to the rank, if all lie above it adds its size; unless it may hold one of the k best, the query isn't sent
+to it. A lower bound of the k-th best score is the k-th best of the sample, whose items are some of the corpus. Centres, radii, sizes
+and sample are bounded, and go to where the queries are, so these decisions need no shuffle.
+
+What is left open is dealt to cells, one for each block and group of queries, whose number follows queries times items; a query
+that all of a block's items are above or below of is counted there without being scored; the others meet the block in a matrix product
+in a Python worker, which returns counts and a local top-k, so that no (query, item) row is ever made. Scores are compared as whole
+billionths, ties go to the lower corpus index.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources.tables import written
+from .joins import met
 
 KEYS = ["run_id", "session_id", "turn"]
+#: Queries that are scored at once, and items of a block.
 QUERIES, ITEMS = 512, 4096
+#: Items that centres are fitted on, and most centres.
+SAMPLE, CENTRES = 4096, 256
 SCALE = 1e9
+#: More than what rounding moves a bound by.
+MARGIN = 1e-7
+
+
+@dataclass(frozen=True)
+class Clusters:
+    centres: np.ndarray
+    radii: np.ndarray
+    sizes: np.ndarray
+    sample: np.ndarray
+
+    @property
+    def blocks(self) -> list[int]:
+        """Blocks of each cluster."""
+        return [max(1, -(-int(n) // ITEMS)) for n in self.sizes]
+
+    def decided(self, vectors: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items of clusters that are surely above each query's own score, which clusters are left open, and a lower bound of its k-th best score."""
+        there = self.sizes > 0
+        least = np.full(len(vectors), np.inf)
+        if k:
+            s = vectors @ self.sample.T
+            least = np.partition(s, s.shape[1] - k, 1)[:, s.shape[1] - k] if s.shape[1] >= k else np.full(len(vectors), -np.inf)
+        middle = vectors @ self.centres.T
+        wanted, above, below = within(middle, self.radii, own[:, None], least[:, None])
+        return ((above & ~wanted) * self.sizes).sum(1), there & (wanted | ~(above | below)), least
+
+
+def within(middle: np.ndarray, radius: np.ndarray, own: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether scores within radius of middle may be among the best, and are all above or all below own."""
+    high, low = middle + radius + MARGIN, middle - radius - MARGIN
+    return high >= least, low * SCALE > own + 1, high * SCALE < own - 1
+
+
+def fitted(sample: np.ndarray, n: int, rounds: int = 5) -> np.ndarray:
+    """n centres of the sample, by rounds of nearest centres and means from its first rows on."""
+    centres = sample[:n].copy()
+    for _ in range(rounds):
+        at = nearest(sample, centres)[0]
+        for k in range(len(centres)):
+            if (at == k).any():
+                centres[k] = sample[at == k].mean(0)
+    return centres
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest centre, and how far it is."""
+    at = (-2 * (x @ centres.T) + (centres**2).sum(1)).argmin(1)
+    return at, np.linalg.norm(x - centres[at], axis=1)
+
+
+def matrix(rows: pa.Table | pa.RecordBatch, name: str, wide: int = 0) -> np.ndarray:
+    v = rows[name] if isinstance(rows, pa.Table) else rows.column(rows.schema.get_field_index(name))
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    return np.asarray(v.flatten()).reshape(len(v), -1) if len(v) else np.zeros((0, wide))
+
+
+def clustered(items: DataFrame, n: int) -> tuple[DataFrame, Clusters]:
+    """(corpus_idx, vector, cluster) of n items at rest, and the clusters."""
+    picked = items.orderBy(F.xxhash64("corpus_idx"), "corpus_idx").limit(SAMPLE).select("vector").collect()
+    sample = np.array([r.vector for r in picked]) if picked else np.zeros((0, 0))
+    centres = fitted(sample, min(CENTRES, max(1, -(-n // ITEMS)))) if n else np.zeros((1, 0))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at, far = nearest(matrix(batch, "vector"), centres)
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("corpus_idx", "vector")), pa.array(at, pa.int32()), pa.array(far)], names=["corpus_idx", "vector", "cluster", "far"])
 
-
-def packed(df: DataFrame, size: int, block: str, by: list[str]) -> tuple[DataFrame, int]:
-    n = max(1, -(-df.count() // size))
-    columns = F.struct(*df.columns)
-    return df.groupBy(F.pmod(F.xxhash64(*by), F.lit(n)).cast("int").alias(block)).agg(F.collect_list(columns).alias(f"{block}_rows")), n
+    placed = written(items.select("corpus_idx", "vector").mapInArrow(place, "corpus_idx long, vector array<double>, cluster int, far double"), "items")
+    sizes, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in placed.groupBy("cluster").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # CENTRES rows
+        sizes[r.cluster], radii[r.cluster] = r.n, r.far
+    return placed.drop("far"), Clusters(centres, radii, sizes, sample)
 
 
-def matrix(rows: pa.StructArray, name: str) -> np.ndarray:
-    v = rows.field(name)
-    return np.asarray(v.flatten()).reshape(len(rows), -1)
+def own_score() -> Column:
+    return F.round(S.dot(F.col("vector"), F.col("t")) * SCALE).cast("long").alias("own")
 
 
-def scores(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """(run_id, session_id, turn, greater, before, top) for each query and corpus block; queries have unit vectors."""
-    items = corpus.select("corpus_idx", S.unit(F.col("vector")).alias("vector"))
+def with_own(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """Queries (of unit vectors) with own, the score of their target; targets that many queries share don't gather them."""
     target = items.select(F.col("corpus_idx").alias("target_index"), F.col("vector").alias("t"))
-    own = F.round(S.dot(F.col("vector"), F.col("t")) * SCALE).cast("long")
-    q = queries.join(target.hint("merge"), "target_index").select(*KEYS, "target_index", own.alias("own"), "vector")
-    qb, _ = packed(written(q, "queries"), QUERIES, "qb", KEYS)
-    cb, n = packed(items, ITEMS, "cb", ["corpus_idx"])
-    met = qb.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(cb.hint("merge"), "cb")
+    return met(written(queries.select(*KEYS, "target_index", "vector"), "queries"), target, "target_index").select(*KEYS, "target_index", own_score(), "vector")
+
+
+def opened(queries: DataFrame, clusters: Clusters, k: int) -> DataFrame:
+    """Queries at rest, with sure (items of decided clusters that are above their own score), open (clusters that aren't decided) and least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                a, b = (batch.column(batch.schema.get_field_index(c))[i].values for c in ("qb_rows", "cb_rows"))
-                idx = np.asarray(b.field("corpus_idx"))
-                order = np.argsort(idx)
-                idx = idx[order]
-                s = np.rint(matrix(a, "vector") @ matrix(b, "vector")[order].T * SCALE).astype(np.int64)
-                own, target = np.asarray(a.field("own"))[:, None], np.asarray(a.field("target_index"))[:, None]
-                other = idx != target
-                greater, before = ((s > own) & other).sum(1), ((s == own) & (idx < target)).sum(1)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                offsets = pa.array(np.arange(len(a) + 1) * top.shape[1], pa.int32())
-                best = pa.StructArray.from_arrays([pa.array(-np.take_along_axis(s, top, 1).ravel()), pa.array(idx[top].ravel())], names=["minus", "corpus_idx"])
-                yield pa.RecordBatch.from_arrays([*(a.field(c) for c in KEYS), pa.array(greater), pa.array(before), pa.ListArray.from_arrays(offsets, best)], names=[*KEYS, "greater", "before", "top"])
-
-    return written(met.mapInArrow(run, "run_id string, session_id long, turn int, greater long, before long, top array<struct<minus:long,corpus_idx:long>>"), "scores")
+            if not batch.num_rows:
+                continue
+            sure, open_, least = clusters.decided(matrix(batch, "vector"), batch.column(batch.schema.get_field_index("own")).to_numpy(), k)
+            counts = np.append(0, open_.sum(1).cumsum())
+            lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(np.nonzero(open_)[1], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sure), lists, pa.array(least)], names=[*batch.schema.names, "sure", "open", "least"])
+
+    return written(queries.mapInArrow(run, "run_id string, session_id long, turn int, target_index long, own long, vector array<double>, sure long, open array<int>, least double"), "open-queries")
+
+
+SCORES = "run_id string, session_id long, turn int, greater long, before long, top array<struct<minus:long,corpus_idx:long>>"
+ROWS = pa.schema([("run_id", pa.string()), ("session_id", pa.int64()), ("turn", pa.int32()), ("greater", pa.int64()), ("before", pa.int64()), ("top", pa.list_(pa.struct([("minus", pa.int64()), ("corpus_idx", pa.int64())])))])
+
+
+def of_cluster(values: list[int]) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), F.col("cluster") + 1)
+
+
+def block_scores(queries: pa.Table, items: pa.Table, k: int) -> pa.Table:
+    """Counts and the k best items of one block for each query."""
+    keys = [queries[c].combine_chunks() for c in KEYS]
+    idx = items["corpus_idx"].to_numpy()
+    order = np.argsort(idx)
+    idx, x = idx[order], matrix(items, "vector")[order]
+    q, own, target, least = matrix(queries, "vector"), *(queries[c].to_numpy() for c in ("own", "target_index", "least"))
+    centre = x.mean(0)
+    wanted, above, below = within(q @ centre, np.linalg.norm(x - centre, axis=1).max(), own, least)
+    greater, before = np.where(above & ~wanted, len(idx), 0), np.zeros(len(q), np.int64)
+    minus, best, sizes = [], [], np.zeros(len(q), np.int64)
+    rows = np.flatnonzero(wanted | ~(above | below))
+    for lo in range(0, len(rows), QUERIES):
+        at = rows[lo : lo + QUERIES]
+        s = np.rint(q[at] @ x.T * SCALE).astype(np.int64)
+        other = idx != target[at][:, None]
+        mine = own[at][:, None]
+        greater[at], before[at] = ((s > mine) & other).sum(1), ((s == mine) & (idx < target[at][:, None])).sum(1)
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        sizes[at] = top.shape[1]
+        minus.append(-np.take_along_axis(s, top, 1).ravel())
+        best.append(idx[top].ravel())
+    none = np.zeros(0, np.int64)
+    lists = pa.StructArray.from_arrays([pa.array(np.concatenate([none, *minus])), pa.array(np.concatenate([none, *best]))], names=["minus", "corpus_idx"])
+    return pa.table([*keys, pa.array(greater), pa.array(before), pa.ListArray.from_arrays(pa.array(np.append(0, sizes.cumsum()), pa.int32()), lists)], names=[*KEYS, "greater", "before", "top"])
+
+
+def scores(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """(run_id, session_id, turn, greater, before, top) rows of each query, to be summed and merged; queries have unit vectors. k may be 0, for ranks alone."""
+    spark = queries.sparkSession
+    items, size = corpus.select("corpus_idx", S.unit(F.col("vector")).alias("vector")), corpus.count()
+    if size <= ITEMS:
+        # one block, to which all queries are sent: nothing is to be decided before, and its vectors may be broadcast
+        items, blocks = written(items.withColumn("cluster", F.lit(0)), "items"), [1]
+        near = F.broadcast(items.select(F.col("corpus_idx").alias("target_index"), F.col("vector").alias("t")))
+        undecided = F.lit(0).cast("long").alias("sure"), F.array(F.lit(0)).alias("open"), F.lit(float("-inf")).alias("least")
+        q = written(queries.join(near, "target_index").select(*KEYS, "target_index", own_score(), "vector", *undecided), "open-queries")
+    else:
+        items, clusters = clustered(items, size)
+        q, blocks = opened(with_own(queries, items), clusters, k), clusters.blocks
+    n = q.count()
+    groups = max(1, -(-n // (8 * QUERIES)), min(-(-2 * spark.sparkContext.defaultParallelism // sum(blocks)), -(-n // 64)))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * groups * sum(blocks), 4 * spark.sparkContext.defaultParallelism))
+    cell = ["cluster", "block", "group"]
+    sent = q.select(*KEYS, "target_index", "own", "least", "vector", F.explode("open").alias("cluster"), F.pmod(F.xxhash64(*KEYS), F.lit(groups)).alias("group")).withColumn("block", F.explode(F.sequence(F.lit(0), of_cluster(blocks) - 1)))
+    kept = items.withColumn("block", F.pmod(F.xxhash64("corpus_idx"), of_cluster(blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        return block_scores(a, b, k) if a.num_rows and b.num_rows else ROWS.empty_table()
+
+    met_ = sent.repartition(tasks, *cell).groupBy(*cell).cogroup(kept.repartition(tasks, *cell).groupBy(*cell)).applyInArrow(run, SCORES)
+    sure = q.select(*KEYS, F.col("sure").alias("greater"), F.lit(0).cast("long").alias("before"), F.array().cast("array<struct<minus:bigint,corpus_idx:bigint>>").alias("top"))
+    return written(met_.unionByName(sure), "scores")
 
 
 def target_ranks(scored: DataFrame) -> DataFrame:
@@ -74,17 +209,31 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(W.partitionBy(*KEYS).orderBy("minus", "corpus_idx")) - 1).where(F.col("position") < k).select(*KEYS, "position", "corpus_idx")
 
 
+#: Queries and items that meet in a row of native_ranks.
+NATIVE_QUERIES, NATIVE_ITEMS = 64, 1024
+
+
 def native_ranks(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """The same ranks by column functions: a corpus block is one row, and each (query, block) row gives its counts by higher-order functions."""
-    items = corpus.select("corpus_idx", S.unit(F.col("vector")).alias("c"))
-    target = items.select(F.col("corpus_idx").alias("target_index"), F.col("c").alias("t"))
-    nano = lambda a, b: F.round(S.dot(a, b) * SCALE).cast("long")
-    q = queries.join(target.hint("merge"), "target_index").select(*KEYS, "target_index", "vector", nano(F.col("vector"), F.col("t")).alias("own"))
-    cb, n = packed(items, ITEMS, "cb", ["corpus_idx"])
-    met = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(cb.hint("merge"), "cb")
-    scored = met.withColumn("s", F.transform("cb_rows", lambda x: F.struct(x["corpus_idx"].alias("i"), nano(F.col("vector"), x["c"]).alias("s"))))
-    ahead = F.size(F.filter("s", lambda x: (x["i"] != F.col("target_index")) & ((x["s"] > F.col("own")) | ((x["s"] == F.col("own")) & (x["i"] < F.col("target_index"))))))
-    return scored.groupBy(*KEYS).agg(F.sum(ahead).cast("long").alias("rank"))
+    """The same ranks by column functions: packed queries meet packed items in a row, and each query's counts come from higher-order functions."""
+    items = written(corpus.select("corpus_idx", S.unit(F.col("vector")).alias("vector")), "items")
+    q = written(with_own(queries, items), "own-queries")
+
+    def packed(df: DataFrame, size: int, by: list[str], name: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // size))
+        return df.groupBy(F.pmod(F.xxhash64(*by), F.lit(n)).cast("int").alias(name)).agg(F.collect_list(F.struct(*df.columns)).alias(f"{name}s")), n
+
+    qs, m = packed(q, NATIVE_QUERIES, KEYS, "query")
+    blocks, n = packed(items, NATIVE_ITEMS, ["corpus_idx"], "block")
+    parts = min(m, max(-(-m // 8), -(-2 * queries.sparkSession.sparkContext.defaultParallelism // n)))  # cells of a block, each with some of the packed queries
+    sent = qs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("part", F.pmod("query", F.lit(parts)))
+    both = sent.join(blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).hint("merge"), ["block", "part"])
+
+    def ahead(one: Column) -> Column:
+        s = F.transform("blocks", lambda x: F.struct(x["corpus_idx"].alias("i"), F.round(S.dot(one["vector"], x["vector"]) * SCALE).cast("long").alias("s")))
+        return F.size(F.filter(s, lambda x: (x["i"] != one["target_index"]) & ((x["s"] > one["own"]) | ((x["s"] == one["own"]) & (x["i"] < one["target_index"])))))
+
+    counted = both.select(F.inline(F.transform("querys", lambda one: F.struct(*(one[c].alias(c) for c in KEYS), ahead(one).alias("ahead")))))
+    return counted.groupBy(*KEYS).agg(F.sum("ahead").cast("long").alias("rank"))
 
 
 def rank_table(ranks: DataFrame, states: DataFrame) -> DataFrame:
