@@ -1,11 +1,18 @@
 """Paired statistics of two runs.
 
-Bootstrap draws come from a hash of (seed, replicate, place), so that they can be made anywhere and again. The grid of
-replicates and places is made by Spark; the differences that it draws from are numbered and joined by number.
+A bootstrap makes one row for each group and replicate, never one for a draw. Draws come from a hash of (seed, replicate, place), so
+that they can be made anywhere and again: up to DRAWN units, all units go to every task, which draws a range of replicates, and the
+draws of a replicate serve all groups. Beyond, units are summed to distinct (s, c) values with counts, and a replicate is a multinomial
+draw of these counts, from a counter-based generator keyed by (seed, group, range of replicates, block): the cost follows distinct values.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,9 +21,8 @@ from ..sources.tables import written
 from .metrics import session_bri
 from .provenance import gate
 
-
-#: Places of a replicate that are made together, and units up to which they are broadcast (40 bytes each); beyond, they are joined by a shuffle.
-PLACES, BROADCAST_UNITS = 4096, 200_000
+#: Units of all groups up to which single draws are made (16 bytes each, in every task), distinct values of a block beyond, and replicates that are made together.
+DRAWN, BLOCK, RANGE = 200_000, 65_536, 100
 
 
 def checked(rank: Column) -> Column:
@@ -36,9 +42,9 @@ def differences(pairs: DataFrame, k: int = 10) -> DataFrame:
     return pairs.withColumn("d", (F.col("c") < k).cast("double") - (F.col("b") < k).cast("double"))
 
 
-def draws(seed: int, replicate: Column, four: Column, n: Column) -> Column:
-    """Numbers below n for the places 4 * four to 4 * four + 3: from 32 bits each of md5(seed:replicate:four)."""
-    return F.transform(F.array(F.md5(F.concat_ws(":", F.lit(seed), replicate, four).cast("binary"))), lambda h: F.array(*(F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("long") % n for k in range(4))))[0]
+def draws(seed: int, replicate: int, n: int) -> np.ndarray:
+    """32-bit numbers for the places 0 to n - 1, each from a fourth of md5(seed:replicate:place div 4)."""
+    return np.frombuffer(b"".join(md5(f"{seed}:{replicate}:{k}".encode(), usedforsecurity=False).digest() for k in range(-(-n // 4))), ">u4")[:n].astype(np.int64)
 
 
 def in_order(units: DataFrame, group: str, wide: int = 4096, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
@@ -50,25 +56,79 @@ def in_order(units: DataFrame, group: str, wide: int = 4096, by: tuple[str, ...]
     return inside.join(offsets.hint("merge"), [group, "range"]).withColumn("no", F.col("in") + F.col("base")).drop("in", "base", "range")
 
 
-def bootstrap(units: DataFrame, group: str, samples: int, seed: int, confidence: float = 0.95, scale: float = 100.0) -> DataFrame:
-    """(group, delta, ci_low, ci_high) from (group, session_id, s, c) units: the ratio of sums, its percentiles over resamples of sessions.
+def drawn_means(units: DataFrame, group: str, samples: int, seed: int, scale: float) -> DataFrame:
+    """(group, replicate, m), draw by draw. units has (group, no, s, c), at most DRAWN of them, which the driver hands to all tasks."""
+    table = units.orderBy(group, "no").toArrow()
+    names = table[group].to_pylist()
+    first = [k for k in range(len(names)) if not k or names[k] != names[k - 1]]
+    parts = list(zip(first, [*first[1:], len(names)], strict=True))
+    s, c = (table[x].to_numpy().astype(float) for x in ("s", "c"))
+    most = max((b - a for a, b in parts), default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            replicates, means = batch.column(0).to_pylist(), []
+            for replicate in replicates:
+                h = draws(seed, replicate, most)
+                for a, b in parts:
+                    no = a + h[: b - a] % (b - a)
+                    means.append(scale * s[no].sum() / c[no].sum())
+            columns = [pa.array([names[a] for a, _ in parts] * len(replicates), table.schema.field(group).type), pa.array(np.repeat(replicates, len(parts)), pa.int64()), pa.array(means, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[group, "replicate", "m"])
+
+    kind = units.schema[group].dataType.simpleString()
+    return units.sparkSession.range(samples).mapInArrow(run, f"`{group}` {kind}, replicate long, m double")
+
 
-    Equal (s, c) units are interchangeable, but a draw names one by its number: all are kept. A group's grid of replicates and
-    places is dealt by replicate before places are made, so that no task makes a group's draws alone.
+def key_of(*parts: object) -> int:
+    """128 bits for a generator, from the parts' texts."""
+    return int.from_bytes(md5(":".join(map(str, parts)).encode(), usedforsecurity=False).digest(), "big")
+
+
+def counted_sums(units: DataFrame, group: str, samples: int, seed: int) -> DataFrame:
+    """(group, replicate, s, c): sums over a replicate's draws, by multinomial counts of distinct (s, c) values.
+
+    A group's values lie in blocks. How many of a replicate's draws fall to each block is drawn alike in all of its tasks; each task
+    then draws the counts of its own block's values, and sends one partial sum a replicate.
     """
+    values = units.groupBy(group, "s", "c").agg(F.count("*").alias("n"))
+    per = values.groupBy(group).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = values.join(per.hint("merge"), group).withColumn("block", F.pmod(F.xxhash64("s", "c"), F.col("blocks")).cast("int")).drop("blocks")
+    dealt = written(dealt, "values")
+    sizes = dealt.groupBy(group, "block").agg(F.sum("n").alias("n")).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("sizes"))  # a row a block
+    sent = dealt.join(sizes.hint("merge"), group).groupBy(group, "block").agg(F.array_sort(F.collect_list(F.struct("s", "c", "n"))).alias("v"), F.first("sizes").alias("sizes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda c: batch.column(batch.schema.get_field_index(c)).slice(row, 1)  # noqa: B023, E731
+                name, block = get(group), get("block")[0].as_py()
+                sizes_, v = get("sizes")[0].values, get("v")[0].values
+                n, own = sizes_.field("n").to_numpy(), v.field("n").to_numpy()
+                at = sizes_.field("block").to_pylist().index(block)
+                for lo in range(0, samples, RANGE):
+                    size = min(RANGE, samples - lo)
+                    split = np.random.Generator(np.random.Philox(key=key_of(seed, name[0], lo, "blocks"))).multinomial(n.sum(), n / n.sum(), size)[:, at]
+                    k = np.random.Generator(np.random.Philox(key=key_of(seed, name[0], lo, block))).multinomial(split, own / own.sum())
+                    columns = [pa.concat_arrays([name] * size), pa.array(np.arange(lo, lo + size)), pa.array(k @ v.field("s").to_numpy()), pa.array(k @ v.field("c").to_numpy())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[group, "replicate", "s", "c"])
+
+    kind = units.schema[group].dataType.simpleString()
+    return sent.mapInArrow(run, f"`{group}` {kind}, replicate long, s double, c double").groupBy(group, "replicate").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+
+
+def bootstrap(units: DataFrame, group: str, samples: int, seed: int, confidence: float = 0.95, scale: float = 100.0) -> DataFrame:
+    """(group, delta, ci_low, ci_high) from (group, session_id, s, c) units: the ratio of sums, its percentiles over resamples of sessions."""
     if samples < 100:
         raise ValueError("a bootstrap needs 100 samples or more")
     if not 0 < confidence < 1:
         raise ValueError("confidence must lie between 0 and 1")
-    numbered = written(in_order(units, group).select(group, "no", "s", "c"), "units")
-    small = numbered.count() <= BROADCAST_UNITS
-    n = numbered.groupBy(group).agg(F.count("*").alias("n"), (scale * F.sum("s") / F.sum("c")).alias("delta"))
-    fours = PLACES // 4
-    grid = n.select(group, "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate")).withColumn("part", F.explode(F.expr(f"sequence(0, (n - 1) div {PLACES})"))).repartition(group, "replicate", "part")
-    grid = grid.select(group, "n", "replicate", F.explode(F.expr(f"sequence(part * {fours}, least((n + 3) div 4, (part + 1) * {fours}) - 1)")).alias("four"))
-    drawn = grid.select(group, "n", "replicate", "four", F.posexplode(draws(seed, F.col("replicate"), F.col("four"), F.col("n"))).alias("k", "no")).where("4 * four + k < n")
-    met = drawn.select(group, "replicate", "no").join(F.broadcast(numbered) if small else numbered.hint("shuffle_hash"), [group, "no"])
-    means = met.groupBy(group, "replicate").agg((scale * F.sum("s") / F.sum("c")).alias("m"))
+    units = written(units.select(group, "session_id", "s", "c"), "units")
+    if units.count() <= DRAWN:
+        means = drawn_means(units.withColumn("no", F.row_number().over(W.partitionBy(group).orderBy("session_id")) - 1), group, samples, seed, scale)
+    else:
+        means = counted_sums(units, group, samples, seed).select(group, "replicate", (scale * F.col("s") / F.col("c")).alias("m"))
+    n = units.groupBy(group).agg((scale * F.sum("s") / F.sum("c")).alias("delta"))
     tail = (1 - confidence) / 2
     return n.join(means.groupBy(group).agg(F.expr(f"percentile(m, {tail})").alias("ci_low"), F.expr(f"percentile(m, {1 - tail})").alias("ci_high")).hint("merge"), group, "left").select(group, "delta", "ci_low", "ci_high")
 

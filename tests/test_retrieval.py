@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -130,10 +131,7 @@ def quantile(values, q):
     return x[low] + (at - low) * (x[min(low + 1, len(x) - 1)] - x[low])
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
-def test_bootstrap_like_its_rule(spark, monkeypatch, most):
-    monkeypatch.setattr(stats, "BROADCAST_UNITS", most)
-    monkeypatch.setattr(stats, "PLACES", 8)
+def test_bootstrap_like_its_rule(spark):
     rng = random.Random(1)
     units = [(g, 5 * i, rng.uniform(-1, 1), float(rng.randint(1, 4))) for g, n in (("a", 21), ("b", 1), ("c", 8)) for i in range(n)]
     got = {r.g: r for r in stats.bootstrap(spark.createDataFrame(units, "g string, session_id long, s double, c double"), "g", 120, 9, 0.9, 10.0).collect()}
@@ -151,6 +149,37 @@ def test_bootstrap_like_its_rule(spark, monkeypatch, most):
         assert abs(got[g].ci_low - quantile(means, 0.05)) < 1e-9 and abs(got[g].ci_high - quantile(means, 0.95)) < 1e-9
 
 
+@pytest.mark.parametrize("block", [65_536, 7])
+def test_bootstrap_by_counts(spark, monkeypatch, block):
+    """Beyond a number of units: as many draws in each replicate as units, and the distribution of single draws."""
+    monkeypatch.setattr(stats, "BLOCK", block)
+    rng = random.Random(4)
+    units = [(g, i, float(rng.choice([-1, 0, 0, 1]) if g == "few" else rng.gauss(1, 2)), float(rng.choice([1, 1, 3]))) for g, n in (("few", 400), ("many", 150), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(units, "g string, session_id long, s double, c double")
+    ratios = lambda df: df.select("g", "replicate", (F.col("s") / F.col("c")).alias("m")).collect()
+    drawn = ratios(stats.counted_sums(df, "g", 1000, 3))
+    assert len({(r.g, r.replicate) for r in drawn}) == 3000
+    for g in ("few", "many"):
+        s, c = (np.array([u[k] for u in units if u[0] == g]) for k in (2, 3))
+        ratio, m = s.sum() / c.sum(), np.array([r.m for r in drawn if r.g == g])
+        spread = np.sqrt(((s - ratio * c) ** 2).sum()) / c.sum()  # of a ratio of sums, to first order
+        assert abs(m.mean() - ratio) < 0.15 * spread and 0.9 < m.std() / spread < 1.1
+    again = ratios(stats.counted_sums(df.repartition(7), "g", 1000, 3))
+    assert {(r.g, r.replicate): round(r.m, 9) for r in again} == {(r.g, r.replicate): round(r.m, 9) for r in drawn}
+    monkeypatch.setattr(stats, "DRAWN", 10)
+    few = {r.g: r for r in stats.bootstrap(df, "g", 1000, 3, 0.9, 1.0).collect()}
+    monkeypatch.setattr(stats, "DRAWN", 1000)
+    for r in stats.bootstrap(df, "g", 1000, 3, 0.9, 1.0).collect():
+        assert abs(few[r.g].delta - r.delta) < 1e-9 and abs(few[r.g].ci_low - r.ci_low) < 0.15 * (r.ci_high - r.ci_low + 1e-9) and abs(few[r.g].ci_high - r.ci_high) < 0.15 * (r.ci_high - r.ci_low + 1e-9)
+
+
+def test_replicates_have_as_many_draws_as_units(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK", 5)
+    df = spark.createDataFrame([("g", i, float(i), 1.0) for i in range(60)], "g string, session_id long, s double, c double")
+    sums = stats.counted_sums(df, "g", 250, 5).collect()
+    assert {r.c for r in sums} == {60.0} and len({r.s for r in sums}) > 100 and len(sums) == 250
+
+
 def test_holm_like_its_rule(spark):
     rng = random.Random(2)
     for n in (1, 6):
