@@ -68,6 +68,83 @@ def configs(spark, sf) -> DataFrame:
 query("a5_configs", f"SELECT * REPLACE (round(negative_weight, 6) AS negative_weight) FROM {CONFIGS}")(lambda spark, sf: configs(spark, sf).withColumn("negative_weight", F.round("negative_weight", 6)))
 
 
+# lines with seeded faults: what is malformed is told, with its reason, and what lies beside it is kept
+
+
+def seeded(lines: DataFrame, spark, what: str, faults: dict[int, str]) -> str:
+    """Lines (value, k), changed by the expressions of their k, as a text file."""
+    p, out = path(spark, what), F.col("value")
+    for k, change in faults.items():
+        out = F.when(F.col("k") == k, F.expr(change)).otherwise(out)
+    lines.select(out.alias("value")).write.text(p)
+    return p
+
+
+def told(read, keys: list[str]) -> DataFrame:
+    return read.faults.select(*keys, "reason").unionByName(read.rows.select(*keys, F.lit("kept").alias("reason")))
+
+
+TORN = "substring(value, 1, length(value) div 2)"
+DIALOGS = "(SELECT DISTINCT session_id FROM beliefs)"
+
+
+@query(
+    "a3b_malformed_beliefs",
+    f"""SELECT NULL::BIGINT session_id, NULL::INT feedback_turn, NULL::VARCHAR polarity, NULL::INT idx, CASE session_id % 13 WHEN 0 THEN 'not_json' WHEN 2 THEN 'dialogs_not_a_list' ELSE 'not_an_object' END reason FROM {DIALOGS} WHERE session_id % 13 IN (0, 2, 7)
+  UNION ALL SELECT session_id, NULL, NULL, NULL, 'dialog_id_not_a_whole_number' FROM {DIALOGS} WHERE session_id % 13 = 6
+  UNION ALL SELECT DISTINCT session_id, feedback_turn, NULL, NULL, 'question_not_a_text' FROM beliefs WHERE session_id % 13 = 3
+  UNION ALL SELECT session_id, feedback_turn, polarity, idx, CASE session_id % 13 WHEN 1 THEN 'confidence_not_a_number' WHEN 4 THEN 'attribute_not_a_text' WHEN 5 THEN 'confidence_out_of_range' ELSE 'kept' END FROM beliefs WHERE session_id % 13 NOT IN (0, 2, 3, 6, 7)""",
+)
+def a3b(spark, sf):
+    p = path(spark, "beliefs-json")
+    tables.write_beliefs(fx.beliefs(spark, sf), p)
+    lines = spark.read.text(p).withColumn("k", F.get_json_object("value", "$.dialogs[0].dialog_id").cast("long") % 13)
+    bad = {
+        0: TORN, 1: r"regexp_replace(value, '\"confidence\":[0-9.]+', '\"confidence\":\"high\"')", 2: r"regexp_replace(value, '\"dialogs\":.*$', '\"dialogs\":null}')", 3: r"replace(value, '\"question\":\"\"', '\"question\":7')",
+        4: r"regexp_replace(value, '\"attribute\":\"[^\"]*\"', '\"attribute\":5')", 5: r"regexp_replace(value, '\"confidence\":[0-9.]+', '\"confidence\":1.5')", 6: r"regexp_replace(value, '\"dialog_id\":([0-9]+)', '\"dialog_id\":\"$1\"')", 7: "'[1, 2]'",
+    }
+    return told(tables.strict.beliefs(spark, seeded(lines, spark, "beliefs-bad", bad)), ["session_id", "feedback_turn", "polarity", "idx"])
+
+
+@query(
+    "a4b_malformed_structured",
+    """SELECT CASE WHEN k <> 0 THEN session_id END session_id, CASE WHEN k <> 0 THEN feedback_turn END feedback_turn, CASE WHEN k <> 0 THEN idx END idx,
+  CASE k WHEN 0 THEN 'not_json' WHEN 1 THEN 'dialog_id_not_a_whole_number' WHEN 2 THEN 'actionable_negative_not_a_flag' WHEN 3 THEN 'stands_twice' WHEN 4 THEN 'typing_not_an_object' ELSE 'kept' END reason
+  FROM (SELECT *, (session_id + 2 * feedback_turn + idx) % 9 k FROM structured), range(2) r(n) WHERE n = 0 OR k = 3""",
+)
+def a4b(spark, sf):
+    item = F.struct(F.col("session_id").alias("dialog_id"), F.col("feedback_turn").alias("turn"), F.col("idx").alias("negative_index"), "negative_attribute", F.col("actionable").alias("actionable_negative"), F.struct(F.lower("sem_type").alias("type")).alias("typing"))
+    k = (F.col("session_id") + 2 * F.col("feedback_turn") + F.col("idx")) % 9
+    lines = fx.structured(spark, sf).select(F.to_json(F.struct(F.array(item).alias("items"))).alias("value"), k.alias("k"))
+    bad = {0: TORN, 1: r"regexp_replace(value, '\"dialog_id\":([0-9]+)', '\"dialog_id\":\"$1\"')", 2: r"regexp_replace(value, '\"actionable_negative\":[a-z]+,', '')", 4: r"regexp_replace(value, '\"typing\":[{][^}]*[}]', '\"typing\":\"global\"')"}
+    return told(tables.strict.structured(spark, seeded(lines.unionByName(lines.where("k = 3")), spark, "structured-bad", bad)), ["session_id", "feedback_turn", "idx"])
+
+
+@query(
+    "a5b_malformed_configs",
+    """SELECT CASE WHEN k <> 0 THEN config_id END config_id, CASE k WHEN 0 THEN 'not_json' WHEN 1 THEN 'unknown_setting_momentum' WHEN 2 THEN 'top_k_not_a_whole_number' WHEN 3 THEN 'memory_not_an_object' WHEN 4 THEN 'memory.max_concepts_not_a_whole_number' ELSE 'kept' END reason
+  FROM (SELECT DISTINCT session_id config_id, session_id % 7 k FROM states)""",
+)
+def a5b(spark, sf):
+    memory_ = F.struct((F.col("session_id") % 5).alias("max_concepts"), (F.col("session_id") % 2 == 0).alias("semantic_merge"))
+    lines = dialogs(spark, sf).select(F.to_json(F.struct(F.col("session_id").alias("config_id"), memory_.alias("memory"), F.lit(7).alias("top_k"))).alias("value"), (F.col("session_id") % 7).alias("k"))
+    bad = {0: TORN, 1: r"replace(value, '\"memory\":{', '\"memory\":{\"momentum\":1,')", 2: r"replace(value, '\"top_k\":7', '\"top_k\":\"many\"')", 3: r"regexp_replace(value, '\"memory\":[{][^}]*[}]', '\"memory\":[1]')", 4: r"regexp_replace(value, '\"max_concepts\":[0-9]+', '\"max_concepts\":2.5')"}
+    return told(tables.strict.configs(spark, seeded(lines, spark, "configs-bad", bad)), ["config_id"])
+
+
+@query(
+    "a11b_malformed_traces",
+    """SELECT CASE WHEN k <> 0 THEN session_id END session_id, CASE WHEN k <> 0 THEN turn END turn,
+  CASE k WHEN 0 THEN 'not_json' WHEN 1 THEN 'session_id_not_a_whole_number' WHEN 2 THEN 'final_rank_not_a_whole_number' WHEN 3 THEN 'top_k_holds_no_whole_number' WHEN 4 THEN 'stands_twice' ELSE 'kept' END reason
+  FROM (SELECT *, (session_id + turn) % 8 k FROM states), range(2) r(n) WHERE n = 0 OR k = 4""",
+)
+def a11b(spark, sf):
+    one = F.to_json(F.struct("session_id", "turn", F.col("target_index").alias("final_rank"), F.array("target_index", F.lit(3)).alias("top_k"), F.lit(1).alias("mem_negative")))
+    lines = fx.states(spark, sf).select(one.alias("value"), ((F.col("session_id") + F.col("turn")) % 8).alias("k"))
+    bad = {0: TORN, 1: r"regexp_replace(value, '\"session_id\":([0-9]+)', '\"session_id\":\"$1\"')", 2: r"regexp_replace(value, '\"final_rank\":[0-9]+', '\"final_rank\":null')", 3: r"replace(value, ',3]', ',\"3\"]')"}
+    return told(tables.strict.traces(spark, seeded(lines.unionByName(lines.where("k = 4")), spark, "traces-bad", bad)), ["session_id", "turn"])
+
+
 @query("a6_rank_archive", "SELECT run_id, session_id, turn, rank FROM ranks")
 def a6(spark, sf):
     p = path(spark, "ranks-old")

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import MemoryConfig, RetrievalConfig
+from . import strict
 
 BELIEF = "struct<attribute:string,confidence:double,fact_type:string>"
 BELIEFS_JSON = f"schema_version int, status string, provenance map<string,string>, quality struct<passed:boolean>, dialogs array<struct<dialog_id:bigint,turns:array<struct<turn:int,question:string,answer:string,positives:array<{BELIEF}>,negatives:array<{BELIEF}>>>>>"
-STRUCTURED_JSON = "items array<struct<dialog_id:bigint,turn:int,negative_index:int,negative_attribute:string,actionable_negative:boolean,typing:struct<type:string,status:string>,eligibility_source:string>>"
 #: What stands for missing texts, confidences and kinds of facts.
 DEFAULT_TEXT = "precomputed query"
 DEFAULT_CONFIDENCE = 0.7
@@ -67,29 +65,18 @@ def explode_beliefs(artifact: DataFrame) -> DataFrame:
 
 
 def read_beliefs(spark: SparkSession, path: str, one_a_file: bool = False) -> DataFrame:
-    """Artifacts, one a line; one_a_file: one a file, over several lines."""
-    return explode_beliefs(spark.read.schema(BELIEFS_JSON).json(path, multiLine=one_a_file))
+    """Artifacts, one a line; one_a_file: one a file, over several lines. Malformed input raises; strict.beliefs tells its faults."""
+    return strict.beliefs(spark, path, one_a_file).or_raise()
 
 
 def read_structured(spark: SparkSession, path: str, one_a_file: bool = False) -> DataFrame:
-    """Items of artifacts, one artifact a line (or a file); an item that stands twice is refused."""
-    items = spark.read.schema(STRUCTURED_JSON).json(path, multiLine=one_a_file).select(F.explode("items").alias("i"))
-    found = items.select(
-        F.col("i.dialog_id").alias("session_id"), F.col("i.turn").alias("feedback_turn"), F.coalesce("i.negative_index", F.lit(0)).alias("idx"), F.col("i.negative_attribute").alias("negative_attribute"),
-        F.col("i.actionable_negative").alias("actionable"), F.upper(F.trim("i.typing.type")).alias("sem_type"), F.col("i.typing.status").alias("sem_status"), F.col("i.eligibility_source").alias("eligibility_source"),
-    )
-    if not found.groupBy("session_id", "feedback_turn", "idx").count().where("count > 1").isEmpty():
-        raise ValueError("an item stands twice")
-    return found
-
-
-def read_configs(spark: SparkSession, path: str) -> DataFrame:
-    """Configurations, one JSON object a line; what one leaves out has its default. checks.configs tells which are bad."""
-    numbers = [f for f in fields(MemoryConfig) if f.type != "bool"]
-    memory = ", ".join(f"{f.name}:double" for f in numbers)
-    c = spark.read.schema(f"config_id bigint, memory struct<{memory},semantic_merge:boolean>, top_k bigint").json(path)
-    values = [F.coalesce(F.col(f"memory.{f.name}"), F.lit(float(f.default))).alias(f.name) for f in numbers]
-    return c.select("config_id", *values, F.coalesce("memory.semantic_merge", F.lit(MemoryConfig.semantic_merge)).alias("semantic_merge"), F.coalesce("top_k", F.lit(RetrievalConfig.top_k).cast("long")).alias("top_k"))
+    """Items of artifacts, one artifact a line (or a file). Malformed input, and an item that stands twice, raise; strict.structured tells the faults."""
+    return strict.structured(spark, path, one_a_file).or_raise()
+
+
+def read_configs(spark: SparkSession, path: str, one_a_file: bool = False) -> DataFrame:
+    """Configurations, one JSON object a line; what one leaves out has its default. Malformed ones raise; checks.configs tells which have bad values."""
+    return strict.configs(spark, path, one_a_file).or_raise()
 
 
 def write_beliefs(beliefs: DataFrame, path: str) -> None:
@@ -150,11 +137,8 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Turn traces, one JSON object a line; a (session, turn) that stands twice is refused."""
-    df = spark.read.schema("session_id bigint, turn int, final_rank bigint, top_k array<bigint>, mem_negative int").json(path)
-    if not df.groupBy("session_id", "turn").count().where("count > 1").isEmpty():
-        raise ValueError("traces hold a turn twice")
-    return df
+    """Turn traces, one JSON object a line. Malformed ones, and a (session, turn) that stands twice, raise; strict.traces tells the faults."""
+    return strict.traces(spark, path).or_raise()
 
 
 def find_archives(spark: SparkSession, *roots: str) -> DataFrame:
