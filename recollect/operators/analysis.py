@@ -132,19 +132,25 @@ def group_deltas(clean: DataFrame, ranks: DataFrame, baseline: str, candidate: s
     return names.join(stats.bootstrap(units, "group", samples, seed).hint("merge"), "group", "left")
 
 
-def by_setting(ranks: DataFrame, k: int = 10) -> DataFrame:
+def by_setting(ranks: DataFrame, k: int = 10, final: str = metrics.OWN) -> DataFrame:
     """ranks with a column setting: the final recall of each method in each setting, side by side; what is missing stays null."""
-    last = ranks.groupBy("setting", "run_id").agg(F.max("turn").alias("turn"))
-    r = ranks.join(last.hint("merge"), ["setting", "run_id", "turn"])
-    return r.groupBy("setting").pivot("run_id", ["h0", "current", "persistent"]).agg(100 * F.avg(S.hit(F.col("rank"), k)))
+    last = metrics.at_last(ranks.withColumn("hit", S.hit(F.col("rank"), k)), ["setting", "run_id"], final, hit=F.col("hit"))
+    return last.groupBy("setting").pivot("run_id", ["h0", "current", "persistent"]).agg(100 * F.avg("hit"))
 
 
-def setting_deltas(ranks: DataFrame, baseline: str, candidate: str, k: int = 10, samples: int = 20_000, seed: int = 20260829) -> DataFrame:
+def setting_deltas(ranks: DataFrame, baseline: str, candidate: str, k: int = 10, samples: int = 20_000, seed: int = 20260829, final: str = metrics.OWN) -> DataFrame:
     one = lambda run, name: ranks.where(F.col("run_id") == run).select("setting", "session_id", "turn", F.col("rank").alias(name))
-    p = one(baseline, "b").join(one(candidate, "c").hint("merge"), ["setting", "session_id", "turn"])
-    last = p.groupBy("setting").agg(F.max("turn").alias("turn"))
-    units = stats.differences(p.join(last.hint("merge"), ["setting", "turn"]), k).select("setting", "session_id", F.col("d").alias("s"), F.lit(1.0).alias("c"))
-    return stats.bootstrap(units, "setting", samples, seed)
+    pairs = one(baseline, "b").join(one(candidate, "c").hint("merge"), ["setting", "session_id", "turn"])
+    return stats.final_delta(pairs, "setting", k, samples, seed, final)
+
+
+def text_report(ranks: DataFrame, host: DataFrame, baseline: str, k: int = 10, samples: int = 20_000, seed: int = 20260829, final: str = metrics.OWN) -> DataFrame:
+    """A row for each text run: its summary, its final gain over the baseline run with an interval, and where its ranks differ from the host's."""
+    text, own = ranks.select("run_id", "session_id", "turn", "rank"), host.select("session_id", "turn", F.col("rank").alias("h"))
+    against = text.join(own.hint("merge"), ["session_id", "turn"]).groupBy("run_id").agg(F.count_if(F.col("rank") != F.col("h")).alias("differing"), F.count_if((F.col("rank") < k) != (F.col("h") < k)).alias("hit_changes"))
+    base = text.where(F.col("run_id") == baseline).select("session_id", "turn", F.col("rank").alias("b"))
+    gains = stats.final_delta(text.withColumnRenamed("rank", "c").join(base.hint("merge"), ["session_id", "turn"]), "run_id", k, samples, seed, final)
+    return metrics.summary(text, k, final=final).join(gains.hint("merge"), "run_id").join(against.hint("merge"), "run_id")
 
 
 def patch(structured: DataFrame, patches: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
-from .metrics import session_bri
+from .metrics import OWN, at_last, session_bri
 from .provenance import gate
 
 #: Units of all groups up to which single draws are made (16 bytes each, in every task), distinct values of a block beyond, and replicates that are made together.
@@ -133,14 +133,18 @@ def bootstrap(units: DataFrame, group: str, samples: int, seed: int, confidence:
     return n.join(means.groupBy(group).agg(F.expr(f"percentile(m, {tail})").alias("ci_low"), F.expr(f"percentile(m, {1 - tail})").alias("ci_high")).hint("merge"), group, "left").select(group, "delta", "ci_low", "ci_high")
 
 
-def recall_delta(ranks: DataFrame, baseline: str, candidate: str, k: int = 10, samples: int = 10_000, seed: int = 42, only_last: bool = False) -> DataFrame:
+def recall_delta(ranks: DataFrame, baseline: str, candidate: str, k: int = 10, samples: int = 10_000, seed: int = 42) -> DataFrame:
     """(turn, delta, ci_low, ci_high) of recall in percent points."""
     d = differences(paired(ranks, baseline, candidate), k).select("turn", "session_id", F.col("d").alias("s"), F.lit(1.0).alias("c"))
-    if only_last:
-        d = d.join(F.broadcast(d.agg(F.max("turn").alias("turn"))), "turn", "left_semi")  # one row
     return bootstrap(d, "turn", samples, seed)
 
 
+def final_delta(pairs: DataFrame, by: str, k: int = 10, samples: int = 20_000, seed: int = 20260829, final: str = OWN) -> DataFrame:
+    """(by, delta, ci_low, ci_high) of recall at the last turn, from (by, session_id, turn, b, c) pairs; final as in metrics."""
+    units = at_last(differences(pairs, k), [by], final, s=F.col("d")).withColumn("c", F.lit(1.0))
+    return bootstrap(units, by, samples, seed)
+
+
 def bri_delta(ranks: DataFrame, baseline: str, candidate: str, samples: int = 10_000, seed: int = 42) -> DataFrame:
     bri = session_bri(ranks)
     one = lambda run, name: bri.where(F.col("run_id") == run).select("session_id", F.col("bri").alias(name))

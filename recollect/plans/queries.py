@@ -430,8 +430,14 @@ query(
     "f5_compare",
     f"SELECT d.turn, {DELTA}, lost, gained, discordant, round(p, 6) p, round(p_holm, 6) p_holm, 'verified' pairing FROM ({bootstrap_sql(TURN_UNITS, 'turn', SAMPLES, SEED)}) d JOIN ({MCNEMAR}) m ON m.turn = d.turn LEFT JOIN ({HOLM}) h ON h.turn = d.turn",
 )(lambda spark, sf: round_all(stats.compare(ranks(spark, sf), "h0", "persistent", 10, SAMPLES, SEED, paired_runs(spark, sf))))
-LAST_UNITS = TURN_UNITS + " WHERE turn = (SELECT max(turn) FROM pairs)"
-query("f6_final_delta", f"SELECT turn, {DELTA} FROM ({bootstrap_sql(LAST_UNITS, 'turn', CLUSTER_SAMPLES, CLUSTER_SEED)})")(lambda spark, sf: round_all(stats.recall_delta(ranks(spark, sf), "h0", "persistent", 10, CLUSTER_SAMPLES, CLUSTER_SEED, True)))
+LAST_UNITS = "SELECT 'own' AS final, session_id, arg_max(d, turn) AS s, 1.0::DOUBLE AS c FROM pairs GROUP BY session_id"
+query("f6_final_delta", f"SELECT final, {DELTA} FROM ({bootstrap_sql(LAST_UNITS, 'final', CLUSTER_SAMPLES, CLUSTER_SEED)})")(
+    lambda spark, sf: round_all(stats.final_delta(stats.paired(ranks(spark, sf), "h0", "persistent").withColumn("final", F.lit(metrics.OWN)), "final", 10, CLUSTER_SAMPLES, CLUSTER_SEED))
+)
+LONGEST_UNITS = "SELECT 'longest' AS final, session_id, d AS s, 1.0::DOUBLE AS c FROM pairs WHERE turn = (SELECT max(turn) FROM pairs)"
+query("f6b_longest_delta", f"SELECT final, {DELTA} FROM ({bootstrap_sql(LONGEST_UNITS, 'final', CLUSTER_SAMPLES, CLUSTER_SEED)})")(
+    lambda spark, sf: round_all(stats.final_delta(stats.paired(ranks(spark, sf), "h0", "persistent").withColumn("final", F.lit(metrics.LONGEST)), "final", 10, CLUSTER_SAMPLES, CLUSTER_SEED, metrics.LONGEST))
+)
 CLUSTER_UNITS = "SELECT 'all' AS \"group\", session_id, sum(d) AS s, count(*)::DOUBLE AS c FROM pairs JOIN clean USING (session_id, turn) GROUP BY session_id"
 query("f7_cluster", f"SELECT \"group\", {DELTA} FROM ({bootstrap_sql(CLUSTER_UNITS, 'group', CLUSTER_SAMPLES, CLUSTER_SEED)})")(
     lambda spark, sf: round_all(stats.bootstrap(clean(spark, sf).join(stats.differences(stats.paired(ranks(spark, sf), "h0", "persistent")).hint("merge"), ["session_id", "turn"]).groupBy(F.lit("all").alias("group"), "session_id").agg(F.sum("d").alias("s"), F.count("*").cast("double").alias("c")), "group", CLUSTER_SAMPLES, CLUSTER_SEED))
@@ -478,9 +484,17 @@ query(
 )(lambda spark, sf: round_all(analysis.group_recalls(clean(spark, sf), ranks(spark, sf))))
 GROUP_UNITS = 'SELECT "group", session_id, sum(d) AS s, count(*)::DOUBLE AS c FROM grouped JOIN pairs USING (session_id, turn) GROUP BY ALL'
 query("g12b_group_deltas", f'SELECT g."group", {DELTA} FROM groups g LEFT JOIN ({bootstrap_sql(GROUP_UNITS, "group", CLUSTER_SAMPLES, CLUSTER_SEED)}) USING ("group")')(lambda spark, sf: round_all(analysis.group_deltas(clean(spark, sf), ranks(spark, sf), "h0", "persistent", 10, CLUSTER_SAMPLES, CLUSTER_SEED)))
-query("g13_settings", "SELECT setting, " + ", ".join(f"round(100 * avg((rank < 10)::INT) FILTER (run_id = '{m}'), 6) AS {m}" for m in METHODS) + " FROM settings JOIN (SELECT setting, run_id, max(turn) turn FROM settings GROUP BY ALL) USING (setting, run_id, turn) GROUP BY setting")(lambda spark, sf: round_all(analysis.by_setting(settings(spark, sf))))
-SETTING_UNITS = "SELECT setting, session_id, (c.rank < 10)::INT::DOUBLE - (b.rank < 10)::INT::DOUBLE AS s, 1.0::DOUBLE AS c FROM settings b JOIN settings c USING (setting, session_id, turn) JOIN (SELECT setting, max(turn) turn FROM settings GROUP BY ALL) USING (setting, turn) WHERE b.run_id = 'current' AND c.run_id = 'persistent'"
+SETTING_LAST = "(SELECT setting, run_id, session_id, arg_max((rank < 10)::INT, turn) hit FROM settings GROUP BY ALL)"
+query("g13_settings", "SELECT setting, " + ", ".join(f"round(100 * avg(hit) FILTER (run_id = '{m}'), 6) AS {m}" for m in METHODS) + f" FROM {SETTING_LAST} GROUP BY setting")(lambda spark, sf: round_all(analysis.by_setting(settings(spark, sf))))
+SETTING_UNITS = "SELECT setting, session_id, arg_max((c.rank < 10)::INT::DOUBLE - (b.rank < 10)::INT::DOUBLE, b.turn) AS s, 1.0::DOUBLE AS c FROM settings b JOIN settings c USING (setting, session_id, turn) WHERE b.run_id = 'current' AND c.run_id = 'persistent' GROUP BY ALL"
 query("g13b_setting_deltas", f"SELECT setting, {DELTA} FROM ({bootstrap_sql(SETTING_UNITS, 'setting', CLUSTER_SAMPLES, CLUSTER_SEED)})")(lambda spark, sf: round_all(analysis.setting_deltas(settings(spark, sf), "current", "persistent", 10, CLUSTER_SAMPLES, CLUSTER_SEED)))
+query(
+    "g13c_setting_summaries",
+    """SELECT setting, run_id, round(average_feedback_recall, 6) average_feedback_recall, round(final_recall, 6) final_recall, round(final_cumulative, 6) final_cumulative, round(bri, 6) bri, num_dialogues, num_rounds FROM
+  (SELECT setting, run_id, avg(r) FILTER (turn >= 1) average_feedback_recall, count(*) num_rounds FROM (SELECT setting, run_id, turn, 100 * avg(hit) r FROM progress JOIN settings USING (run_id, session_id, turn) GROUP BY ALL) GROUP BY ALL) JOIN
+  (SELECT 's' || session_id % 4 setting, run_id, 100 * avg(hit) final_recall, 100 * avg(hit_so_far) final_cumulative, count(*) num_dialogues FROM at_last GROUP BY ALL) USING (setting, run_id) JOIN
+  (SELECT 's' || session_id % 4 setting, run_id, avg(trapezoid) bri FROM progress GROUP BY ALL) USING (setting, run_id)""",
+)(lambda spark, sf: round_all(metrics.summary(settings(spark, sf), by=("setting", "run_id"))))
 query("g14_named_summary", ROUNDED_SUMMARY.replace("SELECT run_id, round", "SELECT 'host-' || run_id run_id, round", 1))(lambda spark, sf: round_all(metrics.summary(tables.named_runs({f"host-{m}": ranks(spark, sf).where(F.col("run_id") == m) for m in METHODS}))))
 query(
     "g15_ablation_report",
@@ -491,12 +505,13 @@ query(
         .agg((100 * F.avg(F.when(F.col("turn") >= 1, S.hit(F.col("rank"), 10)))).alias("average_feedback_recall"), F.count_if(F.col("rank") != F.col("frozen")).alias("differing"), F.max(F.abs(F.col("rank") - F.col("frozen"))).alias("max_difference"))
     )
 )
-query("g16_text_report", "SELECT t.run_id, round(100 * avg((t.rank < 10)::INT) FILTER (t.turn = 3), 6) final_recall, count(*) FILTER (t.rank <> h.rank) differing, count(*) FILTER ((t.rank < 10) <> (h.rank < 10)) hit_changes FROM text_ranks t JOIN ranks h USING (session_id, turn) WHERE h.run_id = 'h0' GROUP BY t.run_id")(
-    lambda spark, sf: round_all(
-        text_ranks(spark, sf).join(ranks(spark, sf).where("run_id = 'h0'").select("session_id", "turn", F.col("rank").alias("h")), ["session_id", "turn"]).groupBy("run_id")
-        .agg((100 * F.avg(F.when(F.col("turn") == 3, S.hit(F.col("rank"), 10)))).alias("final_recall"), F.count_if(F.col("rank") != F.col("h")).alias("differing"), F.count_if((F.col("rank") < 10) != (F.col("h") < 10)).alias("hit_changes"))
-    )
-)
+TEXT_UNITS = "SELECT t.run_id, t.session_id, arg_max((t.rank < 10)::INT::DOUBLE - (b.rank < 10)::INT::DOUBLE, t.turn) AS s, 1.0::DOUBLE AS c FROM text_ranks t JOIN text_ranks b ON b.run_id = 'reencode_h0' AND b.session_id = t.session_id AND b.turn = t.turn GROUP BY ALL"
+query(
+    "g16_text_report",
+    f"""SELECT run_id, round(average_feedback_recall, 6) average_feedback_recall, round(final_recall, 6) final_recall, round(final_cumulative, 6) final_cumulative, round(bri, 6) bri, num_dialogues, num_rounds, {DELTA}, differing, hit_changes
+  FROM ({SUMMARY.replace("at_last", "text_last").replace("progress", "text_progress").replace("per_turn", "text_per_turn")}) JOIN ({bootstrap_sql(TEXT_UNITS, 'run_id', CLUSTER_SAMPLES, CLUSTER_SEED)}) USING (run_id)
+  JOIN (SELECT t.run_id, count(*) FILTER (t.rank <> h.rank) differing, count(*) FILTER ((t.rank < 10) <> (h.rank < 10)) hit_changes FROM text_ranks t JOIN ranks h USING (session_id, turn) WHERE h.run_id = 'h0' GROUP BY t.run_id) USING (run_id)""",
+)(lambda spark, sf: round_all(analysis.text_report(text_ranks(spark, sf), ranks(spark, sf).where("run_id = 'h0'"), "reencode_h0", 10, CLUSTER_SAMPLES, CLUSTER_SEED)))
 
 
 def patches(spark, sf) -> DataFrame:

@@ -232,7 +232,8 @@ SQL["progress"] = """SELECT *, (ln_ + lag(ln_) OVER w) / 2 trapezoid FROM (SELEC
   FROM ranks WINDOW w AS (PARTITION BY run_id, session_id ORDER BY turn)) WINDOW w AS (PARTITION BY run_id, session_id ORDER BY turn)"""
 SQL["per_turn"] = "SELECT run_id, turn, 100 * avg(hit) recall, 100 * avg(hit_so_far) cumulative FROM progress GROUP BY ALL"
 SQL["bri"] = "SELECT run_id, session_id, coalesce(avg(trapezoid), max(ln_)) bri FROM progress GROUP BY ALL"
-SUMMARY = """SELECT run_id, avg(recall) FILTER (turn >= 1) average_feedback_recall, arg_max(recall, turn) final_recall, arg_max(cumulative, turn) final_cumulative,
+SQL["at_last"] = "SELECT run_id, session_id, arg_max(hit, turn) hit, arg_max(hit_so_far, turn) hit_so_far FROM progress GROUP BY ALL"
+SUMMARY = """SELECT run_id, avg(recall) FILTER (turn >= 1) average_feedback_recall, (SELECT 100 * avg(hit) FROM at_last p WHERE p.run_id = t.run_id) final_recall, (SELECT 100 * avg(hit_so_far) FROM at_last p WHERE p.run_id = t.run_id) final_cumulative,
   (SELECT avg(trapezoid) FROM progress p WHERE p.run_id = t.run_id) bri, (SELECT count(DISTINCT session_id) FROM progress p WHERE p.run_id = t.run_id) num_dialogues, count(*) num_rounds FROM per_turn t GROUP BY run_id"""
 SQL["pairs"] = "SELECT b.session_id, b.turn, b.rank b, c.rank c, (c.rank < 10)::INT::DOUBLE - (b.rank < 10)::INT::DOUBLE d FROM ranks b JOIN ranks c USING (session_id, turn) WHERE b.run_id = 'h0' AND c.run_id = 'persistent'"
 SQL["told"] = f"""SELECT b.session_id, b.feedback_turn + 1 turn, (b.polarity = 'negative')::INT kind, b.idx, {CANON.format('b.attribute')} concept, coalesce(s.actionable AND b.polarity = 'negative', false) actionable
@@ -253,6 +254,9 @@ SQL["tq"] = f"""SELECT 'text_persistent' run_id, s.session_id, s.turn, s.target_
   UNION ALL SELECT 'reencode_persistent', s.session_id, s.turn, s.target_index, {unit_sql("e.vector")} FROM states s JOIN texts t USING (session_id, turn) JOIN encoded e ON e.text = t.text"""
 SQL["sctext"] = scored_sql("tq")
 SQL["text_ranks"] = ranks_sql("sctext")
+SQL["text_progress"] = SQL["progress"].replace("FROM ranks", "FROM text_ranks")
+for _t in ("per_turn", "at_last"):
+    SQL[f"text_{_t.removeprefix('at_')}"] = SQL[_t].replace("FROM progress", "FROM text_progress")
 SQL["settings"] = "SELECT *, 's' || session_id % 4 setting FROM ranks"
 SQL["broken_beliefs"] = """SELECT session_id, feedback_turn, idx, CASE WHEN session_id % 23 = 0 THEN 'neutral' ELSE polarity END polarity, CASE WHEN session_id % 19 = 0 THEN '  ' ELSE attribute END attribute,
   CASE WHEN session_id % 17 = 0 THEN 1.5 ELSE confidence END confidence FROM beliefs"""
