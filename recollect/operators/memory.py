@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -136,7 +135,6 @@ def diagnostics(states: DataFrame, mem: DataFrame) -> DataFrame:
     return states.select("session_id", "turn").join(sizes.hint("merge"), ["session_id", "turn"], "left").fillna(0, ["size", "positive", "negative", "overrides"])
 
 
-FOLDED = "session_id long, turn int, concept string, name string, surface string, polarity string, confidence double, created int, updated int, position int, overrides int, added int, changed int, overridden int, evicted int, matched array<struct<concept:string,from:string,to:string>>"
 COUNTS = ["added", "changed", "overridden", "evicted"]
 
 
@@ -204,10 +202,54 @@ def nearest(kept: dict[str, Entry], vector: np.ndarray | None, config: MemoryCon
     return best[2] if best[0] >= config.semantic_merge_threshold else None
 
 
+ENTRY = "concept:string,name:string,surface:string,polarity:string,confidence:double,created:int,updated:int,overrides:int"
+HELD = f"array<struct<{ENTRY},vector:array<double>>>"
+LOG = "array<struct<concept:string,from:string,to:string>>"
+#: A memory within a turn, and one after a turn.
+WITHIN = f"struct<entries:{HELD},added:int,changed:int,overridden:int,matched:{LOG}>"
+AFTER = f"struct<turn:int,entries:array<struct<{ENTRY}>>,added:int,changed:int,overridden:int,evicted:int,matched:{LOG}>"
+
+
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once, however often use names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def place_of(entries: Column, e: Column, config: MemoryConfig) -> Column:
+    """The number, from 1, of the entry that an event strengthens: the one of its concept, or, under semantic merging, the first of those most like it; else 0."""
+    known = F.array_position(F.transform(entries, lambda x: x["concept"]), e["concept"]).cast("int")
+    if not config.semantic_merge:
+        return known
+    like = F.array_max(F.transform(entries, lambda x, i: F.struct(S.dot(x["vector"], e["vector"]).alias("like"), (-i).alias("minus"))))
+    return bound(like, lambda best: F.when(known > 0, known).when(best["like"] >= config.semantic_merge_threshold, 1 - best["minus"]).otherwise(0))
+
+
+def told(within: Column, e: Column, turn: Column, config: MemoryConfig) -> Column:
+    """The memory within a turn after one event more."""
+    entries = within["entries"]
+
+    def at(p: Column) -> Column:
+        old = F.get(entries, p - 1)
+        turned = old["polarity"] != e["polarity"]
+        strength = F.greatest(old["confidence"], e["confidence"])
+        fresh = F.struct(e["concept"], e["surface"], e["surface"], e["polarity"], e["confidence"], turn, turn, F.lit(0), e["vector"])
+        stronger = F.struct(old["concept"], old["name"], e["surface"], e["polarity"], F.when(turned, F.least(F.lit(1.0), strength + config.override_boost)).otherwise(strength), old["created"], turn, old["overrides"] + turned.cast("int"), e["vector"])
+        one = HELD.removeprefix("array<").removesuffix(">")
+        after = F.when(p == 0, F.array_append(entries, fresh.cast(one))).otherwise(F.transform(entries, lambda x, i: F.when(i == p - 1, stronger.cast(one)).otherwise(x)))
+        log = F.when((p > 0) & turned, F.array_append(within["matched"], F.struct(old["concept"].alias("concept"), old["polarity"].alias("from"), e["polarity"].alias("to")))).otherwise(within["matched"])
+        count = lambda name, one_more: (within[name] + F.coalesce(one_more, F.lit(False)).cast("int"))
+        return F.struct(after, count("added", p == 0), count("changed", (p > 0) & ~turned), count("overridden", (p > 0) & turned), log).cast(WITHIN)
+
+    return bound(place_of(entries, e, config), at)
+
+
 def folded_memory(states: DataFrame, events: DataFrame, vocabulary: DataFrame | None, config: MemoryConfig) -> DataFrame:
-    """Memories where order matters: a binding cap, semantic merging, or polarities that override each other.
+    """Memories where order matters: a binding cap, semantic merging, or polarities that override each other. By column functions.
 
-    A session is one group: its turns are few, and its state passes from each to the next.
+    A session is one row: its turns in order, each with its events in order, and a fold over them whose state is the memory's entries.
+    Within a turn positives come first, each polarity by idx. A concept that is known, or (under semantic merging) near enough to a
+    known one, strengthens that entry; if its polarity differs, it also turns it and counts as an override. After a turn with events, the
+    max_concepts entries that stay are those updated last, of these the ones that came in last. A state with an empty memory has no rows.
     """
     if "polarity" not in events.columns:
         events = events.withColumn("polarity", F.lit("negative"))
@@ -216,13 +258,31 @@ def folded_memory(states: DataFrame, events: DataFrame, vocabulary: DataFrame |
         events = events.join(vectors.hint("merge"), "attribute", "left").withColumn("vector", known(F.col("vector"), F.col("attribute")))
     else:
         events = events.withColumn("vector", F.lit(None).cast("array<double>"))
-
-    def fold(key: tuple, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(e["turn"], e["idx"], e["concept"], e["attribute"], e["confidence"], e["vector"], e["polarity"], strict=True))
-        found = [(key[0], *r[:-1], [dict(zip(("concept", "from", "to"), x, strict=True)) for x in r[-1]]) for r in fold_session(s["turn"].tolist(), rows, config)]
-        return pd.DataFrame(found, columns=[c.split()[0] for c in FOLDED.split(", ")])
-
-    return states.select("session_id", "turn").groupBy("session_id").cogroup(events.groupBy("session_id")).applyInPandas(fold, FOLDED)
+    event = F.struct((F.col("polarity") != "positive").alias("later"), "idx", "concept", F.col("attribute").alias("surface"), "polarity", "confidence", "vector")
+    bundles = events.groupBy("session_id", "turn").agg(F.array_sort(F.collect_list(event)).alias("bundle"))
+    turns = states.select("session_id", "turn").join(bundles.hint("merge"), ["session_id", "turn"], "left").withColumn("bundle", F.coalesce("bundle", F.array().cast(bundles.schema["bundle"].dataType)))
+    sessions = turns.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", "bundle"))).alias("turns"))
+
+    def stays(entries: Column) -> Column:
+        """The entries that no max_concepts others come before: by their turn, then by their place."""
+        ahead = lambda x, i: F.size(F.filter(entries, lambda y, j: (y["updated"] > x["updated"]) | ((y["updated"] == x["updated"]) & (j > i))))
+        return F.when(F.size(entries) <= config.max_concepts, entries).otherwise(F.filter(entries, lambda x, i: ahead(x, i) < config.max_concepts))
+
+    def step(acc: Column, t: Column) -> Column:
+        begun = F.struct(acc["entries"], F.lit(0), F.lit(0), F.lit(0), F.array().cast(LOG)).cast(WITHIN)
+        within = F.aggregate(t["bundle"], begun, lambda a, e: told(a, e, t["turn"], config))
+
+        def done(w: Column) -> Column:
+            kept = F.when(F.size(t["bundle"]) > 0, stays(w["entries"])).otherwise(w["entries"])
+            told_ = lambda k: F.struct(t["turn"], F.transform(k, lambda x: F.struct(*(x[c.split(":")[0]] for c in ENTRY.split(",")))), w["added"], w["changed"], w["overridden"], F.size(w["entries"]) - F.size(k), w["matched"]).cast(AFTER)
+            return bound(kept, lambda k: F.struct(k, F.array_append(acc["done"], told_(k))).cast(f"struct<entries:{HELD},done:array<{AFTER}>>"))
+
+        return bound(within, done)
+
+    start = F.struct(F.array().cast(HELD), F.array().cast(f"array<{AFTER}>")).cast(f"struct<entries:{HELD},done:array<{AFTER}>>")
+    after = sessions.select("session_id", F.explode(F.aggregate("turns", start, step, lambda a: a["done"])).alias("t")).select("session_id", "t.*")
+    rows = after.select("session_id", "turn", "added", "changed", "overridden", "evicted", "matched", F.posexplode("entries").alias("position", "x"))
+    return rows.select("session_id", "turn", *(F.col(f"x.{c}") for c in ("concept", "name", "surface", "polarity", "confidence", "created", "updated")), "position", "x.overrides", *COUNTS, "matched")
 
 
 def capped_memory(states: DataFrame, events: DataFrame, config: MemoryConfig) -> DataFrame:

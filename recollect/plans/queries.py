@@ -340,10 +340,10 @@ def rounded(df: DataFrame) -> DataFrame:
 
 query("d4_persistent_memory", f"SELECT {MEM} FROM mem")(lambda spark, sf: rounded(mem(spark, sf)))
 query("d5_current_memory", f"SELECT {MEM} FROM memc")(lambda spark, sf: rounded(mem(spark, sf, memory.CURRENT)))
-query("d6_capped_memory")(lambda spark, sf: rounded(memory.capped_memory(fx.states(spark, sf), events(spark, sf), MemoryConfig(max_concepts=3))))
+query("d6_capped_memory", f"SELECT {MEM} FROM capped")(lambda spark, sf: rounded(memory.capped_memory(fx.states(spark, sf), events(spark, sf), MemoryConfig(max_concepts=3))))
 query("d6b_uncapped_fold", f"SELECT {MEM} FROM mem")(lambda spark, sf: rounded(memory.folded_memory(fx.states(spark, sf), events(spark, sf), None, CONFIG)))
 query("d7_add_stats", "SELECT session_id, turn, count(*) FILTER (n = 1) added, count(*) FILTER (n > 1) updated, 0::BIGINT overridden, 0::BIGINT evicted FROM (SELECT *, row_number() OVER (PARTITION BY session_id, concept ORDER BY turn, idx) n FROM ev) GROUP BY ALL")(lambda spark, sf: memory.add_stats(events(spark, sf)))
-query("d8_semantic_merge")(lambda spark, sf: rounded(memory.folded_memory(fx.states(spark, sf), events(spark, sf), fx.vocabulary(spark, sf), MemoryConfig(semantic_merge=True, semantic_merge_threshold=0.2))))
+query("d8_semantic_merge", f"SELECT {MEM} FROM merged")(lambda spark, sf: rounded(memory.folded_memory(fx.states(spark, sf), events(spark, sf), fx.vocabulary(spark, sf), MemoryConfig(semantic_merge=True, semantic_merge_threshold=0.2))))
 
 
 def both_polarities(spark, sf, config: MemoryConfig = CONFIG) -> DataFrame:
@@ -352,10 +352,10 @@ def both_polarities(spark, sf, config: MemoryConfig = CONFIG) -> DataFrame:
 
 
 SMALL = MemoryConfig(max_concepts=3)
-query("d7b_turn_stats")(lambda spark, sf: memory.turn_stats(both_polarities(spark, sf, SMALL)))
-query("d9_override")(lambda spark, sf: both_polarities(spark, sf).drop("matched"))
-query("d9b_override_log")(lambda spark, sf: memory.override_log(both_polarities(spark, sf)))
-query("d17b_diagnostics")(lambda spark, sf: memory.diagnostics(fx.states(spark, sf), both_polarities(spark, sf)))
+query("d7b_turn_stats", "SELECT DISTINCT session_id, turn, added::BIGINT added, changed::BIGINT updated, overridden::BIGINT overridden, evicted::BIGINT evicted FROM turned3")(lambda spark, sf: memory.turn_stats(both_polarities(spark, sf, SMALL)))
+query("d9_override", "SELECT * EXCLUDE (matched) REPLACE (round(confidence, 6) AS confidence) FROM turned")(lambda spark, sf: both_polarities(spark, sf).drop("matched").withColumn("confidence", F.round("confidence", 6)))
+query("d9b_override_log", """SELECT session_id, turn, n, x.concept, x."from", x."to" FROM (SELECT session_id, turn, unnest(matched) x, (generate_subscripts(matched, 1) - 1)::INT n FROM (SELECT DISTINCT session_id, turn, matched FROM turned))""")(lambda spark, sf: memory.override_log(both_polarities(spark, sf)))
+query("d17b_diagnostics", "SELECT s.session_id, s.turn, count(m.concept) size, count(*) FILTER (m.polarity = 'positive') positive, count(*) FILTER (m.polarity = 'negative') negative, coalesce(sum(m.overrides), 0)::BIGINT overrides FROM states s LEFT JOIN turned m USING (session_id, turn) GROUP BY ALL")(lambda spark, sf: memory.diagnostics(fx.states(spark, sf), both_polarities(spark, sf)))
 query("d10_weights", f"SELECT session_id, turn, concept, age, round({weight_sql('full')}, 9) weight FROM mem")(lambda spark, sf: memory.weighted(mem(spark, sf), "full", CONFIG.recency_decay).select("session_id", "turn", "concept", "age", F.round("weight", 9).alias("weight")))
 query("d11_corrected", f"SELECT session_id, turn, {first3_sql('v', 'vector')} FROM qmem")(lambda spark, sf: memory.queries(fx.states(spark, sf), fx.beliefs(spark, sf), fx.vocabulary(spark, sf), CONFIG, "persistent").select("session_id", "turn", *first3("vector")))
 for _id, _method in (("d12_h0_ranks", "h0"), ("d13_persistent_ranks", "persistent"), ("d13b_current_ranks", "current")):

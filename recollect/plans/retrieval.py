@@ -211,9 +211,39 @@ def encoded_sql(texts: str) -> str:
     return f"SELECT t.text, c.vector FROM (SELECT DISTINCT text FROM {texts}) t JOIN corpus c ON c.corpus_idx = (length(t.text) * 131 + 7) % (SELECT count(*) FROM corpus)"
 
 
+def fold_sql(name: str, events: str, cap: int, threshold: float | None = None) -> dict[str, str]:
+    """Tables of an ordered fold over (session_id, turn, idx, polarity, concept, surface, confidence, vector) events: its memory after each turn of a state is `name`."""
+    entry = "STRUCT(concept VARCHAR, \"name\" VARCHAR, surface VARCHAR, polarity VARCHAR, confidence DOUBLE, created INT, updated INT, overrides INT, vector DOUBLE[])"
+    near = "0" if threshold is None else f"(CASE WHEN list_max(list_transform(entries, lambda x: list_inner_product(x.vector, vector))) >= {threshold} THEN -list_max(list_transform(entries, lambda x, i: {{'a': list_inner_product(x.vector, vector), 'b': -i}})).b ELSE 0 END)"
+    place = f"coalesce(nullif(coalesce(list_position(list_transform(entries, lambda x: x.concept), concept), 0), 0), {near}, 0)"
+    stronger = f"greatest(old.confidence, confidence) + CASE WHEN old.polarity <> polarity THEN {CONFIG.override_boost} ELSE 0 END"
+    fresh = f"struct_pack(concept := concept, \"name\" := surface, surface := surface, polarity := polarity, confidence := confidence, created := turn, updated := turn, overrides := 0::INT, vector := vector)::{entry}"
+    changed = f"struct_pack(concept := old.concept, \"name\" := old.name, surface := surface, polarity := polarity, confidence := CASE WHEN old.polarity <> polarity THEN least(1.0, {stronger}) ELSE {stronger} END, created := old.created, updated := turn, overrides := old.overrides + (old.polarity <> polarity)::INT, vector := vector)::{entry}"
+    capped = f"list_filter(entries, lambda x, i: len(list_filter(entries, lambda y, j: y.updated > x.updated OR (y.updated = x.updated AND j > i))) < {cap})"
+    return {
+        f"{name}_steps": f"""SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn, ends, polarity DESC, idx) n FROM (
+  SELECT e.session_id, e.turn, false ends, e.polarity, e.idx, e.concept, e.surface, e.confidence, e.vector FROM ({events}) e SEMI JOIN states s ON s.session_id = e.session_id AND s.turn = e.turn
+  UNION ALL SELECT session_id, turn, true, NULL, NULL, NULL, NULL, NULL, NULL FROM states)""",
+        f"{name}_fold": f"""SELECT session_id, 0::BIGINT n, 0 turn, true ends, []::{entry}[] entries, 0 added, 0 changed, 0 overridden, 0 evicted, []::STRUCT(concept VARCHAR, "from" VARCHAR, "to" VARCHAR)[] matched FROM (SELECT DISTINCT session_id FROM states)
+  UNION ALL SELECT session_id, n, turn, ends, CASE WHEN ends THEN kept WHEN p = 0 THEN list_append(entries, {fresh}) ELSE list_transform(entries, lambda x, i: CASE WHEN i = p THEN {changed} ELSE x END) END,
+    added + (NOT ends AND p = 0)::INT, changed + (NOT ends AND p > 0 AND old.polarity = polarity)::INT, overridden + (NOT ends AND p > 0 AND old.polarity <> polarity)::INT, CASE WHEN ends THEN len(entries) - len(kept) ELSE 0 END,
+    CASE WHEN NOT ends AND p > 0 AND old.polarity <> polarity THEN list_append(matched, struct_pack(concept := old.concept, "from" := old.polarity, "to" := polarity)) ELSE matched END
+  FROM (SELECT *, entries[p] AS old, CASE WHEN ends AND told THEN {capped} ELSE entries END kept FROM (SELECT *, CASE WHEN ends THEN 0 ELSE {place} END p FROM (
+    SELECT e.*, r.entries, NOT r.ends told, CASE WHEN r.ends THEN 0 ELSE r.added END added, CASE WHEN r.ends THEN 0 ELSE r.changed END changed, CASE WHEN r.ends THEN 0 ELSE r.overridden END overridden, CASE WHEN r.ends THEN [] ELSE r.matched END matched
+    FROM {name}_fold r JOIN {name}_steps e ON e.session_id = r.session_id AND e.n = r.n + 1)))""",
+        name: f"""SELECT session_id, turn, x.concept, x.name, x.surface, x.polarity, x.confidence, x.created, x.updated, (i - 1)::INT AS position, x.overrides, added, changed, overridden, evicted::INT evicted, matched
+  FROM (SELECT session_id, turn, unnest(entries) x, generate_subscripts(entries, 1) i, added, changed, overridden, evicted, matched FROM {name}_fold WHERE ends AND n > 0)""",
+    }
+
+
 SQL = dict(fx.SQL)
 SQL["ev"] = f"SELECT session_id, feedback_turn + 1 turn, idx, trim(attribute) attribute, {CANON.format('attribute')} concept, confidence FROM beliefs WHERE polarity = 'negative'"
 SQL["mem"], SQL["memc"] = memory_sql("<="), memory_sql("=")
+NEGATIVES = "SELECT *, 'negative' polarity, attribute surface, NULL::DOUBLE[] vector FROM ev"
+SQL |= fold_sql("capped", NEGATIVES, 3)
+SQL |= fold_sql("merged", f"SELECT ev.*, 'negative' polarity, attribute surface, {unit_sql('v.vector')} vector FROM ev JOIN vocab v ON v.text = ev.attribute", CONFIG.max_concepts, 0.2)
+BOTH = f"SELECT session_id, feedback_turn + 1 turn, idx, trim(attribute) surface, {CANON.format('attribute')} concept, confidence, polarity, NULL::DOUBLE[] vector FROM beliefs"
+SQL |= fold_sql("turned", BOTH, CONFIG.max_concepts) | fold_sql("turned3", BOTH, 3)
 for _m in ("mem", "memc"):
     SQL[f"w{_m}"] = f"SELECT *, {weight_sql('full')} weight FROM {_m}"
     SQL[f"agg_w{_m}"], SQL[f"q{_m}"] = corrected_sql(f"w{_m}")
@@ -282,7 +312,7 @@ def with_tables(sql: str) -> str:
         for name in set(re.findall(r"\b\w+\b", look.pop())) & set(SQL) - needed:
             needed.add(name)
             look.append(SQL[name])
-    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in SQL.items() if n in needed) + "\n" + sql if needed else sql
+    return ("WITH RECURSIVE " if any(n.endswith("_fold") for n in needed) else "WITH ") + ",\n".join(f"{n} AS ({t})" for n, t in SQL.items() if n in needed) + "\n" + sql if needed else sql
 
 
 def bootstrap_sql(units: str, group: str, samples: int, seed: int, scale: float = 100.0) -> str:
