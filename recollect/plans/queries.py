@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from .retrieval import *  # noqa: F403
-from .retrieval import K2, KF, KI, LEXICAL, CLUSTER_SAMPLES, CLUSTER_SEED, METHODS, MODES, ORACLE_SQL, QUERIES, SAMPLES, SEED, SUMMARY, TOP_K, CANON, CONFIG, F, MemoryConfig, S, SparkSession, DataFrame, W, uuid, ablation, analysis, audits, bootstrap_sql, bucketed, fingerprinted, shaken, broken_beliefs, broken_ranks, broken_states, broken_structured, checks, clean, concept_events, dialogs, embed, encoded, events, fx, live_memory, mem, memory, metrics, provenance, query, ranks, runs, scored, scoring, settings, shared_dir, sizes, stats, tables, text_ranks, tops, unit_sql, violations_sql, weight_sql, written
+from .retrieval import K2, KF, KI, LEXICAL, CLUSTER_SAMPLES, CLUSTER_SEED, METHODS, MODES, ORACLE_SQL, QUERIES, SAMPLES, SEED, SUMMARY, TOP_K, CANON, CONFIG, F, MemoryConfig, S, SparkSession, DataFrame, W, uuid, ablation, analysis, audits, bootstrap_sql, bucketed, fingerprinted, shaken, broken_beliefs, broken_ranks, broken_states, broken_structured, checks, clean, concept_events, dialogs, as_initial, embed, encoded, events, fx, live_memory, mem, memory, metrics, provenance, query, ranks, runs, scored, scoring, settings, shared_dir, sizes, stats, tables, text_ranks, tops, unit_sql, violations_sql, weight_sql, written
 
 FIRST = "list_sum(v) AS"
 
@@ -369,19 +369,42 @@ query("d14_native_ranks", "SELECT session_id, turn, rank FROM ranks WHERE run_id
 query("d15_top_k", "SELECT run_id, session_id, turn, position, corpus_idx FROM tops")(lambda spark, sf: scoring.top_k(scored(spark, sf), TOP_K))
 
 
-@query("d16_live_memory", f"SELECT {MEM} FROM mem")
-def d16(spark, sf):
-    """Turns arrive in three waves, each in its own partitions; the stream goes on from its checkpoint after each."""
-    p = path(spark, "live")
+EVENTS = "array<struct<idx:int,concept:string,attribute:string,confidence:double>>"
+
+
+def spoken(spark, sf) -> DataFrame:
+    """Turns as a stream has them: each with its negatives."""
     ev = events(spark, sf).groupBy("session_id", "turn").agg(F.collect_list(F.struct("idx", "concept", "attribute", "confidence")).alias("negatives"))
     rows = fx.states(spark, sf).select("session_id", "turn").join(ev.hint("merge"), ["session_id", "turn"], "left")
-    rows = rows.withColumn("negatives", F.coalesce("negatives", F.array().cast("array<struct<idx:int,concept:string,attribute:string,confidence:double>>")))
-    for wave in ("turn < 2", "turn BETWEEN 2 AND 3", "turn > 3"):
-        rows.where(wave).write.mode("append").parquet(f"{p}/in")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{p}/in")
-        q = live_memory(stream, CONFIG).writeStream.format("parquet").option("path", f"{p}/out").option("checkpointLocation", f"{p}/checkpoint").trigger(availableNow=True).start()
+    return rows.withColumn("negatives", F.coalesce(F.col("negatives").cast(EVENTS), F.array().cast(EVENTS)))
+
+
+def streamed(spark, waves: list[DataFrame], config: MemoryConfig, initial: DataFrame | None = None) -> DataFrame:
+    """Waves of turns, each in its own files; the stream goes on from its checkpoint after each."""
+    p = path(spark, "live")
+    for wave in waves:
+        wave.write.mode("append").parquet(f"{p}/in")
+        stream = spark.readStream.schema(wave.schema).parquet(f"{p}/in")
+        q = live_memory(stream, config, initial=initial).writeStream.format("parquet").option("path", f"{p}/out").option("checkpointLocation", f"{p}/checkpoint").trigger(availableNow=True).start()
         q.awaitTermination()
-    return rounded(spark.read.parquet(f"{p}/out"))
+    return spark.read.parquet(f"{p}/out")
+
+
+@query("d16_live_memory", f"SELECT {MEM} FROM mem")
+def d16(spark, sf):
+    """Turns arrive in three waves."""
+    rows = spoken(spark, sf)
+    return rounded(streamed(spark, [rows.where(w) for w in ("turn < 2", "turn BETWEEN 2 AND 3", "turn > 3")], CONFIG).where("NOT late"))
+
+
+@query("d16b_live_from_batch", f"SELECT {MEM}, false late FROM mem WHERE turn > 2 UNION ALL SELECT session_id, turn, concept, attribute, round(confidence, 6), NULL, NULL, true FROM ev WHERE turn = 2 AND session_id % 5 = 0 UNION ALL SELECT session_id, turn, NULL, NULL, NULL, NULL, NULL, true FROM states s WHERE turn = 2 AND session_id % 5 = 0 AND NOT EXISTS (SELECT 1 FROM ev e WHERE e.session_id = s.session_id AND e.turn = s.turn)")
+def d16b(spark, sf):
+    """The stream begins from the batch memory after turn 2; some turns 2 come once more, and are refused."""
+    rows, before = spoken(spark, sf), fx.states(spark, sf).where("turn <= 2")
+    initial = written(as_initial(before, memory.folded_memory(before, events(spark, sf), None, CONFIG)), "initial")
+    waves = [rows.where("turn = 3"), rows.where("turn > 3 OR turn = 2 AND session_id % 5 = 0")]
+    out = streamed(spark, waves, CONFIG, initial)
+    return out.select("session_id", "turn", "concept", "surface", F.round("confidence", 6).alias("confidence"), "created", "updated", "late")
 
 
 query("d17_diagnostics", "SELECT session_id, turn, size, positive, negative, overrides FROM sizes")(sizes)

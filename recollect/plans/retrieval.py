@@ -15,7 +15,7 @@ from ..operators import analysis, audits, checks, embed, memory, metrics, proven
 from ..sources import fixtures as fx
 from ..sources import tables
 from ..sources.tables import shared_dir, written
-from ..streaming.live_memory import live_memory
+from ..streaming.live_memory import as_initial, live_memory
 
 CONFIG = MemoryConfig()
 TOP_K = 10
