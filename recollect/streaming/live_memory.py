@@ -7,7 +7,8 @@ is refused, and its negatives go out marked `late`, for whoever keeps them. A tu
 time. The number of a session's entries is bounded by the cap on its concepts.
 
 A stream may begin from a batch memory (`initial`). With `forget_after_ms`, a session that is silent for so long is forgotten, and begins
-anew if it speaks again; without it the state is kept until the checkpoint is dropped.
+anew if it speaks again; without it the state is kept until the checkpoint is dropped. Spark goes on making batches for timers: a
+trigger that ends when all is read then needs spark.sql.streaming.noDataMicroBatches.enabled = false.
 """
 
 from __future__ import annotations
