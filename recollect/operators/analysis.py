@@ -179,9 +179,10 @@ def unmatched_patches(structured: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def patch_manifest(structured: DataFrame, patches: DataFrame) -> DataFrame:
-    """(what, value, n): rows kept by type, rows dropped by type, rows kept by actionability."""
-    keys = ["session_id", "feedback_turn", "idx"]
-    gone = structured.join(patches.where("dropped").hint("merge"), keys, "left_semi")
-    kept = patch(structured, patches)
-    count = lambda df, what, by: df.groupBy(F.col(by).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "value", "n")
-    return count(kept, "kept_type", "sem_type").unionByName(count(gone, "dropped_type", "sem_type")).unionByName(count(kept, "kept_actionable", "actionable"))
+    """(what, value, n): rows kept by type, rows dropped by type, rows kept by actionability. One scan, in grouping sets."""
+    both = structured.join(patches.hint("merge"), ["session_id", "feedback_turn", "idx"], "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))
+    both = both.select("dropped", F.when(~F.col("dropped"), F.coalesce("new_type", "sem_type")).otherwise(F.col("sem_type")).alias("type"), F.col("actionable").cast("string").alias("actionable"))
+    by = [[F.col("dropped"), F.col("type")], [F.col("dropped"), F.col("actionable")]]
+    counts = both.groupingSets(by, "dropped", "type", "actionable").agg(F.grouping("type").alias("of_actionable"), F.count("*").alias("n"))
+    what = F.when(F.col("of_actionable") == 0, F.when(F.col("dropped"), "dropped_type").otherwise("kept_type")).when(~F.col("dropped"), "kept_actionable")
+    return counts.select(what.alias("what"), F.when(F.col("of_actionable") == 0, F.col("type")).otherwise(F.col("actionable")).alias("value"), "n").where("what IS NOT NULL")

@@ -53,6 +53,12 @@ def evaluation_fingerprint(pairing: Column, method: Column, parameters: dict[str
     return S.digest(*(facts[k].cast("string").alias(k) for k in sorted(facts)))
 
 
+def declared_revision(method: Column, revision: Column, model: Column) -> Column:
+    """What an adapter says of its model: its revision, or else the model's id; nothing for h0, which has no adapter."""
+    told = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.when(method != "h0", F.coalesce(told(revision), told(model)))
+
+
 #: The reasons that a comparison reports.
 REASONS = ["rank_shape_mismatch", "missing_pairing_fingerprint", "pairing_fingerprint_mismatch", "session_ids_mismatch", "target_indices_mismatch"]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from ..sources import files, published
 from .retrieval import *  # noqa: F403
 from .retrieval import K2, KF, KI, LEXICAL, CLUSTER_SAMPLES, CLUSTER_SEED, METHODS, MODES, ORACLE_SQL, QUERIES, SAMPLES, SEED, SUMMARY, TOP_K, CANON, CONFIG, F, MemoryConfig, S, SparkSession, DataFrame, W, uuid, ablation, analysis, audits, bootstrap_sql, bucketed, fingerprinted, shaken, broken_beliefs, broken_ranks, broken_states, broken_structured, checks, clean, concept_events, dialogs, as_initial, embed, encoded, events, fx, live_memory, mem, memory, metrics, provenance, query, ranks, runs, scored, scoring, settings, shared_dir, sizes, stats, tables, text_ranks, tops, unit_sql, violations_sql, weight_sql, written
 
@@ -161,6 +162,37 @@ def a7(spark, sf):
     return tables.read_ranks(spark, p).where("run_id = 'persistent'").select("session_id", "turn", "rank")
 
 
+def with_targets(spark, sf) -> DataFrame:
+    return ranks(spark, sf).join(fx.states(spark, sf).select("session_id", "turn", "target_index").hint("merge"), ["session_id", "turn"])
+
+
+@query(
+    "a7b_published_runs",
+    f"SELECT step, run_id, (SELECT count(*) FROM ranks r WHERE r.run_id = s.run_id) states, round(final_recall, 6) final_recall, round(bri, 6) bri, true AS paired FROM ({SUMMARY}) s, (SELECT unnest(['first', 'torn', 'refused', 'second']) step) WHERE step = 'second' OR run_id = 'h0'",
+)
+def a7b(spark, sf):
+    """A version; one that is written but never published; one that is refused; the next version. Readers see the first until the last."""
+    p, all_, records = path(spark, "published"), with_targets(spark, sf), paired_runs(spark, sf).withColumn("evaluation_fp", F.col("run_id"))
+    seen = []
+
+    def look(step: str) -> None:
+        r, m = published.read(spark, p, "ranks"), published.read(spark, p, "metrics")
+        both = m.join(r.groupBy("run_id").agg(F.count("*").alias("states")).hint("merge"), "run_id").join(records.select("run_id", F.col("pairing_fp").alias("own")).hint("merge"), "run_id")
+        seen.append(both.select(F.lit(step).alias("step"), "run_id", "states", "final_recall", "bri", (F.col("pairing_fp") == F.col("own")).alias("paired")))
+
+    published.publish_runs(all_.where("run_id = 'h0'"), records, p)
+    look("first")
+    published.stage_runs(all_, records, p)
+    look("torn")
+    try:
+        published.publish_runs(all_.withColumn("rank", F.when(F.col("run_id") == "h0", -1).otherwise(F.col("rank"))), records, p)
+    except ValueError:
+        look("refused")
+    published.publish_runs(all_, records, p)
+    look("second")
+    return round_all(reduce(DataFrame.unionByName, seen))
+
+
 @query("a8_upgrade", "SELECT run_id, session_id, turn, rank, 'rehydrated_from_declared_inputs' provenance_status FROM ranks")
 def a8(spark, sf):
     p = path(spark, "ranks-legacy")
@@ -203,6 +235,23 @@ query("a13_still_to_encode", "SELECT DISTINCT query_text AS text FROM states WHE
 )
 
 
+TEXTS0, TEXTS = "(SELECT count(DISTINCT query_text) FROM states WHERE turn = 0)", "(SELECT count(DISTINCT query_text) FROM states)"
+
+
+@query("a13b_encoder_cache", f"SELECT unnest(['cold', 'warm', 'again', 'other_size']) run, unnest([{TEXTS0}, {TEXTS}, {TEXTS}, {TEXTS0}]) asked, unnest([{TEXTS0}, {TEXTS} - {TEXTS0}, 0, {TEXTS0}]) encoded, unnest([(SELECT sum(length(t)) FROM (SELECT DISTINCT query_text t FROM states WHERE turn = 0)), (SELECT sum(length(t)) FROM (SELECT DISTINCT query_text t FROM states)), (SELECT sum(length(t)) FROM (SELECT DISTINCT query_text t FROM states)), (SELECT sum(length(t)) FROM (SELECT DISTINCT query_text t FROM states WHERE turn = 0))])::DOUBLE total")
+def a13b(spark, sf):
+    """A cold cache; one that lacks some texts; one that has all; one of another dimension, which is ignored."""
+    p, s = path(spark, "vectors"), fx.states(spark, sf).select("turn", F.col("query_text").alias("text"))
+    out = []
+    for run, rows, size in (("cold", s.where("turn = 0"), 3), ("warm", s, 3), ("again", s, 3), ("other_size", s.where("turn = 0"), 4)):
+        before = published.latest(spark, p)
+        v = written(published.vectors(rows, lambda texts, n=size: [[float(len(t)), *[0.5] * (n - 1)] for t in texts], "by length", size, p), "found")
+        after = published.latest(spark, p)
+        encoded = 0 if before is not None and after.id == before.id else after.rows["vectors"]
+        out.append(v.agg(F.count("*").alias("asked"), F.lit(encoded).cast("long").alias("encoded"), F.sum(F.col("vector")[0]).alias("total")).select(F.lit(run).alias("run"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("a14_archives", "SELECT run_id, count(*) AS n FROM ranks GROUP BY run_id")
 def a14(spark, sf):
     p = path(spark, "archives")
@@ -309,6 +358,25 @@ query("c6_weights", " UNION ALL ".join(f"SELECT '{m}' AS mode, session_id, turn,
 )
 query("c7_item_key", f"SELECT {KI} AS item FROM structured")(lambda spark, sf: fx.structured(spark, sf).select(S.item_key(F.col("session_id"), F.col("feedback_turn"), F.col("idx")).alias("item")))
 query("c8_sha256", "SELECT doc_id, sha256(text) AS sha FROM documents")(lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("sha")))
+
+
+def line_files(df: DataFrame, spark, what: str, *order: str) -> str:
+    """A text file for each bucket, its lines (value) in order."""
+    p = path(spark, what)
+    df.repartition("bucket").sortWithinPartitions("bucket", *order).select("bucket", "value").write.partitionBy("bucket").text(p)
+    return p
+
+
+def bucket_of():
+    return F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("long").alias("bucket")
+
+
+@query("c8b_file_digests", "SELECT session_id // 10 bucket, strlen(string_agg(session_id || ':' || turn || ':' || query_text || chr(10), '' ORDER BY session_id, turn)) AS length, sha256(string_agg(session_id || ':' || turn || ':' || query_text || chr(10), '' ORDER BY session_id, turn)) AS sha256 FROM states GROUP BY ALL")
+def c8b(spark, sf):
+    s = fx.states(spark, sf).select("session_id", "turn", F.expr("session_id div 10").alias("bucket"), F.concat_ws(":", "session_id", "turn", "query_text").alias("value"))
+    return files.digests(spark, line_files(s, spark, "lines", "session_id", "turn"), pattern="part-*").select(bucket_of(), "length", "sha256")
+
+
 query("c9_stable_hash", "SELECT doc_id, sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}') AS sha FROM documents")(lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", S.digest(F.col("doc_id"), F.col("lang")).alias("sha")))
 query("c10_fractions", "SELECT s.session_id, count(b.polarity) total, coalesce(round(count(*) FILTER (b.polarity = 'negative') / nullif(count(b.polarity), 0), 9), 0) negative_fraction FROM (SELECT DISTINCT session_id FROM states) s LEFT JOIN beliefs b USING (session_id) GROUP BY ALL")(
     lambda spark, sf: dialogs(spark, sf).join(fx.beliefs(spark, sf), "session_id", "left").groupBy("session_id").agg(F.count("polarity").alias("total"), F.round(S.negative_fraction(F.count_if(F.col("polarity") == "negative"), F.count("polarity")), 9).alias("negative_fraction"))
@@ -642,6 +710,27 @@ query(
 )(lambda spark, sf: fingerprinted(spark, sf).select("run_id", "pairing", "evaluation"))
 
 
+_MAYBE = "coalesce('\"' || {0} || '\"', 'null')"
+query(
+    "i3b_evaluation_of_files",
+    f"""SELECT run_id, sha256('{{{{"adapter":' || {_QUOTED.format("a")} || ',"beliefs":' || {_MAYBE.format("b.sha")} || ',"config":"' || sha256('{{{{"rho":0.1}}}}' || chr(10)) || '","method":"' || method || '","pairing":"' || pairing || '","revision":' || CASE WHEN method = 'h0' THEN 'null' WHEN bucket % 2 = 0 THEN '"r1"' ELSE '"model-a"' END || '}}}}') AS evaluation
+  FROM run_rows LEFT JOIN (SELECT session_id // 10 bucket, sha256(string_agg(session_id || ':' || feedback_turn || ':' || polarity || ':' || idx || ':' || attribute || chr(10), '' ORDER BY session_id, feedback_turn, polarity, idx)) sha FROM beliefs GROUP BY ALL) b USING (bucket)""".replace("{{", "{").replace("}}", "}"),
+)(lambda spark, sf: evaluated(spark, sf))
+
+
+def evaluated(spark, sf) -> DataFrame:
+    """Evaluations by the digests of their belief and config files, and the revision that the adapter declares, or else its model."""
+    b = fx.beliefs(spark, sf)
+    lines = b.select("session_id", "feedback_turn", "polarity", "idx", F.expr("session_id div 10").alias("bucket"), F.concat_ws(":", "session_id", "feedback_turn", "polarity", "idx", "attribute").alias("value"))
+    told = files.digests(spark, line_files(lines, spark, "belief-lines", "session_id", "feedback_turn", "polarity", "idx"), pattern="part-*").select(bucket_of(), F.col("sha256").alias("beliefs"))
+    p = path(spark, "config")
+    spark.range(1).select(F.lit('{"rho":0.1}').alias("value")).write.text(p)
+    config = files.digests(spark, p, pattern="part-*").select(F.col("sha256").alias("config"))
+    runs_ = provenance.beside(fingerprinted(spark, sf).join(told.hint("merge"), "bucket", "left"), config)
+    revision = provenance.declared_revision(F.col("method"), F.when(F.col("bucket") % 2 == 0, "r1"), F.lit("model-a"))
+    return runs_.select("run_id", provenance.evaluation_fingerprint(F.col("pairing"), F.col("method"), {"beliefs": F.col("beliefs"), "config": F.col("config")}, F.lit("a"), revision).alias("evaluation"))
+
+
 def verified(spark, sf) -> DataFrame:
     """Each ten sessions' runs of other methods against h0's; sessions, turns and targets of some are moved."""
     targets = fx.states(spark, sf).select("session_id", "target_index").distinct()
