@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..config import MemoryConfig
 from ..functions import scalars as S
+from ..sources.tables import written
 from .intervals import stabbed
+from .joins import met
 
 CURRENT, PERSISTENT = "current", "persistent"
 
@@ -62,11 +64,24 @@ def weighted(mem: DataFrame, mode: str, decay: float) -> DataFrame:
     return mem.withColumn("weight", S.memory_weight(mode, F.col("confidence"), F.col("age"), decay))
 
 
-def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The sum of weight * unit(vector) of each key, dimension by dimension: partial sums before the shuffle, no collected vectors."""
-    flat = rows.select(*keys, "weight", F.posexplode(S.unit(F.col("vector"))).alias("pos", "x"))
-    sums = flat.groupBy(*keys, "pos").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
-    return sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).select(*keys, F.col("v.x").alias("aggregate"))
+#: Components of all vectors of a vocabulary up to which it is broadcast (32 MB).
+BROADCAST_COMPONENTS = 1 << 22
+
+
+def summed(rows: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
+    """The sum of weight * unit(vector of surface) of each key, from (keys, surface, weight) rows: a memory's concepts, in their order.
+
+    Rows are dealt by key before they have vectors, if the vocabulary may be broadcast; a larger one meets them by surface, whatever the surfaces' numbers of rows.
+    """
+    size = vocabulary.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    units = vocabulary.select(F.col("text").alias("surface"), S.unit(F.col("vector")).alias("vector"))
+    if size.n * (size.d or 0) <= BROADCAST_COMPONENTS:
+        vectors = rows.repartition(*keys).join(F.broadcast(units), "surface", "left").withColumn("vector", known(F.col("vector"), F.col("surface")))
+    else:
+        vectors = met(written(rows, "remembered"), units, "surface", F.concat(F.lit("no vector for "), "surface"))
+    held = vectors.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("surface", "weight", "vector"))).alias("held"))
+    zero = F.transform(F.col("held")[0]["vector"], lambda x: F.lit(0.0))
+    return held.select(*keys, F.aggregate("held", zero, lambda a, r: F.zip_with(a, r["vector"], lambda x, y: x + r["weight"] * y)).alias("aggregate"))
 
 
 def known(vector: Column, text: Column) -> Column:
@@ -77,10 +92,7 @@ def known(vector: Column, text: Column) -> Column:
 def correct(states: DataFrame, mem: DataFrame, vocabulary: DataFrame, config: MemoryConfig, keys: tuple[str, ...] = ("session_id", "turn")) -> DataFrame:
     """states with vector = unit(unit(q) - lambda * unit(sum of weighted concepts)); unit(q) where there is no memory."""
     keys = list(keys)
-    # a vocabulary can be large: the join is a shuffle that Spark may turn into a broadcast by its true size
-    vectors = mem.select(*keys, "surface", "weight").join(vocabulary.select(F.col("text").alias("surface"), "vector").hint("merge"), "surface", "left")
-    vectors = vectors.withColumn("vector", known(F.col("vector"), F.col("surface")))
-    both = states.join(summed(vectors, keys).hint("merge"), keys, "left")
+    both = states.join(summed(mem.select(*keys, "surface", "weight"), vocabulary, keys).hint("merge"), keys, "left")
     q, m = S.unit(F.col("query_vector")), F.col("aggregate")
     moved = S.unit(F.zip_with(q, S.unit(m), lambda x, y: x - F.lit(config.negative_weight) * y))
     return both.withColumn("vector", F.when(m.isNotNull() & (S.norm(m) > 0), moved).otherwise(q)).drop("aggregate", "query_vector")

@@ -99,9 +99,10 @@ def clustered(items: DataFrame, n: int) -> tuple[DataFrame, Clusters]:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                at, far = nearest(matrix(batch, "vector"), centres)
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("corpus_idx", "vector")), pa.array(at, pa.int32()), pa.array(far)], names=["corpus_idx", "vector", "cluster", "far"])
+            for lo in range(0, batch.num_rows, ITEMS):
+                part = batch.slice(lo, ITEMS)
+                at, far = nearest(matrix(part, "vector"), centres)
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in ("corpus_idx", "vector")), pa.array(at, pa.int32()), pa.array(far)], names=["corpus_idx", "vector", "cluster", "far"])
 
     placed = written(items.select("corpus_idx", "vector").mapInArrow(place, "corpus_idx long, vector array<double>, cluster int, far double"), "items")
     sizes, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
@@ -127,10 +128,13 @@ def opened(queries: DataFrame, clusters: Clusters, k: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sure, open_, least = clusters.decided(matrix(batch, "vector"), batch.column(batch.schema.get_field_index("own")).to_numpy(), k)
-            counts = np.append(0, open_.sum(1).cumsum())
-            lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(np.nonzero(open_)[1], pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sure), lists, pa.array(least)], names=[*batch.schema.names, "sure", "open", "least"])
+            vectors, own = matrix(batch, "vector"), batch.column(batch.schema.get_field_index("own")).to_numpy()
+            for lo in range(0, batch.num_rows, QUERIES):
+                part = batch.slice(lo, QUERIES)
+                sure, open_, least = clusters.decided(vectors[lo : lo + QUERIES], own[lo : lo + QUERIES], k)
+                counts = np.append(0, open_.sum(1).cumsum())
+                lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(np.nonzero(open_)[1], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sure), lists, pa.array(least)], names=[*part.schema.names, "sure", "open", "least"])
 
     return written(queries.mapInArrow(run, "run_id string, session_id long, turn int, target_index long, own long, vector array<double>, sure long, open array<int>, least double"), "open-queries")
 

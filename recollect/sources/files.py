@@ -12,7 +12,7 @@ MOST = (1 << 31) - (1 << 20)
 
 
 def digests(spark: SparkSession, *paths: str, pattern: str = "*", most: int = MOST) -> DataFrame:
-    """(path, length, sha256) of all files below the paths whose name fits; larger ones than `most` bytes raise, hidden ones are left out."""
+    """(path, length, sha256) of all files below the paths whose name fits; larger ones than `most` bytes raise; hidden and empty ones are left out, as Spark reads neither."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(list(paths))
     if large := files.where(F.col("length") > most).select("path").limit(3).collect():
         raise ValueError(f"files beyond {most} bytes: {[r.path for r in large]}")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recollect.config import MemoryConfig
 from recollect.functions import scalars as S
-from recollect.operators import embed, memory, metrics, provenance, scoring, stats
+from recollect.operators import embed, joins, memory, metrics, provenance, scoring, stats
 from recollect.sources import tables
 
 CONCEPTS = ["striped", "wooden handle", "night sky", "two dogs", "neon sign"]
@@ -72,6 +72,8 @@ class World:
 def test_ranks_and_lists_of_three_methods(spark, monkeypatch, seed):
     monkeypatch.setattr(scoring, "ITEMS", 11)
     monkeypatch.setattr(scoring, "QUERIES", 9)
+    monkeypatch.setattr(memory, "BROADCAST_COMPONENTS", 0 if seed == 3 else 1000)
+    monkeypatch.setattr(joins, "LEAST", 5)
     world, config = World(seed), MemoryConfig(negative_weight=0.6, recency_decay=0.3)
     corpus, states, beliefs, vocabulary = world.frames(spark)
     runs = [memory.queries(states, beliefs, vocabulary, config, m) for m in ("h0", "current", "persistent")]
@@ -97,7 +99,9 @@ def test_states_without_negatives_stay_as_they_are(spark):
         assert {(r.session_id, r.turn): r.vector for r in got} == host
 
 
-def test_a_concept_without_a_vector_is_refused(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_a_concept_without_a_vector_is_refused(spark, monkeypatch, most):
+    monkeypatch.setattr(memory, "BROADCAST_COMPONENTS", most)
     corpus, states, beliefs, vocabulary = World(6).frames(spark)
     with pytest.raises(PySparkException, match="no vector for"):
         memory.queries(states, beliefs, vocabulary.where("text NOT LIKE 'W%'"), MemoryConfig(), "persistent").collect()
