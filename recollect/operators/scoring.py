@@ -29,8 +29,10 @@ from ..sources.tables import written
 from .joins import met
 
 KEYS = ["run_id", "session_id", "turn"]
-#: Queries that are scored at once, and items of a block.
-QUERIES, ITEMS = 512, 4096
+#: Queries of a cell, items of a block, and scores that are made at once. What is sent is queries * items / ITEMS + items * queries / QUERIES vectors.
+QUERIES, ITEMS, SCORES_AT_ONCE = 32_768, 16_384, 1 << 21
+#: Items that are one block and may be broadcast.
+SINGLE = 4096
 #: Items that centres are fitted on, and most centres.
 SAMPLE, CENTRES = 4096, 256
 SCALE = 1e9
@@ -99,8 +101,8 @@ def clustered(items: DataFrame, n: int) -> tuple[DataFrame, Clusters]:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, ITEMS):
-                part = batch.slice(lo, ITEMS)
+            for lo in range(0, batch.num_rows, SAMPLE):
+                part = batch.slice(lo, SAMPLE)
                 at, far = nearest(matrix(part, "vector"), centres)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in ("corpus_idx", "vector")), pa.array(at, pa.int32()), pa.array(far)], names=["corpus_idx", "vector", "cluster", "far"])
 
@@ -129,9 +131,10 @@ def opened(queries: DataFrame, clusters: Clusters, k: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             vectors, own = matrix(batch, "vector"), batch.column(batch.schema.get_field_index("own")).to_numpy()
-            for lo in range(0, batch.num_rows, QUERIES):
-                part = batch.slice(lo, QUERIES)
-                sure, open_, least = clusters.decided(vectors[lo : lo + QUERIES], own[lo : lo + QUERIES], k)
+            at_once = SCORES_AT_ONCE // SAMPLE
+            for lo in range(0, batch.num_rows, at_once):
+                part = batch.slice(lo, at_once)
+                sure, open_, least = clusters.decided(vectors[lo : lo + at_once], own[lo : lo + at_once], k)
                 counts = np.append(0, open_.sum(1).cumsum())
                 lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(np.nonzero(open_)[1], pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sure), lists, pa.array(least)], names=[*part.schema.names, "sure", "open", "least"])
@@ -147,6 +150,22 @@ def of_cluster(values: list[int]) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.col("cluster") + 1)
 
 
+def best_of(s: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best scores of each row, ties to the lower column, and at most those that `least` lets be among the best of all."""
+    if not k:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    floor = np.full(len(s), np.iinfo(np.int64).min)
+    told = np.isfinite(least)
+    floor[told] = np.floor((least[told] - MARGIN) * SCALE)
+    if s.shape[1] > k and not told.all():
+        floor = np.maximum(floor, np.partition(s, s.shape[1] - k, 1)[:, s.shape[1] - k])
+    row, column = np.nonzero(s >= floor[:, None])
+    order = np.lexsort((column, -s[row, column], row))
+    row, column = row[order], column[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], column[first]
+
+
 def block_scores(queries: pa.Table, items: pa.Table, k: int) -> pa.Table:
     """Counts and the k best items of one block for each query."""
     keys = [queries[c].combine_chunks() for c in KEYS]
@@ -158,17 +177,17 @@ def block_scores(queries: pa.Table, items: pa.Table, k: int) -> pa.Table:
     wanted, above, below = within(q @ centre, np.linalg.norm(x - centre, axis=1).max(), own, least)
     greater, before = np.where(above & ~wanted, len(idx), 0), np.zeros(len(q), np.int64)
     minus, best, sizes = [], [], np.zeros(len(q), np.int64)
-    rows = np.flatnonzero(wanted | ~(above | below))
-    for lo in range(0, len(rows), QUERIES):
-        at = rows[lo : lo + QUERIES]
+    rows, at_once = np.flatnonzero(wanted | ~(above | below)), max(1, SCORES_AT_ONCE // len(idx))
+    for lo in range(0, len(rows), at_once):
+        at = rows[lo : lo + at_once]
         s = np.rint(q[at] @ x.T * SCALE).astype(np.int64)
         other = idx != target[at][:, None]
         mine = own[at][:, None]
         greater[at], before[at] = ((s > mine) & other).sum(1), ((s == mine) & (idx < target[at][:, None])).sum(1)
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        sizes[at] = top.shape[1]
-        minus.append(-np.take_along_axis(s, top, 1).ravel())
-        best.append(idx[top].ravel())
+        row, there = best_of(s, k, least[at])
+        sizes[at] = np.bincount(row, minlength=len(at))
+        minus.append(-s[row, there])
+        best.append(idx[there])
     none = np.zeros(0, np.int64)
     lists = pa.StructArray.from_arrays([pa.array(np.concatenate([none, *minus])), pa.array(np.concatenate([none, *best]))], names=["minus", "corpus_idx"])
     return pa.table([*keys, pa.array(greater), pa.array(before), pa.ListArray.from_arrays(pa.array(np.append(0, sizes.cumsum()), pa.int32()), lists)], names=[*KEYS, "greater", "before", "top"])
@@ -178,7 +197,7 @@ def scores(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(run_id, session_id, turn, greater, before, top) rows of each query, to be summed and merged; queries have unit vectors. k may be 0, for ranks alone."""
     spark = queries.sparkSession
     items, size = corpus.select("corpus_idx", S.unit(F.col("vector")).alias("vector")), corpus.count()
-    if size <= ITEMS:
+    if size <= min(ITEMS, SINGLE):
         # one block, to which all queries are sent: nothing is to be decided before, and its vectors may be broadcast
         items, blocks = written(items.withColumn("cluster", F.lit(0)), "items"), [1]
         near = F.broadcast(items.select(F.col("corpus_idx").alias("target_index"), F.col("vector").alias("t")))
@@ -188,7 +207,7 @@ def scores(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         items, clusters = clustered(items, size)
         q, blocks = opened(with_own(queries, items), clusters, k), clusters.blocks
     n = q.count()
-    groups = max(1, -(-n // (8 * QUERIES)), min(-(-2 * spark.sparkContext.defaultParallelism // sum(blocks)), -(-n // 64)))
+    groups = max(1, -(-n // QUERIES), min(-(-2 * spark.sparkContext.defaultParallelism // sum(blocks)), -(-n // 64)))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * groups * sum(blocks), 4 * spark.sparkContext.defaultParallelism))
     cell = ["cluster", "block", "group"]
     sent = q.select(*KEYS, "target_index", "own", "least", "vector", F.explode("open").alias("cluster"), F.pmod(F.xxhash64(*KEYS), F.lit(groups)).alias("group")).withColumn("block", F.explode(F.sequence(F.lit(0), of_cluster(blocks) - 1)))
