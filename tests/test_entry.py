@@ -11,7 +11,8 @@ from recollect.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 SOME = ["a3_beliefs", "a5_configs", "a8_upgrade", "b1_beliefs", "b4_sessions", "b15_structured_matches", "c1_canonical", "c6_weights", "d4_persistent_memory", "d6b_uncapped_fold", "d11_corrected", "d14_native_ranks", "d15_top_k", "d16_live_memory", "d18_text_persistent",
-        "e7_summary", "f1_recall_delta", "f5_compare", "g1_belief_stats", "g4_contradictions", "g9_clean_states", "g10_event_counters", "g12b_group_deltas", "g18_manifest", "h1_archives", "h5_first_turn", "h6_no_op", "h7_no_op_lists", "h8_clean_guard", "i2_pairing", "i3_evaluation", "i4_verify_pairing", "i5_gate", "j1_embed"]
+        "e7_summary", "f1_recall_delta", "f5_compare", "g1_belief_stats", "g4_contradictions", "g9_clean_states", "g10_event_counters", "g12b_group_deltas", "g18_manifest", "h1_archives", "h5_first_turn", "h6_no_op", "h7_no_op_lists", "h8_clean_guard", "i2_pairing", "i3_evaluation", "i4_verify_pairing", "i5_gate", "j1_embed",
+        "a3b_malformed_beliefs", "a7b_published_runs", "a11b_malformed_traces", "a13b_encoder_cache", "c8b_file_digests", "d6_capped_memory", "d8_semantic_merge", "d9_override", "d16b_live_from_batch", "f6_final_delta", "g13c_setting_summaries", "g16_text_report", "i3b_evaluation_of_files"]
 
 
 def plain(rows, columns):
@@ -33,7 +34,7 @@ def test_like_sql(spark, name):
 
 
 def test_registered():
-    assert set(ORACLE_SQL) < set(QUERIES) and len(QUERIES) > 100 and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(ORACLE_SQL) == set(QUERIES) and len(QUERIES) > 100 and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
