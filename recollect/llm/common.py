@@ -64,6 +64,34 @@ def spread_join(df: DataFrame, facts: DataFrame, key: str, hot: DataFrame, how:
     return (met.where("_f IS NOT NULL") if how == "inner" else met).select(*own, *(F.col(f"_f.{c}").alias(c) for c in other))
 
 
+def hash_counts(rows: DataFrame) -> DataFrame:
+    """(h1, h2, parts) of the keys of too many (h1, h2) rows for one task, and into how many parts each is to be dealt. rows should be at rest.
+
+    There are at most MOST_HOT of them, each of a few numbers: they may be broadcast.
+    """
+    least = max(LEAST_HOT, rows.count() // MOST_HOT)
+    return rows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where(F.col("c") > least).select("h1", "h2", F.expr(f"c div {least} + 1").cast("int").alias("parts"))
+
+
+def meet(keyed: DataFrame, facts: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """keyed, the (row, h1, h2) rows of nested(), each with what facts has of its key (h1, h2), one row a key; how is inner or left.
+
+    hot: the keys of many rows, by hash_counts(). Their rows that are alike in all columns become one with a number before any shuffle,
+    and the others are dealt to so many tasks as `parts` says, each with a copy of the key's fact. All rows come out as often as they came in.
+    """
+    others = [c for c in facts.columns if c not in ("h1", "h2")]
+    columns = ["row", "h1", "h2", *others]
+    if hot.isEmpty():
+        return keyed.join(facts.hint("merge"), ["h1", "h2"], how).select(columns)
+    keys = F.broadcast(hot)
+    few = keyed.join(keys.select("h1", "h2"), ["h1", "h2"], "left_anti").join(facts.hint("merge"), ["h1", "h2"], how)
+    alike = keyed.join(keys, ["h1", "h2"]).groupBy("h1", "h2", "parts", F.sha2(F.to_json("row"), 256).alias("all")).agg(F.first("row").alias("row"), F.count("*").alias("n"))
+    alike = alike.withColumn("part", F.pmod(F.xxhash64("all"), F.col("parts")).cast("int"))
+    dealt = facts.join(keys, ["h1", "h2"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+    many = alike.join(dealt.hint("merge"), ["h1", "h2", "part"], how).withColumn("again", F.explode(F.expr("sequence(1, n)")))
+    return few.select(columns).unionByName(many.select(columns))
+
+
 def bound(x: Column, use: Callable[[Column], Column]) -> Column:
     """use(x), with x computed once, however often use names it."""
     return F.get(F.transform(F.array(x), use), F.lit(0))

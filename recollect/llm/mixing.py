@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import nested, written
+from .common import hash_counts, meet, nested, written
 
 #: Cells into which the unit interval is cut so that points meet shares in an equi-join.
 CELLS = 256
@@ -107,8 +107,12 @@ def mix(docs: DataFrame, p: Params = Params(), key: str = "doc_id") -> DataFrame
     own = own.select("_key", "size", "source_no", "source_size", "target").withColumn("_order", F.xxhash64(F.lit(p.seed), F.col("_key")))
     own = own.withColumn("_group", F.expr(f"shiftrightunsigned(_order, 33) * {groups} div {1 << 31}"))
     offsets = before(own.groupBy("source_no", "_group").agg(F.sum("size").alias("v")), ["source_no"], "_group", "v", "base").select("source_no", "_group", "base")
-    run = F.sum("size").over(W.partitionBy("source_no", "_group").orderBy(F.shiftrightunsigned("_order", 33), "_order", "_key").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    laid = own.where("size > 0").withColumn("_in", run).join(offsets.hint("merge"), ["source_no", "_group"]).withColumn("start", F.col("_in") + F.col("base"))
+    # rows alike in key, source and size are laid as one run, so that an id of many rows is no window's
+    runs = own.where("size > 0").groupBy("source_no", "_group", "_order", "_key", "size", "source_size", "target").agg(F.count("*").alias("_n"))
+    long = F.col("size") * F.col("_n")
+    run = F.sum(long).over(W.partitionBy("source_no", "_group").orderBy(F.shiftrightunsigned("_order", 33), "_order", "_key", "size").rowsBetween(W.unboundedPreceding, 0)) - long
+    laid = runs.withColumn("_in", run).join(offsets.hint("merge"), ["source_no", "_group"]).withColumn("_at", F.explode(F.expr("sequence(0, _n - 1)")))
+    laid = laid.withColumn("start", F.col("_in") + F.col("base") + F.col("_at") * F.col("size"))
     b = p.block
     pieces = laid.select("_key", "size", "source_no", "source_size", "target", "start", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))).alias("block"))
     pieces = pieces.withColumns({"lo": F.greatest(F.lit(0), F.col("start") - F.col("block") * b), "hi": F.least(F.lit(b), F.col("start") + F.col("size") - F.col("block") * b)})
@@ -132,4 +136,8 @@ def mixed(docs: DataFrame, p: Params = Params()) -> DataFrame:
     taken = mix(sizes, p, "key").groupBy("key").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     copies = taken.where("size > 0").select("key", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0")
     copies = written(copies, "mix-copies")
-    return keyed.join(copies.hint("merge"), "key").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    # the source is part of the row, so that a key of (h1, h2) may have several sources
+    by_source = keyed.select("row", "key.h1", F.expr("key.h2 ^ key.h3").alias("h2"))
+    facts = copies.select("key.h1", F.expr("key.h2 ^ key.h3").alias("h2"), "copies")
+    met = meet(by_source, facts, hash_counts(sizes.select("key.h1", F.expr("key.h2 ^ key.h3").alias("h2"))))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

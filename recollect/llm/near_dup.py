@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLD, hot_keys, in_chunks, mix64, nested, run_hashes, runs, spread_join, written
+from .common import GOLD, hash_counts, hot_keys, in_chunks, meet, mix64, nested, run_hashes, runs, spread_join, written
 
 #: What a word is made of, as a regular expression.
 WORD = r"[^\x20\x09-\x0D]"
@@ -447,7 +447,8 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     alone = found.where("component_id IS NULL").groupBy("comp").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.*")
     kept = found.where("doc_id = component_id").select("h1", "h2").unionByName(found.where("component_id IS NULL").select("h1", "h2").join(alone.hint("merge"), ["h1", "h2"], "left_semi"))
     kept = written(kept.groupBy("h1", "h2").agg(F.count("*").alias("n")), "kept")
-    stay = lambda n: keyed.join(kept.where(n).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_semi")
+    hot = hash_counts(found)
+    stay = lambda n: meet(keyed, kept.where(n).select("h1", "h2"), hot)
     out = stay("n = 1").select("row.*")
     if not kept.where("n > 1").isEmpty():
         out = out.unionByName(once(stay("n > 1")))

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, nested, running, written
+from .common import bound, hash_counts, meet, nested, running, written
 
 #: The base patterns of the contract, and the least lengths (of the value for `assign`).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -113,10 +113,16 @@ def as_text(spans: Column) -> Column:
 def scan(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, h1, h2, base, spans) of each row: its base spans, and all spans; h1 and h2 are those of common.nested()."""
     keyed = nested(docs.select(id_, text), id_, text).select(F.col(f"row.{id_}").alias("id"), "h1", "h2", F.col(f"row.{text}").alias("text"))
-    parts = written(found_parts(keyed), "secret-parts")
-    more = linked(parts.where("size(weak) > 0").dropDuplicates(["h1", "h2"]))
-    out = parts.join(more.hint("merge"), ["h1", "h2"], "left")
-    return out.select("id", "h1", "h2", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("spans"))
+    return spans_of(written(found_parts(keyed), "secret-parts"))
+
+
+def spans_of(parts: DataFrame) -> DataFrame:
+    """scan()'s rows from those of found_parts(). Rows alike in id and text are one with a number while they are linked."""
+    once = parts.where("size(weak) > 0").groupBy("h1", "h2").agg(*(F.first(c).alias(c) for c in ("id", "base", "weak")), F.count("*").alias("n"))
+    out = once.join(linked(once).hint("merge"), ["h1", "h2"], "left")
+    spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("spans")
+    out = out.select("id", "h1", "h2", "base", spans, F.explode(F.expr("sequence(1, n)")).alias("again")).drop("again")
+    return out.unionByName(parts.where("size(weak) = 0").select("id", "h1", "h2", "base", F.col("base").alias("spans")))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -134,7 +140,9 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with secrets replaced in their texts."""
-    spans = scan(docs, id_, text).where("size(spans) > 0").select("h1", "h2", "spans").dropDuplicates(["h1", "h2"])
-    joined = nested(docs, id_, text).join(spans.hint("merge"), ["h1", "h2"], "left")
+    keyed = nested(docs, id_, text)
+    parts = written(found_parts(keyed.select(F.col(f"row.{id_}").alias("id"), "h1", "h2", F.col(f"row.{text}").alias("text"))), "secret-parts")
+    spans = spans_of(parts).where("size(spans) > 0").select("h1", "h2", "spans").dropDuplicates(["h1", "h2"])
+    joined = meet(keyed, spans, hash_counts(parts), "left")
     shown = redacted(F.col(f"row.{text}"), F.coalesce("spans", F.array().cast(SPAN)))
     return joined.select(F.col("row").withField(text, shown).alias("row")).select("row.*")
