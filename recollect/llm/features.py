@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLD, in_chunks, mix64, run_hashes, runs
+from .common import GOLD, in_chunks, mix64, run_hashes, runs, written
 
 SPACES = np.zeros(0x110000, bool)
 SPACES[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
@@ -79,23 +79,38 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int, allowed: Column | None = None) -> tuple[list[str], list[int], tuple[float, float]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int, allowed: Column | None = None, characters: int = 1 << 25) -> tuple[list[str], list[int], tuple[float, float]]:
     """Texts and labels, by id, of at most at_most labelled rows of each label, 0 and 1: those of least hash, so that reruns agree.
 
     The sample of ids is bounded before it meets the documents, so it may be broadcast. A document labelled twice counts with
-    its greater label; a text that stands twice under an id counts once.
-    Last, for how many labelled rows a row of the sample stands, by label: taking as many of each hides the shares of the labels.
+    its greater label; of the texts that stand under one id the least counts, chosen before anything is collected.
+
+    characters: the driver holds so many of each label at most. Texts of more than a sixteenth of that are not learned from, and where
+    the sum is reached, rows of greater hash aren't either. Texts are taken whole or not at all.
+
+    Last, for how many labelled rows a row of the sample stands, by label: taking as many of each hides the shares of the labels. It is
+    the inverse of the part of the ids that was sampled, so that labels of absent documents shift nothing, times what `characters` left out.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(F.lit(True) if allowed is None else allowed)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).withColumn("order", F.xxhash64("doc_id"))
     ids = [known.where(F.col("label") == k).orderBy("order", "doc_id").limit(at_most).select("doc_id", "label") for k in (0, 1)]
     ids = ids[0].unionByName(ids[1])
     all_ = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    one = {}
-    for r in sorted(found.collect()):
-        one.setdefault(r.doc_id, (r.text, r.label))
-    return [x for x, _ in one.values()], [y for _, y in one.values()], (max(1.0, all_.get(0, 0) / at_most), max(1.0, all_.get(1, 0) / at_most))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids.withColumn("order", F.xxhash64("doc_id"))), "doc_id")
+    found = written(found.groupBy("doc_id", "label", "order").agg(F.min("text").alias("text")), "sample")
+    sizes = sorted((r.label, r.order, r.doc_id, r.n) for r in found.select("label", "order", "doc_id", F.char_length("text").alias("n")).collect())
+    taken, sums, stands = [], [0, 0], []
+    for k, _, id_, n in sizes:
+        if n <= characters // 16:
+            sums[k] += n
+            if sums[k] <= characters:
+                taken.append((id_, k))
+    for k in (0, 1):
+        here, used = sum(x[0] == k for x in sizes), sum(x[1] == k for x in taken)
+        stands.append(max(1.0, all_.get(k, 0) / at_most) * (here / used if used else 1.0))
+    rows = found if len(taken) == len(sizes) else found.where(F.col("doc_id").isin([x[0] for x in taken]))
+    rows = sorted((r.doc_id, r.text, r.label) for r in rows.select("doc_id", "text", "label").collect())
+    return [x for _, x, _ in rows], [y for _, _, y in rows], (stands[0], stands[1])
 
 
 def scored(df: DataFrame, text: str, names: list[str], scores) -> DataFrame:

@@ -32,6 +32,8 @@ class Params:
     seed: int = 7
     #: Labelled rows learned from, at most, of each label.
     sample_per_label: int = 2000
+    #: Characters of their texts, at most, of each label (features.labelled_sample).
+    sample_characters: int = 1 << 25
     threshold: float = 0.7
 
 
@@ -83,7 +85,7 @@ def mean_scores(texts: list[str], weights: np.ndarray, bias: float, p: Params) -
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.ndarray, float]:
     """Learns from at most p.sample_per_label labelled rows of each label, none of them held out."""
-    return train(*labelled_sample(docs, labels, "quality", p.sample_per_label, ~held_out()), p)
+    return train(*labelled_sample(docs, labels, "quality", p.sample_per_label, ~held_out(), p.sample_characters), p)
 
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, float], p: Params = Params(), text: str = "text", score: str = "score") -> DataFrame:

@@ -77,7 +77,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, p = table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity.Params()
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), p)
+    model, p = toxicity.tuned(docs, table(spark, sf_dir, "labels"), p)
     return toxicity.grade(docs, model, p).select("doc_id", "severity", "p_toxic", "toxic", features.held_out().alias("held_out"))
 
 

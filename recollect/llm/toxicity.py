@@ -15,13 +15,13 @@ through whatever their names; those of the results' names give way. An empty tab
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks
+from .common import in_chunks, mix64
 from .features import held_out, labelled_sample, scored, word_features
 
 GRADES = 3
@@ -32,6 +32,8 @@ class Params:
     bits: int = 20  # hash buckets: 2**bits
     #: Labelled rows learned from, at most, of each label.
     sample_per_label: int = 3000
+    #: Characters of their texts, at most, of each label (features.labelled_sample).
+    sample_characters: int = 1 << 25
     #: A word must stand in so many rows of the sample to be a feature.
     least_rows: int = 5
     epochs: int = 300
@@ -40,10 +42,17 @@ class Params:
     lasso: float = 3e-4
     #: Words of these log-odds or more speak for toxicity.
     lexicon_odds: float = 1.0
-    #: A toxic document that is missed counts as four clean ones that are flagged, so the cut lies at 1 / (1 + 4).
+    #: A toxic document that is missed counts as so many clean ones that are flagged.
+    miss: float = 4.0
+    #: The cut: where the model's probabilities are right, 1 / (1 + miss) costs least. cross_validated() chooses it and `evidence`.
     threshold: float = 0.2
     #: Below a half, a document's odds must also be so many times those of an empty text.
     evidence: float = 4.0
+    #: What cross-validation chooses from, and the parts of the sample.
+    thresholds: tuple[float, ...] = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
+    #: More than 1, so that an empty text, and one that speaks for nothing, is never told toxic below a half.
+    evidences: tuple[float, ...] = (2.0, 4.0, 8.0, 16.0)
+    folds: int = 3
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -127,9 +136,47 @@ def severities(texts: list[str], weights: np.ndarray, cuts: np.ndarray, p: Param
     return np.stack([up.sum(1), up[:, 0]], 1)
 
 
+def told(probability: np.ndarray, odds: np.ndarray, threshold: float, evidence: float) -> np.ndarray:
+    """grade()'s rule: odds are those of P(grade > 0) over those of an empty text."""
+    return (probability >= 0.5) | ((probability >= threshold) & (odds >= evidence))
+
+
+def cross_validated(texts: list[str], labels: list[int], stands: tuple[float, float] = (1.0, 1.0), p: Params = Params()) -> Params:
+    """p with the threshold and the evidence that cost least on rows of the sample that their model had not seen.
+
+    A row counts as many times as it stands for; of choices that cost the same, those nearest to p's are taken. Without both labels p stays.
+    """
+    y = np.array(labels, np.int64)
+    if not len(y) or y.min() == y.max():
+        return p
+    fold = (mix64(np.arange(1, len(y) + 1, dtype=np.uint64)) % np.uint64(p.folds)).astype(np.int64)
+    chance, odds = np.zeros(len(y)), np.zeros(len(y))
+    for k in range(p.folds):
+        learned, seen = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        model = train([texts[i] for i in learned], y[learned].tolist(), stands, p)
+        none = severities([""], *model, p)[0, 1]
+        for lo, hi in in_chunks([texts[i] for i in seen], 1 << 18):
+            chance[seen[lo:hi]] = severities([texts[i] for i in seen[lo:hi]], *model, p)[:, 1]
+        odds[seen] = chance[seen] * (1 - none) / np.maximum(none * (1 - chance[seen]), 1e-300)
+    weight = np.array(stands)[y] * np.where(y == 1, p.miss, 1.0)
+
+    def cost(choice: tuple[float, float]) -> tuple[float, float]:
+        wrong = told(chance, odds, *choice) != (y == 1)
+        return round(float(weight[wrong].sum()), 6), abs(np.log(choice[0] / p.threshold)) + abs(np.log(choice[1] / p.evidence))
+
+    threshold, evidence = min(((t, e) for t in p.thresholds for e in p.evidences), key=cost)
+    return replace(p, threshold=threshold, evidence=evidence)
+
+
+def tuned(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[tuple[np.ndarray, np.ndarray], Params]:
+    """fit()'s model, and p with the cut chosen by cross-validation over the same sample. Held-out rows take no part in either."""
+    texts, y, stands = labelled_sample(docs, labels, "toxic", p.sample_per_label, ~held_out(), p.sample_characters)
+    return train(texts, y, stands, p), cross_validated(texts, y, stands, p)
+
+
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.ndarray, np.ndarray]:
     """Learns from at most p.sample_per_label labelled rows of each label, none of them held out."""
-    return train(*labelled_sample(docs, labels, "toxic", p.sample_per_label, ~held_out()), p)
+    return train(*labelled_sample(docs, labels, "toxic", p.sample_per_label, ~held_out(), p.sample_characters), p)
 
 
 def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], p: Params = Params(), text: str = "text", severity: str = "severity", toxic: str = "toxic", probability: str = "p_toxic") -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from recollect.llm import quality as Q
@@ -99,3 +100,85 @@ def test_scores_follow_the_shares_of_all_labels(spark):
     texts, y, stands = labelled_sample(docs, labels, "toxic", 100)
     plain = X.train(texts, y, p=X.Params())
     assert abs(chance(100) - chance(5000)) < abs(float(X.severities([""], *plain, X.Params())[0, 1]) - chance(5000)) / 2
+
+
+def test_the_sample_is_bounded_before_it_is_collected(spark):
+    rows = corpus(400)
+    docs, labels = frames(spark, rows)
+    plain = labelled_sample(docs, labels, "toxic", 5000)
+    again = docs.unionByName(spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("zz "), F.col("id").cast("string")).alias("text"), F.lit(0.5).alias("score")))
+    assert labelled_sample(again, labels, "toxic", 5000) == plain  # of an id's texts the least
+    long = docs.withColumn("text", F.when(F.col("doc_id") == 8, F.repeat(F.lit("long "), 50_000)).otherwise(F.col("text")))
+    texts, y, stands = labelled_sample(long, labels, "toxic", 5000, None, 16_000)
+    for k in (0, 1):
+        mine = [x for x, l in zip(texts, y) if l == k]
+        have = sum(r[3] == k for r in rows)
+        assert max(map(len, mine)) <= 1000 and 8_000 < sum(map(len, mine)) <= 16_000 and set(mine) <= set(plain[0])
+        assert abs(stands[k] * len(mine) - have) < 1e-6 or k == 0 and abs(stands[k] * len(mine) - have) <= 2
+
+
+def test_the_cut_is_chosen_on_unseen_rows(spark):
+    docs, labels = frames(spark, corpus(600))
+    model, p = X.tuned(docs, labels, X.Params(epochs=60))
+    assert p.threshold in p.thresholds and p.evidence in p.evidences
+    assert (model[0] == X.fit(docs, labels, X.Params(epochs=60))[0]).all()
+    turned = labels.withColumn("toxic", F.when(Q.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert X.tuned(docs, turned, X.Params(epochs=60))[1] == p
+    # labels that words don't tell: a dear miss lowers the cut, a cheap one raises it
+    rng = random.Random(1)
+    texts = [rng.choice(["scum walks", "scum hill", "quiet hill", "quiet stone"]) for _ in range(800)]
+    y = [int("scum" in t and rng.random() < 0.35) for t in texts]
+    dear, cheap = (X.cross_validated(texts, y, p=X.Params(epochs=80, miss=m)).threshold for m in (9.0, 1.0))
+    assert dear < 0.35 and dear < cheap
+    assert X.cross_validated([], []) == X.Params() == X.cross_validated(["a"], [1])
+
+
+def test_training_follows_the_derivatives():
+    """Slopes of the ordinal likelihood by differences, and the softmax loss that falls."""
+    rng = np.random.default_rng(4)
+    cut = np.array([-0.4, 0.3, 1.1])
+
+    def loss(z, g):
+        up = np.concatenate([[1.0], X.sigmoid(z - cut), [0.0]])
+        return -np.log(up[g] - up[g + 1])
+
+    for _ in range(50):
+        z, g = rng.normal(), int(rng.integers(0, 4))
+        up = X.sigmoid(z - cut)
+        full = np.concatenate([[1.0], up, [0.0]])
+        slope = sum(up[k] * (1 - up[k]) / (full[g] - full[g + 1]) * (1 if g > k else -1) for k in (g - 1, g) if 0 <= k < 3)
+        assert abs((loss(z + 1e-5, g) - loss(z - 1e-5, g)) / 2e-5 + slope) < 1e-5
+    rows = corpus(200)
+    texts, quality_, toxic = [r[1] for r in rows], np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+
+    def softmax_loss(epochs):
+        p = Q.Params(bits=14, epochs=epochs)
+        s = Q.mean_scores(texts, *Q.train(texts, quality_.tolist(), p=p), p)[:, 0]
+        return -np.log(np.clip(np.where(quality_ == 1, s, 1 - s), 1e-12, 1)).mean()
+
+    few, more = softmax_loss(1), softmax_loss(8)
+    assert more < few
+
+    def ordinal_loss(epochs):
+        p = X.Params(epochs=epochs)
+        s = X.severities(texts, *X.train(texts, toxic.tolist(), p=p), p)[:, 1]
+        return -np.log(np.clip(np.where(toxic == 1, s, 1 - s), 1e-12, 1)).mean()
+
+    assert ordinal_loss(200) < ordinal_loss(40) < ordinal_loss(5)
+
+
+def test_long_and_repeated_rows_and_clashing_names(spark):
+    docs, labels = frames(spark, corpus())
+    long = spark.createDataFrame([(900, "scum hill " * 60_000, 0.1), (900, "scum hill " * 60_000, 0.1), (901, None, 0.2)], "doc_id long, text string, score double")
+    odd = docs.unionByName(long).withColumns({c: F.col("doc_id") for c in ("order", "label", "severity", "p_toxic", "toxic", "n", "taken")})
+    p = Q.Params(bits=14, sample_per_label=100)
+    model = Q.fit(odd, labels, p)
+    out = {}
+    for r in Q.classify(odd, model, p).collect():
+        out.setdefault(r.text or "", set()).add(r.score)
+    assert all(len(v) == 1 for v in out.values())
+    assert abs(out["scum hill " * 60_000].pop() - Q.mean_scores(["scum hill " * 60_000], *model, p)[0, 0]) < 1e-12
+    m = X.fit(odd, labels)
+    got = X.grade(odd, m).where("doc_id >= 900").select("doc_id", "severity", "toxic").collect()
+    short = X.severities(["scum hill"], *m, X.Params())[0, 0]  # presence only: length adds nothing
+    assert [abs(r.severity - short) < 1e-9 and r.toxic for r in got if r.doc_id == 900] == [True, True] and [r.toxic for r in got if r.doc_id == 901] == [False]

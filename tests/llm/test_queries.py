@@ -114,15 +114,15 @@ def test_op7(spark):
 
 
 def test_op9(spark):
-    p = toxicity.Params()
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
-    weights, cuts = toxicity.fit(docs, labels, p)
+    (weights, cuts), p = toxicity.tuned(docs, labels)
+    assert p.threshold in p.thresholds and p.evidence in p.evidences
     got = {r.doc_id: r for r in entry.queries()["op9_toxicity"](spark, SF).collect()}
     texts = dict(documents(spark))
     for i, x in sorted(texts.items(), key=lambda r: (len(r[1] or ""), r[0]))[:60]:
         z = sum(float(weights[b]) for b in {run_hash(w) >> 64 - p.bits for w in re.findall(r"[^\W\d_]+", (x or "").lower())})
         up = [1 / (1 + np.exp(-np.clip(z - c, -35, 35))) for c in cuts]
-        assert abs(got[i].severity - sum(up)) < 1e-6 and abs(got[i].p_toxic - up[0]) < 1e-6 and got[i].toxic == (up[0] >= 0.5 or up[0] >= 0.2 and z >= np.log(4))
+        assert abs(got[i].severity - sum(up)) < 1e-6 and abs(got[i].p_toxic - up[0]) < 1e-6 and got[i].toxic == (up[0] >= 0.5 or up[0] >= p.threshold and z >= np.log(p.evidence))
     assert len(got) == len(texts) and all(r.held_out == held(i) for i, r in got.items())
     truth = {r.doc_id: r.toxic for r in table(spark, LARGER, "labels").collect()}
     got = {r.doc_id: r for r in entry.queries()["op9_toxicity"](spark, LARGER).collect()}
