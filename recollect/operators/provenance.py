@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.tables import written
+from .joins import met
 
 
 #: Digests of rows are combined within so many buckets, then over them.
@@ -72,8 +74,11 @@ def verify_pairings(runs: DataFrame, ranks: DataFrame, pairs: DataFrame) -> Data
     shape = ranks.groupBy("run_id").agg(F.count_distinct("session_id").alias("s"), F.count_distinct("turn").alias("t"))
     facts = shape.join(fp.hint("merge"), "run_id", "left")
     side = lambda name, p: facts.select(F.col("run_id").alias(name), *(F.col(c).alias(p + c) for c in ("s", "t", "fp")))
-    keys = ranks.select("run_id", "session_id", "target_index").distinct()
-    of = lambda name: pairs.join(keys.withColumnRenamed("run_id", name).hint("merge"), name).select("baseline", "candidate", "session_id", "target_index")
+    # a run of many sessions, or of null id, meets its pairs as one small fact
+    keys = written(ranks.select("run_id", "session_id", "target_index").distinct(), "pairing-keys")
+    pair = F.struct("baseline", "candidate")
+    of_run = lambda name: pairs.groupBy(F.col(name).alias("run_id")).agg(F.collect_set(pair).alias("pairs"))
+    of = lambda name: met(keys, of_run(name), "run_id").select(F.explode("pairs").alias("p"), "session_id", "target_index").select("p.*", "session_id", "target_index")
     count = lambda columns, out: (
         of("baseline").select(columns).distinct().withColumn("n", F.lit(1)).unionByName(of("candidate").select(columns).distinct().withColumn("n", F.lit(-1)))
         .groupBy(columns).agg(F.sum("n").alias("n")).where("n <> 0").groupBy("baseline", "candidate").agg(F.count("*").alias(out))

@@ -284,3 +284,19 @@ def test_files(spark, tmp_path):
 def test_missing_texts_get_a_default(spark):
     s = spark.createDataFrame([(4, 9, [[0.5], [0.1], [3.0]], ["a", None]), (6, 2, [[2.0]], None)], "session_id long, target_index long, query_vectors array<array<double>>, query_texts array<string>")
     assert sorted((r.session_id, r.turn, r.query_text) for r in tables.turns_of_sessions(s).collect()) == [(4, 0, "a"), (4, 1, tables.DEFAULT_TEXT), (4, 2, tables.DEFAULT_TEXT), (6, 0, tables.DEFAULT_TEXT)]
+
+
+def test_a_run_of_many_sessions_is_verified_in_parts(spark, monkeypatch):
+    from recollect.operators import joins
+
+    monkeypatch.setattr(joins, "LEAST", 16)
+    sessions = spark.range(500).select(F.col("id").alias("session_id"), (F.col("id") * 3).alias("target_index"))
+    rows = sessions.crossJoin(spark.createDataFrame([("hot", 0), ("hot", 1), ("same", 0), ("same", 1), ("moved", 0), ("moved", 1), ("part", 0), ("part", 1)], "run_id string, turn int"))
+    rows = rows.withColumn("target_index", F.when((F.col("run_id") == "moved") & (F.col("session_id") == 77), -1).otherwise(F.col("target_index"))).where("run_id <> 'part' OR session_id < 499")
+    runs = spark.createDataFrame([(x, "f") for x in ("hot", "same", "moved", "part")], "run_id string, pairing_fp string")
+    pairs = spark.createDataFrame([("hot", x) for x in ("same", "moved", "part", "absent")] + [("same", "hot")], "baseline string, candidate string")
+    got = {(r.baseline, r.candidate): r.reasons for r in provenance.verify_pairings(runs, rows, pairs).collect()}
+    assert got == {
+        ("hot", "same"): [], ("same", "hot"): [], ("hot", "moved"): ["target_indices_mismatch"], ("hot", "part"): ["rank_shape_mismatch", "session_ids_mismatch", "target_indices_mismatch"],
+        ("hot", "absent"): ["rank_shape_mismatch", "missing_pairing_fingerprint", "session_ids_mismatch", "target_indices_mismatch"],
+    }
