@@ -55,3 +55,12 @@ def test_a_query_of_several_runs_is_scored_once(spark, monkeypatch, items_):
     assert {(r.run_id, r.session_id): r["rank"] for r in scoring.target_ranks(scored).collect()} == {(r, s): want[r, s].index(t) for r, s, _, t, _ in runs}
     lists = scoring.top_k(scored, 3).groupBy("run_id", "session_id").agg(F.array_sort(F.collect_list(F.struct("position", "corpus_idx"))).alias("x")).collect()
     assert {(r.run_id, r.session_id): [e.corpus_idx for e in r.x] for r in lists} == {k: o[:3] for k, o in want.items()}
+
+
+def test_native_cells_hold_several_packs(spark, monkeypatch):
+    for name, size in (("NATIVE_QUERIES", 4), ("NATIVE_ITEMS", 8), ("NATIVE_CELL_QUERIES", 16), ("NATIVE_CELL_ITEMS", 40)):
+        monkeypatch.setattr(scoring, name, size)
+    items = heaps(4, 100)
+    asked = queries(items, 5, 45)
+    found = scoring.native_ranks(spark.createDataFrame(asked, QUERY), spark.createDataFrame(items, "corpus_idx long, vector array<double>")).collect()
+    assert sorted((r.session_id, r["rank"]) for r in found) == [(s, order(v, items).index(t)) for _, s, _, t, v in asked]
