@@ -79,13 +79,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int, allowed: Column | None = None, characters: int = 1 << 25) -> tuple[list[str], list[int], tuple[float, float]]:
-    """Texts and labels, by id, of at most at_most labelled rows of each label, 0 and 1: those of least hash, so that reruns agree.
+def sampled_rows(docs: DataFrame, labels: DataFrame, label: str, at_most: int, allowed: Column | None = None, characters: int = 1 << 25) -> tuple[DataFrame, tuple[float, float]]:
+    """(doc_id, text, label) of at most at_most labelled rows of each label, 0 and 1: those of least hash, so that reruns agree.
 
     The sample of ids is bounded before it meets the documents, so it may be broadcast. A document labelled twice counts with
     its greater label; of the texts that stand under one id the least counts, chosen before anything is collected.
 
-    characters: the driver holds so many of each label at most. Texts of more than a sixteenth of that are not learned from, and where
+    characters: the sample holds so many of each label at most. Texts of more than a sixteenth of that are not learned from, and where
     the sum is reached, rows of greater hash aren't either. Texts are taken whole or not at all.
 
     Last, for how many labelled rows a row of the sample stands, by label: taking as many of each hides the shares of the labels. It is
@@ -109,8 +109,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int
         here, used = sum(x[0] == k for x in sizes), sum(x[1] == k for x in taken)
         stands.append(max(1.0, all_.get(k, 0) / at_most) * (here / used if used else 1.0))
     rows = found if len(taken) == len(sizes) else found.where(F.col("doc_id").isin([x[0] for x in taken]))
-    rows = sorted((r.doc_id, r.text, r.label) for r in rows.select("doc_id", "text", "label").collect())
-    return [x for _, x, _ in rows], [y for _, _, y in rows], (stands[0], stands[1])
+    return rows.select("doc_id", "text", "label"), (stands[0], stands[1])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int, allowed: Column | None = None, characters: int = 1 << 25) -> tuple[list[str], list[int], tuple[float, float]]:
+    """Texts and labels of sampled_rows(), by id, in the driver, and what each row stands for."""
+    rows, stands = sampled_rows(docs, labels, label, at_most, allowed, characters)
+    rows = sorted((r.doc_id, r.text, r.label) for r in rows.collect())
+    return [x for _, x, _ in rows], [y for _, _, y in rows], stands
 
 
 def scored(df: DataFrame, text: str, names: list[str], scores) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 Each hashed word and character n-gram has a learned vector; a document is the average of its vectors; a softmax layer gives
-the probability of label 1. Trained by stochastic gradient descent in numpy on the driver, from a bounded sample.
+the probability of label 1. Trained by stochastic gradient descent in numpy in a task, from a bounded sample.
 
 For scoring, the average of vectors times the output layer equals the average of each vector times the output layer, so the
 broadcast model is one number a bucket.
@@ -14,12 +14,14 @@ gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .features import held_out, labelled_sample, scored, subword_features
+from .features import held_out, sampled_rows, scored, subword_features
 
 
 @dataclass(frozen=True)
@@ -84,8 +86,19 @@ def mean_scores(texts: list[str], weights: np.ndarray, bias: float, p: Params) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.ndarray, float]:
-    """Learns from at most p.sample_per_label labelled rows of each label, none of them held out."""
-    return train(*labelled_sample(docs, labels, "quality", p.sample_per_label, ~held_out(), p.sample_characters), p)
+    """Learns from at most p.sample_per_label labelled rows of each label, none of them held out.
+
+    The sample, which is bounded, is learned from in a task; the driver gets the model alone, and none of the texts.
+    """
+    rows, stands = sampled_rows(docs, labels, "quality", p.sample_per_label, ~held_out(), p.sample_characters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sorted(x for b in batches for x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+        weights, bias = train([x for _, x, _ in known], [y for _, _, y in known], stands, p)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([bias])], names=["weights", "bias"])
+
+    model = rows.coalesce(1).mapInArrow(run, "weights binary, bias double").first()
+    return (np.frombuffer(model.weights, np.float32), model.bias) if model else train([], [], stands, p)
 
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, float], p: Params = Params(), text: str = "text", score: str = "score") -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -182,3 +183,20 @@ def test_long_and_repeated_rows_and_clashing_names(spark):
     got = X.grade(odd, m).where("doc_id >= 900").select("doc_id", "severity", "toxic").collect()
     short = X.severities(["scum hill"], *m, X.Params())[0, 0]  # presence only: length adds nothing
     assert [abs(r.severity - short) < 1e-9 and r.toxic for r in got if r.doc_id == 900] == [True, True] and [r.toxic for r in got if r.doc_id == 901] == [False]
+
+
+def test_the_driver_gets_the_model_and_none_of_the_texts(spark):
+    rows = [(r[0], r[1] + " " + f"stone{r[0]} " * 8_000, *r[2:]) for r in corpus(160)]
+    docs, labels = (x.cache() for x in frames(spark, rows))
+    docs.count(), labels.count()
+    p = Q.Params(bits=12, epochs=1)
+    tracemalloc.start()
+    try:
+        weights, bias = Q.fit(docs, labels, p)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    texts, y, stands = labelled_sample(docs, labels, "quality", p.sample_per_label, ~Q.held_out(), p.sample_characters)
+    assert sum(map(len, texts)) > 8 * most
+    plain = Q.train(texts, y, stands, p)
+    assert (weights == plain[0]).all() and bias == plain[1]
