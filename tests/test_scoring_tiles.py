@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from test_scoring_grid import QUERY, heaps, order, queries
 
 from recollect.operators import scoring
+from recollect.plans import retrieval
+from recollect.sources import fixtures
+
+SF = "/root/testdata/sf0.001"
 
 
 def plain(q, x, idx, own, target, k):
@@ -57,6 +61,51 @@ def test_a_query_of_several_runs_is_scored_once(spark, monkeypatch, items_):
     assert {(r.run_id, r.session_id): [e.corpus_idx for e in r.x] for r in lists} == {k: o[:3] for k, o in want.items()}
 
 
+@pytest.mark.parametrize("width", [8, 24, 64, 136, 512])
+def test_places_of_any_width(width):
+    rng = np.random.default_rng(width)
+    for share in (0, 0.001, 0.2, 1):
+        mask = rng.random((37, width)) < share
+        found = list(zip(*scoring.places(mask), strict=True))
+        assert sorted(found) == list(zip(*np.nonzero(mask), strict=True))
+
+
+def test_the_bound_of_the_best_rises_from_tile_to_tile(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[2000:2400] = x[:400]  # ties
+    q, own = x[:20], np.full(20, 200_000_000)
+    rows = {"runs": [["r"]] * 20, "session_id": range(20), "turn": pa.array([0] * 20, pa.int32()), "target_index": [0] * 20, "own": own, "least": [-np.inf] * 10 + [0.3] * 10, "vector": q.tolist()}
+    found, rescored = [], []
+    monkeypatch.setattr(scoring, "TILE_ITEMS", 64)
+    exact = scoring.exact
+    monkeypatch.setattr(scoring, "exact", lambda q_, x_, row, column: (rescored.append(len(row)), exact(q_, x_, row, column))[1])
+    kept, at_once = scoring.likely, []
+    monkeypatch.setattr(scoring, "likely", lambda found_, *a: (at_once.append(sum(len(f[0]) for f in found_)), kept(found_, *a))[1])
+    for tighten in (1 << 30, 0, 2):
+        monkeypatch.setattr(scoring, "TIGHTEN", tighten)
+        at_once.clear()
+        found.append((scoring.block_scores(pa.table(rows), pa.table({"corpus_idx": np.arange(4000), "vector": x.tolist()}), 5), max(at_once)))
+    _, before, top = plain(q, x, list(range(4000)), own, [0] * 20, 5)
+    for table, _ in found:
+        assert [[(r["minus"], r["corpus_idx"]) for r in t] for t in table["top"].to_pylist()] == top
+    assert found[2][1] < found[0][1] / 5  # all that lay above the first bound would be kept and sorted at the end
+
+
+def test_ranks_alone_need_no_lists(spark, monkeypatch):
+    asked, real = [], scoring.scores
+    monkeypatch.setattr(scoring, "scores", lambda q, corpus, k: (asked.append(k), real(q, corpus, k))[1])
+    fixtures.forget()
+    alone = sorted(map(tuple, retrieval.ranks(spark, SF).collect()))
+    assert asked == [0]
+    fixtures.forget()
+    retrieval.tops(spark, SF)
+    assert sorted(map(tuple, retrieval.ranks(spark, SF).collect())) == alone
+    assert asked == [0, retrieval.TOP_K]
+    fixtures.forget()
+
+
 def test_native_cells_hold_several_packs(spark, monkeypatch):
     for name, size in (("NATIVE_QUERIES", 4), ("NATIVE_ITEMS", 8), ("NATIVE_CELL_QUERIES", 16), ("NATIVE_CELL_ITEMS", 40)):
         monkeypatch.setattr(scoring, name, size)
