@@ -106,6 +106,19 @@ def test_ranks_alone_need_no_lists(spark, monkeypatch):
     fixtures.forget()
 
 
+def test_one_run_is_scored_alone(spark, monkeypatch):
+    asked, real = [], scoring.scores
+    monkeypatch.setattr(scoring, "scores", lambda q, corpus, k: (asked.append(sorted(r.run_id for r in q.select("run_id").distinct().collect())), real(q, corpus, k))[1])
+    fixtures.forget()
+    alone = {m: sorted(map(tuple, retrieval.ranks_of(spark, SF, m).collect())) for m in ("h0", "persistent")}
+    assert asked == [["h0"], ["persistent"]]
+    retrieval.ranks(spark, SF)
+    for m, rows in alone.items():
+        assert rows and rows == sorted(map(tuple, retrieval.ranks_of(spark, SF, m).collect()))
+    assert len(asked) == 3
+    fixtures.forget()
+
+
 def test_native_cells_hold_several_packs(spark, monkeypatch):
     for name, size in (("NATIVE_QUERIES", 4), ("NATIVE_ITEMS", 8), ("NATIVE_CELL_QUERIES", 16), ("NATIVE_CELL_ITEMS", 40)):
         monkeypatch.setattr(scoring, name, size)
