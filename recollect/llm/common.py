@@ -49,18 +49,24 @@ def hot_keys(counts: DataFrame, key: str, count: str, rows: int) -> DataFrame:
 
 
 def spread_join(df: DataFrame, facts: DataFrame, key: str, hot: DataFrame, how: str = "inner", deal: list[str] | None = None) -> DataFrame:
-    """df joined with facts, which has one small row a key. Rows of the hot keys meet theirs by broadcast.
+    """df joined with facts, which has one small row a key. Rows of the hot keys, which should be at rest, meet theirs by broadcast.
 
     In the shuffle for the others, hot rows and rows with a null key are dealt by what else they hold (of `deal`, if given), so that no key gathers many rows.
+    Without hot keys nothing is broadcast: a broadcast takes megabytes of the driver's memory, however few its rows.
     """
     own, other = df.columns, [c for c in facts.columns if c != key]
     packed = facts.select(F.col(key).alias("_k"), F.struct(*other).alias("_f"), F.lit(0).alias("_s"))
-    near = packed.join(F.broadcast(hot.select(F.col(key).alias("_k"))), "_k", "left_semi").select("_k", F.col("_f").alias("_near"))
-    met = df.join(F.broadcast(near), F.col(key) == F.col("_k"), "left").drop("_k")
-    away = F.col("_near").isNotNull() | F.col(key).isNull()
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        near = packed.join(F.broadcast(hot.select(F.col(key).alias("_k"))), "_k", "left_semi").select("_k", F.col("_f").alias("_near"))
+        met = df.join(F.broadcast(near), F.col(key) == F.col("_k"), "left").drop("_k")
+    else:
+        met = df
+    away = F.col("_near").isNotNull() | F.col(key).isNull() if any_hot else F.col(key).isNull()
     met = met.withColumn("_salt", F.when(away, F.pmod(F.xxhash64(*(deal or own)), F.lit(1 << 20)).cast("int") + 1).otherwise(0))
     met = met.join(packed.hint("merge"), (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left")
-    met = met.withColumn("_f", F.coalesce("_near", "_f"))
+    if any_hot:
+        met = met.withColumn("_f", F.coalesce("_near", "_f"))
     return (met.where("_f IS NOT NULL") if how == "inner" else met).select(*own, *(F.col(f"_f.{c}").alias(c) for c in other))
 
 

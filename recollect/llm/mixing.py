@@ -88,6 +88,7 @@ def schedule(sources: DataFrame, p: Params = Params()) -> DataFrame:
     points = spark.range(n).select(F.col("id").alias("slot"), F.pmod(F.pmod(F.col("id") + p.seed, F.lit(UNIT)) * STEP, F.lit(UNIT)).alias("u"))
     points = points.withColumn("cell", F.expr(f"u div {UNIT // CELLS}"))
     drawn = points.join(bounded(parts, n_sources + CELLS), "cell").where("lo <= u AND u < hi").select("slot", "source_no", "slots", F.expr(f"slot div {p.group}").alias("chunk"))
+    drawn = written(drawn, "mix-drawn")  # used three times: else each would broadcast the parts anew, at once, into the driver's memory
     counts = before(drawn.groupBy("source_no", "chunk").agg(F.count("*").alias("c")), ["source_no"], "chunk", "c", "base")
     inner = F.row_number().over(W.partitionBy("source_no", "chunk").orderBy("slot")) - 1
     ranked = drawn.withColumn("_in", inner).join(counts.select("source_no", "chunk", "base").hint("merge"), ["source_no", "chunk"])
@@ -105,7 +106,7 @@ def mix(docs: DataFrame, p: Params = Params(), key: str = "doc_id") -> DataFrame
     groups = max(1, n // p.group)
     own = docs.select(F.col(key).alias("_key"), "source", "size").join(bounded(sources.select(F.col("source").alias("_source"), "source_no", "source_size", "target"), n_sources), F.col("source").eqNullSafe(F.col("_source")))
     own = own.select("_key", "size", "source_no", "source_size", "target").withColumn("_order", F.xxhash64(F.lit(p.seed), F.col("_key")))
-    own = own.withColumn("_group", F.expr(f"shiftrightunsigned(_order, 33) * {groups} div {1 << 31}"))
+    own = written(own.withColumn("_group", F.expr(f"shiftrightunsigned(_order, 33) * {groups} div {1 << 31}")), "mix-own")  # used three times, as drawn is
     offsets = before(own.groupBy("source_no", "_group").agg(F.sum("size").alias("v")), ["source_no"], "_group", "v", "base").select("source_no", "_group", "base")
     # rows alike in key, source and size are laid as one run, so that an id of many rows is no window's
     runs = own.where("size > 0").groupBy("source_no", "_group", "_order", "_key", "size", "source_size", "target").agg(F.count("*").alias("_n"))
